@@ -1,0 +1,6 @@
+"""The query catalogue of the vector-search operators: Spark queries and the DuckDB SQL that checks them."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
