@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import oracles, sharding
+from vexel.llm import mixing, oracles, sharding
 from vexel.llm.common import table
 
 
@@ -12,8 +12,13 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), 16)
 
 
+def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_jump_sharding": op2_jump_sharding,
+    "op10_entropy_mixing": op10_entropy_mixing,
 }
 
 ORACLE_SQL = {
