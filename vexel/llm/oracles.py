@@ -24,3 +24,22 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS
   row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(concat_ws('|', doc_id::VARCHAR, text_crc32::VARCHAR, size::VARCHAR)), 1, 3))::INTEGER,
     doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard::INTEGER AS grown_shard
 FROM rows_in JOIN placed USING (rid)"""
+
+
+OP8 = """WITH doc_words AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+item_words AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+spans AS (SELECT item, w, least(len(w), 10) AS span FROM item_words WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, span, array_to_string(w[i:i + span - 1], ' ') AS win FROM (SELECT item, w, span, unnest(range(1, len(w) - span + 2)) AS i FROM spans)),
+doc_windows AS (
+  SELECT rid, span, i, array_to_string(w[i:i + span - 1], ' ') AS win
+  FROM (SELECT rid, w, span, unnest(range(1, len(w) - span + 2)) AS i FROM doc_words, (SELECT DISTINCT span FROM spans) WHERE len(w) >= span)),
+hit AS (SELECT rid, i, doc_windows.span, item FROM doc_windows JOIN windows ON doc_windows.span = windows.span AND doc_windows.win = windows.win),
+covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + span)) AS p FROM hit) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)"""

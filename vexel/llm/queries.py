@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import mixing, oracles, sharding
+from vexel.llm import mixing, oracles, sharding, winnow
 from vexel.llm.common import table
 
 
@@ -12,15 +12,21 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), 16)
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_jump_sharding": op2_jump_sharding,
+    "op8_winnowing": op8_winnowing,
     "op10_entropy_mixing": op10_entropy_mixing,
 }
 
 ORACLE_SQL = {
     "op2_jump_sharding": oracles.OP2,
+    "op8_winnowing": oracles.OP8,
 }
