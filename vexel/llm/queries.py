@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import mixing, oracles, sharding, simhash, winnow
+from vexel.llm import mixing, oracles, sharding, simhash, toxicity, winnow
 from vexel.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups_digest(table(spark, sf_dir, "documents"), 4, 4)
 
 
+def op7_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -27,6 +31,7 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_jump_sharding": op2_jump_sharding,
     "op5_simhash_trie": op5_simhash_trie,
+    "op7_factorization_toxicity": op7_factorization_toxicity,
     "op8_winnowing": op8_winnowing,
     "op10_entropy_mixing": op10_entropy_mixing,
 }
