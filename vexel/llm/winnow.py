@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from vexel.llm.common import ascii_lower, stored
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: ASCII without digits and letters. A-Z are letters here; they are lower-cased word by word.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a shared passage; an item of fewer words is one passage of its own length.
 SPAN = 10
 #: Benchmark fingerprints are broadcast up to this many rows (of 16 bytes), and joined by a shuffle beyond it.
@@ -20,54 +21,55 @@ BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words of a text, in their own case; null: none."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
 
 
 def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def _at(array: Column, index: Column, offset: int) -> Column:
-    return F.get(array, index + F.lit(offset))
+def _word_hashes(array: Column) -> Column:
+    return F.transform(array, lambda w: F.xxhash64(ascii_lower(w)))
 
 
-def _anchors(df: DataFrame, spans: list[int]) -> DataFrame:
-    """(key columns, span, fp, first, windows) from rows with ``wh``, the hashes of a text's words, one row per fingerprint.
+def _joined(df: DataFrame, name: str, size: int, step) -> tuple[DataFrame, str]:
+    """Adds the array whose item i is ``step`` over the items i to i + size - 1 of array ``name``; returns its column's name.
 
-    For a passage length L, k-grams of k = (L + 1) // 2 words lie L - k + 1 to a window. ``windows`` holds, for each
-    of the window starts from ``first`` on that have this fingerprint as their least, the hash of their L words.
+    Runs are put together from runs of half their length, shifted against each other.
+    """
+    out = f"{name}_{size}"
+    if size == 1:
+        return df, name
+    if out in df.columns:
+        return df, out
+    first = size // 2 if size % 2 == 0 else size - 1
+    df, a = _joined(df, name, first, step)
+    df, b = _joined(df, name, size - first, step)
+    length = F.greatest(F.size(name) - size + 1, F.lit(0))
+    return df.withColumn(out, F.zip_with(F.slice(a, 1, length), F.slice(b, first + 1, length), step)), out
+
+
+def _windows(df: DataFrame, spans: list[int]) -> DataFrame:
+    """(key columns, span, start, fp, window) from rows with ``wh``, the hashes of a text's words: a row per passage of ``span`` words.
+
+    For passages of L words, k-grams have k = (L + 1) // 2 words, and the fingerprint of a passage is the least of its
+    L - k + 1 k-gram hashes: whatever surrounds the passage, it keeps this fingerprint. Neighbours often share theirs.
     """
     keep = [c for c in df.columns if c != "wh"]
     out = None
     for span in spans:
         k = (span + 1) // 2
-        w = span - k + 1
-        n = F.size("wh")
-
-        def grams(size: int) -> Column:
-            """The hash of the ``size`` words from each place on; null for a text of fewer words than the passage."""
-            places = F.when(n >= span, F.sequence(F.lit(0), n - size))  # noqa: B023
-            return F.transform(places, lambda i: F.xxhash64(*[_at(F.col("wh"), i, o) for o in range(size)]))
-
-        def least(i: Column, w: int = w) -> Column:
-            return F.least(*[_at(F.col("g"), i, o) for o in range(w)]) if w > 1 else F.get("g", i)
-
-        hashed = df.select(*keep, grams(k).alias("g"), grams(span).alias("full"))
-        mins = hashed.select(*keep, "full", F.transform("full", lambda _, i: least(i)).alias("mins"))
-        # Neighbouring windows with the same least hash share one fingerprint.
-        new = F.filter(F.transform("mins", lambda m, i: F.when((i == 0) | (m != F.get("mins", F.greatest(i - 1, F.lit(0)))), i)), lambda i: i.isNotNull())
-        runs = mins.select(*keep, "full", "mins", new.alias("starts"))
-        prints = F.transform("starts", lambda s, j: F.struct(
-            s.alias("first"), F.get("mins", s).alias("fp"), F.slice("full", s + 1, F.coalesce(F.get("starts", j + 1), F.size("mins")) - s).alias("windows")))
-        rows = runs.select(*keep, F.explode(prints).alias("a")).select(*keep, F.lit(span).alias("span"), "a.first", "a.fp", "a.windows")
+        hashed, grams = _joined(df, "wh", k, lambda a, b: F.xxhash64(a, b))
+        hashed, full = _joined(hashed, "wh", span, lambda a, b: F.xxhash64(a, b))
+        hashed = hashed.select(*keep, F.col(grams).alias("g"), F.col(full).alias("full"))
+        hashed, least = _joined(hashed, "g", span - k + 1, lambda a, b: F.least(a, b))
+        rows = hashed.select(*keep, F.posexplode(F.arrays_zip(F.col(least).alias("fp"), F.col("full").alias("window"))).alias("start", "p"))
+        rows = rows.select(*keep, F.lit(span).alias("span"), "start", "p.fp", "p.window")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def _word_hashes(array: Column) -> Column:
-    return F.transform(array, lambda w: F.xxhash64(w))
-
-
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """(item, span, fp, window): the passages of every item that has words; a null item_id counts as the text 'null'."""
     split = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), _word_hashes(words(F.col("text"))).alias("wh")).filter(F.size("wh") > 0)
@@ -75,7 +77,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     spans = sorted(r[0] for r in split.select("span").distinct().collect())  # at most SPAN numbers
     out = None
     for span in spans:
-        rows = _anchors(split.filter(F.col("span") == span).drop("span"), [span]).select("item", "span", "fp", F.explode("windows").alias("window"))
+        rows = _windows(split.filter(F.col("span") == span).drop("span"), [span]).select("item", "span", "fp", "window")
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         out = split.select("item", "span", F.lit(0).cast("bigint").alias("fp"), F.lit(0).cast("bigint").alias("window")).limit(0)
@@ -92,12 +94,15 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     prints = windows.select("span", "fp").distinct()
     if not spans:
         return docs.select(text_key(F.col("text")).alias("tkey"), F.lit(0).alias("start"), F.lit(0).alias("span"), F.array(F.lit("")).alias("items")).limit(0)
-    if prints.count() <= BROADCAST_ROWS:
-        prints = F.broadcast(prints)
     texts = docs.select(text_key(F.col("text")).alias("tkey"), _word_hashes(words(F.col("text"))).alias("wh"))
-    found = _anchors(texts, spans).join(prints, ["span", "fp"], "left_semi")
-    found = found.select("tkey", "span", "fp", "first", F.posexplode("windows").alias("o", "window"))
-    found = found.select("tkey", "span", "fp", "window", (F.col("first") + F.col("o")).alias("start")).distinct()
+    found = _windows(texts, spans)
+    if prints.count() <= BROADCAST_ROWS:
+        found = found.join(F.broadcast(prints), ["span", "fp"], "left_semi")
+    else:
+        # Each text sends a fingerprint once; the passages of those that hit are found in a second pass.
+        hit = found.select("tkey", "span", "fp").distinct().join(prints, ["span", "fp"], "left_semi")
+        found = found.join(hit, ["tkey", "span", "fp"], "left_semi")
+    found = found.select("tkey", "span", "fp", "window", "start").distinct()
     return found.join(lists, ["span", "fp", "window"]).select("tkey", "start", "span", "items")
 
 
@@ -127,7 +132,7 @@ def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    n_words = F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)), F.lit(0)).cast("bigint")
+    n_words = F.size(words(F.col("text"))).cast("bigint")
     rows = docs.select("doc_id", n_words.alias("n_words"), F.coalesce("text", F.lit("")).alias("text"))
     return marked(rows, benchmark).drop("text")
 
