@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import mixing, oracles, sharding, simhash, toxicity, winnow
+from vexel.llm import langid, mixing, oracles, sharding, simhash, toxicity, winnow
 from vexel.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), 16)
 
 
+def op3_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups_digest(table(spark, sf_dir, "documents"), 4, 4)
 
@@ -30,6 +34,7 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_jump_sharding": op2_jump_sharding,
+    "op3_subword_language": op3_subword_language,
     "op5_simhash_trie": op5_simhash_trie,
     "op7_factorization_toxicity": op7_factorization_toxicity,
     "op8_winnowing": op8_winnowing,
