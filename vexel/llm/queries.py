@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import langid, mixing, oracles, sharding, simhash, toxicity, winnow
+from vexel.llm import langid, mixing, oracles, repair, sharding, simhash, toxicity, winnow
 from vexel.llm.common import table
 
 
@@ -28,6 +28,12 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return repair.token_digest(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -38,6 +44,7 @@ QUERIES = {
     "op5_simhash_trie": op5_simhash_trie,
     "op7_factorization_toxicity": op7_factorization_toxicity,
     "op8_winnowing": op8_winnowing,
+    "op9_repair_tokens": op9_repair_tokens,
     "op10_entropy_mixing": op10_entropy_mixing,
 }
 
