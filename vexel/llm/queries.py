@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import langid, mixing, oracles, repair, sharding, simhash, toxicity, winnow
+from vexel.llm import html, langid, mixing, oracles, repair, sharding, simhash, toxicity, winnow
 from vexel.llm.common import table
 
 
+def op1_text_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), 16)
 
@@ -39,6 +43,7 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_text_tag_ratio": op1_text_tag_ratio,
     "op2_jump_sharding": op2_jump_sharding,
     "op3_subword_language": op3_subword_language,
     "op5_simhash_trie": op5_simhash_trie,
