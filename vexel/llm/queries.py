@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import html, langid, mixing, oracles, repair, sharding, simhash, toxicity, winnow
+from vexel.llm import html, langid, maxscore, mixing, oracles, repair, sharding, simhash, toxicity, winnow
 from vexel.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups_digest(table(spark, sf_dir, "documents"), 4, 4)
 
 
+def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), 50, 5)
+
+
 def op7_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op2_jump_sharding": op2_jump_sharding,
     "op3_subword_language": op3_subword_language,
     "op5_simhash_trie": op5_simhash_trie,
+    "op6_maxscore": op6_maxscore,
     "op7_factorization_toxicity": op7_factorization_toxicity,
     "op8_winnowing": op8_winnowing,
     "op9_repair_tokens": op9_repair_tokens,
@@ -55,5 +60,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_jump_sharding": oracles.OP2,
+    "op6_maxscore": oracles.OP6,
     "op8_winnowing": oracles.OP8,
 }
