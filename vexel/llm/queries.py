@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import html, langid, maxscore, mixing, oracles, repair, sharding, simhash, toxicity, winnow
+from vexel.llm import html, langid, maxscore, mixing, oracles, pii, repair, sharding, simhash, toxicity, winnow
 from vexel.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_pii(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups_digest(table(spark, sf_dir, "documents"), 4, 4)
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_text_tag_ratio": op1_text_tag_ratio,
     "op2_jump_sharding": op2_jump_sharding,
     "op3_subword_language": op3_subword_language,
+    "op4_bootstrapped_pii": op4_bootstrapped_pii,
     "op5_simhash_trie": op5_simhash_trie,
     "op6_maxscore": op6_maxscore,
     "op7_factorization_toxicity": op7_factorization_toxicity,
