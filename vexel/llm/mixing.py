@@ -119,7 +119,9 @@ def copies(docs: DataFrame) -> DataFrame:
     for _ in range(PASSES):
         left = now.groupBy("skey").agg(F.sum(F.col("n") * F.col("size") * F.col("copies")).alias("got")).join(targets.select("skey", "target"), "skey")
         left = left.select("skey", (F.round("target").cast("bigint") - F.col("got")).alias("left"))
-        open_ = now.join(left, "skey").withColumn("mass", F.col("n") * F.col("size"))
+        # Sent to the buckets, not to the sources, so that a source's rows needn't meet.
+        left = now.select("skey", "down").distinct().join(left, "skey")
+        open_ = now.join(left, ["skey", "down"]).withColumn("mass", F.col("n") * F.col("size"))
         fits = (F.col("mass") <= F.abs("left")) & (((F.col("left") > 0) & (F.col("copies") < MOST)) | ((F.col("left") < 0) & (F.col("copies") > 0)))
         summed = running_sum(open_.withColumn("fit", F.when(fits, F.col("mass")).otherwise(F.lit(0)).cast("bigint")), ["skey"], "down", [F.col("size").desc(), F.col("doc_id"), F.col("text_hash")], "fit", "upto")
         change = F.when((F.col("fit") > 0) & (F.col("upto") <= F.abs("left")), F.signum(F.col("left").cast("double"))).otherwise(0.0)

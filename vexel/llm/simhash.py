@@ -31,42 +31,55 @@ CHUNK = 1 << 16
 #: Fingerprints of one trie that a task works on at once; larger tries are dealt out by pairs of their subtries.
 TRIE_ROWS = 20_000
 #: Node pairs with at most this many fingerprint pairs are compared directly.
-LEAF = 1 << 10
+LEAF = 1 << 13
 #: Links kept in memory before they are reduced to one per fingerprint.
 HELD = 1 << 20
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """A bit is set if it is set in over half of the XXH64 hashes of the text's shingles; without words, zero."""
+def _majority(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _word(counts: np.ndarray, n: int) -> int:
+    return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, shingle: int, second: bool = False) -> tuple[int, int, int]:
+    """(fingerprint, second word, shingles): a bit is set if it is set in over half of the XXH64 hashes of the text's shingles.
+
+    The second word is that of the same hashes, mixed once more, and zero unless asked for. Without words, all are zero.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return 0
+        return 0, 0, 0
     joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = [0, *ends[:-1].tolist()]
-    stops = (ends[shingle - 1:] - 1).tolist()
+    size = min(shingle, len(words))
+    starts, stops = [0, *ends[:-1].tolist()], (ends[size - 1:] - 1).tolist()
     n = len(stops)
-    counts = np.zeros(64, np.int64)
+    counts, other = np.zeros(64, np.int64), np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, CHUNK):
         h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at:at + CHUNK], stops[at:at + CHUNK])], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > n).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+        counts += _majority(h)
+        if second:
+            h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+            other += _majority((h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53))
+    return _word(counts, n), _word(other, n) if second else 0, n
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, fp) of every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int, second: bool) -> DataFrame:
+    """(doc_id, text_hash, fp, fp2, n) of every row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
+            rows = [fingerprint(t.as_py(), shingle, second) for t in batch.column(2)]
+            fps = np.array([r[:2] for r in rows], np.uint64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fps[:, 0].view(np.int64)), pa.array(fps[:, 1].view(np.int64)), pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "text_hash", "fp", "fp2", "n"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint, fp2 bigint, n bigint")
 
 
 def blocks(count: int) -> list[tuple[int, int]]:
@@ -133,7 +146,7 @@ class Links:
                 parent[:] = up
 
 
-def trie_pairs(keys: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray, depth: int, budget: int, links: Links) -> None:
+def trie_pairs(keys: np.ndarray, more: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray, depth: int, budget: int, total: int, links: Links) -> None:
     """Joins the tries over the ranges [a_lo, a_hi) and [b_lo, b_hi) of the sorted ``keys`` from bit ``depth`` on.
 
     All pairs of a level descend together. A pair of nodes goes to its children's pairs with the differing bit added,
@@ -144,7 +157,7 @@ def trie_pairs(keys: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.nd
         na, nb = a_hi - a_lo, b_hi - b_lo
         small = (na * nb <= LEAF) | (depth >= 64)
         if small.any():
-            compare(keys, a_lo[small], a_hi[small], b_lo[small], b_hi[small], budget, links)
+            compare(keys, more, a_lo[small], a_hi[small], b_lo[small], b_hi[small], budget, total, links)
         go = ~small
         a_lo, a_hi, b_lo, b_hi, err = a_lo[go], a_hi[go], b_lo[go], b_hi[go], err[go]
         if not len(a_lo):
@@ -166,7 +179,8 @@ def trie_pairs(keys: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.nd
         depth += 1
 
 
-def compare(keys: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray, budget: int, links: Links) -> None:
+def compare(keys: np.ndarray, more: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray, budget: int, total: int, links: Links) -> None:
+    """Links the pairs that differ in at most ``budget`` bits of the key and ``total`` bits of both words."""
     sizes = (a_hi - a_lo) * (b_hi - b_lo)
     at = 0
     while at < len(sizes):
@@ -176,18 +190,21 @@ def compare(keys: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarr
         inner = np.arange(len(pair)) - np.repeat(np.cumsum(s) - s, s)
         width = (b_hi - b_lo)[pair]
         i, j = a_lo[pair] + inner // width, b_lo[pair] + inner % width
-        near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
+        bits = np.bitwise_count(keys[i] ^ keys[j])
+        near = (i < j) & (bits <= budget)
+        i, j, bits = i[near], j[near], bits[near]
+        near = bits + np.bitwise_count(more[i] ^ more[j]) <= total
         links.add(i[near], j[near])
         at = upto
 
 
-def join_tasks(task: np.ndarray, side: np.ndarray, fps: np.ndarray, plan: list[tuple[list[int], int]], budget: int) -> tuple[np.ndarray, np.ndarray]:
+def join_tasks(task: np.ndarray, side: np.ndarray, fps: np.ndarray, more: np.ndarray, node: np.ndarray, plan: list[tuple[list[int], int]], budget: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within each task, whose rows stand together: between its sides, or among all its rows where only side 0 occurs."""
     keys, choice = np.empty_like(fps), task >> CHOICE_SHIFT
     for c in np.unique(choice):
-        keys[choice == c] = permuted(fps[choice == c], plan[c][0])
+        keys[choice == c] = permuted(fps[choice == c], plan[c % len(plan)][0])
     place = np.lexsort((keys, side, task))
-    keys, side, task, fps = keys[place], side[place], task[place], fps[place]
+    keys, side, task, more, node = keys[place], side[place], task[place], more[place], node[place]
     lo = np.flatnonzero(np.r_[True, (task[1:] != task[:-1]) | (side[1:] != side[:-1])])
     hi, t, second = np.r_[lo[1:], len(task)], task[lo], side[lo] == 1
     followed = np.r_[second[1:] & (t[1:] == t[:-1]), False]
@@ -199,18 +216,18 @@ def join_tasks(task: np.ndarray, side: np.ndarray, fps: np.ndarray, plan: list[t
     some = (first != other) | (a_hi - a_lo > 1)
     a_lo, a_hi, b_lo, b_hi = a_lo[some], a_hi[some], b_lo[some], b_hi[some]
     large = (a_hi - a_lo) * (b_hi - b_lo) > LEAF
-    compare(keys, a_lo[~large], a_hi[~large], b_lo[~large], b_hi[~large], budget, links)
+    compare(keys, more, a_lo[~large], a_hi[~large], b_lo[~large], b_hi[~large], budget, total, links)
     for at, upto, b_at, b_upto in zip(*[x[large].tolist() for x in (a_lo, a_hi, b_lo, b_hi)]):
         # Side 1 is a later subtrie, so the rows of a task are sorted as a whole.
-        depth = plan[task[at] >> CHOICE_SHIFT][1]
+        depth = plan[(task[at] >> CHOICE_SHIFT) % len(plan)][1]
         own = Links(b_upto - at)
-        trie_pairs(keys[at:b_upto], *[np.array([x - at]) for x in (at, upto, b_at, b_upto)], depth, budget, own)
+        trie_pairs(keys[at:b_upto], more[at:b_upto], *[np.array([x - at]) for x in (at, upto, b_at, b_upto)], depth, budget, total, own)
         own.reduce()
         moved = np.flatnonzero(own.parent != np.arange(b_upto - at))
         links.add(own.parent[moved] + at, moved + at)
     links.reduce()
     linked = np.flatnonzero(links.parent != np.arange(len(keys)))
-    return fps[linked], fps[links.parent[linked]]
+    return node[linked], node[links.parent[linked]]
 
 
 #: A task's number: the choice of blocks, the bits of the front, the two subtries, and whether they differ.
@@ -221,30 +238,34 @@ SUB_BITS = 12
 GATHERED = 200_000
 
 
-def _bits(order: list[int], start: int, size: int):
-    """The bits order[start:start + size] of the column fp as a number."""
+def _bits(fp: str, order: list[int], start: int, size: int):
+    """The bits order[start:start + size] of a column as a number."""
     out, i = F.lit(0).cast("bigint"), start
     while i < start + size:
         j = i
         while j + 1 < start + size and order[j + 1] == order[j] + 1:
             j += 1
         run = j - i + 1
-        value = F.shiftrightunsigned("fp", 64 - order[i] - run).bitwiseAND((1 << run) - 1)
+        value = F.shiftrightunsigned(fp, 64 - order[i] - run).bitwiseAND((1 << run) - 1)
         out = out.bitwiseOR(F.shiftleft(value, start + size - j - 1))
         i = j + 1
     return out
 
 
-def links(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b): links between the fingerprints (column fp, distinct) that differ in at most ``max_bits`` bits.
+def links(nodes: DataFrame, max_bits: int, total: int | None = None) -> DataFrame:
+    """(a, b): links between the rows of ``nodes`` (node, fp, fp2; distinct) that differ in at most ``max_bits`` bits of fp.
 
-    Not every linked pair is returned, but within a task a spanning forest of them, so nothing grows with the square
-    of a group. A trie of more than TRIE_ROWS fingerprints is dealt out by pairs of its subtries.
+    With ``total``, at most ``max_bits`` bits of either word and ``total`` bits of both may differ. Not every linked pair is
+    returned, but within a task a spanning forest of them, so nothing grows with the square of a group. A trie of more
+    than TRIE_ROWS fingerprints is dealt out by pairs of its subtries.
     """
     plan = orders(max_bits)
-    keyed = nodes.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(c).cast("bigint").alias("choice"), _bits(order, 0, front).alias("front"), _bits(order, front, SUB_BITS).alias("next")) for c, (order, front) in enumerate(plan)])).alias("k"))
-    keyed = keyed.select("fp", "k.*")
+    words = [("fp", "fp2")] if total is None else [("fp", "fp2"), ("fp2", "fp")]
+    limit = 128 if total is None else total
+    keyed = nodes.select("node", F.explode(F.array(*[
+        F.struct(F.lit(w * len(plan) + c).cast("bigint").alias("choice"), _bits(key, order, 0, front).alias("front"), _bits(key, order, front, SUB_BITS).alias("next"), F.col(key).alias("key"), F.col(more).alias("more"))
+        for w, (key, more) in enumerate(words) for c, (order, front) in enumerate(plan)])).alias("k"))
+    keyed = keyed.select("node", "k.*")
     wide = keyed.groupBy("choice", "front").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > TRIE_ROWS)
     split = F.least(F.lit(SUB_BITS), F.lit(4) * F.ceil(F.log2(F.col("_n") / TRIE_ROWS) / 4)).cast("int")
     wide = wide.select(F.col("choice").alias("_c"), F.col("front").alias("_f"), split.alias("split"))
@@ -252,22 +273,22 @@ def links(nodes: DataFrame, max_bits: int) -> DataFrame:
     tasks = tasks.withColumn("sub", F.when(F.col("split").isNull(), F.lit(0)).otherwise(F.expr("shiftright(next, %d - split)" % SUB_BITS)).cast("bigint"))
     near = F.filter(F.expr("sequence(0L, shiftleft(1L, split) - 1L)"), lambda o: F.bit_count(o.bitwiseXOR(F.col("sub"))) <= max_bits)
     partners = F.when(F.col("split").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(near)
-    tasks = tasks.select("fp", "choice", "front", "sub", F.explode(partners).alias("other"))
+    tasks = tasks.select("node", "key", "more", "choice", "front", "sub", F.explode(partners).alias("other"))
     number = (F.shiftleft("choice", CHOICE_SHIFT).bitwiseOR(F.shiftleft("front", FRONT_SHIFT))
               .bitwiseOR(F.shiftleft(F.least("sub", "other"), FIRST_SHIFT)).bitwiseOR(F.shiftleft(F.greatest("sub", "other"), SECOND_SHIFT))
               .bitwiseOR(F.when(F.col("sub") != F.col("other"), F.lit(CROSS).cast("bigint")).otherwise(F.lit(0).cast("bigint"))))
-    tasks = tasks.select("fp", number.alias("task"), F.when(F.col("sub") > F.col("other"), 1).otherwise(0).cast("bigint").alias("side"))
+    tasks = tasks.select("node", "key", "more", number.alias("task"), F.when(F.col("sub") > F.col("other"), 1).otherwise(0).cast("bigint").alias("side"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def joined(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            a, b = join_tasks(rows[0], rows[1], rows[2].view(np.uint64), plan, max_bits)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            a, b = join_tasks(rows[0], rows[1], rows[2].view(np.uint64), rows[3].view(np.uint64), rows[4], plan, max_bits, limit)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            held.append(tuple(batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("task", "side", "fp")))
+            held.append(tuple(batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("task", "side", "key", "more", "node")))
             size += batch.num_rows
             if size >= GATHERED:
                 rows = tuple(np.concatenate(x) for x in zip(*held))
@@ -304,22 +325,25 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(state)
 
 
-def grouped(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+def grouped(docs: DataFrame, shingle: int, max_bits: int, total: int | None = None, least: int = 0) -> DataFrame:
     """(doc_id, text_hash, fp, component, component_id) of every row of ``docs``.
 
-    ``component`` is a fingerprint that stands for the component and component_id its least doc_id. Null texts count as
-    empty; texts without words have fingerprint zero. Rows with equal fingerprints are linked whatever their doc_id. A null
-    doc_id is never the least, unless a component has no other. An empty table gives an empty result.
+    ``component`` stands for the component and component_id is its least doc_id. Null texts count as empty; texts without
+    words have fingerprint zero. Rows with equal fingerprints are linked whatever their doc_id; those of fewer than
+    ``least`` shingles are linked to no others. A null doc_id is never the least, unless a component has no other. An
+    empty table gives an empty result.
     """
-    rows = stored(fingerprints(docs, shingle), "simhash-rows")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    comp = stored(components(links(nodes.select("fp"), max_bits)), "simhash-components")
+    second = total is not None
+    rows = fingerprints(docs, shingle, second)
+    rows = stored(rows.withColumn("node", F.xxhash64("fp", "fp2") if second else F.col("fp")), "simhash-rows")
+    nodes = stored(rows.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "simhash-nodes")
+    comp = stored(components(links(nodes.filter(F.col("n") >= least).select("node", "fp", "fp2"), max_bits, total)), "simhash-components")
     comp = comp.unionByName(comp.select(F.col("root").alias("node"), "root")).distinct()
-    joined = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("component"), F.col("root").isNotNull().alias("linked"))
+    joined = nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("component"), F.col("root").isNotNull().alias("linked"))
     joined = stored(joined, "simhash-joined")
     best = joined.filter("linked").groupBy("component").agg(F.min("least").alias("best"))
-    labels = joined.join(best, "component", "left").select("fp", "component", F.when(F.col("linked"), F.col("best")).otherwise(F.col("least")).alias("component_id"))
-    return rows.join(labels, "fp")
+    labels = joined.join(best, "component", "left").select("node", "component", F.when(F.col("linked"), F.col("best")).otherwise(F.col("least")).alias("component_id"))
+    return rows.join(labels, "node").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def groups_digest(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -327,9 +351,14 @@ def groups_digest(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataF
     return grouped(docs, shingle, max_bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, max_bits: int = 8) -> DataFrame:
-    """One row of ``docs`` per component, that of the least doc_id, with the columns of ``docs``."""
-    rows = grouped(docs, shingle, max_bits)
+def deduplicated(docs: DataFrame, shingle: int = 5, max_bits: int = 8, total: int = 22, least: int = 9) -> DataFrame:
+    """One row of ``docs`` per component, that of the least doc_id, with the columns of ``docs``.
+
+    The defaults aim at a similarity of 0.8 between the shingles of two texts, at which 15 % of 128 bits are expected to
+    differ: a link needs at most ``max_bits`` differing bits in one word of 64 and ``total`` in both. Two texts of fewer than
+    9 shingles are only that similar if they have the same ones, so these are linked by equal fingerprints alone.
+    """
+    rows = grouped(docs, shingle, max_bits, total, least)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"))
     keep = first.select(F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash"))
     keyed = docs.withColumn("_h", F.xxhash64("text"))

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vexel.llm.features import hashed_terms, list_parts
 
@@ -123,14 +124,13 @@ def train(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
     return fit(values, offsets, found.column("y").to_numpy(), p)
 
 
-def scored(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, double) and ``predicted`` (1 if the score is at least p.threshold).
+def scored(docs: DataFrame, labels: DataFrame, p: Params = Params(), score_name: str = "score") -> DataFrame:
+    """``docs`` with a score (0 to 1, double) in a column of that name, which is replaced if there is one.
 
-    Only the text enters a score. Null and empty texts have no terms and get the score of the bias alone; columns named
-    score and predicted are replaced.
+    Only the text enters a score. Null and empty texts have no terms and get the score of the bias alone.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))
-    kept = docs.drop("score", "predicted")
+    kept = docs.drop(score_name)
     names = kept.columns
     terms = kept.withColumn("_terms", hashed_terms(F.col("text"), p.bits, p.prefixes))
 
@@ -138,14 +138,18 @@ def scored(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFram
         for batch in batches:
             values, offsets = list_parts(batch.column(batch.num_columns - 1))
             score = probabilities(model.value, values, offsets)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*names, score_name])
 
-    schema = kept.schema.add("score", "double")
-    out = terms.mapInArrow(run, schema)
-    return out.withColumn("predicted", (F.col("score") >= p.threshold).cast("int"))
+    return terms.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(score_name, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     rows = scored(docs.select("doc_id", "text"), labels, p)
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
+
+
+def inoffensive(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold, with the columns of ``docs``."""
+    rows = scored(docs, labels, p, "_toxicity_score")
+    return rows.filter(F.col("_toxicity_score") < p.threshold).select(*docs.columns)
