@@ -2,5 +2,524 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from vexel.functions import expr
+from vexel.operators import evaluation, pq, scalar, search, training
+from vexel.plans import oracle
+from vexel.sources import formats
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+K, QUERY_COUNT, CENTRES, SUBSPACES, CODES = 10, 20, 16, 8, 16
+
+
+def query(sql: str | None):
+    """Registers a query under its function's name, with the SQL that checks it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def base_of(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), "label")
+
+
+def queries_of(base: DataFrame) -> DataFrame:
+    return base.filter(F.col("vec_id") < QUERY_COUNT).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
+
+
+def both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    base = base_of(spark, sf)
+    return queries_of(base), base.select("vec_id", "e")
+
+
+def centres_of(base: DataFrame) -> DataFrame:
+    return base.filter(F.col("vec_id") < CENTRES).select(F.col("vec_id").cast("int").alias("cluster_id"), F.col("e").alias("ce"))
+
+
+def codebook_of(base: DataFrame) -> DataFrame:
+    """The deterministic codebook of the catalogue: centroid c of subspace s is that slice of the row with vec_id c."""
+    size = 64 // SUBSPACES
+    parts = F.array(*[expr.subspace(F.col("e"), s, size) for s in range(SUBSPACES)])
+    return base.filter(F.col("vec_id") < CODES).select(F.posexplode(parts).alias("subspace", "centroid"), F.col("vec_id").cast("int").alias("code"))
+
+
+def clustered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    queries, base = both(spark, sf)
+    centres = centres_of(base)
+    return queries, base, centres, search.assigned(base, centres)
+
+
+def coded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(queries, base, codes, luts)."""
+    queries, base = both(spark, sf)
+    book = codebook_of(base)
+    return queries, base, pq.encode(base, book), pq.tables(queries, book)
+
+
+@query(oracle.knn("l2"))
+def knn_exact_l2(spark: SparkSession, sf: str) -> DataFrame:
+    return search.exact(*both(spark, sf), K)
+
+
+@query(oracle.knn("sqrt"))
+def knn_exact_sqrt(spark: SparkSession, sf: str) -> DataFrame:
+    queries, base = both(spark, sf)
+    return search.distance_join(queries, base, F.round(F.sqrt(expr.l2sq(F.col("qe"), F.col("e"))), 6), K)
+
+
+@query(oracle.knn("l1"))
+def knn_l1(spark: SparkSession, sf: str) -> DataFrame:
+    queries, base = both(spark, sf)
+    return search.distance_join(queries, base, F.round(expr.l1(F.col("qe"), F.col("e")), 6), K)
+
+
+@query(oracle.knn("l2"))
+def knn_exact_partitioned_merge(spark: SparkSession, sf: str) -> DataFrame:
+    queries, base = both(spark, sf)
+    return search.merged([search.exact(queries, base.filter(F.pmod("vec_id", F.lit(4)) == i), K) for i in range(4)], K)
+
+
+@query(oracle.NEAREST)
+def nearest_one(spark: SparkSession, sf: str) -> DataFrame:
+    return search.nearest_one(*both(spark, sf))
+
+
+@query(oracle.SIGN_BITS)
+def bits_sign_encode(spark: SparkSession, sf: str) -> DataFrame:
+    return search.with_bits(base_of(spark, sf)).select("vec_id", "bits")
+
+
+@query(oracle.knn("hamming"))
+def knn_hamming(spark: SparkSession, sf: str) -> DataFrame:
+    return search.hamming(*both(spark, sf), K)
+
+
+@query(oracle.knn("jaccard"))
+def knn_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    queries, base = both(spark, sf)
+    return search.distance_join(search.with_bits(queries, "qe", "qbits"), search.with_bits(base), F.round(expr.jaccard(F.col("bits"), F.col("qbits")), 6), K)
+
+
+@query(oracle.LEXICOGRAPHIC)
+def knn_hamming_subvector_lex(spark: SparkSession, sf: str) -> DataFrame:
+    return search.lexicographic(*both(spark, sf), K, 2)
+
+
+@query(oracle.PROGRESSIVE)
+def knn_progressive_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return search.progressive(*both(spark, sf), K, 16)
+
+
+@query(oracle.RERANK)
+def rerank_hamming_l2(spark: SparkSession, sf: str) -> DataFrame:
+    queries, base = both(spark, sf)
+    return search.reranked(search.hamming(queries, base, 5 * K), queries, base, K)
+
+
+@query(oracle.ASSIGN)
+def assign_nearest_centroid(spark: SparkSession, sf: str) -> DataFrame:
+    return clustered(spark, sf)[3]
+
+
+@query(oracle.probe("l2"))
+def cluster_probe_exact(spark: SparkSession, sf: str) -> DataFrame:
+    queries, base, centres, clusters = clustered(spark, sf)
+    chosen = search.probes(queries, centres, clusters, K, 3)
+    return search.probed(queries, base, clusters, chosen, lambda: F.round(expr.l2sq(F.col("qe"), F.col("e")), 6), K)
+
+
+@query(oracle.probe("hamming"))
+def cluster_probe_hamming(spark: SparkSession, sf: str) -> DataFrame:
+    queries, base, centres, clusters = clustered(spark, sf)
+    chosen = search.probes(queries, centres, clusters, K, 3)
+    return search.probed(queries, base, clusters, chosen, lambda: expr.hamming(expr.sign_bits(F.col("qe")), expr.sign_bits(F.col("e"))), K)
+
+
+@query(oracle.probe("rerank"))
+def cluster_probe_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    queries, base, centres, clusters = clustered(spark, sf)
+    chosen = search.probes(queries, centres, clusters, 3 * K, 3)
+    first = search.probed(queries, base, clusters, chosen, lambda: expr.hamming(expr.sign_bits(F.col("qe")), expr.sign_bits(F.col("e"))), 3 * K)
+    return search.reranked(first, queries, base, K)
+
+
+@query(oracle.knn("sqrt"))
+def knn_triangle_inequality(spark: SparkSession, sf: str) -> DataFrame:
+    return search.triangle(*clustered(spark, sf), K)
+
+
+@query(oracle.PRUNED)
+def ti_pruned_counts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = search.triangle_pairs(*clustered(spark, sf), K)
+    return rows.groupBy("query_id").agg(F.sum(F.col("pruned").cast("bigint")).alias("pruned"))
+
+
+@query(oracle.RESCALE)
+def rescale_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    base = base_of(spark, sf)
+    factor = base.select(F.posexplode("e").alias("i", "x")).groupBy("i").agg(F.stddev_samp("x").alias("s")).agg(F.avg(1 / F.col("s")).alias("f"))
+    scaled = base.crossJoin(F.broadcast(factor)).select("vec_id", F.transform("e", lambda x: x * F.col("f")).alias("e"))
+    return scaled.select("vec_id", F.round(F.get("e", F.lit(0)), 6).alias("x0"), F.round(F.get("e", F.lit(1)), 6).alias("x1"), F.round(F.sqrt(expr.total(F.transform("e", lambda x: x * x))), 5).alias("norm"))
+
+
+@query(oracle.GRAM)
+def gram_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return training.gram(base_of(spark, sf)).select("i", "j", F.round("g", 6).alias("g"))
+
+
+@query(oracle.PCA_TOTAL)
+def pca_total_variance(spark: SparkSession, sf: str) -> DataFrame:
+    values, _ = training.principal_axes(base_of(spark, sf))
+    return spark.createDataFrame([(round(float(values.sum()), 5),)], "total double")
+
+
+@query(oracle.NORMS)
+def pca_norm_preserved(spark: SparkSession, sf: str) -> DataFrame:
+    base = base_of(spark, sf).select("vec_id", "e")
+    turned = training.projected(base, "e", training.principal_axes(base)[1])
+    return turned.select("vec_id", F.round(expr.total(F.transform("e", lambda x: x * x)), 6).alias("norm_sq"))
+
+
+@query(oracle.EXPLAINED)
+def explained_variance_subspace(spark: SparkSession, sf: str) -> DataFrame:
+    diagonal = training.gram(base_of(spark, sf)).filter("i = j")
+    by_sub = diagonal.groupBy((F.col("i") / 8).cast("bigint").alias("subspace")).agg(F.sum("g").alias("g"))
+    shares = by_sub.select("subspace", (F.col("g") / F.sum("g").over(Window.partitionBy())).alias("var"))
+    cum = evaluation.running_total(shares, "var", "subspace", "cum")
+    before = F.coalesce(F.lag("cum").over(Window.orderBy("subspace")), F.lit(0.0))
+    return cum.select("subspace", F.round("var", 6).alias("var"), F.round("cum", 6).alias("cum"), (before <= 0.9 + 1e-6).alias("kept"))
+
+
+@query(oracle.ALLOCATION)
+def bit_allocation_small(spark: SparkSession, sf: str) -> DataFrame:
+    rows = training.gram(base_of(spark, sf)).filter("i = j").orderBy("i").collect()  # one number a dimension
+    g = np.array([r.g for r in rows])
+    var = np.sort(np.round(g.reshape(4, -1).sum(axis=1) / g.sum(), 6))[::-1]
+    return spark.createDataFrame(list(enumerate(training.allocate(var, 14, 1, 6))), "subspace bigint, bits bigint")
+
+
+@query(oracle.HAZEN)
+def hazen_quantile_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    values = scalar.cells(base_of(spark, sf), 4)
+    return scalar.hazen_thresholds(values, 3).select("dim", "q", F.round("value", 6).alias("value"))
+
+
+@query(oracle.BUCKETS)
+def scalar_bucket_encode(spark: SparkSession, sf: str) -> DataFrame:
+    values = scalar.cells(base_of(spark, sf), 4)
+    return scalar.bucket_codes(values, scalar.hazen_thresholds(values, 3)).select("vec_id", "dim", "code")
+
+
+@query(oracle.BUCKET_MEANS)
+def scalar_bucket_means(spark: SparkSession, sf: str) -> DataFrame:
+    values = scalar.cells(base_of(spark, sf), 4)
+    return scalar.bucket_means(values, scalar.hazen_thresholds(values, 3)).select("dim", "code", F.round("centre", 6).alias("centre"))
+
+
+@query(oracle.PQ_ENCODE)
+def pq_encode(spark: SparkSession, sf: str) -> DataFrame:
+    return coded(spark, sf)[2].select("vec_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
+
+
+@query(oracle.PQ_DECODE)
+def pq_decode(spark: SparkSession, sf: str) -> DataFrame:
+    _, base, codes, _ = coded(spark, sf)
+    back = pq.decode(codes, codebook_of(base)).withColumnRenamed("e", "d")
+    return back.join(base, "vec_id").select("vec_id", F.round(expr.l2sq(F.col("e"), F.col("d")), 6).alias("error"))
+
+
+@query(oracle.PQ_LUT)
+def pq_lut(spark: SparkSession, sf: str) -> DataFrame:
+    luts = coded(spark, sf)[3].select("query_id", F.posexplode("lut").alias("subspace", "t"))
+    return luts.select("query_id", "subspace", F.posexplode("t").alias("code", "d")).select("query_id", "subspace", "code", F.round("d", 6).alias("dist"))
+
+
+def _adc(name: str, strategy: str, root: bool) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        _, _, codes, luts = coded(spark, sf)
+        return pq.search(luts, codes, K, strategy)
+
+    run.__name__ = name
+    query(oracle.adc(root))(run)
+
+
+for _name, _strategy in (("adc_search_heap", "heap"), ("adc_search_ea", "ea"), ("adc_search_fast2", "fast2")):
+    _adc(_name, _strategy, False)
+_adc("adc_search_sort", "sort", True)
+
+
+def decoded_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(queries, decoded rows, centres, clusters) of the index whose centres are the decoded codes of the first rows."""
+    queries, base, codes, _ = coded(spark, sf)
+    decoded = pq.decode(codes, codebook_of(base))
+    centres = centres_of(decoded)
+    return queries, decoded, centres, search.assigned(decoded, centres)
+
+
+@query(oracle.adc(True))
+def adc_search_ti(spark: SparkSession, sf: str) -> DataFrame:
+    return search.triangle(*decoded_index(spark, sf), K)
+
+
+@query(oracle.TI_INDEX)
+def ti_index_build(spark: SparkSession, sf: str) -> DataFrame:
+    clusters = decoded_index(spark, sf)[3]
+    far = Window.partitionBy("cluster_id").orderBy(F.col("cc_dist").desc(), "vec_id")
+    rows = clusters.select("vec_id", "cluster_id", F.round(F.sqrt("dist"), 5).alias("cc_dist"))
+    return rows.withColumn("pos_in_cluster", F.row_number().over(far).cast("bigint"))
+
+
+@query(oracle.VISIT)
+def adc_search_visit(spark: SparkSession, sf: str) -> DataFrame:
+    queries, decoded, centres, clusters = decoded_index(spark, sf)
+    chosen = search.probes(queries, centres, clusters, K, int(CENTRES * 0.25))
+    return search.probed(queries, decoded, clusters, chosen, lambda: F.round(expr.l2sq(F.col("qe"), F.col("e")), 6), K)
+
+
+@query(oracle.LEARN)
+def lut_quantization_learn(spark: SparkSession, sf: str) -> DataFrame:
+    model = pq.learned_quantization(coded(spark, sf)[3])
+    return model.select("subspace", "alpha", F.round("offset", 6).alias("offset"), F.round("scale", 4).alias("scale"))
+
+
+@query(oracle.QUANTIZED)
+def adc_search_quantized(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, codes, luts = coded(spark, sf)
+    return pq.search_quantized(luts, pq.learned_quantization(luts), codes, K)
+
+
+@query(None)
+def adc_search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, codes, luts = coded(spark, sf)
+    return pq.search_hybrid(luts, pq.learned_quantization(luts), codes, K, SUBSPACES // 2)
+
+
+@query(oracle.REFINE)
+def adc_refine(spark: SparkSession, sf: str) -> DataFrame:
+    queries, base, codes, luts = coded(spark, sf)
+    return search.reranked(pq.search(luts, codes, 5 * K), queries, base, K)
+
+
+def _seeds(base: DataFrame, k: int) -> list[list[float]]:
+    return [r.e for r in base.filter(F.col("vec_id") < k).orderBy("vec_id").collect()]  # k rows
+
+
+@query(oracle.LLOYD)
+def kmeans_lloyd_3iter(spark: SparkSession, sf: str) -> DataFrame:
+    base = base_of(spark, sf).select("vec_id", "e")
+    centres = training.lloyd(base, _seeds(base, 8), 3)
+    table = spark.createDataFrame(list(enumerate(centres)), "cluster_id int, ce array<double>")
+    before = spark.createDataFrame(list(enumerate(training.lloyd(base, _seeds(base, 8), 2))), "cluster_id int, ce array<double>")
+    sizes = search.assigned(base, before, 9).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    return table.join(sizes, "cluster_id").select("cluster_id", "size", *[F.round(F.get("ce", F.lit(i)), 6).alias(f"c{i}") for i in range(4)])
+
+
+@query(oracle.FARTHEST)
+def kmeans_farthest_first_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    ids = training.farthest_first(base_of(spark, sf), 5)
+    return spark.createDataFrame(list(enumerate(ids, 1)), "step bigint, vec_id bigint")
+
+
+@query(oracle.ONE_D)
+def kmeans_1d(spark: SparkSession, sf: str) -> DataFrame:
+    points = base_of(spark, sf).select("vec_id", F.slice("e", 1, 1).alias("e"))
+    before = training.lloyd(points, [[-0.2], [-0.05], [0.05], [0.2]], 2)
+    table = spark.createDataFrame(list(enumerate(before)), "cluster_id int, ce array<double>")
+    return search.assigned(points, table, 9).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query(None)
+def kmeans_minibatch(spark: SparkSession, sf: str) -> DataFrame:
+    base = base_of(spark, sf).select("vec_id", "e")
+    table = spark.createDataFrame(list(enumerate(training.minibatch(base, _seeds(base, 8), 100, 5))), "cluster_id int, ce array<double>")
+    return search.assigned(base, table).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+
+
+def _tree(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Sizes of the clusters of the first subspace in a dictionary of 5 bits."""
+    base = base_of(spark, sf).select("vec_id", F.slice("e", 1, 8).alias("e"))
+    x = np.array([r.e for r in training.sampled(base, 256 * 32).collect()])  # a bounded sample
+    centres = training.hierarchical(x, 5, 3) if kind == "hierarchical" else training.binary(x, 5)
+    table = spark.createDataFrame(list(enumerate(centres.tolist())), "cluster_id int, ce array<double>")
+    return search.assigned(base, table).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query(None)
+def hierarchical_kmeans(spark: SparkSession, sf: str) -> DataFrame:
+    return _tree(spark, sf, "hierarchical")
+
+
+@query(None)
+def binary_kmeans(spark: SparkSession, sf: str) -> DataFrame:
+    return _tree(spark, sf, "binary")
+
+
+@query(oracle.PATTERNS)
+def code_patterns_1_2(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.frequent_patterns(coded(spark, sf)[2], 20, 2)
+
+
+@query(oracle.MINIMAL)
+def code_patterns_minimal_top(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.minimal_patterns(evaluation.frequent_patterns(coded(spark, sf)[2], 10, 2), 10)
+
+
+@query(None)
+def code_patterns_all(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.all_patterns(coded(spark, sf)[2], 20)
+
+
+def results(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    queries, base, codes, luts = coded(spark, sf)
+    return pq.search(luts, codes, K), search.exact(queries, base, K)
+
+
+@query(oracle.metric("recall"))
+def metrics_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.recall(*results(spark, sf), K)
+
+
+@query(oracle.metric("recall_at_r"))
+def metrics_recall_at_r(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.recall_at_r(*results(spark, sf), K)
+
+
+@query(oracle.metric("map"))
+def metrics_map(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.mean_average_precision(*results(spark, sf), K)
+
+
+@query(oracle.CLASSIFY)
+def knn_classify_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    base = base_of(spark, sf)
+    found = search.exact(queries_of(base), base.select("vec_id", "e"), K)
+    labels = base.select("vec_id", "label")
+    return evaluation.classification(found, labels, labels.withColumnRenamed("vec_id", "query_id"))
+
+
+@query(oracle.SILHOUETTE)
+def silhouette(spark: SparkSession, sf: str) -> DataFrame:
+    _, base, _, clusters = clustered(spark, sf)
+    return evaluation.silhouette(base, clusters, 5)
+
+
+@query(oracle.APPEND_DELETE)
+def dataset_append_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rows appended, one deleted, positions counted anew."""
+    base = base_of(spark, sf).select("vec_id")
+    more = base.unionByName(spark.createDataFrame([(1_000_001,), (1_000_002,)], "vec_id bigint")).filter("vec_id <> 1")
+    # Ids stay in order, so a position is an id's count of smaller ids: runs of ids and their sizes give it without one window over all rows.
+    run = more.withColumn("run", (F.col("vec_id") / 65536).cast("bigint"))
+    before = run.groupBy("run").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("run").orderBy("vec_id"))
+    return run.withColumn("i", inside).join(F.broadcast(before), "run").select("vec_id", (F.col("start") + F.col("i") - 1).alias("pos"))
+
+
+@query(oracle.RESULT_LINES)
+def knn_results_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return formats.result_lines(search.exact(*both(spark, sf), K))
+
+
+@query(oracle.PAD)
+def pad_dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    wide = base_of(spark, sf).select("vec_id", expr.padded(F.col("e"), 70).alias("e"))
+    return wide.select("vec_id", F.size("e").alias("n_dims"), F.round(F.sqrt(expr.total(F.transform("e", lambda x: x * x))), 6).alias("norm"))
+
+
+@query(None)
+def variance_balancing(spark: SparkSession, sf: str) -> DataFrame:
+    values, _ = training.principal_axes(base_of(spark, sf))
+    order = training.balanced(values, SUBSPACES)
+    return spark.createDataFrame([(i, int(c)) for i, c in enumerate(order)], "slot int, component int")
+
+
+@query(oracle.RANDOM_BITS)
+def random_bit_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    ids = spark.range(1000).withColumnRenamed("id", "vec_id")
+    return ids.select("vec_id", ((F.col("vec_id") * 2654435761 + 12345) % 4294967296).alias("bits"))
+
+
+@query(oracle.SAMPLE)
+def deterministic_sample(spark: SparkSession, sf: str) -> DataFrame:
+    key = (F.col("vec_id") * 2654435761) % 4294967296
+    return base_of(spark, sf).select("vec_id", key.alias("key")).orderBy("key", "vec_id").limit(50).select("vec_id")
+
+
+def fitted(spark: SparkSession, sf: str, text: str) -> tuple[training.Vaq, DataFrame, DataFrame]:
+    queries, base = both(spark, sf)
+    return training.Vaq.fit(base, training.VaqParams.parse(text)), queries, base
+
+
+@query(None)
+def subspace_dictionaries(spark: SparkSession, sf: str) -> DataFrame:
+    model, _, base = fitted(spark, sf, "VAQ32m8min2max6var1,HEAP")
+    codes, book = model.encode(base), model.codebook(spark)
+    back = pq.decode(codes, book).withColumnRenamed("e", "d").join(model.rotate(base, "e"), "vec_id")
+    error = F.transform(F.sequence(F.lit(0), F.lit(len(model.bits) - 1)), lambda s: expr.l2sq(F.slice("e", s * 8 + 1, 8), F.slice("d", s * 8 + 1, 8)))
+    by_sub = back.select(F.posexplode(error).alias("subspace", "x")).groupBy("subspace").agg(F.round(F.sum("x"), 4).alias("distortion"))
+    return by_sub.join(book.groupBy("subspace").agg(F.count(F.lit(1)).alias("n_centroids")), "subspace").select("subspace", "n_centroids", "distortion")
+
+
+@query(None)
+def vaq_search_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
+    model, queries, base = fitted(spark, sf, "VAQ32m8min2max6var1,EA")
+    first = model.search(queries, model.encode(base), 5 * K)
+    return search.reranked(first, queries, base, K)
+
+
+@query(None)
+def vaq_param_grid(spark: SparkSession, sf: str) -> DataFrame:
+    queries, base = both(spark, sf)
+    truth = search.exact(queries, base, K).cache()
+    choices = [training.VaqParams(b, 8, lo, 6) for b in (16, 32) for lo in (1, 2)]
+    rows = [(p.budget, p.least, p.most, float(r)) for p, r in training.grid(base, queries, truth, K, choices)]
+    return spark.createDataFrame(rows, "budget int, least int, most int, precision double")
+
+
+def _scratch(spark: SparkSession) -> str:
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vexel-")
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _round_trip(name: str, kind: str, scale: int, sql: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = base_of(spark, sf).select("vec_id", "e")
+        value = F.transform("e", lambda x: F.floor(F.abs(x) * scale).cast("double")) if scale else F.col("e")
+        path = _scratch(spark)
+        formats.write_vectors(rows.select("vec_id", value.alias("embedding")), path, kind)
+        back = formats.read_vectors(spark, path, kind, 64)
+        return back.select("vec_id", F.round(expr.total(F.col("embedding")), 5).alias("total"))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+for _name, _kind, _scale in (("io_roundtrip_fvecs", "fvecs", 0), ("io_roundtrip_bin", "f32", 0), ("io_roundtrip_bvecs", "bvecs", 100), ("io_roundtrip_ivecs", "ivecs", 1000)):
+    _round_trip(_name, _kind, _scale, oracle.round_trip(_scale))
+
+
+@query(oracle.SIGN_BITS)
+def io_roundtrip_bits(spark: SparkSession, sf: str) -> DataFrame:
+    path = _scratch(spark)
+    formats.write_bits(search.with_bits(base_of(spark, sf)).select("vec_id", F.array("bits").alias("words")), path, 64)
+    return formats.read_bits(spark, path, 64).select("vec_id", F.get("words", F.lit(0)).alias("bits"))
+
+
+@query(oracle.RESULT_LINES)
+def io_roundtrip_results(spark: SparkSession, sf: str) -> DataFrame:
+    path = _scratch(spark)
+    formats.write_results(search.exact(*both(spark, sf), K), path)
+    return formats.result_lines(formats.read_results(spark, path))
