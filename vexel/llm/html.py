@@ -228,7 +228,7 @@ def extracted(pages: DataFrame, p: Params = Params()) -> DataFrame:
             texts = [main_text(x.as_py(), p) for x in batch.column(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
-    schema = kept.select(*names).schema.add("text", "string").add("n_chars", "bigint")
+    schema = kept.select(*names).schema.add("text", "string").add("n_chars", "long")
     return kept.select(*names, F.col("html")).mapInArrow(run, schema)
 
 
