@@ -135,7 +135,7 @@ MODEL = f"""alphas AS (SELECT unnest([0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1
 lows AS (SELECT subspace, alpha, quantile_cont(dist, [0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1]) AS ps FROM cells_q, alphas GROUP BY ALL),
 los AS (SELECT subspace, alpha, ps[list_position([0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1]::DOUBLE[], alpha)] AS "offset" FROM lows),
 ys AS (SELECT c.subspace, alpha, "offset", greatest(dist - "offset", 0) AS y FROM cells_q c JOIN los ON c.subspace = los.subspace),
-srt AS (SELECT subspace, alpha, "offset", list(y ORDER BY y) AS l, (1 - alpha) * (count(*) - 1) AS pos FROM ys GROUP BY ALL),
+srt AS (SELECT subspace, alpha, "offset", list(y ORDER BY y) AS l, (1 - alpha) * (count(*) - 1) AS pos FROM ys GROUP BY subspace, alpha, "offset"),
 scales AS (SELECT subspace, alpha, "offset", 255 / (l[floor(pos)::INTEGER + 1] + (pos - floor(pos)) * (l[ceil(pos)::INTEGER + 1] - l[floor(pos)::INTEGER + 1])) AS scale FROM srt),
 loss AS (SELECT ys.alpha, round(sum(pow(y * scale - least(floor(y * scale), 255), 2)), 3) AS loss FROM ys JOIN scales ON ys.subspace = scales.subspace AND ys.alpha = scales.alpha GROUP BY ys.alpha),
 model AS (SELECT * FROM scales WHERE alpha = (SELECT alpha FROM loss ORDER BY loss, alpha DESC LIMIT 1))"""
