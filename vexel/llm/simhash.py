@@ -16,7 +16,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vexel.llm.common import stored
 
@@ -238,20 +237,6 @@ SUB_BITS = 12
 GATHERED = 200_000
 
 
-def _bits(fp: str, order: list[int], start: int, size: int):
-    """The bits order[start:start + size] of a column as a number."""
-    out, i = F.lit(0).cast("bigint"), start
-    while i < start + size:
-        j = i
-        while j + 1 < start + size and order[j + 1] == order[j] + 1:
-            j += 1
-        run = j - i + 1
-        value = F.shiftrightunsigned(fp, 64 - order[i] - run).bitwiseAND((1 << run) - 1)
-        out = out.bitwiseOR(F.shiftleft(value, start + size - j - 1))
-        i = j + 1
-    return out
-
-
 def links(nodes: DataFrame, max_bits: int, total: int | None = None) -> DataFrame:
     """(a, b): links between the rows of ``nodes`` (node, fp, fp2; distinct) that differ in at most ``max_bits`` bits of fp.
 
@@ -262,10 +247,20 @@ def links(nodes: DataFrame, max_bits: int, total: int | None = None) -> DataFram
     plan = orders(max_bits)
     words = [("fp", "fp2")] if total is None else [("fp", "fp2"), ("fp2", "fp")]
     limit = 128 if total is None else total
-    keyed = nodes.select("node", F.explode(F.array(*[
-        F.struct(F.lit(w * len(plan) + c).cast("bigint").alias("choice"), _bits(key, order, 0, front).alias("front"), _bits(key, order, front, SUB_BITS).alias("next"), F.col(key).alias("key"), F.col(more).alias("more"))
-        for w, (key, more) in enumerate(words) for c, (order, front) in enumerate(plan)])).alias("k"))
-    keyed = keyed.select("node", "k.*")
+
+    def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each node once for each choice of blocks, with the bits of the front and those that follow it."""
+        for batch in batches:
+            node, both = batch.column(0), {n: batch.column(i).to_numpy().view(np.uint64) for i, n in ((1, "fp"), (2, "fp2"))}
+            for w, (key, more) in enumerate(words):
+                for c, (order, front) in enumerate(plan):
+                    turned = permuted(both[key], order)
+                    first = turned >> np.uint64(64 - front)
+                    following = (turned >> np.uint64(64 - front - SUB_BITS)) & np.uint64((1 << SUB_BITS) - 1)
+                    columns = [np.full(len(turned), w * len(plan) + c, np.int64), first.view(np.int64), following.view(np.int64), both[key].view(np.int64), both[more].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([node, *map(pa.array, columns)], ["node", "choice", "front", "next", "key", "more"])
+
+    keyed = nodes.select("node", "fp", "fp2").mapInArrow(fronts, "node bigint, choice bigint, front bigint, next bigint, key bigint, more bigint")
     wide = keyed.groupBy("choice", "front").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > TRIE_ROWS)
     split = F.least(F.lit(SUB_BITS), F.lit(4) * F.ceil(F.log2(F.col("_n") / TRIE_ROWS) / 4)).cast("int")
     wide = wide.select(F.col("choice").alias("_c"), F.col("front").alias("_f"), split.alias("split"))

@@ -121,7 +121,10 @@ def train(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
     if not found.num_rows:
         return 0.0, np.zeros(1 << p.bits, np.float32), np.zeros((1 << p.bits, p.rank), np.float32)
     values, offsets = list_parts(found.column("t").combine_chunks())
-    return fit(values, offsets, found.column("y").to_numpy(), p)
+    model = fit(values, offsets, found.column("y").to_numpy(), p)
+    del found, values
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame, p: Params = Params(), score_name: str = "score") -> DataFrame:
