@@ -59,9 +59,9 @@ def logits(weights: np.ndarray, bias: np.ndarray, data: np.ndarray, offsets: np.
         for order in p.orders:
             part = weights[subwords(folded, order, p.bits)]
             ends = np.vstack([np.zeros((1, classes)), np.cumsum(part, axis=0, dtype=np.float64)])
-            lo = np.clip(start[first:last], at, upto) - at
+            lo = np.minimum(np.clip(start[first:last], at, upto) - at, len(part))
             hi = np.maximum(np.minimum(np.minimum(stop[first:last] - order + 1, upto) - at, len(part)), lo)
-            sums[first:last] += ends[hi] - ends[np.minimum(lo, len(part))] * (hi > lo)[:, None] - ends[hi] * (hi <= lo)[:, None]
+            sums[first:last] += ends[hi] - ends[lo]
             counts[first:last] += hi - lo
     return sums / np.maximum(counts, 1)[:, None] + bias
 
