@@ -43,13 +43,12 @@ def classification(result: DataFrame, labels: DataFrame, truth_labels: DataFrame
     return right.groupBy("nn").agg(F.round(F.avg((F.col("won") == F.col("label")).cast("double")), 6).alias("accuracy"))
 
 
-def silhouette(points: DataFrame, clusters: DataFrame, digits: int = 6) -> DataFrame:
-    """(score): the mean silhouette by squared distances, from sums per cluster alone: no pair of rows is formed.
+def silhouette(rows: DataFrame, digits: int = 6) -> DataFrame:
+    """(score): the mean silhouette of rows (e, cluster_id) by squared distances, from sums per cluster alone: no pair of rows is formed.
 
     The mean squared distance of x from the members of a cluster is |x|^2 - 2 x.m + s, m being their mean vector and s
     their mean squared norm. A row alone in its cluster scores 0.
     """
-    rows = points.join(clusters.select("vec_id", "cluster_id"), "vec_id")
     cells = rows.select("cluster_id", F.posexplode("e").alias("i", "x")).groupBy("cluster_id", "i").agg(F.avg("x").alias("m"))
     means = cells.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda c: c["m"]).alias("m"))
     norm = F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)

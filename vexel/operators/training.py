@@ -154,8 +154,7 @@ def lloyd(points: DataFrame, seeds: list[list[float]], rounds: int) -> list[list
     spark = points.sparkSession
     for _ in range(rounds):
         table = spark.createDataFrame(list(enumerate(centres)), "cluster_id int, ce array<double>")
-        near = search.assigned(points, table, 9).select("vec_id", "cluster_id")
-        sums = points.join(near, "vec_id").select("cluster_id", F.posexplode("e").alias("i", "x")).groupBy("cluster_id", "i").agg(F.avg("x").alias("x")).collect()
+        sums = search.assigned(points, table, 9).select("cluster_id", F.posexplode("e").alias("i", "x")).groupBy("cluster_id", "i").agg(F.avg("x").alias("x")).collect()
         new = [list(c) for c in centres]
         for r in sums:
             new[r.cluster_id][r.i] = r.x

@@ -131,39 +131,41 @@ def rerank_hamming_l2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.ASSIGN)
 def assign_nearest_centroid(spark: SparkSession, sf: str) -> DataFrame:
-    return clustered(spark, sf)[3]
+    return clustered(spark, sf)[3].select("vec_id", "cluster_id", "dist")
 
 
 @query(oracle.probe("l2"))
 def cluster_probe_exact(spark: SparkSession, sf: str) -> DataFrame:
-    queries, base, centres, clusters = clustered(spark, sf)
+    queries, _, centres, clusters = clustered(spark, sf)
     chosen = search.probes(queries, centres, clusters, K, 3)
-    return search.probed(queries, base, clusters, chosen, lambda: F.round(expr.l2sq(F.col("qe"), F.col("e")), 6), K)
+    return search.probed(queries, clusters, chosen, lambda: F.round(expr.l2sq(F.col("qe"), F.col("e")), 6), K)
 
 
 @query(oracle.probe("hamming"))
 def cluster_probe_hamming(spark: SparkSession, sf: str) -> DataFrame:
-    queries, base, centres, clusters = clustered(spark, sf)
+    queries, _, centres, clusters = clustered(spark, sf)
     chosen = search.probes(queries, centres, clusters, K, 3)
-    return search.probed(queries, base, clusters, chosen, lambda: expr.hamming(expr.sign_bits(F.col("qe")), expr.sign_bits(F.col("e"))), K)
+    return search.probed(queries, clusters, chosen, lambda: expr.hamming(expr.sign_bits(F.col("qe")), expr.sign_bits(F.col("e"))), K)
 
 
 @query(oracle.probe("rerank"))
 def cluster_probe_rerank(spark: SparkSession, sf: str) -> DataFrame:
     queries, base, centres, clusters = clustered(spark, sf)
     chosen = search.probes(queries, centres, clusters, 3 * K, 3)
-    first = search.probed(queries, base, clusters, chosen, lambda: expr.hamming(expr.sign_bits(F.col("qe")), expr.sign_bits(F.col("e"))), 3 * K)
+    first = search.probed(queries, clusters, chosen, lambda: expr.hamming(expr.sign_bits(F.col("qe")), expr.sign_bits(F.col("e"))), 3 * K)
     return search.reranked(first, queries, base, K)
 
 
 @query(oracle.knn("sqrt"))
 def knn_triangle_inequality(spark: SparkSession, sf: str) -> DataFrame:
-    return search.triangle(*clustered(spark, sf), K)
+    queries, _, centres, clusters = clustered(spark, sf)
+    return search.triangle(queries, centres, clusters, K)
 
 
 @query(oracle.PRUNED)
 def ti_pruned_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = search.triangle_pairs(*clustered(spark, sf), K)
+    queries, _, centres, clusters = clustered(spark, sf)
+    rows = search.triangle_pairs(queries, centres, clusters, K)
     return rows.groupBy("query_id").agg(F.sum(F.col("pruned").cast("bigint")).alias("pruned"))
 
 
@@ -271,7 +273,8 @@ def decoded_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, D
 
 @query(oracle.adc(True))
 def adc_search_ti(spark: SparkSession, sf: str) -> DataFrame:
-    return search.triangle(*decoded_index(spark, sf), K)
+    queries, _, centres, clusters = decoded_index(spark, sf)
+    return search.triangle(queries, centres, clusters, K)
 
 
 @query(oracle.TI_INDEX)
@@ -284,9 +287,9 @@ def ti_index_build(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.VISIT)
 def adc_search_visit(spark: SparkSession, sf: str) -> DataFrame:
-    queries, decoded, centres, clusters = decoded_index(spark, sf)
+    queries, _, centres, clusters = decoded_index(spark, sf)
     chosen = search.probes(queries, centres, clusters, K, int(CENTRES * 0.25))
-    return search.probed(queries, decoded, clusters, chosen, lambda: F.round(expr.l2sq(F.col("qe"), F.col("e")), 6), K)
+    return search.probed(queries, clusters, chosen, lambda: F.round(expr.l2sq(F.col("qe"), F.col("e")), 6), K)
 
 
 @query(oracle.LEARN)
@@ -412,8 +415,7 @@ def knn_classify_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.SILHOUETTE)
 def silhouette(spark: SparkSession, sf: str) -> DataFrame:
-    _, base, _, clusters = clustered(spark, sf)
-    return evaluation.silhouette(base, clusters, 5)
+    return evaluation.silhouette(clustered(spark, sf)[3], 5)
 
 
 @query(oracle.APPEND_DELETE)
