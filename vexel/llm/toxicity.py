@@ -16,7 +16,7 @@ from vexel.llm.features import hashed_terms, list_parts
 
 @dataclass(frozen=True)
 class Params:
-    """``sample`` bounds the labelled rows that are fitted: those with the least hash of doc_id.
+    """``sample`` bounds the labelled rows that are fitted (those with the least hash of doc_id) and ``sample_chars`` their length.
 
     Terms enter the fit if ``least`` labelled documents have them and their share of toxic ones is ``z`` standard
     deviations from the share of all.
@@ -31,6 +31,7 @@ class Params:
     least: int = 3
     z: float = 3.0
     sample: int = 20_000
+    sample_chars: int = 50_000
     seed: int = 7
     threshold: float = 0.7
 
@@ -114,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
     """Fits on at most p.sample labelled rows that are not held out; without any, every score is one half."""
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+    rows = docs.select("doc_id", "text").filter(F.length("text") <= p.sample_chars).join(F.broadcast(marks), "doc_id")
     rows = rows.select("doc_id", F.col("_toxic").cast("double").alias("y"), F.xxhash64("text").alias("h"), hashed_terms(F.col("text"), p.bits, p.prefixes).alias("t"))
     rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("t", "h").alias("t"))
     found = rows.toArrow().combine_chunks().sort_by("doc_id")
