@@ -61,3 +61,10 @@ def prev_pow2(x: Column) -> Column:
 def padded(v: Column, size: int) -> Column:
     """Zeros appended up to ``size`` dimensions."""
     return F.concat(v, F.array_repeat(F.lit(0.0), F.greatest(F.lit(size) - F.size(v), F.lit(0))))
+
+
+def pack(codes: Column, bits: list[int]) -> Column:
+    """Codes of ``bits`` bits each, end to end from the highest bit of the first word, as ARRAY<BIGINT>; a code may straddle words."""
+    single = F.flatten(F.array(*[F.array(*[F.getbit(F.get(codes, F.lit(i)).cast("bigint"), F.lit(b)).cast("bigint") for b in range(n - 1, -1, -1)]) for i, n in enumerate(bits) if n]))
+    words = F.sequence(F.lit(0), F.lit(max(0, sum(bits) - 1) // 64))
+    return F.transform(words, lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda s, i: F.shiftleft(s, 1).bitwiseOR(F.coalesce(F.get(single, w * 64 + i), F.lit(0).cast("bigint")))))

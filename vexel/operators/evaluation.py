@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vexel.operators.training import sampled
+
 
 def recall(result: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(metric, value): the mean share of the true k that are found; a short result counts against it."""
@@ -61,6 +63,12 @@ def silhouette(rows: DataFrame, digits: int = 6) -> DataFrame:
     return both.agg(F.round(F.avg(F.when(F.col("n") > 1, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)), digits).alias("score"))
 
 
+def sample_with_truth(base: DataFrame, truth: DataFrame, size: int) -> DataFrame:
+    """At most ``size`` rows of the base, chosen by hash, and all that the truth names: exact answers over it are those over the base."""
+    chosen = sampled(base, size).select("vec_id").unionByName(truth.select("vec_id")).distinct()
+    return base.join(chosen, "vec_id", "left_semi")
+
+
 def items(codes: DataFrame) -> DataFrame:
     """(vec_id, item): one item per subspace and code, named s<subspace>_c<code>."""
     return codes.select("vec_id", F.posexplode("codes").alias("s", "c")).select("vec_id", F.concat(F.lit("s"), F.col("s"), F.lit("_c"), F.col("c")).alias("item"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vexel.functions import expr
+
 #: Order statistics are exact up to so many rows; beyond, their rank is off by one part in so many.
 ACCURACY = 1_000_000
 
@@ -58,8 +60,12 @@ def bucket_means(values: DataFrame, thresholds: DataFrame) -> DataFrame:
     return cells_.join(coded, ["dim", "code"], "left").select("dim", "code", F.coalesce("centre", "middle").alias("centre"))
 
 
-def lut_search_codes(values: DataFrame, means: DataFrame) -> DataFrame:
-    """(vec_id, dim, code): the nearest bucket mean of each dimension, ties to the lower code."""
-    book = means.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("code", "centre"))).alias("c"))
-    near = F.array_min(F.transform("c", lambda c: F.struct(F.abs(F.col("x") - c["centre"]).alias("d"), c["code"].alias("code"))))
-    return values.join(F.broadcast(book), "dim").select("vec_id", "dim", near["code"].alias("code"))
+def codebook(means: DataFrame) -> DataFrame:
+    """Bucket means as a codebook with one dimension a subspace, for encoding to the nearest mean and look-up search."""
+    return means.select(F.col("dim").alias("subspace"), "code", F.array("centre").alias("centroid"))
+
+
+def packed(coded: DataFrame, dims: int, bits: int) -> DataFrame:
+    """(vec_id, words): the codes of each row's dimensions in one bit vector."""
+    codes = F.transform(F.sort_array(F.collect_list(F.struct("dim", "code"))), lambda c: c["code"])
+    return coded.groupBy("vec_id").agg(codes.alias("codes")).select("vec_id", expr.pack(F.col("codes"), [bits] * dims).alias("words"))

@@ -318,9 +318,29 @@ class Vaq:
     def tables(self, queries: DataFrame) -> DataFrame:
         return pq.tables(self.rotate(queries.select("query_id", "qe"), "qe"), self.codebook(queries.sparkSession))
 
-    def search(self, queries: DataFrame, codes: DataFrame, k: int) -> DataFrame:
-        """ADC neighbours by the strategy of the parameters; FAST and FAST3 learn their byte tables from the queries' own."""
-        luts, name = self.tables(queries), self.params.strategy
+    def index(self, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(centres, clusters) of decoded rows for TI; the centres are learned on a bounded sample."""
+        decoded = pq.decode(codes, self.codebook(codes.sparkSession))
+        count = self.params.clusters or 16
+        few = sampled(decoded, self.params.rows_per_centroid * count)
+        centres = lloyd(few, [r.e for r in sampled(decoded, count).collect()], 5)
+        table = codes.sparkSession.createDataFrame(list(enumerate(centres)), "cluster_id int, ce array<double>")
+        return table, search.assigned(decoded, table, 9).persist()
+
+    def search(self, queries: DataFrame, codes: DataFrame, k: int, visit: float = 1.0) -> DataFrame:
+        """ADC neighbours by the strategy of the parameters; FAST and FAST3 learn their byte tables from the queries' own.
+
+        TI prunes by the triangle inequality, or, with ``visit`` below 1, looks at that share of the clusters alone.
+        """
+        name = self.params.strategy
+        if name == "TI":
+            centres, clusters = self.index(codes)
+            turned = self.rotate(queries.select("query_id", "qe"), "qe").withColumn("qe", F.slice("qe", 1, sum(c.shape[1] for c in self.centroids)))
+            if visit >= 1:
+                return search.triangle(turned, centres, clusters, k)
+            chosen = search.probes(turned, centres, clusters, k, int(centres.count() * visit))
+            return search.probed(turned, clusters, chosen, lambda: F.round(F.sqrt(expr.l2sq(F.col("qe"), F.col("e"))), 6), k)
+        luts = self.tables(queries)
         if name in ("FAST", "FAST3"):
             model = pq.learned_quantization(luts)
             split = max((s + 1 for s, b in enumerate(self.bits) if b > 4), default=0)

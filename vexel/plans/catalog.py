@@ -69,6 +69,11 @@ def coded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
     return queries, base, pq.encode(base, book), pq.tables(queries, book)
 
 
+def settled(model: DataFrame) -> DataFrame:
+    """A small model table, brought to the driver once so that no query works it out again."""
+    return model.sparkSession.createDataFrame(model.collect(), model.schema)
+
+
 @query(oracle.knn("l2"))
 def knn_exact_l2(spark: SparkSession, sf: str) -> DataFrame:
     return search.exact(*both(spark, sf), K)
@@ -231,6 +236,21 @@ def scalar_bucket_means(spark: SparkSession, sf: str) -> DataFrame:
     return scalar.bucket_means(values, scalar.hazen_thresholds(values, 3)).select("dim", "code", F.round("centre", 6).alias("centre"))
 
 
+@query(oracle.SCALAR_SEARCH)
+def scalar_lut_search(spark: SparkSession, sf: str) -> DataFrame:
+    queries, base = both(spark, sf)
+    values = scalar.cells(base, 4)
+    book = settled(scalar.codebook(scalar.bucket_means(values, settled(scalar.hazen_thresholds(values, 3)))))
+    return pq.search(pq.tables(queries, book), pq.encode(base, book), K)
+
+
+@query(oracle.PACKED)
+def scalar_pack_bits(spark: SparkSession, sf: str) -> DataFrame:
+    values = scalar.cells(base_of(spark, sf), 4)
+    coded_rows = scalar.bucket_codes(values, scalar.hazen_thresholds(values, 3))
+    return scalar.packed(coded_rows, 4, 2).select("vec_id", F.get("words", F.lit(0)).alias("bits"))
+
+
 @query(oracle.PQ_ENCODE)
 def pq_encode(spark: SparkSession, sf: str) -> DataFrame:
     return coded(spark, sf)[2].select("vec_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
@@ -301,13 +321,13 @@ def lut_quantization_learn(spark: SparkSession, sf: str) -> DataFrame:
 @query(oracle.QUANTIZED)
 def adc_search_quantized(spark: SparkSession, sf: str) -> DataFrame:
     _, _, codes, luts = coded(spark, sf)
-    return pq.search_quantized(luts, pq.learned_quantization(luts), codes, K)
+    return pq.search_quantized(luts, settled(pq.learned_quantization(luts)), codes, K)
 
 
 @query(None)
 def adc_search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     _, _, codes, luts = coded(spark, sf)
-    return pq.search_hybrid(luts, pq.learned_quantization(luts), codes, K, SUBSPACES // 2)
+    return pq.search_hybrid(luts, settled(pq.learned_quantization(luts)), codes, K, SUBSPACES // 2)
 
 
 @query(oracle.REFINE)
@@ -405,6 +425,13 @@ def metrics_map(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.mean_average_precision(*results(spark, sf), K)
 
 
+@query(oracle.knn("l2"))
+def sampled_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    queries, base = both(spark, sf)
+    few = evaluation.sample_with_truth(base, search.exact(queries, base, K), 50)
+    return search.exact(queries, few, K)
+
+
 @query(oracle.CLASSIFY)
 def knn_classify_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     base = base_of(spark, sf)
@@ -478,10 +505,16 @@ def subspace_dictionaries(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def vaq_search_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     model, queries, base = fitted(spark, sf, "VAQ32m8min2max6var1,EA")
-    first = model.search(queries, model.encode(base), 5 * K)
+    first = model.search(queries, model.encode(base).persist(), 5 * K)
     return search.reranked(first, queries, base, K)
 
 
+@query(None)
+def vaq_search_ti(spark: SparkSession, sf: str) -> DataFrame:
+    model, queries, base = fitted(spark, sf, "VAQ32m8min2max6var1,EA_TI16")
+    return model.search(queries, model.encode(base).persist(), K)
+
+
 @query(None)
 def vaq_param_grid(spark: SparkSession, sf: str) -> DataFrame:
     queries, base = both(spark, sf)

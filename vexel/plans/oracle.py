@@ -104,6 +104,11 @@ HAZEN = f"WITH {BASE}, {THRESHOLDS} SELECT dim, q, round(value, 6) AS value FROM
 CODED = "coded AS (SELECT vec_id, cells.dim, x, count(*) FILTER (value < x)::INTEGER AS code FROM cells JOIN thresholds ON cells.dim = thresholds.dim GROUP BY ALL)"
 BUCKETS = f"WITH {BASE}, {THRESHOLDS}, {CODED} SELECT vec_id, dim, code FROM coded"
 BUCKET_MEANS = f"WITH {BASE}, {THRESHOLDS}, {CODED} SELECT dim, code, round(avg(x), 6) AS centre FROM coded GROUP BY dim, code"
+SCALAR_SEARCH = f"""WITH {BASE}, {Q}, {THRESHOLDS}, {CODED}, means AS (SELECT dim, code, avg(x) AS centre FROM coded GROUP BY dim, code),
+enc AS (SELECT c.vec_id, c.dim, m.centre, row_number() OVER (PARTITION BY c.vec_id, c.dim ORDER BY round((x - centre) * (x - centre), 9), m.code) AS r FROM cells c JOIN means m ON c.dim = m.dim),
+d AS (SELECT query_id, vec_id, round(sum((qe[dim + 1] - centre) * (qe[dim + 1] - centre)), 6) AS dist FROM enc, q WHERE r = 1 GROUP BY ALL) {ranked('d')}"""
+PACKED = f"""WITH {BASE}, {THRESHOLDS}, {CODED}, v AS (SELECT vec_id, sum(code * [64, 16, 4, 1][dim + 1])::HUGEINT AS v FROM coded GROUP BY vec_id)
+SELECT vec_id, ((v * 72057594037927936::HUGEINT) - CASE WHEN v >= 128 THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT AS bits FROM v"""
 
 BOOK = "book AS (SELECT (s)::INTEGER AS subspace, vec_id::INTEGER AS code, e[8 * s + 1:8 * s + 8] AS centroid FROM base, range(8) r(s) WHERE vec_id < 16)"
 CODES = f"""{BOOK}, enc AS (SELECT vec_id, subspace, code, centroid, row_number() OVER (PARTITION BY vec_id, subspace ORDER BY round({l2('e[8 * subspace + 1:8 * subspace + 8]', 'centroid')}, 9), code) AS r FROM base, book),
