@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,8 +31,8 @@ from vexel.llm.common import scratch_dir
 END, FIRST_RULE = 2, 1 << 16
 #: Tokens of a block, a little more where the last document passes them.
 BLOCK_TOKENS = 1 << 17
-#: Rounds of replacement, pairs replaced in one, the least count of a pair, and the least share of symbols that a round must save.
-ROUNDS, PAIRS, LEAST, GAIN = 6, 2048, 8, 0.01
+#: Rounds of replacement, pairs replaced in one, the least count of a pair, and the share of symbols that a round must save for another to follow.
+ROUNDS, PAIRS, LEAST, GAIN = 6, 4096, 8, 0.1
 SLOT_BITS = 17
 MAGIC = b"RPB1"
 #: Documents encoded together, and chunks of text whose ids a worker remembers.
@@ -47,8 +49,8 @@ class Encoder:
     """
 
     #: A space and then another white-space character.
-    RUNS = [" " + c for c in map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])]
-    STEM = re.compile(r"([^\W\d_]+)([.,!?;:]+)")
+    RUNS = re.compile(" [\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    MARKS = ".,!?;:"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
@@ -57,7 +59,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}  # of chunks that a space precedes
-        self.marks: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}  # of what begins a text or follows letters
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the sign that byte-level BPE has for a space
@@ -67,9 +69,16 @@ class Encoder:
 
     def learn(self, chunks: set[str]) -> None:
         """Adds chunks, encoding many at once."""
-        parts = {c: m for c in chunks if (m := self.STEM.fullmatch(c))}
-        plain = [c for c in chunks if c not in parts]
-        plain.extend({m[1] for m in parts.values()}.difference(self.known, plain))
+        plain, parts, stems = [], [], set()
+        for c in chunks:
+            stem = c.rstrip(self.MARKS)
+            if len(stem) < len(c) and stem.isalpha():
+                parts.append((c, stem, c[len(stem):]))
+                if stem not in self.known and stem not in chunks:
+                    stems.add(stem)
+            else:
+                plain.append(c)
+        plain.extend(stems)
         for at in range(0, len(plain), DOCS):
             some = plain[at:at + DOCS]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -79,45 +88,58 @@ class Encoder:
                 raise ValueError("the tokenizer joins a space with what precedes it")
             raw, edges = ids.tobytes(), (4 * np.append(cuts, len(ids))).tolist()
             self.known.update(zip(some, [raw[a:b] for a, b in zip(edges, edges[1:])]))
-        for c, m in parts.items():
-            if m[2] not in self.marks:
-                self.marks[m[2]] = self.ids(m[2])
-            self.known[c] = self.known[m[1]] + self.marks[m[2]]
+        for c, stem, marks in parts:
+            self.known[c] = self.known[stem] + self.head(marks)
+
+    def head(self, text: str) -> bytes:
+        ids = self.heads.get(text)
+        if ids is None:
+            ids = self.ids(text)
+            if len(self.heads) < REMEMBERED // 8:
+                self.heads[text] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        before = len(self.known)
-        split, found, missing = [], [], set()
+        before, get = len(self.known), self.known.get
+        found, missing, open_ = [], set(), []
         for text in texts:
-            if not text or text[0] == " " or text[-1] == " " or any(r in text for r in self.RUNS):
-                split.append(None)
-                found.append(self.ids(text) if text else b"")
+            if not text or text[0] == " " or text[-1] == " " or self.RUNS.search(text):
+                found.append([self.ids(text) if text else b""])
                 continue
             chunks = text.split(" ")
-            ids = list(map(self.known.get, chunks))
-            ids[0] = self.ids(chunks[0])
+            ids = list(map(get, chunks))
+            ids[0] = self.head(chunks[0])
             if None in ids:
-                missing.update([c for c, x in zip(chunks, ids) if x is None])
-            split.append(chunks)
+                places = [i for i, x in enumerate(ids) if x is None]
+                names = [chunks[i] for i in places]
+                missing.update(names)
+                open_.append((ids, places, names))
             found.append(ids)
         self.learn(missing)
-        for chunks, ids in zip(split, found):
-            if chunks is None:
-                yield ids
-            elif None in ids:
-                yield b"".join([self.known[c] if x is None else x for c, x in zip(chunks, ids)])
-            else:
-                yield b"".join(ids)
+        for ids, places, names in open_:
+            for i, c in zip(places, names):
+                ids[i] = self.known[c]
+        for ids in found:
+            yield b"".join(ids)
         if len(self.known) > REMEMBERED:
             for c in list(islice(reversed(self.known), len(self.known) - max(before, REMEMBERED // 2))):
                 del self.known[c]
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The encoder that a Python worker keeps between its tasks, so that it needn't learn the same chunks again."""
+    kept = sys.modules.setdefault("_vexel_kept", types.ModuleType("_vexel_kept"))
+    if getattr(kept, "path", None) != path:
+        kept.path, kept.encoder = path, Encoder(path)
+    return kept.encoder
+
+
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """(sequence, rules, first rule of each round): frequent pairs become nonterminals FIRST_RULE + i, rules[i] = (left, right).
 
     A round counts pairs in hashed slots, takes the most frequent ones that own their slot, and replaces their
-    occurrences from left to right; of overlapping ones, every second. No pair begins with END, so that none spans documents.
+    occurrences from left to right; of overlapping ones, every second. No pair holds END, so that no rule spans documents.
     """
     seq, rules, rounds = ids.astype(np.uint32), [], []
     made = 0
@@ -129,20 +151,21 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
         pair = (left.astype(np.uint64) << np.uint64(32)) | right
         owner = np.zeros(1 << SLOT_BITS, np.uint64)
         owner[slot] = pair  # one pair of those in a slot owns it
-        own = (owner[slot] == pair) & (left != END)
-        counts = np.bincount(slot[own], minlength=1 << SLOT_BITS)
+        counts = np.bincount(slot, minlength=1 << SLOT_BITS)
         frequent = np.flatnonzero(counts >= LEAST)
         if not len(frequent):
             break
         top = frequent[np.argsort(-counts[frequent], kind="stable")[:PAIRS]]
-        number = np.full(1 << SLOT_BITS, -1, np.int64)
+        number = np.full(1 << SLOT_BITS, -1, np.int32)
         number[top] = np.arange(len(top))
-        at = np.flatnonzero(own & (number[slot] >= 0))
+        at = np.flatnonzero((number[slot] >= 0) & (left != END) & (right != END))
+        at = at[owner[slot[at]] == pair[at]]
+        if not len(at):
+            break
         new_run = np.r_[True, np.diff(at) != 1]
         run_start = at[new_run][np.cumsum(new_run) - 1]
         at = at[(at - run_start) % 2 == 0]
-        if len(at) < GAIN * len(seq) and rounds:
-            break
+        before = len(seq)
         rounds.append(made)
         rules.append(np.stack([owner[top] >> np.uint64(32), owner[top] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         replaced = seq.copy()
@@ -150,6 +173,8 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, made = replaced[keep], made + len(top)
+        if before - len(seq) < GAIN * before:
+            break
     return seq, (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), rounds
 
 
@@ -157,12 +182,11 @@ def expand(seq: np.ndarray, rules: np.ndarray, rounds: list[int]) -> np.ndarray:
     """The ids of a sequence: rounds are undone from the last to the first."""
     for first in reversed(rounds):
         rule = seq >= FIRST_RULE + first
-        place = np.cumsum(1 + rule) - 1 - rule
-        out = np.empty(len(seq) + int(rule.sum()), np.uint32)
-        which = seq[rule] - FIRST_RULE
-        out[place[~rule]] = seq[~rule]
-        out[place[rule]], out[place[rule] + 1] = rules[which, 0], rules[which, 1]
-        seq = out
+        at = np.flatnonzero(rule)
+        which = seq[at] - FIRST_RULE
+        seq = np.repeat(seq, rule.astype(np.int64) + 1)
+        at += np.arange(len(at))  # each rule before moves it by one
+        seq[at], seq[at + 1] = rules[which, 0], rules[which, 1]
     return seq
 
 
@@ -222,7 +246,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, path: str) -> None:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
         held, doc_ids, size, block = [], [], 0, 0
         end = np.array([END], "<u4").tobytes()
 
