@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows that one window of a two-level running sum is meant to hold.
-ROWS_PER_BUCKET = 100_000
+ROWS_PER_BUCKET = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
