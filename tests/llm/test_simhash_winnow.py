@@ -82,6 +82,33 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == set(range(30))
 
 
+def test_short_copies_with_words_at_an_end_go(spark):
+    """Texts of 4 shingles and more, whose similarity to the copy is n / (n + 1), or 0.8 with two words."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)) for n in [8, 9, 10, 11, 12, 13, 14, 12, 13, 7, 11]]
+    copies = [t + " added" if i % 2 else "added " + t for i, t in enumerate(texts[:7])] + ["one " + texts[7] + " two", texts[8] + " one two"]
+    others = [texts[9] + " added", texts[10] + " one two"]  # 3/4 and 7/9
+    kept = {r.doc_id for r in simhash.deduplicated(docs(spark, texts + copies + others)).collect()}
+    assert kept == set(range(11)) | {20, 21}
+
+
+def test_short_links_equal_brute_force(spark):
+    rng = np.random.default_rng(7)
+    sets = {frozenset(rng.choice(16, rng.integers(1, 15), replace=False).tolist()) for _ in range(400)}
+    hashes = rng.integers(-2**63, 2**63 - 1, 16)
+    sets = [sorted(int(hashes[x]) for x in s) for s in sorted(sets, key=sorted)]
+    df = spark.createDataFrame(list(enumerate(sets)), "node bigint, few array<bigint>")
+    root = {i: i for i in range(len(sets))} | {r.node: r.root for r in simhash.components(simhash.short_links(df)).collect()}
+    want = {i: i for i in range(len(sets))}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(set(a) & set(b))
+            if 5 * both >= 4 * (len(a) + len(b) - both) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if v == high else v for k, v in want.items()}
+    assert root == want and len(set(want.values())) < len(sets)
+
+
 def brute_marks(text, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     w, hit, found = split(text), set(), []

@@ -33,6 +33,8 @@ TRIE_ROWS = 20_000
 LEAF = 1 << 13
 #: Links kept in memory before they are reduced to one per fingerprint.
 HELD = 1 << 20
+#: Distinct shingles of a short text, at most; such texts are joined by their shingles as well. With 14, no more than two are left out of a key.
+SHORT = 14
 
 
 def _majority(h: np.ndarray) -> np.ndarray:
@@ -43,42 +45,49 @@ def _word(counts: np.ndarray, n: int) -> int:
     return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint(text: str | None, shingle: int, second: bool = False) -> tuple[int, int, int]:
-    """(fingerprint, second word, shingles): a bit is set if it is set in over half of the XXH64 hashes of the text's shingles.
+def fingerprint(text: str | None, shingle: int, second: bool = False) -> tuple[int, int, int, list[int] | None]:
+    """(fingerprint, second word, shingles, few): a bit is set if it is set in over half of the XXH64 hashes of the text's shingles.
 
-    The second word is that of the same hashes, mixed once more, and zero unless asked for. Without words, all are zero.
+    The second word is that of the same hashes, mixed once more, and zero unless asked for; ``few`` holds the distinct hashes
+    if the second word is asked for and there are at most SHORT. Without words, all are zero.
     """
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return 0, 0, 0
+        return 0, 0, 0, None
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     size = min(shingle, len(words))
     starts, stops = [0, *ends[:-1].tolist()], (ends[size - 1:] - 1).tolist()
     n = len(stops)
     counts, other = np.zeros(64, np.int64), np.zeros(64, np.int64)
+    distinct: set[int] = set()
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, CHUNK):
         h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at:at + CHUNK], stops[at:at + CHUNK])], np.uint64)
         counts += _majority(h)
         if second:
+            for some in range(0, len(h), 4 * SHORT):
+                if len(distinct) > SHORT:
+                    break
+                distinct.update(h[some:some + 4 * SHORT].view(np.int64).tolist())
             h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
             other += _majority((h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53))
-    return _word(counts, n), _word(other, n) if second else 0, n
+    return _word(counts, n), _word(other, n) if second else 0, n, sorted(distinct) if second and len(distinct) <= SHORT else None
 
 
 def fingerprints(docs: DataFrame, shingle: int, second: bool) -> DataFrame:
-    """(doc_id, text_hash, fp, fp2, n) of every row; a null text counts as empty."""
+    """(doc_id, text_hash, fp, fp2, n, few) of every row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [fingerprint(t.as_py(), shingle, second) for t in batch.column(2)]
             fps = np.array([r[:2] for r in rows], np.uint64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fps[:, 0].view(np.int64)), pa.array(fps[:, 1].view(np.int64)), pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "text_hash", "fp", "fp2", "n"])
+                [batch.column(0), batch.column(1), pa.array(fps[:, 0].view(np.int64)), pa.array(fps[:, 1].view(np.int64)), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "fp", "fp2", "n", "few"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint, fp2 bigint, n bigint")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint, fp2 bigint, n bigint, few array<bigint>")
 
 
 def blocks(count: int) -> list[tuple[int, int]]:
@@ -298,6 +307,37 @@ def links(nodes: DataFrame, max_bits: int, total: int | None = None) -> DataFram
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def short_links(sets: DataFrame) -> DataFrame:
+    """(a, b): links between the rows of ``sets`` (node, few: distinct hashes) with a Jaccard similarity of 0.8 or more.
+
+    Sets that share i elements and have p and q others are that similar if i >= 4 (p + q). So each set is dealt out once
+    for each of its parts that leaves out p <= i / 4 elements, and a group of equal parts holds a link wherever p + q is
+    small enough. Each row is linked to the one of its group that leaves out fewest, if it may be linked to any: those
+    links connect what all of them would, and nothing grows with the square of a group.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, keys, sizes, outs = [], [], [], []
+            for node, few in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total, n = sum(few), len(few)
+                for out in range(n // 5 + 1):
+                    for left_out in combinations(few, out):
+                        nodes.append(node)
+                        keys.append((total - sum(left_out)) & 0xFFFFFFFFFFFFFFFF)
+                        sizes.append(n - out)
+                        outs.append(out)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(outs, pa.int64())], ["node", "key", "size", "out"])
+
+    dealt = sets.select("node", "few").mapInArrow(parts, "node bigint, key bigint, size bigint, out bigint")
+    first = dealt.groupBy("key", "size").agg(F.min(F.struct("out", "node")).alias("f"), F.count(F.lit(1)).alias("_n"))
+    first = first.filter("_n > 1").select(F.col("key").alias("_k"), F.col("size").alias("_s"), "f")
+    found = dealt.join(first, (F.col("key") == F.col("_k")) & (F.col("size") == F.col("_s")))
+    found = found.filter((F.col("node") != F.col("f.node")) & (4 * (F.col("out") + F.col("f.out")) <= F.col("size")))
+    return found.select(F.col("node").alias("a"), F.col("f.node").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link, root the least node of its component.
 
@@ -325,14 +365,18 @@ def grouped(docs: DataFrame, shingle: int, max_bits: int, total: int | None = No
 
     ``component`` stands for the component and component_id is its least doc_id. Null texts count as empty; texts without
     words have fingerprint zero. Rows with equal fingerprints are linked whatever their doc_id; those of fewer than
-    ``least`` shingles are linked to no others. A null doc_id is never the least, unless a component has no other. An
+    ``least`` shingles are linked to no others by their bits. With ``total``, texts of at most SHORT distinct shingles are
+    linked by their shingles besides. A null doc_id is never the least, unless a component has no other. An
     empty table gives an empty result.
     """
     second = total is not None
     rows = fingerprints(docs, shingle, second)
     rows = stored(rows.withColumn("node", F.xxhash64("fp", "fp2") if second else F.col("fp")), "simhash-rows")
     nodes = stored(rows.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "simhash-nodes")
-    comp = stored(components(links(nodes.filter(F.col("n") >= least).select("node", "fp", "fp2"), max_bits, total)), "simhash-components")
+    edges = links(nodes.filter(F.col("n") >= least).select("node", "fp", "fp2"), max_bits, total)
+    if second:
+        edges = edges.unionByName(short_links(stored(rows.filter("few is not null").select("node", "few").distinct(), "simhash-short")))
+    comp = stored(components(edges), "simhash-components")
     comp = comp.unionByName(comp.select(F.col("root").alias("node"), "root")).distinct()
     joined = nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("component"), F.col("root").isNotNull().alias("linked"))
     joined = stored(joined, "simhash-joined")
@@ -350,8 +394,8 @@ def deduplicated(docs: DataFrame, shingle: int = 5, max_bits: int = 8, total: in
     """One row of ``docs`` per component, that of the least doc_id, with the columns of ``docs``.
 
     The defaults aim at a similarity of 0.8 between the shingles of two texts, at which 15 % of 128 bits are expected to
-    differ: a link needs at most ``max_bits`` differing bits in one word of 64 and ``total`` in both. Two texts of fewer than
-    9 shingles are only that similar if they have the same ones, so these are linked by equal fingerprints alone.
+    differ: a link needs at most ``max_bits`` differing bits in one word of 64 and ``total`` in both. The bits of fewer
+    than ``least`` shingles say too little; short texts are joined by their shingles, which finds every pair that similar.
     """
     rows = grouped(docs, shingle, max_bits, total, least)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"))
