@@ -20,6 +20,24 @@ def test_page_without_article_element():
     assert html.main_text(PAGE.replace("<article>", '<div class="post">').replace("</article>", "</div>")) == TEXT
 
 
+@pytest.mark.parametrize("before, after", [('<div class="page has-sidebar">', "</div>"), ('<div class="content no-comments">', "</div>"), ('<div id="main-menu-layout"><div class="page has-sidebar">', "</div></div>"),
+                                           ("<form>", "</form>"), ('<form action="/x"><fieldset>', "</fieldset></form>"), ('<article class="post comments-open">', "</article>"), ("<form><main>", "</main></form>")])
+@pytest.mark.parametrize("page", [PAGE, PAGE.replace("<article>", '<div class="post">').replace("</article>", "</div>")])
+def test_wrapper_with_a_name_or_form(page, before, after):
+    """What is named within it goes all the same."""
+    assert html.main_text(page.replace('<div class="wrap">', before).replace("</div>\n<aside>", after + "\n<aside>")) == TEXT
+    if "<article" in before or "<main" in before:  # a header within it would be the article's own
+        return
+    start, stop = page.index("<header>"), page.index("</body>")
+    assert html.main_text(page[:start] + before + page[start:stop] + after + page[stop:]) == TEXT
+
+
+def test_comments_longer_than_the_article():
+    comment = "<p>I disagree with all of this, and say so at some length here.</p>"
+    page = PAGE.replace("<article>", '<div class="post">').replace("</article>", "</div>")
+    assert html.main_text(PAGE.replace(comment, 20 * comment)) == html.main_text(page.replace(comment, 20 * comment)) == TEXT
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("<p>", ""), ("plain", "plain"), ("<nav>menu</nav>", ""), ("<p>a &lt;b&gt; &#233;</p>", "a <b> é"), ("<![x[ a", "<![x[ a"), ("<p>cut off", "cut off"), ("<div>" * 20000 + "deep", "deep")])
 def test_odd_pages(page, text):
     assert html.main_text(page) == text

@@ -3,7 +3,7 @@
 The standard library's parser streams events; a page becomes a row of blocks with their text and tag counts. The
 text-to-tag ratio of the blocks is smoothed by a Gaussian, and the blocks above a threshold cluster into the content
 region: the element that holds most of their text. All of its blocks are the article, but for parts that markup names
-as something else.
+as something else. Where a name is at odds with the clusters, as that of a wrapper around the page, it counts for nothing.
 """
 
 from __future__ import annotations
@@ -39,26 +39,32 @@ DROPPED = frozenset("head script style noscript template nav footer aside form b
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup menu nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar footer comment comments commentlist disqus replies respond share sharing social related recommended widget toolbar login".split())
 KEPT = frozenset("html body main article".split())
+#: How an element is marked as something besides the article: by a name or as a form, which the clusters can overrule, or for sure.
+NAMED, SURE = 1, 2
+FORMS = frozenset("form fieldset".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def is_other(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
-    """Whether an element is named as something besides the article."""
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True
+def is_other(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
+    """Whether an element is named as something besides the article: 0, NAMED or SURE."""
+    if tag in DROPPED and tag not in FORMS or tag == "header" and not in_article:
+        return SURE
+    found = NAMED if tag in FORMS else 0
     for name, value in attrs:
         value = value or ""
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return tag not in KEPT
+            return found if tag in KEPT else SURE
         if name == "role" and value.strip().lower() in ROLES:
-            return tag not in KEPT
+            if tag in KEPT:
+                return found
+            found = NAMED
         if name in ("class", "id") and tag not in ("html", "body", "main"):
             words = {w.lower() for w in WORDS.findall(value)}
             if tag == "article" and not words & {"comment", "comments", "ad", "ads", "promo", "related"}:
                 continue
             if words & NAMES or words & {"header"} and not in_article:
-                return True
-    return False
+                found = NAMED
+    return found
 
 
 @dataclass
@@ -69,14 +75,19 @@ class Block:
     link_chars: int
     other: bool
     tag: str
+    top: int
 
 
 class Blocks(HTMLParser):
-    """Turns a page's events into blocks. ``parents`` and ``tags`` describe the elements by number, 0 being the page."""
+    """Turns a page's events into blocks. ``parents``, ``tags`` and ``marks`` describe the elements by number, 0 being the page.
 
-    def __init__(self):
+    The marks of the elements in ``freed`` count for nothing.
+    """
+
+    def __init__(self, freed: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.parents, self.tags, self.other, self.article = [0], ["html"], [False], [False]
+        self.freed, self.marks = freed, [0]
         self.open: list[int] = [0]
         self.count: Counter[str] = Counter()
         self.blocks: list[Block] = []
@@ -87,7 +98,7 @@ class Blocks(HTMLParser):
         text = " ".join("".join(self.text).split())
         node = next(n for n in reversed(self.open) if self.tags[n] in BLOCKS or n == 0)
         if text:
-            self.blocks.append(Block(text, node, self.tag_count, self.links, self.other[self.open[-1]] or self.other[node], self.tags[node]))
+            self.blocks.append(Block(text, node, self.tag_count, self.links, self.other[self.open[-1]] or self.other[node], self.tags[node], self.open[-1]))
         self.text, self.links, self.tag_count = [], 0, 0
 
     def close_to(self, tag: str) -> None:
@@ -112,11 +123,13 @@ class Blocks(HTMLParser):
         top = self.open[-1]
         inside = self.article[top] or tag in ("article", "main")
         # What only differs in kind from the text around it must end the text before it.
-        other = self.other[top] or is_other(tag, attrs, self.article[top])
+        mark = 0 if len(self.tags) in self.freed else is_other(tag, attrs, self.article[top])
+        other = self.other[top] or mark > 0
         if other and not self.other[top] and tag not in BLOCKS:
             self.flush()
         self.parents.append(top)
         self.tags.append(tag)
+        self.marks.append(mark)
         self.other.append(other)
         self.article.append(inside)
         self.open.append(len(self.tags) - 1)
@@ -144,13 +157,13 @@ class Blocks(HTMLParser):
             self.links += len(data)
 
 
-def parse(page: str) -> Blocks:
-    reader = Blocks()
+def parse(page: str, freed: frozenset[int] = frozenset()) -> Blocks:
+    reader = Blocks(freed)
     try:
         reader.feed(page)
         reader.close()
     except AssertionError:  # a marked section that the parser knows nothing of
-        reader = Blocks()
+        reader = Blocks(freed)
         reader.feed(page.replace("<![", "&lt;!["))
         reader.close()
     reader.flush()
@@ -164,22 +177,85 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
-def region(reader: Blocks, p: Params) -> int:
-    """The element that holds the content; -1 without any text."""
-    blocks = reader.blocks
-    ratio = np.array([0.0 if b.other else (len(b.text) - min(b.link_chars, len(b.text))) / max(1, b.tags) for b in blocks])
+def clustered(blocks: list[Block], other: list[bool], p: Params) -> np.ndarray:
+    """Which blocks belong to a cluster; ``other`` says which can't. All are False without any text."""
+    ratio = np.array([0.0 if o else (len(b.text) - min(b.link_chars, len(b.text))) / max(1, b.tags) for b, o in zip(blocks, other)])
     if not ratio.any():
-        return -1
+        return np.zeros(len(blocks), bool)
     smooth = smoothed(ratio, p.sigma)
     chosen = (smooth >= p.threshold * ratio.std()) & (ratio > 0)
-    if not chosen.any():
-        chosen = ratio > 0
+    return chosen if chosen.any() else ratio > 0
+
+
+def text_held(reader: Blocks, chosen: np.ndarray) -> np.ndarray:
+    """The characters of the chosen blocks within each element."""
     held = np.zeros(len(reader.tags))
     for i in np.flatnonzero(chosen):
-        held[blocks[i].node] += len(blocks[i].text)
-    total = held.sum()
+        held[reader.blocks[i].node] += len(reader.blocks[i].text)
     for node in range(len(held) - 1, 0, -1):  # parents come before their children
         held[reader.parents[node]] += held[node]
+    return held
+
+
+def overruled(reader: Blocks, p: Params) -> frozenset[int]:
+    """The elements marked by a name or as a form that hold the article all the same.
+
+    These hold a main element, an article with a heading h1, or the larger part of the text that clusters over all blocks. In
+    the last case the mark stands where the article is found outside: without an h1 within, if a clustered paragraph that
+    nothing marks comes before (as before long comments), or an article or main element with clustered text lies apart.
+    """
+    marks, parents, tags, blocks = reader.marks, reader.parents, reader.tags, reader.blocks
+    named = [n for n, m in enumerate(marks) if m == NAMED]
+    if not named:
+        return frozenset()
+    size = len(tags)
+
+    def below(marked: list[bool]) -> list[bool]:
+        out = list(marked)
+        for n in range(1, size):
+            out[n] = out[n] or out[parents[n]]
+        return out
+
+    def above(marked: list[bool]) -> list[bool]:
+        out = list(marked)
+        for n in range(size - 1, 0, -1):
+            out[parents[n]] = out[parents[n]] or out[n]
+        return out
+
+    sure = below([m == SURE for m in marks])
+    chosen = clustered(blocks, [sure[b.top] or sure[b.node] for b in blocks], p)
+    if not chosen.any():
+        return frozenset()
+    held = text_held(reader, chosen)
+    heading = above([t == "h1" and not s for t, s in zip(tags, sure)])
+    vital = above([held[n] > 0 and (tags[n] == "main" or tags[n] == "article" and heading[n]) for n in range(size)])
+    freed = {n for n in named if vital[n]}
+    large = [n for n in named if not vital[n] and held[n] > 0.5 * held[0]]  # each lies within the one before it
+    passed = freed | set(large)
+    marked = below([m > 0 and n not in passed for n, m in enumerate(marks)])
+    homes = [tags[n] in ("article", "main") and held[n] > 0 and not marked[n] for n in range(size)]
+    around, within = below(homes), above(homes)
+    first = [len(blocks)] * size
+    for i, b in enumerate(blocks):
+        first[b.node] = min(first[b.node], i)
+    for n in range(size - 1, 0, -1):
+        first[parents[n]] = min(first[parents[n]], first[n])
+    lead = next((i for i, b in enumerate(blocks) if chosen[i] and b.tag == "p" and not marked[b.top] and not marked[b.node]), len(blocks))
+    for n in large:
+        apart = within[0] and not around[n] and not within[n]
+        if not heading[n] and (lead < first[n] or apart):
+            break
+        freed.add(n)
+    return frozenset(freed)
+
+
+def region(reader: Blocks, p: Params) -> int:
+    """The element that holds the content; -1 without any text."""
+    chosen = clustered(reader.blocks, [b.other for b in reader.blocks], p)
+    if not chosen.any():
+        return -1
+    held = text_held(reader, chosen)
+    total = held[0]
     heavy = [n for n in range(1, len(held)) if held[n] >= p.mass * total]
     here = 0
     for node in heavy:  # each lies within the one before it
@@ -200,6 +276,9 @@ def main_text(page: str | None, p: Params = Params()) -> str:
     if not page:
         return ""
     reader = parse(page)
+    freed = overruled(reader, p)
+    if freed:
+        reader = parse(page, freed)
     root = region(reader, p)
     if root < 0:
         return ""
