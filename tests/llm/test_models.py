@@ -72,6 +72,22 @@ def test_toxicity_learns_an_interaction():
     assert ((prob > 0.5) == (labels > 0)).mean() > 0.97
 
 
+def test_toxicity_learns_terms_that_are_flat_alone():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    labels, values, offsets = [], [], [0]
+    for i in range(2000):  # terms 1 and 2 are in 600 documents each, 30 of them toxic like 5 % of all: those with both
+        both, one, two, plain = i < 30, 30 <= i < 600, 600 <= i < 1170, 1170 <= i < 1240
+        values += [1] * (both or one) + [2] * (both or two) + [3] * plain + (4 + rng.choice(40, 3, replace=False)).tolist()
+        offsets.append(len(values))
+        labels.append(float(both or plain))
+    p = toxicity.Params(bits=8, epochs=40)
+    values, offsets, labels = np.array(values), np.array(offsets), np.array(labels)
+    prob = toxicity.probabilities(toxicity.fit(values, offsets, labels, p), values, offsets)
+    assert (prob[:30] > 0.5).all() and ((prob > 0.5) == (labels > 0)).mean() > 0.99
+
+
 def test_toxicity_of_edge_cases(spark):
     df = docs(spark, EDGE, extra=True)
     labels = spark.createDataFrame([(0, 1, 1), (3, 1, 0), (None, 1, 1), (6, None, None), (0, 1, 1)], "doc_id bigint, quality int, toxic int")

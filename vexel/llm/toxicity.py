@@ -19,7 +19,8 @@ class Params:
     """``sample`` bounds the labelled rows that are fitted (those with the least hash of doc_id) and ``sample_chars`` their length.
 
     Terms enter the fit if ``least`` labelled documents have them and their share of toxic ones is ``z`` standard
-    deviations from the share of all.
+    deviations from the share of all, or if a pair that they form is in ``pair_least`` labelled documents, whose share of
+    toxic ones is ``pair_z`` standard deviations from what the shares of both terms add up to.
     """
 
     bits: int = 18
@@ -30,12 +31,16 @@ class Params:
     decay: float = 1e-5
     least: int = 3
     z: float = 3.0
+    pair_least: int = 5
+    pair_z: float = 6.0
     sample: int = 20_000
     sample_chars: int = 50_000
     seed: int = 7
     threshold: float = 0.7
 
 
+#: Terms of partners that are counted at once.
+COUNTED = 1 << 20
 #: (bias, weight of each term, factors of each term)
 Model = tuple[float, np.ndarray, np.ndarray]
 
@@ -57,53 +62,102 @@ def probabilities(model: Model, values: np.ndarray, offsets: np.ndarray) -> np.n
 
 
 def telling(values: np.ndarray, offsets: np.ndarray, labels: np.ndarray, p: Params) -> np.ndarray:
-    """Which terms stand out between the labels."""
+    """Which terms stand out between the labels, alone or together with another."""
     size, owner = 1 << p.bits, np.repeat(np.arange(len(labels)), np.diff(offsets))
     toxic, seen = np.bincount(values, labels[owner], size), np.bincount(values, minlength=size)
-    share = labels.mean()
+    share = labels.mean() if len(labels) else 0.5
     expected = seen * share
-    return (seen >= p.least) & (np.abs(toxic - expected) > p.z * np.sqrt(np.maximum(expected * (1 - share), 1e-9)))
+    alone = (seen >= p.least) & (np.abs(toxic - expected) > p.z * np.sqrt(np.maximum(expected * (1 - share), 1e-9)))
+    if not 0 < share < 1:
+        return alone
+    return alone | interacting(values, offsets, labels, toxic, seen, alone, p)
+
+
+def interacting(values: np.ndarray, offsets: np.ndarray, labels: np.ndarray, toxic: np.ndarray, seen: np.ndarray, alone: np.ndarray, p: Params) -> np.ndarray:
+    """Which of the terms that aren't telling ``alone`` form a pair whose share of toxic documents its terms don't explain.
+
+    All pairs are counted, those of one term at a time.
+    """
+    found = np.zeros(len(seen), bool)
+    terms = np.flatnonzero(seen >= p.pair_least)
+    place = np.full(len(seen), -1, np.int32)
+    place[terms] = np.arange(len(terms))
+    values = place[values]
+    kept = values >= 0
+    offsets = np.r_[0, np.cumsum(kept)][offsets]
+    values = values[kept]
+    docs = np.repeat(np.arange(len(labels)), np.diff(offsets))[np.argsort(values, kind="stable")]
+    stops = np.cumsum(np.bincount(values, minlength=len(terms)))
+    share = labels.mean()
+    own = (toxic[terms] + share) / (seen[terms] + 1)
+    pull = np.log(own / (1 - own)) - np.log(share / (1 - share))
+
+    def partners(some: np.ndarray) -> np.ndarray:
+        """How many of some documents have each term."""
+        out = np.zeros(len(terms), np.int64)
+        ends = np.cumsum(offsets[some + 1] - offsets[some])
+        at = 0
+        while at < len(some):
+            upto = max(at + 1, int(np.searchsorted(ends, COUNTED + (ends[at - 1] if at else 0), side="right")))
+            out += np.bincount(np.concatenate([values[offsets[d]:offsets[d + 1]] for d in some[at:upto]]), minlength=len(terms))
+            at = upto
+        return out
+
+    for i in np.flatnonzero(~alone[terms]):
+        some = docs[stops[i - 1] if i else 0:stops[i]]
+        both = partners(some)
+        both[i] = 0
+        other = np.flatnonzero(both >= p.pair_least)
+        bad = partners(some[labels[some] > 0])[other]
+        chance = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + pull[i] + pull[other])))
+        expected = both[other] * chance
+        found[terms[i]] = (np.abs(bad - expected) > p.pair_z * np.sqrt(expected * (1 - chance))).any()
+    return found
 
 
 def fit(values: np.ndarray, offsets: np.ndarray, labels: np.ndarray, p: Params) -> Model:
-    """AdaGrad over minibatches of documents. Terms that say nothing of the label keep weight zero."""
+    """AdaGrad over minibatches of documents. Terms that say nothing of the label, alone or in a pair, keep weight zero."""
     rng = np.random.default_rng(p.seed)
     size = 1 << p.bits
-    told = telling(values, offsets, labels, p)
-    w, v = np.zeros(size), rng.normal(0, 0.01, (size, p.rank)) * told[:, None]
-    kept = told[values]
+    terms = np.flatnonzero(telling(values, offsets, labels, p))
+    place = np.full(size, -1)
+    place[terms] = np.arange(len(terms))
+    values = place[values]
+    kept = values >= 0
     offsets = np.r_[0, np.cumsum(kept)][offsets]
     values = values[kept]
-    gw, gv = np.full(size, 1e-3), np.full((size, p.rank), 1e-2)
+    # Column 0 is the weight, the others are the factors.
+    x = np.zeros((p.rank + 1, len(terms)))
+    x[1:] = rng.normal(0, 0.01, (p.rank, len(terms)))
+    g = np.full(x.shape, 1e-2)
+    g[0] = 1e-3
+    rates = np.r_[p.rate, np.full(p.rank, 0.3 * p.rate)]
     share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
     bias, gb = float(np.log(share / (1 - share))), 1e-2
     docs = len(labels)
     for _ in range(p.epochs):
         for batch in np.array_split(rng.permutation(docs), max(1, docs // 64)):
-            rows = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in batch]) if len(batch) else np.zeros(0, np.int64)
-            owner = np.repeat(np.arange(len(batch)), offsets[batch + 1] - offsets[batch])
-            t = values[rows]
-            n = np.maximum(1, np.bincount(owner, minlength=len(batch)))
-            vt = v[t]
-            sums = np.zeros((len(batch), p.rank))
-            np.add.at(sums, owner, vt)
-            squares = np.zeros((len(batch), p.rank))
-            np.add.at(squares, owner, vt ** 2)
-            logit = bias + np.bincount(owner, w[t], len(batch)) + 0.5 * (sums ** 2 - squares).sum(axis=1) / np.sqrt(n)
+            count = offsets[batch + 1] - offsets[batch]
+            begin = np.cumsum(count) - count
+            owner = np.repeat(np.arange(len(batch)), count)
+            t = values[np.arange(len(owner)) + (offsets[batch] - begin)[owner]]
+            n = np.sqrt(np.maximum(1, count))
+            vt = x[1:, t]
+            sums = np.stack([np.bincount(owner, c, len(batch)) for c in vt])
+            squares = np.bincount(owner, (vt ** 2).sum(axis=0), len(batch))
+            logit = bias + np.bincount(owner, x[0, t], len(batch)) + 0.5 * ((sums ** 2).sum(axis=0) - squares) / n
             err = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[batch]
-            unique, place = np.unique(t, return_inverse=True)
-            dw = np.bincount(place, err[owner], len(unique)) / len(batch) + p.decay * w[unique]
-            dv = np.zeros((len(unique), p.rank))
-            np.add.at(dv, place, (err / np.sqrt(n))[owner, None] * (sums[owner] - vt) / len(batch))
-            dv += p.decay * v[unique]
+            seen = np.flatnonzero(np.bincount(t, minlength=len(terms)))
+            step = (err / n / len(batch))[owner] * (sums[:, owner] - vt)
+            d = np.stack([np.bincount(t, c, len(terms))[seen] for c in [(err / len(batch))[owner], *step]]) + p.decay * x[:, seen]
             db = err.mean()
-            gw[unique] += dw ** 2
-            gv[unique] += dv ** 2
+            g[:, seen] += d ** 2
             gb += db ** 2
-            w[unique] -= p.rate * dw / np.sqrt(gw[unique])
-            v[unique] -= 0.3 * p.rate * dv / np.sqrt(gv[unique])
+            x[:, seen] -= rates[:, None] * d / np.sqrt(g[:, seen])
             bias -= p.rate * db / np.sqrt(gb)
-    return bias, w.astype(np.float32), v.astype(np.float32)
+    w, v = np.zeros(size, np.float32), np.zeros((size, p.rank), np.float32)
+    w[terms], v[terms] = x[0], x[1:].T
+    return bias, w, v
 
 
 def held_out(doc_id: Column) -> Column:
