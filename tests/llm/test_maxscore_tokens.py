@@ -68,3 +68,17 @@ def test_grammar_round_trip(kind):
     if len(block.rules):
         alone = repair.expansion_lengths(block.rules, block.rounds)
         assert [len(repair.expand(np.array([repair.FIRST_RULE + r], np.uint32), block.rules, block.rounds)) for r in range(0, len(block.rules), 50)] == alone[::50].tolist()
+
+
+@pytest.mark.parametrize("kind", ["words", "nested", "one", "pairs"])
+def test_no_frequent_pair_is_left(kind):
+    rng = np.random.default_rng(3)
+    ids = {"words": np.r_[rng.zipf(1.3, 60_000) % 5000, rng.integers(0, 40_000, 60_000)], "nested": np.tile(np.arange(10, 1034), 40), "one": np.full(10_001, 7), "pairs": np.tile([5, 6, 5, 6, 2], 3_000)}[kind].astype(np.uint32)
+    seq, rules, rounds = repair.compress(ids)
+    assert np.array_equal(repair.expand(seq, rules, rounds), ids) and not (rules == repair.END).any()
+    count, at = {}, {}
+    for i, pair in enumerate(zip(seq[:-1].tolist(), seq[1:].tolist())):
+        if repair.END not in pair and at.get(pair) != i - 1:  # occurrences that don't overlap
+            count[pair], at[pair] = count.get(pair, 0) + 1, i
+    assert max(count.values(), default=0) < repair.LEAST
+    assert set(range(repair.FIRST_RULE, repair.FIRST_RULE + len(rules))) <= set(seq.tolist()) | set(rules.ravel().tolist())

@@ -31,9 +31,8 @@ from vexel.llm.common import scratch_dir
 END, FIRST_RULE = 2, 1 << 16
 #: Tokens of a block, a little more where the last document passes them.
 BLOCK_TOKENS = 1 << 17
-#: Rounds of replacement, pairs replaced in one, the least count of a pair, and the share of symbols that a round must save for another to follow.
-ROUNDS, PAIRS, LEAST, GAIN = 6, 4096, 8, 0.1
-SLOT_BITS = 17
+#: Pairs replaced in one round, and the least count of a pair.
+PAIRS, LEAST = 4096, 8
 MAGIC = b"RPB1"
 #: Documents encoded together, and chunks of text whose ids a worker remembers.
 DOCS = 1000
@@ -138,43 +137,50 @@ def worker_encoder(path: str) -> Encoder:
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """(sequence, rules, first rule of each round): frequent pairs become nonterminals FIRST_RULE + i, rules[i] = (left, right).
 
-    A round counts pairs in hashed slots, takes the most frequent ones that own their slot, and replaces their
-    occurrences from left to right; of overlapping ones, every second. No pair holds END, so that no rule spans documents.
+    A round counts all pairs, takes the most frequent ones, and replaces their occurrences from left to right; of overlapping
+    ones, every second. Rounds go on until no pair occurs LEAST times. No pair holds END, so that no rule spans documents.
     """
     seq, rules, rounds = ids.astype(np.uint32), [], []
     made = 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         left, right = seq[:-1], seq[1:]
-        slot = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - SLOT_BITS)
-        pair = (left.astype(np.uint64) << np.uint64(32)) | right
-        owner = np.zeros(1 << SLOT_BITS, np.uint64)
-        owner[slot] = pair  # one pair of those in a slot owns it
-        counts = np.bincount(slot, minlength=1 << SLOT_BITS)
+        inside = np.flatnonzero((left != END) & (right != END))
+        pairs = (left[inside].astype(np.uint64) << np.uint64(32)) | right[inside]
+        # Of a run of one symbol, every second pair can be replaced.
+        same = left[inside] == right[inside]
+        new_run = np.r_[True, (np.diff(inside) != 1) | (pairs[1:] != pairs[:-1])] if len(pairs) else np.zeros(0, bool)
+        starts = np.flatnonzero(new_run)
+        odd = (np.arange(len(pairs)) - starts[np.cumsum(new_run) - 1]) % 2 == 1 if len(pairs) else same
+        free = ~(same & odd)
+        inside, pairs = inside[free], pairs[free]
+        kinds, which, counts = np.unique(pairs, return_inverse=True, return_counts=True)
         frequent = np.flatnonzero(counts >= LEAST)
         if not len(frequent):
             break
         top = frequent[np.argsort(-counts[frequent], kind="stable")[:PAIRS]]
-        number = np.full(1 << SLOT_BITS, -1, np.int32)
+        number = np.full(len(kinds), -1, np.int64)
         number[top] = np.arange(len(top))
-        at = np.flatnonzero((number[slot] >= 0) & (left != END) & (right != END))
-        at = at[owner[slot[at]] == pair[at]]
-        if not len(at):
-            break
+        chosen = number[which] >= 0
+        at, rule = inside[chosen], number[which[chosen]]
         new_run = np.r_[True, np.diff(at) != 1]
         run_start = at[new_run][np.cumsum(new_run) - 1]
-        at = at[(at - run_start) % 2 == 0]
-        before = len(seq)
+        taken = (at - run_start) % 2 == 0
+        at, rule = at[taken], rule[taken]
+        # Where overlapping pairs leave one too few occurrences, it waits; the most frequent one alone loses none.
+        uses = np.bincount(rule, minlength=len(top)) >= LEAST
+        if uses.any():
+            at, rule = at[uses[rule]], rule[uses[rule]]
+        else:
+            at = inside[which == top[0]]
+            rule = np.zeros(len(at), np.int64)
+        used, rule = np.unique(rule, return_inverse=True)
         rounds.append(made)
-        rules.append(np.stack([owner[top] >> np.uint64(32), owner[top] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        rules.append(np.stack([kinds[top[used]] >> np.uint64(32), kinds[top[used]] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         replaced = seq.copy()
-        replaced[at] = (FIRST_RULE + made + number[slot[at]]).astype(np.uint32)
+        replaced[at] = (FIRST_RULE + made + rule).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, made = replaced[keep], made + len(top)
-        if before - len(seq) < GAIN * before:
-            break
+        seq, made = replaced[keep], made + len(used)
     return seq, (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), rounds
 
 
