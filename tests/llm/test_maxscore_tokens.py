@@ -41,44 +41,113 @@ def test_top_k_of_few_rows(spark):
 TEXTS = EDGE + [" lead", "two  spaces", "a \n b", "x  y", "it's  'll", "\n\n a\n\n  b", "a\x1c b", "<|endoftext|> x", "end ", "naïve,, words!? Words, words."]
 
 
-def test_tokens_come_back(spark):
-    t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
-    rows = {r.doc_id: r for r in repair.token_digest(docs(spark, TEXTS, extra=True).repartition(3), TOKENIZER).collect()}
-    start = 0
-    for i, text in enumerate(TEXTS):
+def want_digest(texts):
+    t, start, out = Tokenizer.from_file(TOKENIZER), 0, []
+    for text in texts:
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
-        assert (rows[i].start, rows[i].n_tokens, rows[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        out.append((start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
+    return out
+
+
+def test_tokens_come_back(spark):
+    rows = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in repair.token_digest(docs(spark, TEXTS, extra=True).repartition(3), TOKENIZER).collect()}
+    assert [rows[i] for i in range(len(TEXTS))] == want_digest(TEXTS)
     assert repair.token_digest(docs(spark, TEXTS).limit(0), TOKENIZER).count() == 0
 
 
-@pytest.mark.parametrize("kind", ["words", "one", "pairs", "none"])
-def test_grammar_round_trip(kind):
-    rng = np.random.default_rng(0)
-    ids = {"words": rng.zipf(1.3, 50_000) % 5000, "one": np.full(10_001, 7), "pairs": np.tile([5, 6, 5, 6, 2], 3_000), "none": np.zeros(0, int)}[kind].astype(np.uint32)
-    tokens = np.full(len(ids) // 100, 100, np.uint32)
+def test_tokens_of_equal_keys(spark):
+    """Null and repeated doc_ids: nulls come first, and a key of most rows is dealt out to several partitions."""
+    rows = [(None, "b"), (5, "c d")] + [(3, "the same text")] * 400 + [(3, "another"), (None, None)]
+    got = repair.token_digest(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), TOKENIZER).collect()
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in got)
+    ids = {text: want_digest([text])[0][1:] for _, text in rows}
+    assert sorted([(r[1] is not None, r[1] or 0, *r[2:]) for r in got]) == sorted((i is not None, i or 0, *ids[t]) for i, t in rows)
+    start = 0
+    for r in got:
+        assert r[0] == start
+        start += r[2]
+    order = [(r[1] is not None, r[1] or 0) for r in got]
+    assert order == sorted(order)
+
+
+def sample_ids(kind):
+    rng = np.random.default_rng(3)
+    ids = {"words": np.r_[rng.zipf(1.3, 60_000) % 5000, rng.integers(0, 40_000, 60_000)], "nested": np.tile(np.arange(10, 1034), 40), "one": np.full(10_001, 7),
+           "pairs": np.tile([5, 6, 5, 6, 2], 3_000), "wide": np.tile(np.arange(60_000, 100_000), 9), "none": np.zeros(0, int)}[kind].astype(np.uint32)
+    tokens = np.full(len(ids) // 100, 100)
     ids = ids[:100 * len(tokens)]
-    if len(ids):
-        ids[99::100] = repair.END
+    ids[99::100] = repair.END
+    return ids, tokens
+
+
+KINDS = ["words", "nested", "one", "pairs", "wide", "none"]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_grammar_round_trip(kind):
+    ids, tokens = sample_ids(kind)
     block = repair.Block.parse(repair.pack(ids, tokens))
     assert np.array_equal(block.ids(), ids)
     for i in range(0, len(tokens), 7):
         assert np.array_equal(block.document(i), ids[100 * i:100 * i + 100])
-    if len(block.rules):
-        alone = repair.expansion_lengths(block.rules, block.rounds)
-        assert [len(repair.expand(np.array([repair.FIRST_RULE + r], np.uint32), block.rules, block.rounds)) for r in range(0, len(block.rules), 50)] == alone[::50].tolist()
+    first = len(block.terminals) + 1
+    assert [len(block.expand(np.array([first + r]))) for r in range(0, len(block.rules), 50)] == block.lengths[::50].tolist()
 
 
-@pytest.mark.parametrize("kind", ["words", "nested", "one", "pairs"])
-def test_no_frequent_pair_is_left(kind):
-    rng = np.random.default_rng(3)
-    ids = {"words": np.r_[rng.zipf(1.3, 60_000) % 5000, rng.integers(0, 40_000, 60_000)], "nested": np.tile(np.arange(10, 1034), 40), "one": np.full(10_001, 7), "pairs": np.tile([5, 6, 5, 6, 2], 3_000)}[kind].astype(np.uint32)
-    seq, rules, rounds = repair.compress(ids)
-    assert np.array_equal(repair.expand(seq, rules, rounds), ids) and not (rules == repair.END).any()
+def counted(seq):
+    """The pairs of a sequence without END, of overlapping occurrences of a run every second."""
     count, at = {}, {}
-    for i, pair in enumerate(zip(seq[:-1].tolist(), seq[1:].tolist())):
-        if repair.END not in pair and at.get(pair) != i - 1:  # occurrences that don't overlap
+    for i, pair in enumerate(zip(seq[:-1], seq[1:])):
+        if 0 not in pair and at.get(pair) != i - 1:
             count[pair], at[pair] = count.get(pair, 0) + 1, i
-    assert max(count.values(), default=0) < repair.LEAST
-    assert set(range(repair.FIRST_RULE, repair.FIRST_RULE + len(rules))) <= set(seq.tolist()) | set(rules.ravel().tolist())
+    return count
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_rules_stand_for_frequent_pairs(kind):
+    """Against a plain loop: rules are applied a round at a time, each must be frequent before its round, and none is left after the last."""
+    ids, _ = sample_ids(kind)
+    terminals, seq, rules, rounds = repair.compress(ids)
+    first = len(terminals) + 1
+    number = {repair.END: 0} | {int(t): i + 1 for i, t in enumerate(terminals)}
+    now = [number[int(i)] for i in ids]
+    for at, stop in zip(rounds, [*rounds[1:], first + len(rules)]):
+        count = counted(now)
+        pairs = [tuple(r) for r in rules[at - first:stop - first].tolist()]
+        assert min(count[p] for p in pairs) >= repair.LEAST and count[pairs[0]] == max(count.values())
+        now = replaced(now, pairs, at)
+        uses = np.bincount([s for s in now if s >= at], minlength=stop)[at:]
+        assert uses.min() >= repair.LEAST
+    assert now == seq.tolist() and max(counted(now).values(), default=0) < repair.LEAST
+
+
+def replaced(seq, pairs, symbols):
+    """One round: of overlapping frequent pairs the more frequent one is replaced, if ``pairs`` has it."""
+    count, order = counted(seq), {}
+    frequent = sorted((p for p in count if count[p] >= repair.LEAST), key=lambda p: (-count[p], p))
+    order = {p: i for i, p in enumerate(frequent)}
+    at, place = {}, {}
+    for i, pair in enumerate(zip(seq[:-1], seq[1:])):
+        if pair in order and at.get(pair) != i - 1:
+            at[pair], place[i] = i, order[pair]
+    number = {p: symbols + n for n, p in enumerate(pairs)}
+    out, i = [], 0
+    alone = len(pairs) == 1
+    while i < len(seq):
+        pair = tuple(seq[i:i + 2])
+        wins = i in place and (alone or place.get(i - 1, len(order)) > place[i] and place.get(i + 1, len(order)) >= place[i])
+        if wins and pair in number:
+            out.append(number[pair])
+            i += 2
+        else:
+            out.append(seq[i])
+            i += 1
+    return out
+
+
+def test_blocks_are_smaller_than_their_ids(spark):
+    encoder = repair.Encoder(TOKENIZER)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    ids = np.concatenate([np.frombuffer(x + encoder.end, encoder.unit) for x in encoder.encode([t or "" for t in texts])])[:repair.BLOCK_TOKENS]
+    assert len(repair.pack(ids, np.array([len(ids)]))) < 0.8 * 2 * len(ids)

@@ -1,8 +1,9 @@
 """Token ids in Re-Pair compressed blocks.
 
-Documents are tokenized in ascending doc_id order and gathered into blocks. In each block, frequent pairs of ids are
-replaced by nonterminals, round after round. A block stores its rules with the lengths they expand to, so that any
-document of it can be decoded alone.
+Documents are tokenized where they are read, dealt out in ascending doc_id order, and gathered into blocks, which are
+the shards of the grammar. In each block, pairs of symbols are replaced by nonterminals, the most frequent ones first,
+until no pair is frequent. A block stores its rules with the lengths they expand to, so that any document of it can be
+decoded alone.
 """
 
 from __future__ import annotations
@@ -14,29 +15,31 @@ import sys
 import types
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vexel.llm.common import scratch_dir
 
-#: The id that ends each document, and the first id of the nonterminals.
-END, FIRST_RULE = 2, 1 << 16
+#: The id that ends each document.
+END = 2
 #: Tokens of a block, a little more where the last document passes them.
 BLOCK_TOKENS = 1 << 17
-#: Pairs replaced in one round, and the least count of a pair.
-PAIRS, LEAST = 4096, 8
-MAGIC = b"RPB1"
-#: Documents encoded together, and chunks of text whose ids a worker remembers.
+#: The least count of a pair: a rule takes the place of some three symbols.
+LEAST = 8
+MAGIC = b"RPB2"
+#: Documents encoded together, chunks of text whose ids a worker remembers, and the length up to which it does.
 DOCS = 1000
-REMEMBERED = 600_000
+REMEMBERED, LONGEST = 600_000, 40
+#: Sampled keys a partition by which the order of doc_id is cut into partitions.
+SAMPLED = 60
 
 
 class Encoder:
@@ -44,7 +47,7 @@ class Encoder:
 
     Only a space that is followed by another kind of character than white space starts a chunk; a text with other
     runs of white space is encoded in one piece. Letters and the punctuation after them are never joined either, so a
-    chunk of both is put together from its parts. Strings of special tokens are ordinary text.
+    chunk of both is put together from its parts. Texts that hold the string of an added token are encoded in one piece.
     """
 
     #: A space and then another white-space character.
@@ -56,15 +59,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}  # of chunks that a space precedes
         self.heads: dict[str, bytes] = {}  # of what begins a text or follows letters
         vocabulary = self.tokenizer.get_vocab()
+        self.unit = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
+        self.end = np.array([END], self.unit).tobytes()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the sign that byte-level BPE has for a space
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.unit).tobytes()
 
     def learn(self, chunks: set[str]) -> None:
         """Adds chunks, encoding many at once."""
@@ -80,12 +85,12 @@ class Encoder:
         plain.extend(stems)
         for at in range(0, len(plain), DOCS):
             some = plain[at:at + DOCS]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.unit)
             # Chunks hold no space, so each begins at a token that does.
             cuts = np.flatnonzero(self.spaced[ids])
             if len(cuts) != len(some):
                 raise ValueError("the tokenizer joins a space with what precedes it")
-            raw, edges = ids.tobytes(), (4 * np.append(cuts, len(ids))).tolist()
+            raw, edges = ids.tobytes(), (ids.itemsize * np.append(cuts, len(ids))).tolist()
             self.known.update(zip(some, [raw[a:b] for a, b in zip(edges, edges[1:])]))
         for c, stem, marks in parts:
             self.known[c] = self.known[stem] + self.head(marks)
@@ -94,16 +99,16 @@ class Encoder:
         ids = self.heads.get(text)
         if ids is None:
             ids = self.ids(text)
-            if len(self.heads) < REMEMBERED // 8:
+            if len(self.heads) < REMEMBERED // 8 and len(text) <= LONGEST:
                 self.heads[text] = ids
         return ids
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian integers of the type ``unit``."""
         before, get = len(self.known), self.known.get
         found, missing, open_ = [], set(), []
         for text in texts:
-            if not text or text[0] == " " or text[-1] == " " or self.RUNS.search(text):
+            if not text or text[0] == " " or text[-1] == " " or self.RUNS.search(text) or any(a in text for a in self.added):
                 found.append([self.ids(text) if text else b""])
                 continue
             chunks = text.split(" ")
@@ -121,164 +126,271 @@ class Encoder:
                 ids[i] = self.known[c]
         for ids in found:
             yield b"".join(ids)
+        for c in missing:
+            if len(c) > LONGEST:
+                self.known.pop(c, None)
         if len(self.known) > REMEMBERED:
             for c in list(islice(reversed(self.known), len(self.known) - max(before, REMEMBERED // 2))):
                 del self.known[c]
 
 
+def kept() -> types.ModuleType:
+    """What a Python worker keeps between its tasks."""
+    return sys.modules.setdefault("_vexel_kept", types.ModuleType("_vexel_kept"))
+
+
 def worker_encoder(path: str) -> Encoder:
-    """The encoder that a Python worker keeps between its tasks, so that it needn't learn the same chunks again."""
-    kept = sys.modules.setdefault("_vexel_kept", types.ModuleType("_vexel_kept"))
-    if getattr(kept, "path", None) != path:
-        kept.path, kept.encoder = path, Encoder(path)
-    return kept.encoder
+    """The encoder that a worker keeps, so that it needn't learn the same chunks again."""
+    here = kept()
+    if getattr(here, "path", None) != path:
+        here.path, here.encoder = path, Encoder(path)
+    return here.encoder
+
+
+def forget_encoder() -> None:
+    """Frees the memory of a worker whose later tasks encode nothing."""
+    vars(kept()).pop("encoder", None)
+    vars(kept()).pop("path", None)
 
 
-def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(sequence, rules, first rule of each round): frequent pairs become nonterminals FIRST_RULE + i, rules[i] = (left, right).
+def by_code(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted codes, and the places they come from; equal codes keep their order."""
+    bits = max(1, (len(codes) - 1).bit_length())
+    if int(codes.max()).bit_length() + bits > 64:
+        order = np.argsort(codes, kind="stable")
+        return codes[order], order
+    packed = codes.astype(np.uint64)
+    packed <<= np.uint64(bits)
+    packed |= np.arange(len(codes), dtype=np.uint64)
+    packed.sort()
+    return packed >> np.uint64(bits), (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
 
-    A round counts all pairs, takes the most frequent ones, and replaces their occurrences from left to right; of overlapping
-    ones, every second. Rounds go on until no pair occurs LEAST times. No pair holds END, so that no rule spans documents.
+
+def frequent_pairs(seq: np.ndarray, at: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(places, rank of the pair there, codes of the pairs by rank) of the pairs at ``at`` that occur LEAST times, most frequent first.
+
+    A pair's code is left * symbols + right. Of a run of one symbol, every second pair counts. None if no pair is frequent.
+    """
+    left, right = seq[at], seq[at + 1]
+    same = np.flatnonzero(left == right)
+    if len(same):
+        where = at[same]
+        run = np.flatnonzero(np.r_[True, np.diff(where) != 1])
+        odd = (np.arange(len(where)) - np.repeat(run, np.diff(np.r_[run, len(where)]))) % 2 == 1
+        if odd.any():
+            keep = np.ones(len(at), bool)
+            keep[same[odd]] = False
+            at, left, right = at[keep], left[keep], right[keep]
+    kind = np.uint32 if symbols <= 1 << 16 else np.uint64
+    codes = left.astype(kind) * kind(symbols) + right.astype(kind)
+    # Counts by hashed slots are never too low, so what they leave out needn't be sorted.
+    bits = len(codes).bit_length()
+    slot = (codes * kind(0x9E3779B1) >> kind(8 * codes.itemsize - bits)).astype(np.int64)
+    often = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= LEAST)[slot])
+    if not len(often):
+        return None
+    pairs, order = by_code(codes[often])
+    first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+    counts = np.diff(np.r_[first, len(pairs)])
+    frequent = np.flatnonzero(counts >= LEAST)
+    if not len(frequent):
+        return None
+    frequent = frequent[np.argsort(-counts[frequent], kind="stable")]
+    rank = np.full(len(counts), -1, np.int32)
+    rank[frequent] = np.arange(len(frequent))
+    rank_at = np.empty(len(pairs), np.int32)
+    rank_at[order] = np.repeat(rank, counts)
+    chosen = np.flatnonzero(rank_at >= 0)
+    return at[often[chosen]], rank_at[chosen], pairs[first[frequent]]
+
+
+def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(terminals, sequence, rules, first symbol of each round) of one block.
+
+    Symbol 0 is END, then come the terminals and then the rules (left, right). A round counts all pairs exactly. Where
+    frequent pairs overlap, the more frequent one is replaced, of equally frequent ones the first in order; a pair that
+    is left too few occurrences waits for the next round. Rounds go on until no pair occurs LEAST times. No pair holds
+    END, so that no rule spans documents.
     """
-    seq, rules, rounds = ids.astype(np.uint32), [], []
-    made = 0
-    while len(seq) > 1:
-        left, right = seq[:-1], seq[1:]
-        inside = np.flatnonzero((left != END) & (right != END))
-        pairs = (left[inside].astype(np.uint64) << np.uint64(32)) | right[inside]
-        # Of a run of one symbol, every second pair can be replaced.
-        same = left[inside] == right[inside]
-        new_run = np.r_[True, (np.diff(inside) != 1) | (pairs[1:] != pairs[:-1])] if len(pairs) else np.zeros(0, bool)
-        starts = np.flatnonzero(new_run)
-        odd = (np.arange(len(pairs)) - starts[np.cumsum(new_run) - 1]) % 2 == 1 if len(pairs) else same
-        free = ~(same & odd)
-        inside, pairs = inside[free], pairs[free]
-        kinds, which, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-        frequent = np.flatnonzero(counts >= LEAST)
-        if not len(frequent):
-            break
-        top = frequent[np.argsort(-counts[frequent], kind="stable")[:PAIRS]]
-        number = np.full(len(kinds), -1, np.int64)
-        number[top] = np.arange(len(top))
-        chosen = number[which] >= 0
-        at, rule = inside[chosen], number[which[chosen]]
-        new_run = np.r_[True, np.diff(at) != 1]
-        run_start = at[new_run][np.cumsum(new_run) - 1]
-        taken = (at - run_start) % 2 == 0
-        at, rule = at[taken], rule[taken]
-        # Where overlapping pairs leave one too few occurrences, it waits; the most frequent one alone loses none.
-        uses = np.bincount(rule, minlength=len(top)) >= LEAST
-        if uses.any():
-            at, rule = at[uses[rule]], rule[uses[rule]]
-        else:
-            at = inside[which == top[0]]
-            rule = np.zeros(len(at), np.int64)
-        used, rule = np.unique(rule, return_inverse=True)
-        rounds.append(made)
-        rules.append(np.stack([kinds[top[used]] >> np.uint64(32), kinds[top[used]] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        replaced = seq.copy()
-        replaced[at] = (FIRST_RULE + made + rule).astype(np.uint32)
+    used = np.zeros(max(END, int(ids.max(initial=0))) + 1, bool)
+    used[ids] = True
+    used[END] = False
+    terminals = np.flatnonzero(used)
+    number = np.zeros(len(used), np.int32)
+    number[terminals] = np.arange(1, len(terminals) + 1)
+    seq, symbols, rules, rounds = number[ids], len(terminals) + 1, [], []
+    at = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0)).astype(np.int32)
+    while len(at) and (found := frequent_pairs(seq, at, symbols)):
+        at, rank, pairs = found
+        touch, before = at[1:] - at[:-1] == 1, rank[:-1] <= rank[1:]
+        wins = np.ones(len(at), bool)
+        wins[1:] &= ~(touch & before)
+        wins[:-1] &= ~(touch & ~before)
+        good = np.bincount(rank[wins], minlength=len(pairs)) >= LEAST
+        if not good.any():  # the most frequent pair alone loses no occurrence
+            good[0], wins = True, rank == 0
+        taken = wins & good[rank]
+        spot, chosen = at[taken], pairs[good].astype(np.int64)
+        rounds.append(symbols)
+        rules.append(np.stack([chosen // symbols, chosen % symbols], axis=1))
+        seq[spot] = (symbols - 1 + np.cumsum(good))[rank[taken]]
         keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, made = replaced[keep], made + len(used)
-    return seq, (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), rounds
+        keep[spot + 1] = False
+        # What can be frequent in the next round was so in this one, or holds a new symbol.
+        open_ = np.zeros(len(seq), bool)
+        open_[at] = True
+        moved = np.cumsum(keep, dtype=np.int32)[spot] - 1
+        seq, open_, symbols = seq[keep], open_[keep], symbols + len(chosen)
+        open_[moved] = True
+        open_[moved[moved > 0] - 1] = True
+        at = np.flatnonzero(open_[:-1] & (seq[:-1] > 0) & (seq[1:] > 0)).astype(np.int32)
+    return terminals, seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), rounds
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, rounds: list[int]) -> np.ndarray:
-    """The ids of a sequence: rounds are undone from the last to the first."""
-    for first in reversed(rounds):
-        rule = seq >= FIRST_RULE + first
-        at = np.flatnonzero(rule)
-        which = seq[at] - FIRST_RULE
-        seq = np.repeat(seq, rule.astype(np.int64) + 1)
-        at += np.arange(len(at))  # each rule before moves it by one
-        seq[at], seq[at + 1] = rules[which, 0], rules[which, 1]
-    return seq
+def expansion_lengths(rules: np.ndarray, first: int, rounds: list[int]) -> np.ndarray:
+    """How many ids each rule stands for; ``first`` is the number of the first rule."""
+    lengths = np.ones(first + len(rules), np.int64)
+    for at, stop in zip(rounds, [*rounds[1:], len(lengths)]):
+        lengths[at:stop] = lengths[rules[at - first:stop - first]].sum(axis=1)
+    return lengths[first:]
 
 
-def expansion_lengths(rules: np.ndarray, rounds: list[int]) -> np.ndarray:
-    lengths = np.ones(FIRST_RULE + len(rules), np.uint32)
-    for first, stop in zip(rounds, [*rounds[1:], len(rules)]):
-        lengths[FIRST_RULE + first:FIRST_RULE + stop] = lengths[rules[first:stop]].sum(axis=1)
-    return lengths[FIRST_RULE:]
+def stretches(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[i], ..., starts[i] + lengths[i] - 1 of every i, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+#: A block's header: documents, terminals, rules, rounds, symbols, and the bytes of an id, a symbol, and a length.
+HEADER = "<4s8I"
 
 
 def pack(ids: np.ndarray, tokens: np.ndarray) -> bytes:
-    """A block: header, tokens of each document, rounds, rules, their expansion lengths, and the sequence by planes of bytes."""
-    seq, rules, rounds = compress(ids)
-    lengths = expansion_lengths(rules, rounds)
-    planes = seq.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3]
-    head = MAGIC + struct.pack("<5I", len(tokens), len(ids), len(rounds), len(rules), len(seq))
-    return b"".join([head, tokens.astype("<u4").tobytes(), np.array(rounds, "<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), np.ascontiguousarray(planes).tobytes()])
+    """A block: header, tokens of each document, rounds, terminals, rules, their expansion lengths, and the sequence."""
+    terminals, seq, rules, rounds = compress(ids)
+    lengths = expansion_lengths(rules, len(terminals) + 1, rounds)
+
+    def width(most: int) -> int:
+        return 2 if most < 1 << 16 else 4
+
+    wide = [width(int(terminals.max(initial=0))), width(len(terminals) + len(rules)), width(int(lengths.max(initial=0)))]
+    head = struct.pack(HEADER, MAGIC, len(tokens), len(terminals), len(rules), len(rounds), len(seq), *wide)
+    parts = [(tokens, 4), (np.array(rounds), 4), (terminals, wide[0]), (rules, wide[1]), (lengths, wide[2]), (seq, wide[1])]
+    return b"".join([head, *[a.astype(f"<u{w}").tobytes() for a, w in parts]])
 
 
 @dataclass
 class Block:
     tokens: np.ndarray
     rounds: list[int]
+    terminals: np.ndarray
     rules: np.ndarray
     lengths: np.ndarray
     seq: np.ndarray
 
     @classmethod
     def parse(cls, data: bytes) -> Block:
-        if data[:4] != MAGIC:
+        magic, docs, terminals, rules, rounds, symbols, of_id, of_symbol, of_length = struct.unpack_from(HEADER, data)
+        if magic != MAGIC:
             raise ValueError("not a Re-Pair block")
-        docs, _, rounds, rules, symbols = struct.unpack_from("<5I", data, 4)
-        words = np.frombuffer(data, "<u4", docs + rounds + 3 * rules, 24)
-        planes = np.frombuffer(data, np.uint8, 3 * symbols, 24 + 4 * len(words)).reshape(3, symbols).astype(np.uint32)
-        a, b = docs + rounds, docs + rounds + 2 * rules
-        return cls(words[:docs], words[docs:a].tolist(), words[a:b].reshape(-1, 2), words[b:], planes[0] | planes[1] << np.uint32(8) | planes[2] << np.uint32(16))
+        out, at = [], struct.calcsize(HEADER)
+        for n, w in ((docs, 4), (rounds, 4), (terminals, of_id), (2 * rules, of_symbol), (rules, of_length), (symbols, of_symbol)):
+            out.append(np.frombuffer(data, f"<u{w}", n, at).astype(np.int64))
+            at += n * w
+        return cls(out[0], out[1].tolist(), out[2], out[3].reshape(-1, 2), out[4], out[5])
+
+    def expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, length): symbol s stands for ids[start[s]:start[s] + length[s]]."""
+        first = len(self.terminals) + 1
+        lengths = np.r_[np.ones(first, np.int64), self.lengths]
+        starts = np.cumsum(lengths) - lengths
+        ids = np.r_[END, self.terminals, np.empty(int(self.lengths.sum()), np.int64)]
+        for at, stop in zip(self.rounds, [*self.rounds[1:], len(lengths)]):
+            parts = self.rules[at - first:stop - first].ravel()
+            ids[starts[at]:starts[stop - 1] + lengths[stop - 1]] = ids[stretches(starts[parts], lengths[parts])]
+        return ids, starts, lengths
+
+    def expand(self, seq: np.ndarray) -> np.ndarray:
+        ids, starts, lengths = self.expansions()
+        return ids[stretches(starts[seq], lengths[seq])]
 
     def ids(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.rounds)
+        return self.expand(self.seq)
 
     def document(self, i: int) -> np.ndarray:
         """The ids of one document: expansion lengths say where it lies, and only its symbols are expanded."""
-        sizes = np.ones(len(self.seq), np.int64)
-        rule = self.seq >= FIRST_RULE
-        sizes[rule] = self.lengths[self.seq[rule] - FIRST_RULE]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(np.r_[np.ones(len(self.terminals) + 1, np.int64), self.lengths][self.seq])
         stop = int(self.tokens[:i + 1].sum())
-        lo, hi = np.searchsorted(ends, [stop - int(self.tokens[i]), stop], side="right")
-        hi = int(np.searchsorted(ends, stop, side="left")) + 1
-        return expand(self.seq[lo:hi], self.rules, self.rounds)
+        lo = int(np.searchsorted(ends, stop - int(self.tokens[i]), side="right"))
+        return self.expand(self.seq[lo:int(np.searchsorted(ends, stop)) + 1])
+
+
+def key_bounds(rows: DataFrame, parts: int) -> list[tuple[bool, int, int]]:
+    """Keys (doc_id is known, doc_id, text_hash) between which the rows are dealt out to ``parts`` partitions.
+
+    They come from about SAMPLED sampled keys a partition. Which keys these are decides how even the partitions are, and
+    nothing else.
+    """
+    share = min(1.0, SAMPLED * parts / max(1, rows.count()))
+    some = rows.sample(share, 17).select("doc_id", F.xxhash64("text").alias("text_hash")).toArrow().to_pylist()
+    keys = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text_hash"]) for r in some)
+    return [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
 
 
 def write_blocks(docs: DataFrame, tokenizer: str, path: str) -> None:
     """Writes Parquet rows (part, block, n_tokens, doc_ids, payload): blocks in ascending order of doc_id, nulls first, ties by text.
 
-    ``tokenizer`` is the path of a byte-level BPE file of the tokenizers library, which every executor can open.
+    ``tokenizer`` is the path of a byte-level BPE file of the tokenizers library, which every executor can open. Texts are
+    encoded where they are read; what is shuffled are ids of two bytes (four where the vocabulary is larger). Equal
+    rows whose key is a bound of several partitions take these in turn.
     """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = spark.sparkContext.broadcast(key_bounds(rows, parts))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
-        held, doc_ids, size, block = [], [], 0, 0
-        end = np.array([END], "<u4").tobytes()
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, limits, turn = worker_encoder(tokenizer), bounds.value, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS):
+                some = batch.slice(at, DOCS)
+                ids = [x + encoder.end for x in encoder.encode(some.column(2).to_pylist())]
+                dealt = []
+                for doc_id, text_hash in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    key = (doc_id is not None, doc_id or 0, text_hash)
+                    low, high = bisect_left(limits, key), bisect_right(limits, key)
+                    dealt.append(low + turn % (high - low + 1))
+                    turn += high > low
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array(dealt, pa.int32()), pa.array([len(encoder.end)] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "text_hash", "part", "width", "ids"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoder()
+        held, doc_ids, size, part, block = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            tokens = np.array([len(x) // 4 for x in held], np.uint32)
-            payload = pack(np.frombuffer(b"".join(held), "<u4"), tokens)
+            tokens = np.array([len(x) for x in held])
+            payload = pack(np.concatenate(held), tokens)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([int(tokens.sum())], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
                 ["part", "block", "n_tokens", "doc_ids", "payload"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS):
-                some = batch.slice(at, DOCS)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
-                    held.append(ids + end)
-                    doc_ids.append(doc_id)
-                    size += len(ids) // 4 + 1
-                    if size >= BLOCK_TOKENS:
-                        yield flush()
-                        held, doc_ids, size, block = [], [], 0, block + 1
+            for doc_id, to, width, ids in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "part", "width", "ids")]):
+                if not held:
+                    part = to
+                held.append(np.frombuffer(ids, f"<u{width}"))
+                doc_ids.append(doc_id)
+                size += len(held[-1])
+                if size >= BLOCK_TOKENS:
+                    yield flush()
+                    held, doc_ids, size, block = [], [], 0, block + 1
         if held:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    dealt.mapInArrow(run, "part int, block bigint, n_tokens bigint, doc_ids array<bigint>, payload binary").write.parquet(path)
+    coded = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(encode, "doc_id bigint, text_hash bigint, part int, width int, ids binary")
+    dealt = coded.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "text_hash")
+    dealt.mapInArrow(gather, "part int, block bigint, n_tokens bigint, doc_ids array<bigint>, payload binary").write.parquet(path)
 
 
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
@@ -290,12 +402,12 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
             for part, block, doc_ids, payload in zip(*[batch.column(i) for i in range(4)]):
                 read = Block.parse(payload.as_py())
                 data = read.ids().astype("<u4").tobytes()
-                stops = np.cumsum(read.tokens, dtype=np.int64)
+                stops = np.cumsum(read.tokens)
                 starts = stops - read.tokens
                 n = len(stops)
                 crc = [zlib.crc32(data[4 * a:4 * b]) for a, b in zip(starts.tolist(), stops.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.as_py()] * n, pa.int32()), pa.array([block.as_py()] * n, pa.int64()), doc_ids.values, pa.array(starts), pa.array(read.tokens.astype(np.int64)), pa.array(crc, pa.int64())],
+                    [pa.array([part.as_py()] * n, pa.int32()), pa.array([block.as_py()] * n, pa.int64()), doc_ids.values, pa.array(starts), pa.array(read.tokens), pa.array(crc, pa.int64())],
                     ["part", "block", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
     docs = blocks.select("part", "block", "doc_ids", "payload").mapInArrow(run, "part int, block bigint, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint")
@@ -312,7 +424,8 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
 def token_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes the ids of ``docs`` to the shared folder and reads them back: doc_id, start, n_tokens (with END), ids_crc32.
 
-    Null and empty texts hold END alone. An empty table gives an empty result.
+    Null and empty texts hold END alone. Rows of one doc_id follow each other in an order given by their texts; repeated rows
+    each get a row. A null doc_id comes first. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     path = f"{scratch_dir(spark)}/token-blocks-{uuid.uuid4().hex}"
