@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vexel.functions import expr
-from vexel.operators import evaluation, pq, scalar, search, training
+from vexel.operators import evaluation, pq, scalar, search, selection, training
 from vexel.plans import catalog
 from vexel.sources import formats
 from vexel.streaming import search as streams
@@ -24,13 +24,13 @@ def value(spark, column):
 
 @pytest.mark.parametrize("a, b, d", [(0, 0x1, 1), (0, 0xF, 4), (0, 0x3, 2), (0, 0x7, 3), (0, 0x1E, 4), (0, 0xFF, 8), (0, 0xFFFF, 16), (0, (1 << 64) - 1, 64), (5, 5, 0)])
 def test_hamming(spark, a, b, d):
-    x, y = (F.lit(signed(v)).cast("bigint") for v in (a, b))
+    x, y = (F.array(F.lit(signed(v)).cast("bigint")) for v in (a, b))
     assert value(spark, expr.hamming(x, y)) == value(spark, expr.hamming(y, x)) == d
 
 
 @pytest.mark.parametrize("a, b, d", [(0, 0, 0), (0, 1, 1), (1, 3, 0.5), (1, 7, 2 / 3), (0x11, 0x03, 2 / 3), (0x11, 0xFF, 6 / 8)])
 def test_jaccard(spark, a, b, d):
-    assert value(spark, expr.jaccard(F.lit(a).cast("bigint"), F.lit(b).cast("bigint"))) == pytest.approx(d)
+    assert value(spark, expr.jaccard(*(F.array(F.lit(x).cast("bigint")) for x in (a, b)))) == pytest.approx(d)
 
 
 @pytest.mark.parametrize("x, p", [(0.0, 0), (0.7, 0), (1.0, 1), (3.9, 2), (-9.0, 8)])
@@ -39,8 +39,8 @@ def test_prev_pow2(spark, x, p):
 
 
 def bit_knn(spark, rows, query, k):
-    base = spark.createDataFrame([(i, signed(b)) for i, b in enumerate(rows)], "vec_id bigint, bits bigint")
-    q = spark.createDataFrame([(0, signed(query))], "query_id bigint, qbits bigint")
+    base = spark.createDataFrame([(i, [signed(b)]) for i, b in enumerate(rows)], "vec_id bigint, bits array<bigint>")
+    q = spark.createDataFrame([(0, [signed(query)])], "query_id bigint, qbits array<bigint>")
     return [r.vec_id for r in search.distance_join(q, base, expr.hamming(F.col("bits"), F.col("qbits")), k).orderBy("rank").collect()]
 
 
@@ -50,6 +50,79 @@ def test_known_bit_neighbours(spark):
     assert bit_knn(spark, [1, 1, 1, 0, 0], 1, 3) == [0, 1, 2]
 
 
+def from_words(words):
+    """A vector whose sign bits are these words, the first word's highest bit first."""
+    return [1.0 if (w >> (63 - i)) & 1 else -1.0 for w in words for i in range(64)]
+
+
+def vectors(spark, rows, name="vec_id", vector="e"):
+    return spark.createDataFrame([(i, from_words(r)) for i, r in enumerate(rows)], f"{name} bigint, {vector} array<double>")
+
+
+def test_bit_vectors_of_several_words(spark):
+    rows, q = [(0, 1, 3, 7), (1, 1, 3, 7)], [(1, 1, 3, 7)]
+    base, queries = vectors(spark, rows), vectors(spark, q, "query_id", "qe")
+    assert [(r.vec_id, r.dist) for r in search.hamming(queries, base, 2).orderBy("rank").collect()] == [(1, 0), (0, 1)]
+    assert [r.vec_id for r in search.progressive(queries, base, 1, 4).collect()] == [1]
+    assert [(r.vec_id, r.h0) for r in search.lexicographic(queries, base, 2, 1).orderBy("rank").collect()] == [(1, 0), (0, 1)]
+    rows = [(1, 1, 3, 7, w, 1, 3, 7) for w in (0, 1, 2, 1)]
+    found = search.lexicographic(vectors(spark, [rows[1]], "query_id", "qe"), vectors(spark, rows), 4, 2).orderBy("rank").collect()
+    assert [(r.vec_id, r.h0, r.h1) for r in found] == [(1, 0, 0), (3, 0, 0), (0, 0, 1), (2, 0, 2)]
+
+
+@pytest.mark.parametrize("dims", [1, 63, 64, 65, 128, 200])
+def test_hamming_of_any_length(spark, dims):
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(30, dims))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, e array<double>")
+    queries = base.filter("vec_id < 3").selectExpr("vec_id AS query_id", "e AS qe")
+    far = ((x[:3, None] > 0) != (x[None] > 0)).sum(axis=2)
+    want = [(q, r + 1, i, int(far[q, i])) for q in range(3) for r, i in enumerate(np.lexsort((np.arange(30), far[q]))[:7].tolist())]
+    assert sorted(tuple(r) for r in search.hamming(queries, base, 7).collect()) == want
+    parts = min(dims, 5)
+    edges = [dims * i // parts for i in range(parts + 1)]
+    h = np.stack([((x[:3, None, a:b] > 0) != (x[None, :, a:b] > 0)).sum(axis=2) for a, b in zip(edges, edges[1:])], axis=2)
+    want = [(q, r + 1, i) for q in range(3) for r, i in enumerate(sorted(range(30), key=lambda i: (*h[q, i].tolist(), i))[:7])]
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in search.lexicographic(queries, base, 7, parts).collect()) == want
+
+
+@pytest.mark.parametrize("share, kept", [(0.1, 1), (0.5, 1), (0.75, 2), (0.9, 3), (0.97, 4), (1.0, 5)])
+def test_retained(share, kept):
+    var, high = np.array([0.4, 0.3, 0.15, 0.1, 0.05]), 0
+    for i, cum in enumerate(np.cumsum(var)):
+        if cum <= share:
+            high = i
+    assert training.retained(var, share) == kept == (high + 1 if share < 1 else 5)
+
+
+def test_budget_goes_to_kept_subspaces(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 20)) * np.repeat([8, 6, 4, 2, 1], 4)
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, e array<double>")
+    model = training.Vaq.fit(base, training.VaqParams.parse("VAQ9m5min1max5var0.9,HEAP"))
+    assert len(model.bits) == len(model.centroids) < 5 and sum(model.bits) == 9
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 12])
+def test_order_statistics(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(selection, "ACCURACY", accuracy)
+    rng = np.random.default_rng(5)
+    x = {0: rng.normal(size=4000), 1: np.r_[np.zeros(2000), rng.integers(-3, 4, 3000)], 2: np.array([5.0])}
+    rows = spark.createDataFrame([(d, float(v)) for d, vs in x.items() for v in vs], "dim int, x double")
+    ranks = [(d, int(r), len(vs)) for d, vs in x.items() for r in {0, len(vs) // 3, len(vs) // 2, len(vs) - 1}]
+    got = {(r.dim, r["rank"]): (r.value, r.upto) for r in selection.order_statistics(rows, spark.createDataFrame(ranks, "dim int, rank bigint, n bigint")).collect()}
+    assert got == {(d, r): (np.sort(x[d])[r], (x[d] <= np.sort(x[d])[r]).sum()) for d, r, _ in ranks}
+
+
+def test_samples(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "vec_id")
+    few = [r.vec_id for r in training.sampled(rows, 700).collect()]
+    assert len(few) == len(set(few)) == 700 and sorted(few) == sorted(r.vec_id for r in training.sampled(rows.repartition(5), 700).collect())
+    assert training.sampled(rows.filter("vec_id < 10").unionByName(rows.filter("vec_id < 10")), 15).count() <= 15
+    drawn = [r.vec_id for r in training.drawn(rows, 4000, 4).orderBy("draw").collect()]
+    assert len(drawn) == 4000 and len(set(drawn)) < 4000 and all(1250 * (i // 1000) <= v < 1250 * (i // 1000 + 1) for i, v in enumerate(drawn))
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_allocation_is_optimal(seed):
     rng = np.random.default_rng(seed)

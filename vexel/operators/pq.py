@@ -103,27 +103,21 @@ def _scan(block: DataFrame, k: int, abandon: bool, digits: int):
 def learned_quantization(luts: DataFrame, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
     """(subspace, alpha, offset, scale): how a subspace's table entries become bytes, with one alpha for all subspaces.
 
-    Per alpha, offset is the alpha-percentile of the entries, and scale maps the (1 - alpha)-percentile of what lies above
-    it to 255. The alpha of the least squared loss is taken, of equal ones the largest.
+    ``luts`` are the tables of rows taken as queries; percentiles are exact, so a subspace's distinct entries meet in a
+    task: give it those of a sample of bounded size. Per alpha, offset is the alpha-percentile of the entries, and scale
+    maps the (1 - alpha)-percentile of what lies above it to 255. The alpha of the least squared loss is taken, of equal
+    ones the largest.
     """
     cells = luts.select(F.posexplode("lut").alias("subspace", "t")).select("subspace", F.explode("t").alias("x"))
-    alpha = F.explode(F.array(*[F.lit(a) for a in alphas])).alias("alpha")
-    lows = cells.groupBy("subspace").agg(*[F.percentile("x", F.lit(a)).alias(f"p{i}") for i, a in enumerate(alphas)])
-    lows = lows.select("subspace", F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"p{i}").alias("offset")) for i, a in enumerate(alphas)])).alias("o")).select("subspace", "o.*")
-    above = cells.select("subspace", "x", alpha).join(F.broadcast(lows), ["subspace", "alpha"]).withColumn("y", F.greatest(F.col("x") - F.col("offset"), F.lit(0.0)))
-    by = above.groupBy("subspace", "alpha", "offset")
-    tops = by.agg(F.sort_array(F.collect_list("y")).alias("ys")).select("subspace", "alpha", "offset", _linear(F.col("ys"), 1 - F.col("alpha")).alias("top"))
-    scales = tops.select("subspace", "alpha", "offset", (255 / F.col("top")).alias("scale"))
-    loss = above.join(F.broadcast(scales), ["subspace", "alpha", "offset"]).groupBy("alpha").agg(F.round(F.sum(F.pow(F.col("y") * F.col("scale") - F.least(F.floor(F.col("y") * F.col("scale")), F.lit(255)), 2)), 3).alias("loss"))
-    best = loss.agg(F.max_by("alpha", F.struct(-F.col("loss"), "alpha")).alias("alpha"))
-    return scales.join(F.broadcast(best), "alpha").select("subspace", "alpha", "offset", "scale")
-
-
-def _linear(sorted_values: Column, p: Column) -> Column:
-    """The percentile ``p`` of a sorted array, interpolated linearly; the arrays hold a block's table entries."""
-    at = p * (F.size(sorted_values) - 1)
-    low, high = F.get(sorted_values, F.floor(at).cast("int")), F.get(sorted_values, F.ceil(at).cast("int"))
-    return low + (at - F.floor(at)) * (high - low)
+    n = range(len(alphas))
+    above = [F.greatest(F.col("x") - F.col(f"o{i}"), F.lit(0.0)) for i in n]
+    lows = cells.groupBy("subspace").agg(*[F.percentile("x", F.lit(a)).alias(f"o{i}") for i, a in enumerate(alphas)])
+    tops = cells.join(F.broadcast(lows), "subspace").groupBy("subspace").agg(*[(255 / F.percentile(above[i], F.lit(1 - a))).alias(f"s{i}") for i, a in enumerate(alphas)])
+    model = lows.join(tops, "subspace")
+    loss = [F.round(F.sum(F.pow(y * F.col(f"s{i}") - F.least(F.floor(y * F.col(f"s{i}")), F.lit(255)), 2)), 3).alias(f"l{i}") for i, y in enumerate(above)]
+    losses = cells.join(F.broadcast(model), "subspace").agg(*loss).first()
+    best = min(n, key=lambda i: (losses[i] if losses[i] is not None else 0.0, -alphas[i]))
+    return model.select("subspace", F.lit(alphas[best]).alias("alpha"), F.col(f"o{best}").alias("offset"), F.col(f"s{best}").alias("scale"))
 
 
 def quantized(luts: DataFrame, model: DataFrame) -> DataFrame:

@@ -6,41 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vexel.functions import expr
+from vexel.operators import selection
 
-#: Order statistics are exact up to so many rows; beyond, their rank is off by one part in so many.
-ACCURACY = 1_000_000
-
-
-def cells(base: DataFrame, dims: int) -> DataFrame:
-    """(vec_id, dim, x) of the first ``dims`` dimensions."""
-    return base.select("vec_id", F.posexplode(F.slice("e", 1, dims)).alias("dim", "x"))
+def cells(base: DataFrame, dims: int | None = None) -> DataFrame:
+    """(vec_id, dim, x) of all dimensions, or of the first ``dims``."""
+    return base.select("vec_id", F.posexplode("e" if dims is None else F.slice("e", 1, dims)).alias("dim", "x"))
 
 
 def hazen_thresholds(values: DataFrame, count: int) -> DataFrame:
     """(dim, q, value): ``count`` thresholds at the shares q / (count + 1), by Hazen's rule.
 
-    The position (1 - p) * -0.5 + p * (n - 0.5) lies between two order statistics and is interpolated; it is clamped at the ends.
-    Order statistics come from a mergeable sketch.
+    The position (1 - p) * -0.5 + p * (n - 0.5) lies between two order statistics and is interpolated; it is clamped at the
+    ends. Order statistics are exact whatever the number of rows.
     """
-    n = values.groupBy("dim").agg(F.count("x").alias("n"))
-    if n.select(F.max("n")).first()[0] is None:
-        return values.select("dim", F.lit(0).alias("q"), "x").limit(0).withColumnRenamed("x", "value")
-    rows = {r.dim: r.n for r in n.collect()}  # one number a dimension
-    out = None
-    for size in sorted(set(rows.values())):
-        at, ranks = [], []
-        for q in range(1, count + 1):
-            p = q / (count + 1)
-            pos = min(max((1 - p) * -0.5 + p * (size - 0.5), 0.0), size - 1.0)
-            low = int(pos)
-            at.append((q, low, min(low + 1, size - 1), pos - low))
-            ranks += [low, min(low + 1, size - 1)]
-        dims = [d for d, k in rows.items() if k == size]
-        stats = values.filter(F.col("dim").isin(dims)).groupBy("dim").agg(F.percentile_approx("x", [(r + 0.5) / size for r in ranks], ACCURACY).alias("s"))
-        each = F.array(*[F.struct(F.lit(q).alias("q"), (F.get("s", F.lit(2 * i)) + f * (F.get("s", F.lit(2 * i + 1)) - F.get("s", F.lit(2 * i)))).alias("value")) for i, (q, _, _, f) in enumerate(at)])
-        part = stats.select("dim", F.explode(each).alias("t")).select("dim", "t.q", "t.value")
-        out = part if out is None else out.unionByName(part)
-    return out
+    p = F.col("q") / (count + 1)
+    pos = F.least(F.greatest((1 - p) * -0.5 + p * (F.col("n") - 0.5), F.lit(0.0)), F.col("n") - 1.0)
+    at = values.groupBy("dim").agg(F.count("x").alias("n")).filter("n > 0").withColumn("q", F.explode(F.sequence(F.lit(1), F.lit(count))))
+    at = at.select("dim", "q", "n", pos.alias("pos")).withColumn("low", F.floor("pos").cast("bigint")).withColumn("high", F.least(F.col("low") + 1, F.col("n") - 1))
+    ranks = at.select("dim", "n", F.explode(F.array("low", "high")).alias("rank")).distinct()
+    stats = selection.order_statistics(values.filter("x is not null"), ranks).select("dim", "rank", "value")
+    both = at.join(F.broadcast(stats.withColumnsRenamed({"rank": "low", "value": "a"})), ["dim", "low"]).join(F.broadcast(stats.withColumnsRenamed({"rank": "high", "value": "b"})), ["dim", "high"])
+    return both.select("dim", "q", (F.col("a") + (F.col("pos") - F.col("low")) * (F.col("b") - F.col("a"))).alias("value"))
 
 
 def bucket_codes(values: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -13,11 +13,11 @@ from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexel.functions import expr
-from vexel.operators import pq, search
+from vexel.operators import pq, search, selection
 
 MAX_BITS = 15
 
@@ -97,11 +97,11 @@ def shares(variances: np.ndarray, subspaces: int) -> np.ndarray:
 
 
 def retained(var: np.ndarray, share: float) -> int:
-    """How many subspaces are kept for a share of the variance below 1."""
+    """How many subspaces are kept: those up to the last whose cumulative share is at most ``share``, and one at least."""
     if share >= 1:
         return len(var)
     inside = np.flatnonzero(np.cumsum(var) <= share + 1e-6)
-    return int(min(len(var), (inside[-1] + 1 if len(inside) else 0) + 1))
+    return int(inside[-1]) + 1 if len(inside) else 1
 
 
 def allocate(var: list[float] | np.ndarray, budget: int, least: int, most: int, share: float = 1.0) -> list[int]:
@@ -142,7 +142,37 @@ def allocate(var: list[float] | np.ndarray, budget: int, least: int, most: int,
 
 def sampled(rows: DataFrame, size: int, seed: int = 17) -> DataFrame:
     """At most ``size`` rows, those with the least hash of vec_id: the same on every run."""
-    return rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(size)
+    return selection.least_rows(rows, sample_key(seed), size)
+
+
+def sample_key(seed: int) -> Column:
+    """48 bits of the MD5 of seed:vec_id."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("vec_id")).cast("binary")), 1, 12), 16, 10).cast("bigint")
+
+
+def random_bits(rows: DataFrame, count: int, seed: int) -> DataFrame:
+    """(vec_id, bits): ``count`` random bits for each row, a word of 64 being the beginning of the MD5 of seed:vec_id:word."""
+    halves = lambda w, at: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("vec_id"), w).cast("binary")), at, 8), 16, 10).cast("bigint")
+    spare = -count % 64
+    words = F.transform(F.sequence(F.lit(0), F.lit((count - 1) // 64)), lambda w: F.shiftleft(halves(w, 1), 32).bitwiseOR(halves(w, 9)).bitwiseAND(F.when(w == (count - 1) // 64, F.lit(-1 << spare).cast("bigint")).otherwise(F.lit(-1).cast("bigint"))))
+    return rows.select("vec_id", words.alias("bits"))
+
+
+def drawn(rows: DataFrame, size: int, batches: int = 1, seed: int = 17) -> DataFrame:
+    """A sample of ``size`` rows with replacement, an equal share from each of ``batches`` runs of vec_id.
+
+    Draw i of a batch takes the row whose position the MD5 of seed:batch:i gives. Rows (vec_id, ...), vec_id being the
+    position in a file from 0; each drawn row has the number of its ``draw``.
+    """
+    n = rows.count()
+    if not n:
+        return rows.select(F.lit(0).cast("bigint").alias("draw"), *rows.columns).limit(0)
+    per = size // batches
+    draws = rows.sparkSession.range(per * batches).withColumn("batch", (F.col("id") / per).cast("bigint"))
+    first, last = (F.floor(F.lit(n) * (F.col("batch") + o) / batches).cast("bigint") for o in (0, 1))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("batch"), F.col("id")).cast("binary")), 1, 12), 16, 10).cast("bigint")
+    draws = draws.select(F.col("id").alias("draw"), (first + number % F.greatest(last - first, F.lit(1))).alias("vec_id"))
+    return draws.join(rows, "vec_id").select("draw", *rows.columns)
 
 
 def lloyd(points: DataFrame, seeds: list[list[float]], rounds: int) -> list[list[float]]:
@@ -284,8 +314,7 @@ class Vaq:
         values, axes = values[order], axes[:, order]
         share = shares(values, params.subspaces)
         kept = retained(share, params.share)
-        bits = list(params.bits) or allocate(share, params.budget, params.least, params.most, params.share)
-        bits = bits[:kept]
+        bits = list(params.bits)[:kept] or allocate(share[:kept], params.budget, params.least, params.most, params.share)
         most = params.rows_per_centroid * 2 ** max(bits)
         rows = projected(sampled(wide, most), "e", axes)
         # One subspace a task; a group is at most ``most`` subvectors.

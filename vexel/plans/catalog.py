@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,7 +17,8 @@ from vexel.sources import formats
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-K, QUERY_COUNT, CENTRES, SUBSPACES, CODES = 10, 20, 16, 8, 16
+#: Queries are the rows whose id is divisible by EVERY.
+K, EVERY, CENTRES, SUBSPACES, CODES = 10, 100, 16, 8, 16
 
 
 def query(sql: str | None):
@@ -37,7 +38,7 @@ def base_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries_of(base: DataFrame) -> DataFrame:
-    return base.filter(F.col("vec_id") < QUERY_COUNT).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
+    return base.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
 
 
 def both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -102,9 +103,62 @@ def nearest_one(spark: SparkSession, sf: str) -> DataFrame:
     return search.nearest_one(*both(spark, sf))
 
 
+def wide(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Queries and base of 160 dimensions: the vector, its reverse moved up, and its first half moved down."""
+    more = F.concat("e", F.transform(F.reverse("e"), lambda x: x + 0.05), F.transform(F.slice("e", 1, 32), lambda x: x - 0.05))
+    base = base_of(spark, sf).select("vec_id", more.alias("e"))
+    return queries_of(base), base
+
+
+def worded(bits: str) -> Column:
+    return F.array_join(F.transform(bits, lambda w: w.cast("string")), ",")
+
+
 @query(oracle.SIGN_BITS)
 def bits_sign_encode(spark: SparkSession, sf: str) -> DataFrame:
-    return search.with_bits(base_of(spark, sf)).select("vec_id", "bits")
+    return search.with_bits(base_of(spark, sf)).select("vec_id", worded("bits").alias("bits"))
+
+
+@query(oracle.SIGN_BITS_WIDE)
+def bits_sign_encode_wide(spark: SparkSession, sf: str) -> DataFrame:
+    return search.with_bits(wide(spark, sf)[1]).select("vec_id", worded("bits").alias("bits"))
+
+
+@query(oracle.wide(oracle.knn("hamming")))
+def knn_hamming_wide(spark: SparkSession, sf: str) -> DataFrame:
+    return search.hamming(*wide(spark, sf), K)
+
+
+@query(oracle.wide(oracle.knn("jaccard")))
+def knn_jaccard_wide(spark: SparkSession, sf: str) -> DataFrame:
+    queries, base = wide(spark, sf)
+    return search.distance_join(search.with_bits(queries, "qe", "qbits"), search.with_bits(base), F.round(expr.jaccard(F.col("bits"), F.col("qbits")), 6), K)
+
+
+@query(oracle.wide(oracle.lexicographic(160)))
+def knn_hamming_subvector_lex_wide(spark: SparkSession, sf: str) -> DataFrame:
+    return search.lexicographic(*wide(spark, sf), K, 2)
+
+
+@query(oracle.wide(oracle.progressive(160)))
+def knn_progressive_filter_wide(spark: SparkSession, sf: str) -> DataFrame:
+    return search.progressive(*wide(spark, sf), K, 16)
+
+
+@query(oracle.wide(oracle.RERANK))
+def rerank_hamming_l2_wide(spark: SparkSession, sf: str) -> DataFrame:
+    queries, base = wide(spark, sf)
+    return search.reranked(search.hamming(queries, base, 5 * K), queries, base, K)
+
+
+@query(oracle.wide(oracle.probe("rerank")))
+def cluster_probe_rerank_wide(spark: SparkSession, sf: str) -> DataFrame:
+    queries, base = wide(spark, sf)
+    centres = centres_of(base)
+    clusters = search.assigned(base, centres)
+    chosen = search.probes(queries, centres, clusters, 3 * K, 3)
+    first = search.probed(queries, clusters, chosen, lambda: expr.hamming(expr.sign_bits(F.col("qe")), expr.sign_bits(F.col("e"))), 3 * K)
+    return search.reranked(first, queries, base, K)
 
 
 @query(oracle.knn("hamming"))
@@ -118,12 +172,12 @@ def knn_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return search.distance_join(search.with_bits(queries, "qe", "qbits"), search.with_bits(base), F.round(expr.jaccard(F.col("bits"), F.col("qbits")), 6), K)
 
 
-@query(oracle.LEXICOGRAPHIC)
+@query(oracle.lexicographic())
 def knn_hamming_subvector_lex(spark: SparkSession, sf: str) -> DataFrame:
     return search.lexicographic(*both(spark, sf), K, 2)
 
 
-@query(oracle.PROGRESSIVE)
+@query(oracle.progressive())
 def knn_progressive_filter(spark: SparkSession, sf: str) -> DataFrame:
     return search.progressive(*both(spark, sf), K, 16)
 
@@ -206,8 +260,8 @@ def explained_variance_subspace(spark: SparkSession, sf: str) -> DataFrame:
     by_sub = diagonal.groupBy((F.col("i") / 8).cast("bigint").alias("subspace")).agg(F.sum("g").alias("g"))
     shares = by_sub.select("subspace", (F.col("g") / F.sum("g").over(Window.partitionBy())).alias("var"))
     cum = evaluation.running_total(shares, "var", "subspace", "cum")
-    before = F.coalesce(F.lag("cum").over(Window.orderBy("subspace")), F.lit(0.0))
-    return cum.select("subspace", F.round("var", 6).alias("var"), F.round("cum", 6).alias("cum"), (before <= 0.9 + 1e-6).alias("kept"))
+    kept = training.retained(np.array([r.var for r in shares.orderBy("subspace").collect()]), 0.9)  # one number a subspace
+    return cum.select("subspace", F.round("var", 6).alias("var"), F.round("cum", 6).alias("cum"), (F.col("subspace") < kept).alias("kept"))
 
 
 @query(oracle.ALLOCATION)
@@ -220,35 +274,35 @@ def bit_allocation_small(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.HAZEN)
 def hazen_quantile_thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    values = scalar.cells(base_of(spark, sf), 4)
+    values = scalar.cells(base_of(spark, sf))
     return scalar.hazen_thresholds(values, 3).select("dim", "q", F.round("value", 6).alias("value"))
 
 
 @query(oracle.BUCKETS)
 def scalar_bucket_encode(spark: SparkSession, sf: str) -> DataFrame:
-    values = scalar.cells(base_of(spark, sf), 4)
+    values = scalar.cells(base_of(spark, sf))
     return scalar.bucket_codes(values, scalar.hazen_thresholds(values, 3)).select("vec_id", "dim", "code")
 
 
 @query(oracle.BUCKET_MEANS)
 def scalar_bucket_means(spark: SparkSession, sf: str) -> DataFrame:
-    values = scalar.cells(base_of(spark, sf), 4)
+    values = scalar.cells(base_of(spark, sf))
     return scalar.bucket_means(values, scalar.hazen_thresholds(values, 3)).select("dim", "code", F.round("centre", 6).alias("centre"))
 
 
 @query(oracle.SCALAR_SEARCH)
 def scalar_lut_search(spark: SparkSession, sf: str) -> DataFrame:
     queries, base = both(spark, sf)
-    values = scalar.cells(base, 4)
+    values = scalar.cells(base)
     book = settled(scalar.codebook(scalar.bucket_means(values, settled(scalar.hazen_thresholds(values, 3)))))
     return pq.search(pq.tables(queries, book), pq.encode(base, book), K)
 
 
 @query(oracle.PACKED)
 def scalar_pack_bits(spark: SparkSession, sf: str) -> DataFrame:
-    values = scalar.cells(base_of(spark, sf), 4)
+    values = scalar.cells(base_of(spark, sf))
     coded_rows = scalar.bucket_codes(values, scalar.hazen_thresholds(values, 3))
-    return scalar.packed(coded_rows, 4, 2).select("vec_id", F.get("words", F.lit(0)).alias("bits"))
+    return scalar.packed(coded_rows, 64, 2).select("vec_id", worded("words").alias("words"))
 
 
 @query(oracle.PQ_ENCODE)
@@ -312,22 +366,28 @@ def adc_search_visit(spark: SparkSession, sf: str) -> DataFrame:
     return search.probed(queries, clusters, chosen, lambda: F.round(expr.l2sq(F.col("qe"), F.col("e")), 6), K)
 
 
+def byte_model(spark: SparkSession, sf: str) -> DataFrame:
+    """How table entries become bytes, learned with all rows of the base as queries."""
+    base = base_of(spark, sf).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
+    return settled(pq.learned_quantization(pq.tables(base, codebook_of(base_of(spark, sf)))))
+
+
 @query(oracle.LEARN)
 def lut_quantization_learn(spark: SparkSession, sf: str) -> DataFrame:
-    model = pq.learned_quantization(coded(spark, sf)[3])
+    model = byte_model(spark, sf)
     return model.select("subspace", "alpha", F.round("offset", 6).alias("offset"), F.round("scale", 4).alias("scale"))
 
 
 @query(oracle.QUANTIZED)
 def adc_search_quantized(spark: SparkSession, sf: str) -> DataFrame:
     _, _, codes, luts = coded(spark, sf)
-    return pq.search_quantized(luts, settled(pq.learned_quantization(luts)), codes, K)
+    return pq.search_quantized(luts, byte_model(spark, sf), codes, K)
 
 
 @query(None)
 def adc_search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     _, _, codes, luts = coded(spark, sf)
-    return pq.search_hybrid(luts, settled(pq.learned_quantization(luts)), codes, K, SUBSPACES // 2)
+    return pq.search_hybrid(luts, byte_model(spark, sf), codes, K, SUBSPACES // 2)
 
 
 @query(oracle.REFINE)
@@ -347,7 +407,7 @@ def kmeans_lloyd_3iter(spark: SparkSession, sf: str) -> DataFrame:
     table = spark.createDataFrame(list(enumerate(centres)), "cluster_id int, ce array<double>")
     before = spark.createDataFrame(list(enumerate(training.lloyd(base, _seeds(base, 8), 2))), "cluster_id int, ce array<double>")
     sizes = search.assigned(base, before, 9).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    return table.join(sizes, "cluster_id").select("cluster_id", "size", *[F.round(F.get("ce", F.lit(i)), 6).alias(f"c{i}") for i in range(4)])
+    return table.join(sizes, "cluster_id").select("cluster_id", "size", F.posexplode("ce").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
 @query(oracle.FARTHEST)
@@ -372,8 +432,8 @@ def kmeans_minibatch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tree(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    """Sizes of the clusters of the first subspace in a dictionary of 5 bits."""
-    base = base_of(spark, sf).select("vec_id", F.slice("e", 1, 8).alias("e"))
+    """Sizes of the clusters of whole vectors in a dictionary of 5 bits."""
+    base = base_of(spark, sf).select("vec_id", "e")
     x = np.array([r.e for r in training.sampled(base, 256 * 32).collect()])  # a bounded sample
     centres = training.hierarchical(x, 5, 3) if kind == "hierarchical" else training.binary(x, 5)
     table = spark.createDataFrame(list(enumerate(centres.tolist())), "cluster_id int, ce array<double>")
@@ -477,14 +537,18 @@ def variance_balancing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.RANDOM_BITS)
 def random_bit_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    ids = spark.range(1000).withColumnRenamed("id", "vec_id")
-    return ids.select("vec_id", ((F.col("vec_id") * 2654435761 + 12345) % 4294967296).alias("bits"))
+    """A random vector of 128 bits for each row of the base."""
+    return training.random_bits(base_of(spark, sf), 128, 7).select("vec_id", worded("bits").alias("bits"))
 
 
 @query(oracle.SAMPLE)
 def deterministic_sample(spark: SparkSession, sf: str) -> DataFrame:
-    key = (F.col("vec_id") * 2654435761) % 4294967296
-    return base_of(spark, sf).select("vec_id", key.alias("key")).orderBy("key", "vec_id").limit(50).select("vec_id")
+    return training.sampled(base_of(spark, sf), 50).select("vec_id")
+
+
+@query(oracle.DRAWN)
+def sample_with_replacement(spark: SparkSession, sf: str) -> DataFrame:
+    return training.drawn(base_of(spark, sf), 100, 4).select("draw", "vec_id")
 
 
 def fitted(spark: SparkSession, sf: str, text: str) -> tuple[training.Vaq, DataFrame, DataFrame]:
@@ -525,7 +589,11 @@ def vaq_param_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vexel-")
+    """A new folder in the one that all executors share; a temporary one only where driver and executors are one process."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = folder or "file://" + tempfile.mkdtemp(prefix="vexel-")
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -549,8 +617,8 @@ for _name, _kind, _scale in (("io_roundtrip_fvecs", "fvecs", 0), ("io_roundtrip_
 @query(oracle.SIGN_BITS)
 def io_roundtrip_bits(spark: SparkSession, sf: str) -> DataFrame:
     path = _scratch(spark)
-    formats.write_bits(search.with_bits(base_of(spark, sf)).select("vec_id", F.array("bits").alias("words")), path, 64)
-    return formats.read_bits(spark, path, 64).select("vec_id", F.get("words", F.lit(0)).alias("bits"))
+    formats.write_bits(search.with_bits(base_of(spark, sf)).select("vec_id", F.col("bits").alias("words")), path, 64)
+    return formats.read_bits(spark, path, 64).select("vec_id", worded("words").alias("bits"))
 
 
 @query(oracle.RESULT_LINES)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 K = 10
 BASE = "base AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label FROM embeddings)"
-Q = "q AS (SELECT vec_id AS query_id, e AS qe FROM base WHERE vec_id < 20)"
+Q = "q AS (SELECT vec_id AS query_id, e AS qe FROM base WHERE vec_id % 100 = 0)"
 CENTRES = "centres AS (SELECT vec_id::INTEGER AS cluster_id, e AS ce FROM base WHERE vec_id < 16)"
 
 
@@ -41,17 +41,44 @@ def knn(kind: str) -> str:
 
 
 NEAREST = f"WITH {BASE}, {Q}, d AS (SELECT query_id, vec_id, {DIST['l2']} AS dist FROM q, base) SELECT query_id, vec_id, dist FROM ({ranked('d', 1)})"
-SIGN_BITS = f"""WITH {BASE}, u AS (SELECT vec_id, list_reduce(list_concat([0::HUGEINT], list_transform(e, lambda x: (x > 0)::HUGEINT)), lambda s, x: s * 2 + x) AS u FROM base)
-SELECT vec_id, (CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END)::BIGINT AS bits FROM u"""
-LEXICOGRAPHIC = f"""WITH {BASE}, {Q}, d AS (SELECT query_id, vec_id, {ham('qe[1:32]', 'e[1:32]')} AS h0, {ham('qe[33:64]', 'e[33:64]')} AS h1 FROM q, base)
+#: 160 dimensions: the vector, its reverse moved up, and its first half moved down.
+WIDE = """base AS (SELECT vec_id, list_concat(list_concat(e, list_transform(list_reverse(e), lambda x: x + 0.05)), list_transform(e[1:32], lambda x: x - 0.05)) AS e, label
+FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label FROM embeddings))"""
+
+
+def wide(sql: str) -> str:
+    """The same query over vectors of 160 dimensions."""
+    return sql.replace(BASE, WIDE)
+
+
+def word(e: str, w: int) -> str:
+    """Word ``w`` of the sign bits as text: 64 dimensions, the first one highest, zeros where there are none."""
+    bits = f"list_transform(range({64 * w + 1}, {64 * w + 65}), lambda i: coalesce(({e}[i] > 0)::HUGEINT, 0::HUGEINT))"
+    u = f"list_reduce(list_concat([0::HUGEINT], {bits}), lambda s, x: s * 2 + x)"
+    return f"(SELECT (CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END)::BIGINT::VARCHAR FROM (SELECT {u} AS u))"
+
+
+SIGN_BITS = f"WITH {BASE} SELECT vec_id, {word('e', 0)} AS bits FROM base"
+SIGN_BITS_WIDE = wide(f"WITH {BASE} SELECT vec_id, concat_ws(',', {word('e', 0)}, {word('e', 1)}, {word('e', 2)}) AS bits FROM base")
+
+
+def lexicographic(dims: int = 64) -> str:
+    half = dims // 2
+    return f"""WITH {BASE}, {Q}, d AS (SELECT query_id, vec_id, {ham(f'qe[1:{half}]', f'e[1:{half}]')} AS h0, {ham(f'qe[{half + 1}:{dims}]', f'e[{half + 1}:{dims}]')} AS h1 FROM q, base)
 {ranked('d', K, 'h0, h1, vec_id', 'h0, h1')}"""
-PROGRESSIVE = f"""WITH {BASE}, {Q},
-h AS (SELECT query_id, vec_id, list_transform(range(16), lambda s: {ham('qe[4 * s + 1:4 * s + 4]', 'e[4 * s + 1:4 * s + 4]')}) AS h FROM q, base),
+
+
+def progressive(dims: int = 64) -> str:
+    n = dims // 16
+    return f"""WITH {BASE}, {Q},
+h AS (SELECT query_id, vec_id, list_transform(range(16), lambda s: {ham(f'qe[{n} * s + 1:{n} * s + {n}]', f'e[{n} * s + 1:{n} * s + {n}]')}) AS h FROM q, base),
 p AS (SELECT *, coalesce(list_min(list_filter(range(16), lambda s: h[s + 1] > 0)), 16) AS passed FROM h),
 z AS (SELECT query_id, s, count(*) FILTER (passed > s) AS z FROM p, range(16) r(s) GROUP BY ALL),
 stop AS (SELECT query_id, coalesce(min(s) FILTER (z <= {K}), 15) AS stop FROM z GROUP BY query_id),
 d AS (SELECT query_id, vec_id, h[stop + 1] AS dist FROM p JOIN stop USING (query_id) WHERE passed >= stop)
 {ranked('d')}"""
+
+
 RERANK = f"""WITH {BASE}, {Q}, h AS (SELECT query_id, vec_id, {DIST['hamming']} AS dist FROM q, base), c AS ({ranked('h', 5 * K)}),
 d AS (SELECT query_id, vec_id, {DIST['l2']} AS dist FROM c JOIN q USING (query_id) JOIN base USING (vec_id)) {ranked('d')}"""
 CLUSTERS = f"""{CENTRES}, near AS (SELECT vec_id, cluster_id, round({l2('e', 'ce')}, 6) AS dist FROM base, centres),
@@ -88,7 +115,7 @@ PCA_TOTAL = f"WITH {BASE} SELECT round(sum(list_sum(list_transform(e, lambda x:
 NORMS = f"WITH {BASE} SELECT vec_id, round(list_sum(list_transform(e, lambda x: x * x)), 6) AS norm_sq FROM base"
 EXPLAINED = f"""WITH {BASE}, g AS (SELECT (i - 1) // 8 AS subspace, sum(e[i] * e[i]) AS g FROM base, range(1, 65) a(i) GROUP BY 1),
 v AS (SELECT subspace, g / sum(g) OVER () AS var FROM g), c AS (SELECT *, sum(var) OVER (ORDER BY subspace) AS cum FROM v)
-SELECT subspace, round(var, 6) AS var, round(cum, 6) AS cum, coalesce(lag(cum) OVER (ORDER BY subspace), 0) <= 0.9 + 1e-6 AS kept FROM c"""
+SELECT subspace, round(var, 6) AS var, round(cum, 6) AS cum, cum <= 0.9 + 1e-6 OR subspace = 0 AS kept FROM c"""
 ALLOCATION = f"""WITH {BASE}, g AS (SELECT (i - 1) // 16 AS s, sum(e[i] * e[i]) AS g FROM base, range(1, 65) a(i) GROUP BY 1),
 v AS (SELECT list(var ORDER BY var DESC) AS v FROM (SELECT round(g / sum(g) OVER (), 6) AS var FROM g)),
 k AS (SELECT v, list_transform([1, 2, 3], lambda s: CASE WHEN v[s] >= v[s + 1] THEN pow(2, floor(log2(v[s] / v[s + 1])))::INTEGER ELSE 0 END) AS k FROM v),
@@ -96,7 +123,7 @@ c AS (SELECT [a, b, c, d] AS x, round(v[1] * a + v[2] * b + v[3] * c + v[4] * d,
   WHERE a + b + c + d = 14 AND a - b <= k[1] AND b - c <= k[2] AND c - d <= k[3]),
 best AS (SELECT x FROM c ORDER BY gain DESC, x DESC LIMIT 1)
 SELECT s AS subspace, x[s + 1]::BIGINT AS bits FROM best, range(4) r(s)"""
-CELLS = "cells AS (SELECT vec_id, (i - 1)::INTEGER AS dim, e[i] AS x FROM base, range(1, 5) r(i))"
+CELLS = "cells AS (SELECT vec_id, (i - 1)::INTEGER AS dim, e[i] AS x FROM base, range(1, 65) r(i))"
 THRESHOLDS = f"""{CELLS}, sorted AS (SELECT dim, list(x ORDER BY x) AS xs, count(*) AS n FROM cells GROUP BY dim),
 pos AS (SELECT dim, xs, n, q::INTEGER AS q, least(greatest((1 - q / 4.0) * -0.5 + q / 4.0 * (n - 0.5), 0.0), n - 1.0)::DOUBLE AS pos FROM sorted, range(1, 4) r(q)),
 thresholds AS (SELECT dim, q, xs[floor(pos)::INTEGER + 1] + (pos - floor(pos)) * (xs[least(floor(pos)::INTEGER + 2, n)] - xs[floor(pos)::INTEGER + 1]) AS value FROM pos)"""
@@ -107,8 +134,8 @@ BUCKET_MEANS = f"WITH {BASE}, {THRESHOLDS}, {CODED} SELECT dim, code, round(avg(
 SCALAR_SEARCH = f"""WITH {BASE}, {Q}, {THRESHOLDS}, {CODED}, means AS (SELECT dim, code, avg(x) AS centre FROM coded GROUP BY dim, code),
 enc AS (SELECT c.vec_id, c.dim, m.centre, row_number() OVER (PARTITION BY c.vec_id, c.dim ORDER BY round((x - centre) * (x - centre), 9), m.code) AS r FROM cells c JOIN means m ON c.dim = m.dim),
 d AS (SELECT query_id, vec_id, round(sum((qe[dim + 1] - centre) * (qe[dim + 1] - centre)), 6) AS dist FROM enc, q WHERE r = 1 GROUP BY ALL) {ranked('d')}"""
-PACKED = f"""WITH {BASE}, {THRESHOLDS}, {CODED}, v AS (SELECT vec_id, sum(code * [64, 16, 4, 1][dim + 1])::HUGEINT AS v FROM coded GROUP BY vec_id)
-SELECT vec_id, ((v * 72057594037927936::HUGEINT) - CASE WHEN v >= 128 THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT AS bits FROM v"""
+PACKED = f"""WITH {BASE}, {THRESHOLDS}, {CODED}, v AS (SELECT vec_id, dim // 32 AS w, sum(code::HUGEINT * (1::HUGEINT << (62 - 2 * (dim % 32)))) AS v FROM coded GROUP BY ALL)
+SELECT vec_id, string_agg((v - CASE WHEN v >= 9223372036854775808 THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT::VARCHAR, ',' ORDER BY w) AS words FROM v GROUP BY vec_id"""
 
 BOOK = "book AS (SELECT (s)::INTEGER AS subspace, vec_id::INTEGER AS code, e[8 * s + 1:8 * s + 8] AS centroid FROM base, range(8) r(s) WHERE vec_id < 16)"
 CODES = f"""{BOOK}, enc AS (SELECT vec_id, subspace, code, centroid, row_number() OVER (PARTITION BY vec_id, subspace ORDER BY round({l2('e[8 * subspace + 1:8 * subspace + 8]', 'centroid')}, 9), code) AS r FROM base, book),
@@ -127,7 +154,7 @@ def adc(root: bool) -> str:
     return f"WITH {BASE}, {Q}, {CODES}, {LUT}, d AS (SELECT query_id, vec_id, {dist} AS dist FROM luts, codes) {ranked('d')}"
 
 
-DECODED = f"""WITH raw AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM raw WHERE vec_id < 20),
+DECODED = f"""WITH raw AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM raw WHERE vec_id % 100 = 0),
 book AS (SELECT (s)::INTEGER AS subspace, vec_id::INTEGER AS code, e[8 * s + 1:8 * s + 8] AS centroid FROM raw, range(8) r(s) WHERE vec_id < 16),
 enc AS (SELECT vec_id, subspace, centroid, row_number() OVER (PARTITION BY vec_id, subspace ORDER BY round({l2('e[8 * subspace + 1:8 * subspace + 8]', 'centroid')}, 9), code) AS r FROM raw, book),
 base AS (SELECT vec_id, flatten(list(centroid ORDER BY subspace)) AS e FROM enc WHERE r = 1 GROUP BY vec_id), {CLUSTERS}"""
@@ -136,10 +163,11 @@ SELECT vec_id, cluster_id, cc_dist, row_number() OVER (PARTITION BY cluster_id O
 VISIT = f"""{DECODED}, {probes(K, 4)}, d AS (SELECT query_id, vec_id, {DIST['l2']} AS dist FROM chosen JOIN clusters USING (cluster_id) JOIN base USING (vec_id) JOIN q USING (query_id)) {ranked('d')}"""
 REFINE = f"""WITH {BASE}, {Q}, {CODES}, {LUT}, {ADC_D}, c AS ({ranked('d', 5 * K)}),
 r AS (SELECT query_id, vec_id, {DIST['l2']} AS dist FROM c JOIN q USING (query_id) JOIN base USING (vec_id)) {ranked('r')}"""
-MODEL = f"""alphas AS (SELECT unnest([0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1]::DOUBLE[]) AS alpha),
-lows AS (SELECT subspace, alpha, quantile_cont(dist, [0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1]) AS ps FROM cells_q, alphas GROUP BY ALL),
+ALL_CELLS = f"all_cells AS (SELECT vec_id, subspace, code, {l2('e[8 * subspace + 1:8 * subspace + 8]', 'centroid')} AS dist FROM base, book)"
+MODEL = f"""{ALL_CELLS}, alphas AS (SELECT unnest([0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1]::DOUBLE[]) AS alpha),
+lows AS (SELECT subspace, alpha, quantile_cont(dist, [0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1]) AS ps FROM all_cells, alphas GROUP BY ALL),
 los AS (SELECT subspace, alpha, ps[list_position([0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1]::DOUBLE[], alpha)] AS "offset" FROM lows),
-ys AS (SELECT c.subspace, alpha, "offset", greatest(dist - "offset", 0) AS y FROM cells_q c JOIN los ON c.subspace = los.subspace),
+ys AS (SELECT c.subspace, alpha, "offset", greatest(dist - "offset", 0) AS y FROM all_cells c JOIN los ON c.subspace = los.subspace),
 srt AS (SELECT subspace, alpha, "offset", list(y ORDER BY y) AS l, (1 - alpha) * (count(*) - 1) AS pos FROM ys GROUP BY subspace, alpha, "offset"),
 scales AS (SELECT subspace, alpha, "offset", 255 / (l[floor(pos)::INTEGER + 1] + (pos - floor(pos)) * (l[ceil(pos)::INTEGER + 1] - l[floor(pos)::INTEGER + 1])) AS scale FROM srt),
 loss AS (SELECT ys.alpha, round(sum(pow(y * scale - least(floor(y * scale), 255), 2)), 3) AS loss FROM ys JOIN scales ON ys.subspace = scales.subspace AND ys.alpha = scales.alpha GROUP BY ys.alpha),
@@ -161,7 +189,7 @@ def lloyd(points: str, seeds: str, dims: int, rounds: int, tail: str) -> str:
 
 
 LLOYD = lloyd("SELECT vec_id, e FROM base", "SELECT vec_id::INTEGER AS cluster_id, e AS ce FROM base WHERE vec_id < 8", 64, 3,
-              "SELECT cluster_id, size, round(ce[1], 6) AS c0, round(ce[2], 6) AS c1, round(ce[3], 6) AS c2, round(ce[4], 6) AS c3 FROM c3 JOIN (SELECT cluster_id, count(*) AS size FROM a2 GROUP BY cluster_id) USING (cluster_id)")
+              "SELECT cluster_id, size, (d - 1)::INTEGER AS dim, round(ce[d], 6) AS x FROM c3 JOIN (SELECT cluster_id, count(*) AS size FROM a2 GROUP BY cluster_id) USING (cluster_id), range(1, 65) t(d)")
 ONE_D = lloyd("SELECT vec_id, e[1:1] AS e FROM base", "SELECT (i - 1)::INTEGER AS cluster_id, [[-0.2, -0.05, 0.05, 0.2][i]::DOUBLE] AS ce FROM range(1, 5) r(i)", 1, 3,
               "SELECT cluster_id, count(*) AS size FROM a2 GROUP BY cluster_id")
 FARTHEST = f"""WITH {BASE}, s1 AS (SELECT vec_id, e FROM base ORDER BY vec_id LIMIT 1),
@@ -202,8 +230,16 @@ SELECT round(avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 5) A
 APPEND_DELETE = "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM (SELECT vec_id FROM embeddings WHERE vec_id <> 1 UNION ALL VALUES (1000001), (1000002)) t(vec_id)"
 RESULT_LINES = f"WITH r AS ({knn('l2')}) SELECT query_id, string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS ids FROM r GROUP BY query_id"
 PAD = f"WITH {BASE} SELECT vec_id, len(list_concat(e, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[]))::INTEGER AS n_dims, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS norm FROM base"
-RANDOM_BITS = "SELECT i AS vec_id, (i * 2654435761 + 12345) % 4294967296 AS bits FROM range(1000) r(i)"
-SAMPLE = "SELECT vec_id FROM embeddings ORDER BY (vec_id * 2654435761) % 4294967296, vec_id LIMIT 50"
+def _word_of(w: int) -> str:
+    u = f"('0x' || substr(md5('7:' || vec_id || ':{w}'), 1, 16))::UBIGINT::HUGEINT"
+    return f"({u} - CASE WHEN {u} >= 9223372036854775808 THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT::VARCHAR"
+
+
+RANDOM_BITS = f"SELECT vec_id, concat_ws(',', {_word_of(0)}, {_word_of(1)}) AS bits FROM embeddings"
+SAMPLE = "SELECT vec_id FROM embeddings ORDER BY ('0x' || substr(md5('17:' || vec_id), 1, 12))::BIGINT LIMIT 50"
+DRAWN = """WITH n AS (SELECT count(*) AS n FROM embeddings), d AS (SELECT id AS draw, id // 25 AS batch, ('0x' || substr(md5('17:' || (id // 25) || ':' || id), 1, 12))::BIGINT AS h FROM range(100) r(id)),
+b AS (SELECT draw, h, floor(n * batch / 4.0)::BIGINT AS lo, floor(n * (batch + 1) / 4.0)::BIGINT AS hi FROM d, n)
+SELECT draw, lo + h % greatest(hi - lo, 1) AS vec_id FROM b"""
 
 
 def round_trip(scale: int) -> str:
