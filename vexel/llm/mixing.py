@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vexel.llm.common import ROWS_PER_BUCKET, running_sum, stored
+from vexel.llm.common import ROWS_PER_BUCKET, fresh, removed, running_sum, stored, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -31,23 +31,27 @@ def source_key(source: Column) -> Column:
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(skey, source_size, n_docs, target) from rows of (skey, size, n).
 
-    The weights 5, 2, 1 repeat over the sources in order. A target stops at MOST times its source's size; filling from
-    the source that reaches its stop first gives the level at which the excess has been reshared until none is above.
+    The weights 5, 2, 1 repeat over the sources in order. A target is the source's weight times a level, but stops at MOST
+    times the source's size; from one pass to the next the level rises by what the sources that have reached their stop
+    leave over, until no other reaches it. There may be as many sources as web hosts: they are numbered range by range.
     """
     by_source = sizes.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
-    place = Window.orderBy("skey")
-    weights = F.array(*[F.lit(float(w)) for w in WEIGHTS])
-    ranked = by_source.withColumn("w", F.element_at(weights, ((F.row_number().over(place) - 1) % len(WEIGHTS) + 1).cast("int")))
-    ranked = ranked.withColumn("stop", (F.col("source_size") * MOST).cast("double"))
-    by_ratio = Window.orderBy(F.col("stop") / F.col("w"), "skey")
-    earlier = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    filled = ranked.withColumn("left", F.sum("source_size").over(everything) - F.coalesce(F.sum("stop").over(earlier), F.lit(0.0)))
-    filled = filled.withColumn("w_left", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(earlier), F.lit(0.0)))
-    level = F.col("left") / F.col("w_left")
-    # The first source, by ratio, whose stop is above the level sets the level for itself and all that follow.
-    open_level = F.first(F.when(F.col("stop") > level * F.col("w"), level), ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, 0))
-    return filled.select("skey", "source_size", "n_docs", F.when(open_level.isNull(), F.col("stop")).otherwise(open_level * F.col("w")).alias("target"))
+    ranged = stored(by_source.repartitionByRange("skey").withColumn("part", F.spark_partition_id()), "mix-sources")
+    # One row a partition.
+    before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("c")).withColumn("first", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.col("first") + F.row_number().over(Window.partitionBy("part").orderBy("skey")) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (place % len(WEIGHTS) + 1).cast("int"))
+    ranked = ranged.join(F.broadcast(before.select("part", "first")), "part").select("skey", "source_size", "n_docs", weight.alias("w"), (F.col("source_size") * MOST).cast("double").alias("stop"))
+    ranked = stored(ranked, "mix-ranked")
+    total = float(ranked.agg(F.sum("source_size")).first()[0] or 0)
+    level, stopped = 0.0, -1
+    while True:
+        full = F.col("stop") <= F.lit(level) * F.col("w")
+        state = ranked.agg(F.count(F.when(full, 1)), F.sum(F.when(full, F.col("stop")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w")))).first()
+        if state[0] == stopped or not state[2]:
+            break
+        stopped, level = state[0], (total - state[1]) / state[2]
+    return ranked.select("skey", "source_size", "n_docs", F.least("stop", F.lit(level) * F.col("w")).alias("target"))
 
 
 def _rate(multiplier: Column, size: Column, mean: Column) -> Column:
@@ -65,6 +69,7 @@ def solve(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         "skey", "target", (F.col("source_size") / F.col("n_docs")).alias("mean"), (F.col("target") >= F.col("source_size") * MOST * (1 - 1e-12)).alias("full"),
         F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("source_size")).alias("m"), F.lit(-1e9).alias("lo"), F.lit(1e9).alias("hi"), F.lit(1.0).alias("error"))
     state = state.withColumn("m", F.when(F.col("full"), F.lit(1e9)).otherwise(F.col("m")))
+    last = None
     for _ in range(STEPS):
         both = sizes.join(state, "skey")
         raw = F.exp(F.least(F.col("m") * F.col("size") / F.col("mean"), F.lit(50.0)))
@@ -81,7 +86,10 @@ def solve(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         step = sums.withColumn("l2", lo).withColumn("h2", hi).withColumn("error", error).withColumn("n2", newton)
         inside = (F.col("n2") > F.col("l2")) & (F.col("n2") < F.col("h2"))
         new = F.when(F.col("full") | (F.col("error") <= CLOSE), F.col("m")).when(inside, F.col("n2")).otherwise(middle)
-        state = stored(step.select("skey", "target", "mean", "full", new.alias("m"), F.col("l2").alias("lo"), F.col("h2").alias("hi"), "error"), "mix-dual")
+        state, path = written(step.select("skey", "target", "mean", "full", new.alias("m"), F.col("l2").alias("lo"), F.col("h2").alias("hi"), "error"), "mix-dual")
+        if last:
+            removed(last)
+        last = path
         worst = state.agg(F.max("error")).first()[0]
         if worst is None or worst <= CLOSE:
             break
@@ -113,9 +121,9 @@ def copies(docs: DataFrame) -> DataFrame:
              .join(dual, "skey").select("skey", "size", "band", "parts", F.round(_rate(F.col("m"), F.col("size"), F.col("mean")) * UNIT).cast("bigint").alias("rate")))
     part = F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("parts"))
     placed = rows.join(rates, ["skey", "size"]).withColumn("up", F.col("band") * UNIT + part).withColumn("down", (1000 - F.col("band")) * UNIT + part)
-    summed = running_sum(placed, ["skey"], "up", [F.col("size"), F.col("doc_id"), F.col("text_hash")], "rate", "upto")
+    summed = running_sum(placed, "skey", "up", [F.col("size"), F.col("doc_id"), F.col("text_hash")], "rate", "upto")
     whole = lambda c: F.floor((c + UNIT // 2) / UNIT)
-    now = stored(summed.select("doc_id", "skey", "size", "text_hash", "n", "down", (whole(F.col("upto")) - whole(F.col("upto") - F.col("rate"))).alias("copies")), "mix-rounded")
+    now, last = written(summed.select("doc_id", "skey", "size", "text_hash", "n", "down", (whole(F.col("upto")) - whole(F.col("upto") - F.col("rate"))).alias("copies")), "mix-rounded")
     for _ in range(PASSES):
         left = now.groupBy("skey").agg(F.sum(F.col("n") * F.col("size") * F.col("copies")).alias("got")).join(targets.select("skey", "target"), "skey")
         left = left.select("skey", (F.round("target").cast("bigint") - F.col("got")).alias("left"))
@@ -123,9 +131,11 @@ def copies(docs: DataFrame) -> DataFrame:
         left = now.select("skey", "down").distinct().join(left, "skey")
         open_ = now.join(left, ["skey", "down"]).withColumn("mass", F.col("n") * F.col("size"))
         fits = (F.col("mass") <= F.abs("left")) & (((F.col("left") > 0) & (F.col("copies") < MOST)) | ((F.col("left") < 0) & (F.col("copies") > 0)))
-        summed = running_sum(open_.withColumn("fit", F.when(fits, F.col("mass")).otherwise(F.lit(0)).cast("bigint")), ["skey"], "down", [F.col("size").desc(), F.col("doc_id"), F.col("text_hash")], "fit", "upto")
+        summed = running_sum(open_.withColumn("fit", F.when(fits, F.col("mass")).otherwise(F.lit(0)).cast("bigint")), "skey", "down", [F.col("size").desc(), F.col("doc_id"), F.col("text_hash")], "fit", "upto")
         change = F.when((F.col("fit") > 0) & (F.col("upto") <= F.abs("left")), F.signum(F.col("left").cast("double"))).otherwise(0.0)
-        now = stored(summed.select("doc_id", "skey", "size", "text_hash", "n", "down", (F.col("copies") + change.cast("bigint")).alias("copies")), "mix-mended")
+        now, path = written(summed.select("doc_id", "skey", "size", "text_hash", "n", "down", (F.col("copies") + change.cast("bigint")).alias("copies")), "mix-mended")
+        removed(last)
+        last = path
     with_size = rows.filter("size = 0").select("doc_id", "skey", "size", "text_hash", "n", F.lit(0).cast("bigint").alias("copies"))
     return now.drop("down").unionByName(with_size).join(targets.select("skey", "source_size", "target"), "skey")
 
@@ -137,9 +147,9 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as it is taken; its columns are unchanged."""
-    taken = copies(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("skey").alias("_skey"), F.col("text_hash").alias("_hash"), F.col("copies").alias("_copies"))
-    keyed = docs.withColumn("_s", source_key(F.col("source"))).withColumn("_h", F.xxhash64("text"))
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_skey")) & (F.col("_h") == F.col("_hash"))
-    rows = keyed.join(taken, match)
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("_k")).drop("_k")
+    """The rows of ``docs``, each as often as it is taken; its columns are unchanged, whatever their names."""
+    key, text_hash, taken_id, taken_key, taken_hash, times, one = fresh(docs, "skey", "text_hash", "taken_id", "taken_key", "taken_hash", "times", "one")
+    taken = copies(docs).filter("copies > 0").select(F.col("doc_id").alias(taken_id), F.col("skey").alias(taken_key), F.col("text_hash").alias(taken_hash), F.col("copies").alias(times))
+    keyed = docs.withColumns({key: source_key(F.col("source")), text_hash: F.xxhash64("text")})
+    rows = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col(taken_id)) & (F.col(key) == F.col(taken_key)) & (F.col(text_hash) == F.col(taken_hash)))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times))).alias(one)).drop(one)
