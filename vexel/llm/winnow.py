@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.common import ascii_lower, stored
+from vexel.llm.common import BROADCAST_ROWS, ascii_lower, fresh, hot_keys, spread_join, stored
 
 #: What stands between words: ASCII without digits and letters. A-Z are letters here; they are lower-cased word by word.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a shared passage; an item of fewer words is one passage of its own length.
 SPAN = 10
 #: Benchmark fingerprints are broadcast up to this many rows (of 16 bytes), and joined by a shuffle beyond it.
-BROADCAST_ROWS = 1_000_000
+PRINT_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -96,7 +96,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs.select(text_key(F.col("text")).alias("tkey"), F.lit(0).alias("start"), F.lit(0).alias("span"), F.array(F.lit("")).alias("items")).limit(0)
     texts = docs.select(text_key(F.col("text")).alias("tkey"), _word_hashes(words(F.col("text"))).alias("wh"))
     found = _windows(texts, spans)
-    if prints.count() <= BROADCAST_ROWS:
+    if prints.count() <= PRINT_ROWS:
         found = found.join(F.broadcast(prints), ["span", "fp"], "left_semi")
     else:
         # Each text sends a fingerprint once; the passages of those that hit are found in a second pass.
@@ -116,18 +116,34 @@ def text_results(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return by_text.select("tkey", covered.cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"))
 
 
+def with_results(docs: DataFrame, results: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined to ``results`` (tkey and other columns) by their texts, without tkey. Columns of these names must be free.
+
+    Results go to all tasks if they are few; else the copies of a frequent text are dealt out to several tasks.
+    """
+    rows = docs.withColumn("tkey", text_key(F.col("text")))
+    if results.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(results), "tkey", how).drop("tkey")
+    counts = rows.groupBy("tkey").agg(F.count(F.lit(1)).alias("n"))
+    return spread_join(rows, results, "tkey", hot_keys(counts, "tkey", docs.count()), [F.col("doc_id")], how).drop("tkey")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, doc): all columns of ``docs`` in one struct, so that no name of theirs can clash."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated; equal texts share one result.
+    """``docs`` with n_hit, n_items, items_sha256 and contaminated; equal texts share one result.
 
-    Null and empty texts have no words and no hits; without items, nothing is contaminated. Columns of these names are
-    replaced.
+    Null and empty texts have no words and no hits; without items, nothing is contaminated. Repeated rows stay as they
+    are. Columns of these names are replaced; other columns may have any name.
     """
-    results = text_results(docs, benchmark).withColumnsRenamed({"tkey": "_tkey", "n_hit": "_n", "n_items": "_i", "items_sha256": "_sha"})
-    rows = docs.withColumn("_t", text_key(F.col("text"))).join(results, F.col("_t") == F.col("_tkey"), "left")
-    rows = rows.withColumns({
-        "n_hit": F.coalesce("_n", F.lit(0)).cast("bigint"), "n_items": F.coalesce("_i", F.lit(0)).cast("bigint"),
-        "items_sha256": F.coalesce("_sha", F.sha2(F.lit("").cast("binary"), 256)), "contaminated": F.coalesce("_n", F.lit(0)) > 0})
-    return rows.drop("_t", "_tkey", "_n", "_i", "_sha")
+    rows = with_results(packed(docs), stored(text_results(docs, benchmark), "winnow-results"), "left")
+    kept = [c for c in docs.columns if c not in ("n_hit", "n_items", "items_sha256", "contaminated")]
+    hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in kept], hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
+                       F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -138,8 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no passage of the benchmark, with the columns of ``docs``."""
-    cols = docs.columns
-    dirty = text_results(docs, benchmark).select(F.col("tkey").alias("_tkey"))
-    rows = docs.withColumn("_t", text_key(F.col("text"))).join(dirty, F.col("_t") == F.col("_tkey"), "left_anti")
-    return rows.select(*cols)
+    """The rows of ``docs`` that hold no passage of the benchmark, with the columns of ``docs``, whatever their names."""
+    dirty = stored(text_results(docs, benchmark).select("tkey"), "winnow-dirty")
+    rows = with_results(packed(docs), dirty, "left_anti")
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
