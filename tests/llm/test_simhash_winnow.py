@@ -54,7 +54,7 @@ def test_trie_join_of_clusters(spark, monkeypatch, bits, rows):
     x = np.unique(np.r_[x, rng.integers(0, 2**63, 200, dtype=np.uint64)])
     df = spark.createDataFrame([(int(v), int(v), 0) for v in x.view(np.int64)], "node bigint, fp bigint, fp2 bigint")
     root = {int(v): int(v) for v in x.view(np.int64)}
-    for r in simhash.components(simhash.links(df, bits)).collect():
+    for r in simhash.components(simhash.links(df.select("fp", "fp2"), bits)).collect():
         root[r.node] = r.root
     place = {int(v): i for i, v in enumerate(x.view(np.int64))}
     want = brute_groups(x, list(range(len(x))), bits)
@@ -127,6 +127,7 @@ def test_winnowing_equals_brute_force(spark, monkeypatch, limit):
     """With small items, by broadcast and by shuffle."""
     if limit is not None:
         monkeypatch.setattr(winnow, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(winnow, "PRINT_ROWS", limit)
     words = PROSE.split()
     items = [(1, PROSE), (2, "Seven wizards"), (3, "river"), (4, None), (5, "..."), (10, " ".join(words[3:15])), (6, "a b a b a b a b a b a b a b"), (7, "Zürich ok"), (2, "near the river bank")]
     texts = EDGE + [" ".join(words[2:14]), " ".join(words[2:11]), "x SEVEN-wizards y", "a b " * 40, "zÜrich zürich OK", " ".join(words[:12] + ["and"] + words[12:]), "river"]

@@ -8,16 +8,17 @@ exceed the budget. The front is the key by which Spark deals out the work.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.common import stored
+from vexel.llm.common import BROADCAST_ROWS, fresh, hot_keys, removed, spread_join, stored, written
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
@@ -206,13 +207,13 @@ def compare(keys: np.ndarray, more: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarr
         at = upto
 
 
-def join_tasks(task: np.ndarray, side: np.ndarray, fps: np.ndarray, more: np.ndarray, node: np.ndarray, plan: list[tuple[list[int], int]], budget: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each task, whose rows stand together: between its sides, or among all its rows where only side 0 occurs."""
+def join_tasks(task: np.ndarray, side: np.ndarray, fps: np.ndarray, more: np.ndarray, plan: list[tuple[list[int], int]], budget: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows linked within each task, whose rows stand together: between its sides, or among all its rows where only side 0 occurs."""
     keys, choice = np.empty_like(fps), task >> CHOICE_SHIFT
     for c in np.unique(choice):
         keys[choice == c] = permuted(fps[choice == c], plan[c % len(plan)][0])
     place = np.lexsort((keys, side, task))
-    keys, side, task, more, node = keys[place], side[place], task[place], more[place], node[place]
+    keys, side, task, more = keys[place], side[place], task[place], more[place]
     lo = np.flatnonzero(np.r_[True, (task[1:] != task[:-1]) | (side[1:] != side[:-1])])
     hi, t, second = np.r_[lo[1:], len(task)], task[lo], side[lo] == 1
     followed = np.r_[second[1:] & (t[1:] == t[:-1]), False]
@@ -235,7 +236,7 @@ def join_tasks(task: np.ndarray, side: np.ndarray, fps: np.ndarray, more: np.nda
         links.add(own.parent[moved] + at, moved + at)
     links.reduce()
     linked = np.flatnonzero(links.parent != np.arange(len(keys)))
-    return node[linked], node[links.parent[linked]]
+    return place[linked], place[links.parent[linked]]
 
 
 #: A task's number: the choice of blocks, the bits of the front, the two subtries, and whether they differ.
@@ -246,8 +247,13 @@ SUB_BITS = 12
 GATHERED = 200_000
 
 
+def node_of(second: bool, fp: str = "fp", fp2: str = "fp2") -> Column:
+    """What stands for a fingerprint in a graph: the fingerprint, or a hash of both its words."""
+    return F.xxhash64(fp, fp2) if second else F.col(fp)
+
+
 def links(nodes: DataFrame, max_bits: int, total: int | None = None) -> DataFrame:
-    """(a, b): links between the rows of ``nodes`` (node, fp, fp2; distinct) that differ in at most ``max_bits`` bits of fp.
+    """(a, b): links between the nodes of the rows (fp, fp2; distinct) that differ in at most ``max_bits`` bits of fp.
 
     With ``total``, at most ``max_bits`` bits of either word and ``total`` bits of both may differ. Not every linked pair is
     returned, but within a task a spanning forest of them, so nothing grows with the square of a group. A trie of more
@@ -256,55 +262,67 @@ def links(nodes: DataFrame, max_bits: int, total: int | None = None) -> DataFram
     plan = orders(max_bits)
     words = [("fp", "fp2")] if total is None else [("fp", "fp2"), ("fp2", "fp")]
     limit = 128 if total is None else total
+    # Bits of a front on which rows are counted first: so many that a trie too large for a task stands out.
+    few_bits = max(0, math.ceil(math.log2(max(1, 4 * nodes.count() / TRIE_ROWS))))
 
     def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each node once for each choice of blocks, with the bits of the front and those that follow it."""
         for batch in batches:
-            node, both = batch.column(0), {n: batch.column(i).to_numpy().view(np.uint64) for i, n in ((1, "fp"), (2, "fp2"))}
+            both = {n: batch.column(i).to_numpy().view(np.uint64) for i, n in enumerate(("fp", "fp2"))}
             for w, (key, more) in enumerate(words):
                 for c, (order, front) in enumerate(plan):
                     turned = permuted(both[key], order)
                     first = turned >> np.uint64(64 - front)
                     following = (turned >> np.uint64(64 - front - SUB_BITS)) & np.uint64((1 << SUB_BITS) - 1)
-                    columns = [np.full(len(turned), w * len(plan) + c, np.int64), first.view(np.int64), following.view(np.int64), both[key].view(np.int64), both[more].view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([node, *map(pa.array, columns)], ["node", "choice", "front", "next", "key", "more"])
-
-    keyed = nodes.select("node", "fp", "fp2").mapInArrow(fronts, "node bigint, choice bigint, front bigint, next bigint, key bigint, more bigint")
-    wide = keyed.groupBy("choice", "front").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > TRIE_ROWS)
-    split = F.least(F.lit(SUB_BITS), F.lit(4) * F.ceil(F.log2(F.col("_n") / TRIE_ROWS) / 4)).cast("int")
-    wide = wide.select(F.col("choice").alias("_c"), F.col("front").alias("_f"), split.alias("split"))
-    tasks = keyed.join(wide, (F.col("choice") == F.col("_c")) & (F.col("front") == F.col("_f")), "left")
-    tasks = tasks.withColumn("sub", F.when(F.col("split").isNull(), F.lit(0)).otherwise(F.expr("shiftright(next, %d - split)" % SUB_BITS)).cast("bigint"))
-    near = F.filter(F.expr("sequence(0L, shiftleft(1L, split) - 1L)"), lambda o: F.bit_count(o.bitwiseXOR(F.col("sub"))) <= max_bits)
-    partners = F.when(F.col("split").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(near)
-    tasks = tasks.select("node", "key", "more", "choice", "front", "sub", F.explode(partners).alias("other"))
-    number = (F.shiftleft("choice", CHOICE_SHIFT).bitwiseOR(F.shiftleft("front", FRONT_SHIFT))
-              .bitwiseOR(F.shiftleft(F.least("sub", "other"), FIRST_SHIFT)).bitwiseOR(F.shiftleft(F.greatest("sub", "other"), SECOND_SHIFT))
-              .bitwiseOR(F.when(F.col("sub") != F.col("other"), F.lit(CROSS).cast("bigint")).otherwise(F.lit(0).cast("bigint"))))
-    tasks = tasks.select("node", "key", "more", number.alias("task"), F.when(F.col("sub") > F.col("other"), 1).otherwise(0).cast("bigint").alias("side"))
+                    coarse = first >> np.uint64(max(0, front - few_bits))
+                    columns = [np.full(len(turned), w * len(plan) + c, np.int64), coarse.view(np.int64), first.view(np.int64), following.view(np.int64), both[key].view(np.int64), both[more].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["choice", "coarse", "front", "next", "key", "more"])
+
+    keyed = nodes.select("fp", "fp2").mapInArrow(fronts, "choice bigint, coarse bigint, front bigint, next bigint, key bigint, more bigint")
+    number = lambda sub, other, cross: (F.shiftleft("choice", CHOICE_SHIFT).bitwiseOR(F.shiftleft("front", FRONT_SHIFT))
+                                        .bitwiseOR(F.shiftleft(F.least(sub, other), FIRST_SHIFT)).bitwiseOR(F.shiftleft(F.greatest(sub, other), SECOND_SHIFT)).bitwiseOR(cross))
+    zero = F.lit(0).cast("bigint")
+    crowded = keyed.groupBy("choice", "coarse").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TRIE_ROWS).select("choice", "coarse")
+    crowded = stored(crowded, "simhash-crowded")
+    if crowded.isEmpty():
+        tasks = keyed.select("key", "more", number(zero, zero, zero).alias("task"), zero.alias("side"))
+    else:
+        wide = keyed.join(crowded, ["choice", "coarse"], "left_semi").groupBy("choice", "front").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TRIE_ROWS)
+        split = F.least(F.lit(SUB_BITS), F.lit(4) * F.ceil(F.log2(F.col("n") / TRIE_ROWS) / 4)).cast("int")
+        wide = stored(wide.select("choice", "front", split.alias("split")), "simhash-wide")
+        tasks = keyed.join(F.broadcast(wide) if wide.count() <= BROADCAST_ROWS else wide, ["choice", "front"], "left")
+        tasks = tasks.withColumn("sub", F.when(F.col("split").isNull(), F.lit(0)).otherwise(F.expr("shiftright(next, %d - split)" % SUB_BITS)).cast("bigint"))
+        near = F.filter(F.expr("sequence(0L, shiftleft(1L, split) - 1L)"), lambda o: F.bit_count(o.bitwiseXOR(F.col("sub"))) <= max_bits)
+        partners = F.when(F.col("split").isNull(), F.array(zero)).otherwise(near)
+        tasks = tasks.select("key", "more", "choice", "front", "sub", F.explode(partners).alias("other"))
+        cross = F.when(F.col("sub") != F.col("other"), F.lit(CROSS).cast("bigint")).otherwise(zero)
+        tasks = tasks.select("key", "more", number(F.col("sub"), F.col("other"), cross).alias("task"), F.when(F.col("sub") > F.col("other"), 1).otherwise(0).cast("bigint").alias("side"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def joined(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            a, b = join_tasks(rows[0], rows[1], rows[2].view(np.uint64), rows[3].view(np.uint64), rows[4], plan, max_bits, limit)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        def joined(task: np.ndarray, side: np.ndarray, key: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+            a, b = join_tasks(task, side, key.view(np.uint64), more.view(np.uint64), plan, max_bits, limit)
+            swapped = task[a] >> CHOICE_SHIFT >= len(plan)
+            words = [np.where(swapped, second[x], first[x]) for x in (a, b) for first, second in ((key, more), (more, key))]
+            return pa.RecordBatch.from_arrays([*map(pa.array, words)], ["a", "a2", "b", "b2"])
 
         for batch in batches:
-            held.append(tuple(batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("task", "side", "key", "more", "node")))
+            held.append(tuple(batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("task", "side", "key", "more")))
             size += batch.num_rows
             if size >= GATHERED:
                 rows = tuple(np.concatenate(x) for x in zip(*held))
                 cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on
                 if cut:
-                    yield joined(tuple(x[:cut] for x in rows))
+                    yield joined(*(x[:cut] for x in rows))
                 held, size = [tuple(x[cut:] for x in rows)], len(rows[0]) - cut
         if size:
-            yield joined(tuple(np.concatenate(x) for x in zip(*held)))
+            yield joined(*(np.concatenate(x) for x in zip(*held)))
 
     dealt = tasks.repartition("task").sortWithinPartitions("task")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    found = dealt.mapInArrow(run, "a bigint, a2 bigint, b bigint, b2 bigint")
+    return found.select(node_of(total is not None, "a", "a2").alias("a"), node_of(total is not None, "b", "b2").alias("b")).distinct()
 
 
 def short_links(sets: DataFrame) -> DataFrame:
@@ -342,22 +360,31 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link, root the least node of its component.
 
     Large-star and small-star steps alternate until nothing changes: each step links the neighbours of a node to the
-    least of them, and the number of steps grows with the logarithm of the number of nodes.
+    least of them, and the number of steps grows with the logarithm of the number of nodes. The links of a hub are
+    dealt out to several tasks.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = stored(edges, "star")
-    before = None
+    edges, last = written(edges, "star")
+    before, size = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "star")
+        large = starred(both, both.filter("v > u"), size)
+        small = starred(large, large, size)
+        edges, path = written(small, "star")
+        removed(last)
+        last = path
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = tuple(state)
+        before, size = tuple(state), state[0]
+
+
+def starred(around: DataFrame, moved: DataFrame, size: int) -> DataFrame:
+    """Distinct (u, v): the neighbours v of u in ``moved``, and u itself, linked to the least m of u and its neighbours in ``around``."""
+    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    met = spread_join(moved, least.select("u", "m"), "u", hot_keys(least, "u", 2 * size), [F.col("v")])
+    ends = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return ends.filter("u <> v").distinct()
 
 
 def grouped(docs: DataFrame, shingle: int, max_bits: int, total: int | None = None, least: int = 0) -> DataFrame:
@@ -370,19 +397,22 @@ def grouped(docs: DataFrame, shingle: int, max_bits: int, total: int | None = No
     empty table gives an empty result.
     """
     second = total is not None
-    rows = fingerprints(docs, shingle, second)
-    rows = stored(rows.withColumn("node", F.xxhash64("fp", "fp2") if second else F.col("fp")), "simhash-rows")
-    nodes = stored(rows.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "simhash-nodes")
-    edges = links(nodes.filter(F.col("n") >= least).select("node", "fp", "fp2"), max_bits, total)
+    rows = stored(fingerprints(docs, shingle, second).withColumn("node", node_of(second)), "simhash-rows")
+    nodes = stored(rows.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "simhash-nodes")
+    edges = links(nodes.filter(F.col("n") >= least).select("fp", "fp2"), max_bits, total)
     if second:
         edges = edges.unionByName(short_links(stored(rows.filter("few is not null").select("node", "few").distinct(), "simhash-short")))
     comp = stored(components(edges), "simhash-components")
     comp = comp.unionByName(comp.select(F.col("root").alias("node"), "root")).distinct()
     joined = nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("component"), F.col("root").isNotNull().alias("linked"))
     joined = stored(joined, "simhash-joined")
-    best = joined.filter("linked").groupBy("component").agg(F.min("least").alias("best"))
-    labels = joined.join(best, "component", "left").select("node", "component", F.when(F.col("linked"), F.col("best")).otherwise(F.col("least")).alias("component_id"))
-    return rows.join(labels, "node").select("doc_id", "text_hash", "fp", "component", "component_id")
+    best = joined.filter("linked").groupBy("component").agg(F.min("least").alias("best"), F.count(F.lit(1)).alias("n"))
+    labels = spread_join(joined, best.select("component", "best"), "component", hot_keys(best, "component", nodes.count()), [F.col("node")], "left")
+    labels = labels.select("node", "component", F.when(F.col("linked"), F.col("best")).otherwise(F.col("least")).alias("component_id"))
+    # A group of equal texts has one fingerprint, and its rows go to several tasks.
+    hot = hot_keys(nodes.groupBy("node").agg(F.sum("rows").alias("n")), "node", rows.count())
+    found = spread_join(rows.select("doc_id", "text_hash", "fp", "node"), labels, "node", hot, [F.col("doc_id"), F.col("text_hash")])
+    return found.select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def groups_digest(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -390,8 +420,11 @@ def groups_digest(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataF
     return grouped(docs, shingle, max_bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, max_bits: int = 8, total: int = 22, least: int = 9) -> DataFrame:
-    """One row of ``docs`` per component, that of the least doc_id, with the columns of ``docs``.
+def deduplicated(docs: DataFrame, shingle: int = 5, max_bits: int = 9, total: int = 24, least: int = 9) -> DataFrame:
+    """One row of ``docs`` per component, that of the least doc_id, with the columns of ``docs``, whatever their names.
+
+    Of rows with the same doc_id, that of the least hash of its text stays; of rows that also share their text, the one
+    whose columns, written as JSON, come first. Null and empty texts are one group.
 
     The defaults aim at a similarity of 0.8 between the shingles of two texts, at which 15 % of 128 bits are expected to
     differ: a link needs at most ``max_bits`` differing bits in one word of 64 and ``total`` in both. The bits of fewer
@@ -399,7 +432,10 @@ def deduplicated(docs: DataFrame, shingle: int = 5, max_bits: int = 8, total: in
     """
     rows = grouped(docs, shingle, max_bits, total, least)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"))
-    keep = first.select(F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash"))
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    found = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["_id"]) & (keyed["_h"] == keep["_hash"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    kept_id, kept_hash, text_hash, doc = fresh(docs, "kept_id", "kept_hash", "text_hash", "doc")
+    keep = first.select(F.col("f.doc_id").alias(kept_id), F.col("f.text_hash").alias(kept_hash))
+    keyed = docs.withColumn(text_hash, F.xxhash64("text"))
+    found = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(text_hash) == F.col(kept_hash)), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = found.groupBy("doc_id", text_hash).agg(F.min_by(whole, F.to_json(whole)).alias(doc))
+    return one.select(*[F.col(doc).getField(c).alias(c) for c in docs.columns])
