@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vexel.llm.common import fresh
 from vexel.llm.features import hashed_terms, list_parts
 
 
@@ -19,8 +20,9 @@ class Params:
     """``sample`` bounds the labelled rows that are fitted (those with the least hash of doc_id) and ``sample_chars`` their length.
 
     Terms enter the fit if ``least`` labelled documents have them and their share of toxic ones is ``z`` standard
-    deviations from the share of all, or if a pair that they form is in ``pair_least`` labelled documents, whose share of
-    toxic ones is ``pair_z`` standard deviations from what the shares of both terms add up to.
+    deviations from the share of all, or if a pair that they form is in ``pair_least`` documents of which ``pair_rows`` are
+    looked at, and whose share of toxic ones is ``pair_z`` standard deviations from what the shares of both terms add up
+    to. Of these documents, a quarter are toxic if there are that many.
     """
 
     bits: int = 18
@@ -33,6 +35,7 @@ class Params:
     z: float = 3.0
     pair_least: int = 5
     pair_z: float = 6.0
+    pair_rows: int = 4_000
     sample: int = 20_000
     sample_chars: int = 50_000
     seed: int = 7
@@ -70,15 +73,22 @@ def telling(values: np.ndarray, offsets: np.ndarray, labels: np.ndarray, p: Para
     alone = (seen >= p.least) & (np.abs(toxic - expected) > p.z * np.sqrt(np.maximum(expected * (1 - share), 1e-9)))
     if not 0 < share < 1:
         return alone
-    return alone | interacting(values, offsets, labels, toxic, seen, alone, p)
+    rng = np.random.default_rng(p.seed)
+    bad, good = (rng.permutation(np.flatnonzero(labels > 0)), rng.permutation(np.flatnonzero(labels <= 0)))
+    bad = bad[:max(p.pair_rows // 4, p.pair_rows - len(good))]
+    some = np.sort(np.r_[bad, good[:p.pair_rows - len(bad)]])
+    count = np.diff(offsets)[some]
+    inner = np.arange(count.sum()) + np.repeat(offsets[some] - np.cumsum(count) + count, count)
+    return alone | interacting(values[inner], np.r_[0, np.cumsum(count)], labels[some], alone, p)
 
 
-def interacting(values: np.ndarray, offsets: np.ndarray, labels: np.ndarray, toxic: np.ndarray, seen: np.ndarray, alone: np.ndarray, p: Params) -> np.ndarray:
+def interacting(values: np.ndarray, offsets: np.ndarray, labels: np.ndarray, alone: np.ndarray, p: Params) -> np.ndarray:
     """Which of the terms that aren't telling ``alone`` form a pair whose share of toxic documents its terms don't explain.
 
     All pairs are counted, those of one term at a time.
     """
-    found = np.zeros(len(seen), bool)
+    found, owner = np.zeros(len(alone), bool), np.repeat(np.arange(len(labels)), np.diff(offsets))
+    toxic, seen = np.bincount(values, labels[owner], len(alone)), np.bincount(values, minlength=len(alone))
     terms = np.flatnonzero(seen >= p.pair_least)
     place = np.full(len(seen), -1, np.int32)
     place[terms] = np.arange(len(terms))
@@ -185,12 +195,13 @@ def train(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
 def scored(docs: DataFrame, labels: DataFrame, p: Params = Params(), score_name: str = "score") -> DataFrame:
     """``docs`` with a score (0 to 1, double) in a column of that name, which is replaced if there is one.
 
-    Only the text enters a score. Null and empty texts have no terms and get the score of the bias alone.
+    Only the text enters a score, so repeated rows score alike. Null and empty texts have no terms and get the score of the
+    bias alone. Other columns may have any name.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))
     kept = docs.drop(score_name)
     names = kept.columns
-    terms = kept.withColumn("_terms", hashed_terms(F.col("text"), p.bits, p.prefixes))
+    terms = kept.withColumn(fresh(docs, "terms")[0], hashed_terms(F.col("text"), p.bits, p.prefixes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,5 +220,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFr
 
 def inoffensive(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold, with the columns of ``docs``."""
-    rows = scored(docs, labels, p, "_toxicity_score")
-    return rows.filter(F.col("_toxicity_score") < p.threshold).select(*docs.columns)
+    score = fresh(docs, "toxicity_score")[0]
+    return scored(docs, labels, p, score).filter(F.col(score) < p.threshold).select(*docs.columns)
