@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+import pytest
 from fixtures import DOC, EDGE, docs
 
 from vexel.llm import langid, toxicity
@@ -28,23 +30,35 @@ def test_language_of_edge_cases(spark):
     assert langid.languages(none).first().lang_pred == "und"
 
 
-def test_language_sums_equal_a_plain_loop():
-    import numpy as np
-
+@pytest.mark.parametrize("block", [7, 1 << 19])
+def test_language_sums_equal_a_plain_loop(monkeypatch, block):
+    """Blocks of 7 bytes put their seams everywhere."""
+    monkeypatch.setattr(langid, "BLOCK", block)
     p = langid.Params()
     rng = np.random.default_rng(0)
-    weights, bias = rng.normal(size=(1 << p.bits, 3)), rng.normal(size=3)
+    table, weights, bias = rng.normal(size=(1 << p.bits, 4)), rng.normal(size=(4, 3)), rng.normal(size=3)
     texts = ["", "a", "ab", "Grüße an alle", "x" * 300, "the end"]
     data = "".join(texts).encode()
     offsets = np.cumsum([0, *[len(t.encode()) for t in texts]])
-    got = langid.logits(weights, bias, np.frombuffer(data, np.uint8), offsets, p)
+    got = langid.logits(langid.Model(["a", "b", "c"], table, weights, bias, 1.0, 0.0), np.frombuffer(data, np.uint8), offsets, p)
     for t, row in zip(texts, got):
         folded = langid.FOLD[np.frombuffer(t.encode(), np.uint8)]
         ids = np.concatenate([langid.subwords(folded, o, p.bits) for o in p.orders])
-        want = weights[ids].mean(axis=0) + bias if len(ids) else bias
+        want = table[ids].mean(axis=0) @ weights + bias if len(ids) else bias
         assert np.allclose(row, want)
 
 
+def test_more_languages_than_dimensions():
+    """Embeddings are summed instead of their products, with the same results."""
+    texts = [f"{w} {w} {w}".encode() for w in ("alpha", "beta", "gamma") for _ in range(40)]
+    labels = np.repeat([0, 1, 2], 40)
+    narrow, wide = (langid.fit(texts, labels, ["a", "b", "c"], langid.Params(dim=d, steps=50)) for d in (2, 4))
+    assert narrow.table.shape[1] == 2 and wide.table.shape[1] == 3
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    for model, d in ((narrow, 2), (wide, 4)):
+        assert (langid.logits(model, data, offsets, langid.Params(dim=d)).argmax(axis=1) == labels).mean() > 0.9
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     df, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -57,8 +71,6 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_learns_an_interaction():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     labels, values, offsets = [], [], [0]
     for i in range(800):  # toxic only where both terms meet
@@ -73,8 +85,6 @@ def test_toxicity_learns_an_interaction():
 
 
 def test_toxicity_learns_terms_that_are_flat_alone():
-    import numpy as np
-
     rng = np.random.default_rng(2)
     labels, values, offsets = [], [], [0]
     for i in range(2000):  # terms 1 and 2 are in 600 documents each, 30 of them toxic like 5 % of all: those with both

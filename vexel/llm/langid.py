@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vexel.llm.common import fresh
+
 
 @dataclass(frozen=True)
 class Params:
@@ -32,7 +34,7 @@ class Params:
 
 
 #: Bytes scored at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: A-Z become a-z; ASCII that is no letter becomes a space, which marks the ends of words; other bytes stay.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
 
@@ -47,23 +49,28 @@ def subwords(data: np.ndarray, order: int, bits: int) -> np.ndarray:
     return (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
 
 
-def logits(weights: np.ndarray, bias: np.ndarray, data: np.ndarray, offsets: np.ndarray, p: Params) -> np.ndarray:
-    """The logits of the texts data[offsets[i]:offsets[i + 1]]: the mean over their subwords of embedding times softmax weights."""
-    docs, classes = len(offsets) - 1, weights.shape[1]
-    sums, counts = np.zeros((docs, classes)), np.zeros(docs)
+def means(table: np.ndarray, data: np.ndarray, offsets: np.ndarray, p: Params) -> np.ndarray:
+    """The mean over the subwords of each text data[offsets[i]:offsets[i + 1]] of their rows in ``table``."""
+    docs, width = len(offsets) - 1, table.shape[1]
+    sums, counts = np.zeros((docs, width)), np.zeros(docs)
     start, stop = offsets[:-1], offsets[1:]
     for at in range(0, int(offsets[-1]), BLOCK):
         upto = min(at + BLOCK, int(offsets[-1]))
         folded = FOLD[data[at:min(upto + max(p.orders), int(offsets[-1]))]]
         first, last = np.searchsorted(stop, at, side="right"), np.searchsorted(start, upto, side="left")
         for order in p.orders:
-            part = weights[subwords(folded, order, p.bits)]
-            ends = np.vstack([np.zeros((1, classes)), np.cumsum(part, axis=0, dtype=np.float64)])
+            part = table[subwords(folded, order, p.bits)]
+            ends = np.vstack([np.zeros((1, width)), np.cumsum(part, axis=0, dtype=np.float64)])
             lo = np.minimum(np.clip(start[first:last], at, upto) - at, len(part))
             hi = np.maximum(np.minimum(np.minimum(stop[first:last] - order + 1, upto) - at, len(part)), lo)
             sums[first:last] += ends[hi] - ends[lo]
             counts[first:last] += hi - lo
-    return sums / np.maximum(counts, 1)[:, None] + bias
+    return sums / np.maximum(counts, 1)[:, None]
+
+
+def logits(model: Model, data: np.ndarray, offsets: np.ndarray, p: Params) -> np.ndarray:
+    """The logits of texts: their mean embedding times the softmax weights."""
+    return means(model.table, data, offsets, p) @ model.weights + model.bias
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -73,7 +80,10 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
+    """Without more languages than dimensions, ``table`` holds the products with the softmax weights, which are narrower."""
+
     langs: list[str]
+    table: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
@@ -122,7 +132,8 @@ def fit(texts: list[bytes], labels: np.ndarray, langs: list[str], p: Params) ->
         wrong = np.cumsum(~right[place]) / np.arange(1, held + 1)
         fine = np.flatnonzero(wrong <= p.wrong)
         threshold = float(best[place][fine[-1]]) if len(fine) else 1.0
-    return Model(langs, weights.astype(np.float32), bias, temperature, threshold)
+    narrow = classes <= p.dim
+    return Model(langs, (weights if narrow else e).astype(np.float32), np.eye(classes) if narrow else w, bias, temperature, threshold)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -148,31 +159,32 @@ def predictions(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (calibrated, 0 to 1) and ``accepted`` (the score reaches the rejection threshold).
 
     Only the text enters a prediction. Null texts, and texts without a letter, get 'und', score 0 and are not accepted;
-    so do all where there is nothing to learn from. Columns of these names are replaced.
+    so do all where there is nothing to learn from. Repeated rows get the same. Columns of these names are replaced; others
+    may have any name.
     """
     model = train(docs, p)
     kept = docs.drop("lang_pred", "score", "accepted")
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return kept.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "accepted": F.lit(False)})
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.bias, model.temperature, model.threshold))
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
     names = kept.columns
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, weights, bias, temperature, threshold = sent.value
+        model = Model(**sent.value)
         for batch in batches:
             text = batch.column(place).cast(pa.large_binary()).fill_null(b"")
             offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
             data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]] if len(text) else np.zeros(0, np.uint8)
-            prob = softmax(logits(weights, bias, data, offsets - offsets[0], p) / temperature)
+            prob = softmax(logits(model, data, offsets - offsets[0], p) / model.temperature)
             best, has = prob.max(axis=1), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
-            pred = [langs[k] if h else "und" for k, h in zip(prob.argmax(axis=1).tolist(), has.tolist())]
+            pred = [model.langs[k] if h else "und" for k, h in zip(prob.argmax(axis=1).tolist(), has.tolist())]
             score = np.where(has, best, 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred), pa.array(score), pa.array(has & (score >= threshold))], [*names, "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred), pa.array(score), pa.array(has & (score >= model.threshold))], [*names, "lang_pred", "score", "accepted"])
 
     schema = kept.schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
-    return kept.withColumn("_letters", letters).mapInArrow(run, schema)
+    return kept.withColumn(fresh(kept, "letters")[0], letters).mapInArrow(run, schema)
 
 
 def languages(docs: DataFrame, p: Params = Params()) -> DataFrame:
