@@ -7,7 +7,7 @@ import xxhash
 from fixtures import DOC, EDGE, PROSE, SF, docs
 from pyspark.sql import functions as F
 
-from vexel.llm import simhash, winnow
+from vexel.llm import common, simhash, winnow
 
 
 def brute_fingerprint(text, k):
@@ -126,7 +126,8 @@ def brute_marks(text, items):
 def test_winnowing_equals_brute_force(spark, monkeypatch, limit):
     """With small items, by broadcast and by shuffle."""
     if limit is not None:
-        monkeypatch.setattr(winnow, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(common, "HOT_ROWS", 1)
         monkeypatch.setattr(winnow, "PRINT_ROWS", limit)
     words = PROSE.split()
     items = [(1, PROSE), (2, "Seven wizards"), (3, "river"), (4, None), (5, "..."), (10, " ".join(words[3:15])), (6, "a b a b a b a b a b a b a b"), (7, "Zürich ok"), (2, "near the river bank")]

@@ -114,3 +114,11 @@ def spread_join(rows: DataFrame, small: DataFrame, key: str, hot: DataFrame, by:
     salted = rows.join(hot, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("salts")), F.lit(0))).drop("salts")
     copies = small.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)).cast("bigint") - 1))).drop("salts")
     return salted.join(copies, [key, "salt"], how).drop("salt")
+
+
+def key_join(rows: DataFrame, results: DataFrame, key: str, by: list[Column], how: str = "left") -> DataFrame:
+    """Joins ``rows`` to ``results``, which has each ``key`` once: results go to all tasks if they are few; else the rows of a frequent key are dealt out."""
+    if results.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(results), key, how)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return spread_join(rows, results, key, hot_keys(counts, key, rows.count()), by, how)

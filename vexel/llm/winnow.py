@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.common import BROADCAST_ROWS, ascii_lower, fresh, hot_keys, spread_join, stored
+from vexel.llm.common import ascii_lower, key_join, stored
 
 #: What stands between words: ASCII without digits and letters. A-Z are letters here; they are lower-cased word by word.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -117,15 +117,8 @@ def text_results(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def with_results(docs: DataFrame, results: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined to ``results`` (tkey and other columns) by their texts, without tkey. Columns of these names must be free.
-
-    Results go to all tasks if they are few; else the copies of a frequent text are dealt out to several tasks.
-    """
-    rows = docs.withColumn("tkey", text_key(F.col("text")))
-    if results.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(results), "tkey", how).drop("tkey")
-    counts = rows.groupBy("tkey").agg(F.count(F.lit(1)).alias("n"))
-    return spread_join(rows, results, "tkey", hot_keys(counts, "tkey", docs.count()), [F.col("doc_id")], how).drop("tkey")
+    """``docs`` joined to ``results`` (tkey and other columns) by their texts, without tkey. Columns of these names must be free."""
+    return key_join(docs.withColumn("tkey", text_key(F.col("text"))), results, "tkey", [F.col("doc_id")], how).drop("tkey")
 
 
 def packed(docs: DataFrame) -> DataFrame:
