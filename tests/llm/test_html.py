@@ -38,6 +38,47 @@ def test_comments_longer_than_the_article():
     assert html.main_text(PAGE.replace(comment, 20 * comment)) == html.main_text(page.replace(comment, 20 * comment)) == TEXT
 
 
+def lines_beside(lines):
+    prose = "".join(f"<p>Paragraph {i} of the article is a good deal longer than any of the lines that stand beside it, and so its ratio of text to tags is high.</p>" for i in range(12))
+    return f"<html><body><div>{prose}</div><div>{''.join(f'<p><b>score</b> of <i>team</i> {i}</p>' for i in range(lines))}</div></body></html>"
+
+
+def test_the_ratios_decide():
+    """The region is the one whose smoothed ratios stand out; without threshold or with far too wide a kernel it is another."""
+    page = lines_beside(80)
+    text = html.main_text(page)
+    assert text.startswith("Paragraph 0") and "score" not in text
+    assert "score" in html.main_text(page, html.Params(threshold=0.0)) and "score" in html.main_text(page, html.Params(sigma=60.0, threshold=0.1))
+
+
+def test_region_equals_a_plain_loop():
+    """Ratios, kernel, threshold and mass worked out block by block."""
+    page = lines_beside(80)
+    reader = html.parse(page)
+    ratio = [(len(b.text) - min(b.link_chars, len(b.text))) / max(1, b.tags) for b in reader.blocks]
+    mean = sum(ratio) / len(ratio)
+    std = (sum((r - mean) ** 2 for r in ratio) / len(ratio)) ** 0.5
+    weights = [2.718281828459045 ** (-0.5 * d * d) for d in range(-3, 4)]
+    chosen = []
+    for i in range(len(ratio)):
+        near = [ratio[min(max(i + d, 0), len(ratio) - 1)] for d in range(-3, 4)]
+        chosen.append(sum(w * r for w, r in zip(weights, near)) / sum(weights) >= 0.5 * std and ratio[i] > 0)
+    assert html.clustered(reader.blocks, [False] * len(ratio), html.Params()).tolist() == chosen
+    share = {}
+    for b, c in zip(reader.blocks, chosen):
+        node = b.node
+        while c and node:
+            share[node] = share.get(node, 0) + len(b.text)
+            node = reader.parents[node]
+    total = sum(len(b.text) for b, c in zip(reader.blocks, chosen) if c)
+    assert html.region(reader, html.Params()) == max(n for n, v in share.items() if v >= 0.7 * total and reader.tags[n] in html.CONTAINERS)
+
+
+def test_names_within_the_text():
+    page = PAGE.replace("<p>Short.", '<h2 id="social-history">Social history</h2><p class="share-price">Short.')
+    assert html.main_text(page) == TEXT.replace("Short.", "Social history\n\nShort.")
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("<p>", ""), ("plain", "plain"), ("<nav>menu</nav>", ""), ("<p>a &lt;b&gt; &#233;</p>", "a <b> é"), ("<![x[ a", "<![x[ a"), ("<p>cut off", "cut off"), ("<div>" * 20000 + "deep", "deep")])
 def test_odd_pages(page, text):
     assert html.main_text(page) == text

@@ -4,6 +4,7 @@ The standard library's parser streams events; a page becomes a row of blocks wit
 text-to-tag ratio of the blocks is smoothed by a Gaussian, and the blocks above a threshold cluster into the content
 region: the element that holds most of their text. All of its blocks are the article, but for parts that markup names
 as something else. Where a name is at odds with the clusters, as that of a wrapper around the page, it counts for nothing.
+Tags named article or main have no say in where the region is.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ KEPT = frozenset("html body main article".split())
 NAMED, SURE = 1, 2
 FORMS = frozenset("form fieldset".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements of running text: of their classes and ids only whole ones count, so that share-price isn't taken for share.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption span".split())
 
 
 def is_other(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
@@ -59,7 +62,7 @@ def is_other(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
                 return found
             found = NAMED
         if name in ("class", "id") and tag not in ("html", "body", "main"):
-            words = {w.lower() for w in WORDS.findall(value)}
+            words = set(value.lower().split()) if tag in TEXT else {w.lower() for w in WORDS.findall(value)}
             if tag == "article" and not words & {"comment", "comments", "ad", "ads", "promo", "related"}:
                 continue
             if words & NAMES or words & {"header"} and not in_article:
@@ -250,7 +253,7 @@ def overruled(reader: Blocks, p: Params) -> frozenset[int]:
 
 
 def region(reader: Blocks, p: Params) -> int:
-    """The element that holds the content; -1 without any text."""
+    """The element that holds the content, as the clusters of the smoothed ratios have it; -1 without any text."""
     chosen = clustered(reader.blocks, [b.other for b in reader.blocks], p)
     if not chosen.any():
         return -1
@@ -262,12 +265,6 @@ def region(reader: Blocks, p: Params) -> int:
         if reader.tags[node] not in CONTAINERS:
             break
         here = node
-    for wanted in ("article", "main"):
-        up = here
-        while up and reader.tags[up] != wanted:
-            up = reader.parents[up]
-        if up:
-            return up
     return here
 
 
@@ -298,7 +295,7 @@ def main_text(page: str | None, p: Params = Params()) -> str:
 
 
 def extracted(pages: DataFrame, p: Params = Params()) -> DataFrame:
-    """``pages`` without html, with ``text`` and ``n_chars`` (code points). Columns of these names are replaced."""
+    """``pages`` without html, with ``text`` and ``n_chars`` (code points); repeated rows get the same. Columns of these names are replaced, others may have any name."""
     kept = pages.drop("text", "n_chars")
     names = [c for c in kept.columns if c != "html"]
 
