@@ -175,23 +175,48 @@ def drawn(rows: DataFrame, size: int, batches: int = 1, seed: int = 17) -> DataF
     return draws.join(rows, "vec_id").select("draw", *rows.columns)
 
 
+def nearest(x: np.ndarray, centres: np.ndarray, digits: int | None = None) -> np.ndarray:
+    """The nearest centre of each row, ties to the first; in blocks, so that memory stays bounded. With ``digits``, distances are rounded."""
+    out = np.empty(len(x), np.int64)
+    step = max(1, (1 << 22) // (len(centres) * (x.shape[1] if digits is not None else 1)))
+    for at in range(0, len(x), step):
+        part = x[at:at + step]
+        if digits is None:
+            d = (centres ** 2).sum(axis=1)[None] - 2 * part @ centres.T
+        else:
+            d = np.round(((part[:, None] - centres[None]) ** 2).sum(axis=2), digits)
+        out[at:at + step] = d.argmin(axis=1)
+    return out
+
+
 def lloyd(points: DataFrame, seeds: list[list[float]], rounds: int) -> list[list[float]]:
     """Centres after ``rounds`` of Lloyd's steps over (vec_id, e); an empty cluster keeps its centre.
 
-    Each round is one job: a narrow assignment, sums per (cluster, dimension) within tasks, and k * d numbers to the driver.
+    Each round is one job: a task sends the sum and the number of its rows in each cluster, and k * d numbers go to the driver.
     """
-    centres = [list(map(float, c)) for c in seeds]
-    spark = points.sparkSession
+    centres = np.array(seeds, float)
     for _ in range(rounds):
-        table = spark.createDataFrame(list(enumerate(centres)), "cluster_id int, ce array<double>")
-        sums = search.assigned(points, table, 9).select("cluster_id", F.posexplode("e").alias("i", "x")).groupBy("cluster_id", "i").agg(F.avg("x").alias("x")).collect()
-        new = [list(c) for c in centres]
-        for r in sums:
-            new[r.cluster_id][r.i] = r.x
-        if new == centres:
+
+        def run(batches: Iterator[pa.RecordBatch], c=centres) -> Iterator[pa.RecordBatch]:
+            sums, n = np.zeros_like(c), np.zeros(len(c), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+                    near = nearest(x, c, 9)
+                    np.add.at(sums, near, x)
+                    n += np.bincount(near, minlength=len(c))
+            k, i = np.divmod(np.arange(c.size), c.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(i), pa.array(sums.ravel()), pa.array(n[k])], ["cluster_id", "i", "x", "n"])
+
+        found = points.select("e").mapInArrow(run, "cluster_id bigint, i bigint, x double, n bigint").groupBy("cluster_id", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
+        new = centres.copy()
+        for r in found:
+            if r.n:
+                new[r.cluster_id, r.i] = r.x / r.n
+        if np.array_equal(new, centres):
             break
         centres = new
-    return centres
+    return centres.tolist()
 
 
 def farthest_first(points: DataFrame, k: int) -> list[int]:
@@ -207,15 +232,20 @@ def farthest_first(points: DataFrame, k: int) -> list[int]:
     return chosen
 
 
-def minibatch(points: DataFrame, seeds: list[list[float]], batch: int, rounds: int) -> list[list[float]]:
-    """Mini-batch k-means: each round moves the centres towards ``batch`` rows by one over the rows they have seen."""
+def minibatch(points: DataFrame, seeds: list[list[float]], batch: int, rounds: int, tolerance: float = 0.0, norm: int = 2) -> list[list[float]]:
+    """Mini-batch k-means: each round moves the centres towards ``batch`` rows by one over the rows they have seen.
+
+    It ends after ``rounds``, or when the centres have moved by at most ``tolerance`` in a round, summed up by the norm 1 or 2 of their moves.
+    """
     centres, seen = np.array(seeds, float), np.zeros(len(seeds))
     for r in range(rounds):
-        rows = np.array([x.e for x in sampled(points, batch, r).collect()])  # at most ``batch``
-        near = ((rows[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        for x, c in zip(rows, near):
+        rows = np.array([x.e for x in sampled(points, batch, r).orderBy("vec_id").collect()])  # at most ``batch``
+        before = centres.copy()
+        for x, c in zip(rows, nearest(rows, centres, 9) if len(rows) else []):
             seen[c] += 1
             centres[c] += (x - centres[c]) / seen[c]
+        if np.linalg.norm(centres - before, norm, axis=1).sum() <= tolerance:
+            break
     return centres.tolist()
 
 
@@ -223,7 +253,7 @@ def _numpy_lloyd(x: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
     k = min(k, len(x))
     centres = x[:k].copy()
     for _ in range(rounds):
-        near = ((x ** 2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres ** 2).sum(axis=1)[None]).argmin(axis=1)
+        near = nearest(x, centres)
         sums, n = np.zeros_like(centres), np.bincount(near, minlength=k)
         np.add.at(sums, near, x)
         new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
@@ -236,7 +266,7 @@ def _numpy_lloyd(x: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
 def hierarchical(x: np.ndarray, bits: int, coarse: int = 7) -> np.ndarray:
     """2**bits centres: 2**coarse first, then the rest within each of their cells."""
     top = _numpy_lloyd(x, 1 << min(coarse, bits))
-    near = ((x[:, None] - top[None]) ** 2).sum(axis=2).argmin(axis=1)
+    near = nearest(x, top)
     fine = max(1, (1 << bits) // len(top))
     return np.concatenate([_numpy_lloyd(x[near == c], fine) if (near == c).any() else top[c:c + 1] for c in range(len(top))])
 
@@ -246,12 +276,16 @@ def binary(x: np.ndarray, bits: int) -> np.ndarray:
     if bits == 0 or len(x) <= 1:
         return x.mean(axis=0, keepdims=True)
     two = _numpy_lloyd(x, 2)
-    side = ((x[:, None] - two[None]) ** 2).sum(axis=2).argmin(axis=1) if len(two) == 2 else np.zeros(len(x), int)
+    side = nearest(x, two) if len(two) == 2 else np.zeros(len(x), int)
     if min((side == 0).sum(), (side == 1).sum()) < (1 << (bits - 1)):
         return _numpy_lloyd(x, 1 << bits)
     return np.concatenate([binary(x[side == 0], bits - 1), binary(x[side == 1], bits - 1)])
 
 
+#: Bits of a subspace beyond which its dictionary is learned in two levels, unless it is to be learned by halving.
+FLAT_BITS = 8
+
+
 @dataclass(frozen=True)
 class VaqParams:
     """A quantizer and a search strategy, as in ``VAQ32m8min2max6var1,HEAP``."""
@@ -263,6 +297,9 @@ class VaqParams:
     share: float = 1.0
     strategy: str = "HEAP"
     clusters: int = 0
+    #: Subspaces by which TI clusters: a number (0: all), or those up to a share of the variance where it is below 1.
+    segments: int = 0
+    segment_share: float = 1.0
     clustering: str = "flat"
     bits: tuple[int, ...] = ()
     #: Rows on which the dictionaries are learned, per centroid.
@@ -279,16 +316,16 @@ class VaqParams:
         if not found:
             raise ValueError(f"not a quantizer: {head}")
         tokens = [t for t in tail.strip().upper().split("_") if t]
-        clusters = 0
+        clusters, segments, segment_share = 0, 0, 1.0
         for t in tokens:
-            ti = re.fullmatch(r"TI(\d+)(?:M\d+|VAR[\d.]+)?", t)
+            ti = re.fullmatch(r"TI(\d+)(?:M(\d+)|VAR([\d.]+))?", t)
             if ti:
-                clusters = int(ti[1])
+                clusters, segments, segment_share = int(ti[1]), int(ti[2] or 0), float(ti[3] or 1)
             elif t not in cls.PRIORITY:
                 raise ValueError(f"not a strategy: {t}")
         names = {"TI" if t.startswith("TI") else t for t in tokens}
         strategy = next((p for p in cls.PRIORITY if p in names), "HEAP")
-        params = cls(int(found[1]), int(found[2]), int(found[3]), int(found[4]), float(found[5]), strategy, clusters)
+        params = cls(int(found[1]), int(found[2]), int(found[3]), int(found[4]), float(found[5]), strategy, clusters, segments, segment_share)
         if params.most > MAX_BITS or params.least < 0:
             raise ValueError("bits must lie between 0 and 15")
         return params
@@ -326,7 +363,7 @@ class Vaq:
             group = group.sort_by("vec_id").combine_chunks()
             x = group.column("x").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
             b = bits[s]
-            centres = hierarchical(x, b) if kind == "hierarchical" and b > 1 else binary(x, b) if kind == "binary" else _numpy_lloyd(x, 1 << b)
+            centres = binary(x, b) if kind == "binary" else hierarchical(x, b) if kind == "hierarchical" and b > 1 or b > FLAT_BITS else _numpy_lloyd(x, 1 << b)
             return pa.table({"subspace": pa.array([s] * len(centres), pa.int32()), "code": pa.array(range(len(centres)), pa.int32()), "centroid": pa.array(centres.tolist(), pa.list_(pa.float64()))})
 
         learned = parts.groupBy("subspace").applyInArrow(learn, "subspace int, code int, centroid array<double>").orderBy("subspace", "code").collect()  # the codebook
@@ -347,31 +384,46 @@ class Vaq:
     def tables(self, queries: DataFrame) -> DataFrame:
         return pq.tables(self.rotate(queries.select("query_id", "qe"), "qe"), self.codebook(queries.sparkSession))
 
-    def index(self, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(centres, clusters) of decoded rows for TI; the centres are learned on a bounded sample."""
-        decoded = pq.decode(codes, self.codebook(codes.sparkSession))
+    def ti_dims(self) -> int | None:
+        """The dimensions by which TI clusters; None: all."""
+        n = self.params.segments or retained(shares(self.variances, self.params.subspaces), self.params.segment_share)
+        return None if n >= len(self.centroids) else sum(c.shape[1] for c in self.centroids[:n])
+
+    def index(self, codes: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """(centres, clusters) of decoded rows for TI; the centres are learned on a bounded sample.
+
+        With ``path``, the clusters are written there, each cluster's rows together from far to near, and read back.
+        """
+        decoded, part = pq.decode(codes, self.codebook(codes.sparkSession)), self.ti_dims()
         count = self.params.clusters or 16
-        few = sampled(decoded, self.params.rows_per_centroid * count)
-        centres = lloyd(few, [r.e for r in sampled(decoded, count).collect()], 5)
+        some = sampled(decoded, self.params.rows_per_centroid * count).withColumn("e", search.head("e", part))
+        centres = lloyd(some, [r.e for r in sampled(decoded, count).select(search.head("e", part).alias("e")).collect()], 5)
         table = codes.sparkSession.createDataFrame(list(enumerate(centres)), "cluster_id int, ce array<double>")
-        return table, search.assigned(decoded, table, 9).persist()
+        clusters = search.assigned(decoded, table, 9, part)
+        if path is None:
+            return table, clusters
+        clusters.repartitionByRange("cluster_id", F.xxhash64("vec_id")).sortWithinPartitions("cluster_id", F.col("dist").desc()).write.mode("overwrite").parquet(path)
+        return table, codes.sparkSession.read.parquet(path)
 
-    def search(self, queries: DataFrame, codes: DataFrame, k: int, visit: float = 1.0) -> DataFrame:
-        """ADC neighbours by the strategy of the parameters; FAST and FAST3 learn their byte tables from the queries' own.
+    def search(self, queries: DataFrame, codes: DataFrame, k: int, visit: float = 1.0, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        """ADC neighbours by the strategy of the parameters.
 
-        TI prunes by the triangle inequality, or, with ``visit`` below 1, looks at that share of the clusters alone.
+        TI prunes by the triangle inequality, or, with ``visit`` below 1, looks at that share of the clusters alone; ``index`` is
+        what ``index`` gave, which is built anew where it is left out. FAST learns from the tables of a sample of rows.
         """
         name = self.params.strategy
         if name == "TI":
-            centres, clusters = self.index(codes)
+            centres, clusters = index or self.index(codes)
+            part = self.ti_dims()
             turned = self.rotate(queries.select("query_id", "qe"), "qe").withColumn("qe", F.slice("qe", 1, sum(c.shape[1] for c in self.centroids)))
             if visit >= 1:
-                return search.triangle(turned, centres, clusters, k)
-            chosen = search.probes(turned, centres, clusters, k, int(centres.count() * visit))
+                return search.triangle(turned, centres, clusters, k, part)
+            chosen = search.probes(turned, centres, clusters, k, int(centres.count() * visit), part)
             return search.probed(turned, clusters, chosen, lambda: F.round(F.sqrt(expr.l2sq(F.col("qe"), F.col("e"))), 6), k)
         luts = self.tables(queries)
         if name in ("FAST", "FAST3"):
-            model = pq.learned_quantization(luts)
+            decoded = sampled(pq.decode(codes, self.codebook(codes.sparkSession)), self.params.rows_per_centroid).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
+            model = pq.learned_quantization(pq.tables(decoded, self.codebook(codes.sparkSession)))
             split = max((s + 1 for s, b in enumerate(self.bits) if b > 4), default=0)
             return pq.search_quantized(luts, model, codes, k) if name == "FAST" else pq.search_hybrid(luts, model, codes, k, split)
         return pq.search(luts, codes, k, {"EA": "ea", "FAST2": "fast2", "SORT": "sort"}.get(name, "heap"))
@@ -379,8 +431,8 @@ class Vaq:
     def save(self, spark: SparkSession, path: str) -> None:
         """A Parquet model: parameters with rotation and bits, and the codebook."""
         p = self.params
-        row = (p.budget, p.subspaces, p.least, p.most, p.share, p.strategy, p.clusters, p.clustering, self.axes.tolist(), self.variances.tolist(), self.bits)
-        names = "budget int, subspaces int, least int, most int, share double, strategy string, clusters int, clustering string, axes array<array<double>>, variances array<double>, bits array<int>"
+        row = (p.budget, p.subspaces, p.least, p.most, p.share, p.strategy, p.clusters, p.segments, p.segment_share, p.clustering, list(p.bits), p.rows_per_centroid, self.axes.tolist(), self.variances.tolist(), self.bits)
+        names = "budget int, subspaces int, least int, most int, share double, strategy string, clusters int, segments int, segment_share double, clustering string, asked array<int>, rows_per_centroid int, axes array<array<double>>, variances array<double>, bits array<int>"
         spark.createDataFrame([row], names).write.mode("overwrite").parquet(f"{path}/model")
         self.codebook(spark).write.mode("overwrite").parquet(f"{path}/codebook")
 
@@ -388,7 +440,7 @@ class Vaq:
     def load(cls, spark: SparkSession, path: str) -> Vaq:
         r = spark.read.parquet(f"{path}/model").first()
         book = spark.read.parquet(f"{path}/codebook").orderBy("subspace", "code").collect()
-        params = VaqParams(r.budget, r.subspaces, r.least, r.most, r.share, r.strategy, r.clusters, r.clustering)
+        params = VaqParams(r.budget, r.subspaces, r.least, r.most, r.share, r.strategy, r.clusters, r.segments, r.segment_share, r.clustering, tuple(r.asked), r.rows_per_centroid)
         return cls(params, np.array(r.axes), np.array(r.variances), list(r.bits), [np.array([x.centroid for x in book if x.subspace == s]) for s in range(len(r.bits))])
 
 

@@ -57,10 +57,17 @@ def codebook_of(base: DataFrame) -> DataFrame:
     return base.filter(F.col("vec_id") < CODES).select(F.posexplode(parts).alias("subspace", "centroid"), F.col("vec_id").cast("int").alias("code"))
 
 
+def indexed(clusters: DataFrame) -> DataFrame:
+    """An index of clusters, written once and read by every step of a search."""
+    path = _scratch(clusters.sparkSession)
+    clusters.write.parquet(path)
+    return clusters.sparkSession.read.parquet(path)
+
+
 def clustered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     queries, base = both(spark, sf)
     centres = centres_of(base)
-    return queries, base, centres, search.assigned(base, centres)
+    return queries, base, centres, indexed(search.assigned(base, centres))
 
 
 def coded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -224,8 +231,7 @@ def knn_triangle_inequality(spark: SparkSession, sf: str) -> DataFrame:
 @query(oracle.PRUNED)
 def ti_pruned_counts(spark: SparkSession, sf: str) -> DataFrame:
     queries, _, centres, clusters = clustered(spark, sf)
-    rows = search.triangle_pairs(queries, centres, clusters, K)
-    return rows.groupBy("query_id").agg(F.sum(F.col("pruned").cast("bigint")).alias("pruned"))
+    return search.pruned_counts(queries, centres, clusters, K)
 
 
 @query(oracle.RESCALE)
@@ -341,8 +347,8 @@ def decoded_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, D
     """(queries, decoded rows, centres, clusters) of the index whose centres are the decoded codes of the first rows."""
     queries, base, codes, _ = coded(spark, sf)
     decoded = pq.decode(codes, codebook_of(base))
-    centres = centres_of(decoded)
-    return queries, decoded, centres, search.assigned(decoded, centres)
+    centres = settled(centres_of(decoded))
+    return queries, decoded, centres, indexed(search.assigned(decoded, centres))
 
 
 @query(oracle.adc(True))
@@ -384,7 +390,7 @@ def adc_search_quantized(spark: SparkSession, sf: str) -> DataFrame:
     return pq.search_quantized(luts, byte_model(spark, sf), codes, K)
 
 
-@query(None)
+@query(oracle.HYBRID)
 def adc_search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     _, _, codes, luts = coded(spark, sf)
     return pq.search_hybrid(luts, byte_model(spark, sf), codes, K, SUBSPACES // 2)
@@ -460,7 +466,7 @@ def code_patterns_minimal_top(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.minimal_patterns(evaluation.frequent_patterns(coded(spark, sf)[2], 10, 2), 10)
 
 
-@query(None)
+@query(oracle.ALL_PATTERNS)
 def code_patterns_all(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.all_patterns(coded(spark, sf)[2], 20)
 
@@ -569,20 +575,20 @@ def subspace_dictionaries(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def vaq_search_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     model, queries, base = fitted(spark, sf, "VAQ32m8min2max6var1,EA")
-    first = model.search(queries, model.encode(base).persist(), 5 * K)
+    first = model.search(queries, indexed(model.encode(base)), 5 * K)
     return search.reranked(first, queries, base, K)
 
 
 @query(None)
 def vaq_search_ti(spark: SparkSession, sf: str) -> DataFrame:
     model, queries, base = fitted(spark, sf, "VAQ32m8min2max6var1,EA_TI16")
-    return model.search(queries, model.encode(base).persist(), K)
+    return model.search(queries, indexed(model.encode(base)), K)
 
 
 @query(None)
 def vaq_param_grid(spark: SparkSession, sf: str) -> DataFrame:
     queries, base = both(spark, sf)
-    truth = search.exact(queries, base, K).cache()
+    truth = indexed(search.exact(queries, base, K))
     choices = [training.VaqParams(b, 8, lo, 6) for b in (16, 32) for lo in (1, 2)]
     rows = [(p.budget, p.least, p.most, float(r)) for p, r in training.grid(base, queries, truth, K, choices)]
     return spark.createDataFrame(rows, "budget int, least int, most int, precision double")

@@ -178,6 +178,10 @@ bytes AS (SELECT query_id, c.subspace, list(least(floor(greatest(dist - "offset"
 blut AS (SELECT query_id, list(t ORDER BY subspace) AS lut FROM bytes GROUP BY query_id),
 d AS (SELECT query_id, vec_id, least({ADC_SUM}, 32767)::DOUBLE AS dist FROM blut, codes) {ranked('d')}"""
 
+HYBRID = f"""WITH {BASE}, {Q}, {CODES}, {LUT}, {MODEL},
+back AS (SELECT query_id, c.subspace, list(CASE WHEN c.subspace < 4 THEN dist ELSE least(floor(greatest(dist - "offset", 0) * scale), 255) / scale + "offset" END ORDER BY code) AS t FROM cells_q c JOIN model m ON c.subspace = m.subspace GROUP BY ALL),
+hlut AS (SELECT query_id, list(t ORDER BY subspace) AS lut FROM back GROUP BY query_id), d AS (SELECT query_id, vec_id, round({ADC_SUM}, 6) AS dist FROM hlut, codes) {ranked('d')}"""
+
 
 def lloyd(points: str, seeds: str, dims: int, rounds: int, tail: str) -> str:
     """Unrolled steps: c<i> are the centres after i steps, a<i> the assignments to them."""
@@ -204,6 +208,8 @@ twos AS (SELECT a.item || ',' || b.item AS items, count(*) AS freq FROM it a JOI
 
 
 PATTERNS = f"WITH {BASE}, {CODES}, {patterns(20)} SELECT * FROM ones UNION ALL SELECT * FROM twos"
+ALL_PATTERNS = f"""WITH {BASE}, {CODES}, sets AS (SELECT array_to_string(list_transform(list_filter(range(1, 9), lambda s: (m >> (s - 1)) & 1 = 1), lambda s: 's' || (s - 1) || '_c' || codes[s]), ',') AS items FROM codes, range(1, 256) t(m))
+SELECT items, count(*) AS freq FROM sets GROUP BY items HAVING count(*) >= 20"""
 MINIMAL = f"WITH {BASE}, {CODES}, {patterns(10)} SELECT items, freq FROM twos ORDER BY freq DESC, items LIMIT 10"
 
 
