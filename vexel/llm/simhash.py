@@ -235,8 +235,13 @@ def join_tasks(task: np.ndarray, side: np.ndarray, fps: np.ndarray, more: np.nda
         moved = np.flatnonzero(own.parent != np.arange(b_upto - at))
         links.add(own.parent[moved] + at, moved + at)
     links.reduce()
-    linked = np.flatnonzero(links.parent != np.arange(len(keys)))
-    return place[linked], place[links.parent[linked]]
+    # All tasks link a group to its least fingerprint, so that links found in several tasks are the same.
+    words = np.where((task >> CHOICE_SHIFT) >= len(plan), more, fps[place])
+    order = np.lexsort((words, links.parent))
+    first = np.r_[True, links.parent[order][1:] != links.parent[order][:-1]]
+    least = order[first][np.cumsum(first) - 1]
+    apart = least != order
+    return place[order[apart]], place[least[apart]]
 
 
 #: A task's number: the choice of blocks, the bits of the front, the two subtries, and whether they differ.
