@@ -223,6 +223,13 @@ def test_files(spark):
         formats.read_vectors(spark, f"file://{folder}/f", "fvecs", 4).count()
 
 
+def test_grid_file(spark):
+    folder = "file://" + tempfile.mkdtemp() + "/grid"
+    rows = [(32, 1, 9, 0.5), (32, 2, 9, 0.75)]
+    formats.write_grid(spark.createDataFrame(rows, "m int, minbits int, maxbits int, precision double"), folder)
+    assert [tuple(r) for r in formats.read_grid(spark, folder).collect()] == rows[::-1]
+
+
 def test_streams(spark):
     queries, base = catalog.both(spark, SF)
     model = training.Vaq.fit(base, training.VaqParams.parse("VAQ16m8min1max4var1,HEAP"))

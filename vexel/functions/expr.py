@@ -10,7 +10,7 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
-def total(v: Column) -> Column:
+def total(v: Column | str) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
 

@@ -632,3 +632,38 @@ def io_roundtrip_results(spark: SparkSession, sf: str) -> DataFrame:
     path = _scratch(spark)
     formats.write_results(search.exact(*both(spark, sf), K), path)
     return formats.result_lines(formats.read_results(spark, path))
+
+
+@query(oracle.CLUSTER_IDS)
+def io_roundtrip_cluster_ids(spark: SparkSession, sf: str) -> DataFrame:
+    path = _scratch(spark)
+    formats.write_cluster_ids(clustered(spark, sf)[3], path, 1)
+    return formats.read_cluster_ids(spark, path, 1)
+
+
+@query(oracle.CENTROID_LINES)
+def io_roundtrip_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    path = _scratch(spark)
+    formats.write_centroids(codebook_of(base_of(spark, sf)), path)
+    return formats.read_centroids(spark, path, [CODES] * SUBSPACES).select("subspace", "code", F.round(expr.total("centroid"), 6).alias("total"))
+
+
+@query(oracle.PQ_ENCODE)
+def io_roundtrip_codes(spark: SparkSession, sf: str) -> DataFrame:
+    path = _scratch(spark)
+    formats.write_codes(coded(spark, sf)[2], path)
+    return formats.read_codes(spark, path).select("vec_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
+
+
+for _name, _kind, _scale in (("io_roundtrip_i32", "i32", 1000),):
+    _round_trip(_name, _kind, _scale, oracle.round_trip(_scale))
+
+
+@query(oracle.TEXT_VECTORS)
+def io_roundtrip_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Comma-separated numbers after a class label."""
+    path = _scratch(spark)
+    lines = base_of(spark, sf).select("vec_id", F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.col("e").cast("array<string>"), ",")).alias("value"))
+    lines.repartitionByRange("vec_id").sortWithinPartitions("vec_id").select("value").write.text(path)
+    back = formats.read_text_vectors(spark, path, 64, label_first=True)
+    return back.select("vec_id", "label", F.round(expr.total("embedding"), 5).alias("total"))

@@ -251,3 +251,8 @@ SELECT draw, lo + h % greatest(hi - lo, 1) AS vec_id FROM b"""
 def round_trip(scale: int) -> str:
     value = f"floor(abs(x) * {scale})" if scale else "x"
     return f"WITH {BASE} SELECT vec_id, round(list_sum(list_transform(e, lambda x: {value})), 5) AS total FROM base"
+
+
+CLUSTER_IDS = f"WITH {BASE}, {CLUSTERS} SELECT vec_id, cluster_id FROM clusters"
+CENTROID_LINES = f"WITH {BASE}, {BOOK} SELECT subspace, code, round(list_sum(centroid), 6) AS total FROM book"
+TEXT_VECTORS = f"WITH {BASE} SELECT vec_id, label::INTEGER AS label, round(list_sum(e), 5) AS total FROM base"

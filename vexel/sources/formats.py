@@ -133,3 +133,46 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, rank, vec_id): ground truth, one line of ids per query."""
     lines = _numbered_lines(spark, path)
     return lines.select(F.col("vec_id").alias("query_id"), F.posexplode(F.split("value", ",")).alias("rank", "id")).select("query_id", (F.col("rank") + 1).cast("bigint").alias("rank"), F.col("id").cast("bigint").alias("vec_id"))
+
+
+def write_cluster_ids(rows: DataFrame, path: str, offset: int = 0) -> None:
+    """The cluster of each row of (vec_id, cluster_id) plus ``offset``, one a line in the order of vec_id."""
+    lines = rows.select("vec_id", (F.col("cluster_id") + offset).cast("string").alias("value"))
+    lines.repartitionByRange("vec_id").sortWithinPartitions("vec_id").select("value").write.text(path)
+
+
+def read_cluster_ids(spark: SparkSession, path: str, offset: int = 0) -> DataFrame:
+    """(vec_id, cluster_id): a line's position and its number minus ``offset``."""
+    return _numbered_lines(spark, path).select("vec_id", (F.trim("value").cast("int") - offset).alias("cluster_id"))
+
+
+def write_centroids(book: DataFrame, path: str) -> None:
+    """The centroids of a codebook (subspace, code, centroid) as lines of numbers, one subspace after the other."""
+    lines = book.select("subspace", "code", F.array_join(F.col("centroid").cast("array<string>"), ",").alias("value"))
+    lines.repartitionByRange("subspace", "code").sortWithinPartitions("subspace", "code").select("value").write.text(path)
+
+
+def read_centroids(spark: SparkSession, path: str, sizes: list[int]) -> DataFrame:
+    """(subspace, code, centroid) of lines of numbers; ``sizes`` tells how many lines each subspace has."""
+    starts = [sum(sizes[:s]) for s in range(len(sizes))]
+    at = F.array(*[F.struct(F.lit(s).alias("subspace"), F.lit(a).alias("start"), F.lit(a + n).alias("stop")) for s, (a, n) in enumerate(zip(starts, sizes))])
+    rows = _numbered_lines(spark, path).withColumn("p", F.filter(at, lambda p: (p["start"] <= F.col("vec_id")) & (F.col("vec_id") < p["stop"]))[0]).filter("p is not null")
+    return rows.select("p.subspace", (F.col("vec_id") - F.col("p.start")).cast("int").alias("code"), F.split("value", ",").cast("array<double>").alias("centroid"))
+
+
+def write_codes(codes: DataFrame, path: str) -> None:
+    """Codes (vec_id, codes) as Parquet, in the order of vec_id."""
+    codes.select("vec_id", "codes").repartitionByRange("vec_id").sortWithinPartitions("vec_id").write.parquet(path)
+
+
+def read_codes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("vec_id bigint, codes array<int>").parquet(path)
+
+
+def write_grid(grid: DataFrame, path: str) -> None:
+    """A parameter search (m, minbits, maxbits, precision) as CSV with these names in its first line, best first."""
+    grid.select("m", "minbits", "maxbits", "precision").orderBy(F.col("precision").desc(), "m", "minbits", "maxbits").coalesce(1).write.option("header", True).csv(path)
+
+
+def read_grid(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).schema("m int, minbits int, maxbits int, precision double").csv(path)
