@@ -629,9 +629,14 @@ def io_roundtrip_bits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.RESULT_LINES)
 def io_roundtrip_results(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark)
-    formats.write_results(search.exact(*both(spark, sf), K), path)
-    return formats.result_lines(formats.read_results(spark, path))
+    """A line's position stands for its query, so the ids of the queries are written beside the lines, in the same order."""
+    path, names = _scratch(spark), _scratch(spark)
+    found = indexed(search.exact(*both(spark, sf), K))
+    formats.write_results(found, path)
+    formats.write_cluster_ids(found.select(F.col("query_id").alias("vec_id"), F.col("query_id").alias("cluster_id")).distinct(), names)
+    ids = formats.read_cluster_ids(spark, names).select(F.col("vec_id").alias("query_id"), F.col("cluster_id").cast("bigint").alias("id"))
+    back = formats.read_results(spark, path).join(ids, "query_id").select(F.col("id").alias("query_id"), "rank", "vec_id")
+    return formats.result_lines(back)
 
 
 @query(oracle.CLUSTER_IDS)
