@@ -163,6 +163,28 @@ def test_centres_in_blocks(spark, monkeypatch):
     assert sorted((r.vec_id, r.cluster_id, r.dist) for r in search.assigned(base, centres).collect()) == want
 
 
+def test_principal_bits(spark, rows):
+    ids, x = rows
+    values, axes = np.linalg.eigh(x.T @ x)
+    axes = axes[:, ::-1]
+    signs = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(64)])
+    y = x @ (axes * signs)
+    sure = np.abs(y) > 1e-9
+    for r in catalog.QUERIES["pca_sign_bits"](spark, SF).collect():
+        bits = int(r.bits) % (1 << 64)
+        i = int(np.flatnonzero(ids == r.vec_id)[0])
+        assert all((bits >> (63 - d) & 1) == (y[i, d] > 0) for d in range(64) if sure[i, d])
+
+
+def test_plain_quantizer(spark, rows):
+    ids, x = rows
+    order = least(ids, 17, len(ids))
+    book = [loop_lloyd(x[order][:, 8 * s:8 * s + 8], 16) for s in range(8)]
+    back = np.concatenate([c[np.round(((x[:, None, 8 * s:8 * s + 8] - c[None]) ** 2).sum(axis=2), 9).argmin(axis=1)] for s, c in enumerate(book)], axis=1)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.dist) for r in catalog.QUERIES["adc_search_plain_pq"](spark, SF).collect())
+    assert got == ranked(((x[:, None] - back[None]) ** 2).sum(axis=2), ids, 10)
+
+
 def test_param_grid(spark, rows):
     ids, x = rows
     exact = ranked(((x[:, None] - x[None]) ** 2).sum(axis=2), ids, 10)

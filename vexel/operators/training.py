@@ -331,6 +331,35 @@ class VaqParams:
         return params
 
 
+def dictionaries(rows: DataFrame, size: int, bits: list[int], kind: str = "flat") -> list[np.ndarray]:
+    """The centroids of each subspace of ``size`` dimensions, learned from (vec_id, e), a sample of bounded size. One subspace a task."""
+    parts = rows.select("vec_id", F.posexplode(F.array(*[expr.subspace(F.col("e"), s, size) for s in range(len(bits))])).alias("subspace", "x"))
+
+    def learn(group: pa.Table) -> pa.Table:
+        s = group.column("subspace")[0].as_py()
+        group = group.sort_by("vec_id").combine_chunks()
+        x = group.column("x").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        b = bits[s]
+        centres = binary(x, b) if kind == "binary" else hierarchical(x, b) if kind == "hierarchical" and b > 1 or b > FLAT_BITS else _numpy_lloyd(x, 1 << b)
+        return pa.table({"subspace": pa.array([s] * len(centres), pa.int32()), "code": pa.array(range(len(centres)), pa.int32()), "centroid": pa.array(centres.tolist(), pa.list_(pa.float64()))})
+
+    learned = parts.groupBy("subspace").applyInArrow(learn, "subspace int, code int, centroid array<double>").orderBy("subspace", "code").collect()  # the codebook
+    return [np.array([r.centroid for r in learned if r.subspace == s]) for s in range(len(bits))]
+
+
+def plain_codebook(base: DataFrame, subspaces: int, bits: int = 4, rows_per_centroid: int = 256) -> DataFrame:
+    """(subspace, code, centroid): a product quantizer without rotation, with the same bits for all subspaces."""
+    size = search.dimensions(base, "e") // subspaces
+    found = dictionaries(sampled(base.select("vec_id", "e"), rows_per_centroid << bits), size, [bits] * subspaces)
+    return base.sparkSession.createDataFrame([(s, c, x.tolist()) for s, cs in enumerate(found) for c, x in enumerate(cs)], "subspace int, code int, centroid array<double>")
+
+
+def principal_bits(base: DataFrame) -> DataFrame:
+    """(vec_id, bits): the signs of the principal components, the one of the largest variance first."""
+    rows = base.select("vec_id", "e")
+    return search.with_bits(projected(rows, "e", principal_axes(rows)[1])).select("vec_id", "bits")
+
+
 @dataclass
 class Vaq:
     """A trained quantizer. ``axes`` rotates (padded) vectors and orders the components; ``bits`` and centroids are by subspace."""
@@ -354,20 +383,7 @@ class Vaq:
         bits = list(params.bits)[:kept] or allocate(share[:kept], params.budget, params.least, params.most, params.share)
         most = params.rows_per_centroid * 2 ** max(bits)
         rows = projected(sampled(wide, most), "e", axes)
-        # One subspace a task; a group is at most ``most`` subvectors.
-        parts = rows.select("vec_id", F.posexplode(F.array(*[expr.subspace(F.col("e"), s, size) for s in range(kept)])).alias("subspace", "x"))
-        kind = params.clustering
-
-        def learn(group: pa.Table) -> pa.Table:
-            s = group.column("subspace")[0].as_py()
-            group = group.sort_by("vec_id").combine_chunks()
-            x = group.column("x").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
-            b = bits[s]
-            centres = binary(x, b) if kind == "binary" else hierarchical(x, b) if kind == "hierarchical" and b > 1 or b > FLAT_BITS else _numpy_lloyd(x, 1 << b)
-            return pa.table({"subspace": pa.array([s] * len(centres), pa.int32()), "code": pa.array(range(len(centres)), pa.int32()), "centroid": pa.array(centres.tolist(), pa.list_(pa.float64()))})
-
-        learned = parts.groupBy("subspace").applyInArrow(learn, "subspace int, code int, centroid array<double>").orderBy("subspace", "code").collect()  # the codebook
-        centroids = [np.array([r.centroid for r in learned if r.subspace == s]) for s in range(kept)]
+        centroids = dictionaries(rows, size, bits, params.clustering)
         return cls(params, axes, values, bits, centroids)
 
     def codebook(self, spark: SparkSession) -> DataFrame:

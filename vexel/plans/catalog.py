@@ -562,6 +562,19 @@ def fitted(spark: SparkSession, sf: str, text: str) -> tuple[training.Vaq, DataF
     return training.Vaq.fit(base, training.VaqParams.parse(text)), queries, base
 
 
+@query(None)
+def pca_sign_bits(spark: SparkSession, sf: str) -> DataFrame:
+    return training.principal_bits(base_of(spark, sf)).select("vec_id", worded("bits").alias("bits"))
+
+
+@query(None)
+def adc_search_plain_pq(spark: SparkSession, sf: str) -> DataFrame:
+    """ADC search with a trained quantizer of 16 centroids a subspace, without rotation."""
+    queries, base = both(spark, sf)
+    book = training.plain_codebook(base, SUBSPACES)
+    return pq.search(pq.tables(queries, book), indexed(pq.encode(base, book)), K)
+
+
 @query(None)
 def subspace_dictionaries(spark: SparkSession, sf: str) -> DataFrame:
     model, _, base = fitted(spark, sf, "VAQ32m8min2max6var1,HEAP")
