@@ -369,7 +369,9 @@ def components(edges: DataFrame) -> DataFrame:
     dealt out to several tasks.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, last = written(edges, "star")
+    found, first = written(edges, "star")
+    edges, last = written(contracted(found, found.count()), "star")
+    removed(first)
     before, size = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -384,6 +386,26 @@ def components(edges: DataFrame) -> DataFrame:
         before, size = tuple(state), state[0]
 
 
+def contracted(edges: DataFrame, size: int) -> DataFrame:
+    """Distinct (u, v) with the same components: each task takes some GATHERED of the ``size`` edges and links a node to the least it can reach by them.
+
+    Tasks that found the same group in different ways leave several links a node; most of these go here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            u, v = (np.concatenate(x) for x in zip(*held))
+            ids, place = np.unique(np.r_[u, v], return_inverse=True)
+            own = Links(len(ids))
+            own.add(place[:len(u)], place[len(u):])
+            own.reduce()
+            moved = np.flatnonzero(own.parent != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[own.parent[moved]])], ["u", "v"])
+
+    return edges.repartition(max(1, -(-size // GATHERED))).mapInArrow(run, "u bigint, v bigint").distinct()
+
+
 def starred(around: DataFrame, moved: DataFrame, size: int) -> DataFrame:
     """Distinct (u, v): the neighbours v of u in ``moved``, and u itself, linked to the least m of u and its neighbours in ``around``."""
     least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
