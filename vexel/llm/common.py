@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Rows that a bucket of a running sum is meant to hold, and buckets that follow each other in one window.
@@ -72,6 +74,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any names, with dots or repeated: ``run`` finds columns by place and gives those of ``schema`` in order."""
+    names = [f"r{i}" for i in range(len(schema))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names)
+
+    plain = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone. ASCII texts take the short way, on which lower() means the same."""
     slow = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

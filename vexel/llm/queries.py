@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import html, langid, maxscore, mixing, oracles, pii, repair, sharding, simhash, toxicity, winnow
+from vexel.llm import audit, bpe, html, langid, maxscore, mixing, oracles, pii, repair, resample, sharding, simhash, toxicity, winnow
 from vexel.llm.common import table
 
 
@@ -50,6 +50,23 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part, order of the five filters and step over all documents."""
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document and the bytes that they decode to, as digests."""
+    import public_tokenizers
+
+    return bpe.token_digests(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight towards the benchmark, its score, and its rank if it is drawn."""
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_text_tag_ratio": op1_text_tag_ratio,
     "op2_jump_sharding": op2_jump_sharding,
@@ -61,10 +78,15 @@ QUERIES = {
     "op8_winnowing": op8_winnowing,
     "op9_repair_tokens": op9_repair_tokens,
     "op10_entropy_mixing": op10_entropy_mixing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL = {
     "op2_jump_sharding": oracles.OP2,
     "op6_maxscore": oracles.OP6,
     "op8_winnowing": oracles.OP8,
+    "op11_filter_audit": oracles.OP11,
+    "op13_importance_resampling": oracles.OP13,
 }
