@@ -177,7 +177,8 @@ def test_trained_quantizer(spark):
     heap = key(pq.search(luts, codes, 10))
     assert heap == key(pq.search(luts, codes, 10, "ea")) == key(pq.search(luts, codes, 10, "fast2")) == key(pq.search(luts, codes, 10, "sort"))
     ti = training.Vaq(training.replace(model.params, strategy="TI", clusters=8), model.axes, model.variances, model.bits, model.centroids)
-    assert heap == key(ti.search(queries, codes, 10)) and len(key(ti.search(queries, codes, 10, visit=0.25))) == len(heap)
+    index = ti.index(codes, catalog._scratch(spark))
+    assert heap == key(ti.search(queries, codes, 10, index=index)) and len(key(ti.search(queries, codes, 10, visit=0.25, index=index))) == len(heap)
     truth = search.exact(queries, base, 10).cache()
     n = base.count()
     assert key(search.reranked(pq.search(luts, codes, n), queries, base, 10)) == key(truth)

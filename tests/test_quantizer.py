@@ -147,10 +147,10 @@ def test_ti_segments(spark, rows, text):
     """Clusters of some subspaces give the same neighbours as a scan of all codes, and an index that is written once serves."""
     ids, x = rows
     model, queries, base = catalog.fitted(spark, SF, text)
-    assert 0 < model.ti_dims() < 64
-    centres, clusters = model.index(model.encode(base), catalog._scratch(spark))
-    assert len(centres.first().ce) == model.ti_dims()
-    got = sorted((r.query_id, r.rank, r.vec_id, r.dist) for r in model.search(queries, model.encode(base), 10, index=(centres, clusters)).collect())
+    assert 0 < model.ti_segments() < 8
+    index = model.index(model.encode(base), catalog._scratch(spark))
+    assert index.centres.shape[1] == index.part == 8 * model.ti_segments()
+    got = sorted((r.query_id, r.rank, r.vec_id, r.dist) for r in model.search(queries, model.encode(base), 10, index=index).collect())
     y, _, back = quantized(model, x)
     assert got == ranked(np.sqrt(((y[:, None] - back[None]) ** 2).sum(axis=2)), ids, 10)
 

@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vexel.functions import expr
+from vexel.functions.matrices import matrix
 from vexel.operators.search import query_blocks, top_k
 
 #: Shares cut off at either end of a look-up table, from which learning chooses.
 ALPHAS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1)
 #: Subspaces added up before rows beyond the bound are dropped.
 STEP = 4
+#: Differences that are worked out at once.
+CELLS = 1 << 21
 
 
 def packed(codebook: DataFrame) -> DataFrame:
@@ -34,11 +37,33 @@ def _distances(v: Column, book: Column) -> Column:
     return F.transform(book, lambda cs, s: F.transform(cs, lambda c: expr.l2sq(expr.subspace(v, s, F.size(c)), c)))
 
 
+def dictionaries_of(codebook: DataFrame) -> list[np.ndarray]:
+    """The centroids of each subspace by code, on the driver; a codebook is small."""
+    by_sub: dict[int, list[tuple[int, list[float]]]] = {}
+    for r in codebook.collect():
+        by_sub.setdefault(r.subspace, []).append((r.code, r.centroid))
+    return [np.array([x for _, x in sorted(by_sub[s])]) for s in sorted(by_sub)]
+
+
 def encode(base: DataFrame, codebook: DataFrame, digits: int = 9) -> DataFrame:
-    """(vec_id, codes): the nearest centroid of each subspace, ties to the lower code. A narrow projection of the base."""
-    near = F.transform(_distances(F.col("e"), F.col("book")), lambda d: F.transform(d, lambda x: F.round(x, digits)))
-    codes = F.transform(near, lambda d: (F.array_position(d, F.array_min(d)) - 1).cast("int"))
-    return base.crossJoin(F.broadcast(packed(codebook))).select("vec_id", codes.alias("codes"))
+    """(vec_id, codes): the nearest centroid of each subspace, ties to the lower code. A narrow projection of the base; a null vector has null codes."""
+    book = dictionaries_of(codebook)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, known = matrix(batch.column(1))
+            codes, at = np.zeros((len(x), len(book)), np.int32), 0
+            for s, c in enumerate(book):
+                part = x[:, at:at + c.shape[1]]
+                at += c.shape[1]
+                step = max(1, CELLS // c.size)
+                for lo in range(0, len(x) if known.any() else 0, step):
+                    codes[lo:lo + step, s] = np.round(((part[lo:lo + step, None] - c[None]) ** 2).sum(axis=2), digits).argmin(axis=1)
+            offsets = pa.array(np.arange(0, codes.size + 1, max(1, len(book)), dtype=np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()), mask=pa.array(~known) if not known.all() else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["vec_id", "codes"])
+
+    return base.select("vec_id", "e").mapInArrow(run, "vec_id bigint, codes array<int>")
 
 
 def decode(codes: DataFrame, codebook: DataFrame) -> DataFrame:
@@ -79,10 +104,11 @@ def _scan(block: DataFrame, k: int, abandon: bool, digits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
+            codes, known = matrix(batch.column(1))
+            codes, names = codes[known].astype(np.int64), batch.column(0).to_numpy()[known]
+            n = len(codes)
             if not n:
                 continue
-            codes, names = batch.column(1).flatten().to_numpy().reshape(n, -1), batch.column(0).to_numpy()
             for query, lut in luts:
                 alive, d = np.arange(n), np.zeros(n)
                 # The k-th distance of the first rows bounds the k-th best from above.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,3 +42,20 @@ def least_rows(rows: DataFrame, key: Column, size: int) -> DataFrame:
     one = rows.sparkSession.createDataFrame([(0, size - 1, n)], "dim int, rank bigint, n bigint")
     last = order_statistics(keys, one).first()
     return rows.filter(key <= last.value if last.upto <= size else key < last.value)
+
+
+def draws(spark: SparkSession, n: int, size: int, batches: int = 1, seed: int = 17) -> DataFrame:
+    """(draw, vec_id): ``size`` draws with replacement from the positions 0 to ``n`` - 1, an equal share from each of ``batches`` runs of them.
+
+    Where the draws don't divide, the first runs give one more. Draw i of a run takes the position that the MD5 of
+    seed:run:i gives.
+    """
+    if not n:
+        return spark.range(0).select(F.col("id").alias("draw"), F.col("id").alias("vec_id"))
+    per, more = divmod(size, batches)
+    split = more * (per + 1)
+    after = F.lit(more) + ((F.col("id") - split) / max(1, per)).cast("bigint")
+    rows = spark.range(size).withColumn("batch", F.when(F.col("id") < split, (F.col("id") / (per + 1)).cast("bigint")).otherwise(after))
+    first, last = (F.floor(F.lit(n) * (F.col("batch") + o) / batches).cast("bigint") for o in (0, 1))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("batch"), F.col("id")).cast("binary")), 1, 12), 16, 10).cast("bigint")
+    return rows.select(F.col("id").alias("draw"), (first + number % F.greatest(last - first, F.lit(1))).alias("vec_id"))

@@ -17,19 +17,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexel.functions import expr
-from vexel.operators import pq, search, selection
+from vexel.functions.matrices import finite, matrix
+from vexel.operators import pq, search, selection, ti
 
 MAX_BITS = 15
 
 
 def gram(base: DataFrame) -> DataFrame:
-    """(i, j, g): the uncentred sums of products; each task sends one matrix."""
+    """(i, j, g): the uncentred sums of products; each task sends one matrix.
+
+    Vectors that are null or hold what isn't finite are left out; vectors of several lengths are an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            if batch.num_rows:
-                x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            x, at = finite(batch.column(0))
+            if len(at):
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
             d = len(total)
@@ -53,16 +57,18 @@ def principal_axes(base: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def projected(rows: DataFrame, vector: str, axes: np.ndarray) -> DataFrame:
-    """``rows`` with ``vector`` rotated; anything that is not finite becomes zero."""
+    """``rows`` with ``vector`` rotated; anything that is not finite becomes zero, and a null vector stays null. Shorter vectors count as filled up with zeros."""
     names = rows.columns
     place = names.index(vector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(batch.columns)
-            x = columns[place].flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, len(axes)))
-            y = np.nan_to_num(np.pad(x, ((0, 0), (0, len(axes) - x.shape[1]))) @ axes, nan=0.0, posinf=0.0, neginf=0.0)
-            columns[place] = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, axes.shape[1], dtype=np.int32)), pa.array(y.ravel()))
+            x, known = matrix(columns[place])
+            with np.errstate(invalid="ignore", over="ignore"):
+                y = np.nan_to_num(np.pad(x, ((0, 0), (0, len(axes) - x.shape[1]))) @ axes, nan=0.0, posinf=0.0, neginf=0.0)
+            offsets = pa.array(np.arange(0, y.size + 1, axes.shape[1], dtype=np.int32))
+            columns[place] = pa.ListArray.from_arrays(offsets, pa.array(y.ravel()), mask=None if known.all() else pa.array(~known))
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.mapInArrow(run, rows.schema)
@@ -159,20 +165,11 @@ def random_bits(rows: DataFrame, count: int, seed: int) -> DataFrame:
 
 
 def drawn(rows: DataFrame, size: int, batches: int = 1, seed: int = 17) -> DataFrame:
-    """A sample of ``size`` rows with replacement, an equal share from each of ``batches`` runs of vec_id.
+    """A sample of ``size`` rows with replacement, an equal share from each of ``batches`` runs of vec_id, as ``selection.draws`` has it.
 
-    Draw i of a batch takes the row whose position the MD5 of seed:batch:i gives. Rows (vec_id, ...), vec_id being the
-    position in a file from 0; each drawn row has the number of its ``draw``.
+    Rows (vec_id, ...), vec_id being the position in a file from 0; each drawn row has the number of its ``draw``.
     """
-    n = rows.count()
-    if not n:
-        return rows.select(F.lit(0).cast("bigint").alias("draw"), *rows.columns).limit(0)
-    per = size // batches
-    draws = rows.sparkSession.range(per * batches).withColumn("batch", (F.col("id") / per).cast("bigint"))
-    first, last = (F.floor(F.lit(n) * (F.col("batch") + o) / batches).cast("bigint") for o in (0, 1))
-    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("batch"), F.col("id")).cast("binary")), 1, 12), 16, 10).cast("bigint")
-    draws = draws.select(F.col("id").alias("draw"), (first + number % F.greatest(last - first, F.lit(1))).alias("vec_id"))
-    return draws.join(rows, "vec_id").select("draw", *rows.columns)
+    return selection.draws(rows.sparkSession, rows.count(), size, batches, seed).join(rows, "vec_id").select("draw", *rows.columns)
 
 
 def nearest(x: np.ndarray, centres: np.ndarray, digits: int | None = None) -> np.ndarray:
@@ -190,7 +187,7 @@ def nearest(x: np.ndarray, centres: np.ndarray, digits: int | None = None) -> np
 
 
 def lloyd(points: DataFrame, seeds: list[list[float]], rounds: int) -> list[list[float]]:
-    """Centres after ``rounds`` of Lloyd's steps over (vec_id, e); an empty cluster keeps its centre.
+    """Centres after ``rounds`` of Lloyd's steps over (vec_id, e); an empty cluster keeps its centre. Vectors that are null or not finite count for nothing.
 
     Each round is one job: a task sends the sum and the number of its rows in each cluster, and k * d numbers go to the driver.
     """
@@ -200,8 +197,8 @@ def lloyd(points: DataFrame, seeds: list[list[float]], rounds: int) -> list[list
         def run(batches: Iterator[pa.RecordBatch], c=centres) -> Iterator[pa.RecordBatch]:
             sums, n = np.zeros_like(c), np.zeros(len(c), np.int64)
             for batch in batches:
-                if batch.num_rows:
-                    x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+                x, at = finite(batch.column(0))
+                if len(at):
                     near = nearest(x, c, 9)
                     np.add.at(sums, near, x)
                     n += np.bincount(near, minlength=len(c))
@@ -400,42 +397,32 @@ class Vaq:
     def tables(self, queries: DataFrame) -> DataFrame:
         return pq.tables(self.rotate(queries.select("query_id", "qe"), "qe"), self.codebook(queries.sparkSession))
 
-    def ti_dims(self) -> int | None:
-        """The dimensions by which TI clusters; None: all."""
+    def ti_segments(self) -> int:
+        """The subspaces by which TI clusters."""
         n = self.params.segments or retained(shares(self.variances, self.params.subspaces), self.params.segment_share)
-        return None if n >= len(self.centroids) else sum(c.shape[1] for c in self.centroids[:n])
-
-    def index(self, codes: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-        """(centres, clusters) of decoded rows for TI; the centres are learned on a bounded sample.
-
-        With ``path``, the clusters are written there, each cluster's rows together from far to near, and read back.
-        """
-        decoded, part = pq.decode(codes, self.codebook(codes.sparkSession)), self.ti_dims()
-        count = self.params.clusters or 16
-        some = sampled(decoded, self.params.rows_per_centroid * count).withColumn("e", search.head("e", part))
-        centres = lloyd(some, [r.e for r in sampled(decoded, count).select(search.head("e", part).alias("e")).collect()], 5)
-        table = codes.sparkSession.createDataFrame(list(enumerate(centres)), "cluster_id int, ce array<double>")
-        clusters = search.assigned(decoded, table, 9, part)
-        if path is None:
-            return table, clusters
-        clusters.repartitionByRange("cluster_id", F.xxhash64("vec_id")).sortWithinPartitions("cluster_id", F.col("dist").desc()).write.mode("overwrite").parquet(path)
-        return table, codes.sparkSession.read.parquet(path)
-
-    def search(self, queries: DataFrame, codes: DataFrame, k: int, visit: float = 1.0, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        return min(n, len(self.centroids))
+
+    def index(self, codes: DataFrame, path: str) -> ti.Index:
+        """An index of codes for TI, written to ``path``: its centres are learned on a bounded sample, decoded; all other rows stay codes."""
+        n, count = self.ti_segments(), self.params.clusters or 16
+        part = sum(c.shape[1] for c in self.centroids[:n])
+        some = sampled(codes, self.params.rows_per_centroid * count)
+        decoded = pq.decode(some, self.codebook(codes.sparkSession)).withColumn("e", F.slice("e", 1, part))
+        seeds = [r.e for r in pq.decode(sampled(codes, count), self.codebook(codes.sparkSession)).select(F.slice("e", 1, part).alias("e")).collect()]
+        return ti.index_codes(codes, self.centroids, np.array(lloyd(decoded, seeds, 5)).reshape(len(seeds), part), path, n)
+
+    def search(self, queries: DataFrame, codes: DataFrame, k: int, visit: float = 1.0, index: ti.Index | None = None) -> DataFrame:
         """ADC neighbours by the strategy of the parameters.
 
-        TI prunes by the triangle inequality, or, with ``visit`` below 1, looks at that share of the clusters alone; ``index`` is
-        what ``index`` gave, which is built anew where it is left out. FAST learns from the tables of a sample of rows.
+        TI prunes by the triangle inequality, or, with ``visit`` below 1, looks at that share of the clusters alone, and needs
+        the ``index`` that ``index`` gave. FAST learns from the tables of a sample of rows.
         """
         name = self.params.strategy
         if name == "TI":
-            centres, clusters = index or self.index(codes)
-            part = self.ti_dims()
+            if index is None:
+                raise ValueError("TI needs an index")
             turned = self.rotate(queries.select("query_id", "qe"), "qe").withColumn("qe", F.slice("qe", 1, sum(c.shape[1] for c in self.centroids)))
-            if visit >= 1:
-                return search.triangle(turned, centres, clusters, k, part)
-            chosen = search.probes(turned, centres, clusters, k, int(centres.count() * visit), part)
-            return search.probed(turned, clusters, chosen, lambda: F.round(F.sqrt(expr.l2sq(F.col("qe"), F.col("e"))), 6), k)
+            return ti.search(index, turned, k, visit)[0]
         luts = self.tables(queries)
         if name in ("FAST", "FAST3"):
             decoded = sampled(pq.decode(codes, self.codebook(codes.sparkSession)), self.params.rows_per_centroid).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))

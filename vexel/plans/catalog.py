@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vexel.functions import expr
-from vexel.operators import evaluation, pq, scalar, search, training
+from vexel.operators import evaluation, pq, scalar, search, ti, training
 from vexel.plans import oracle
 from vexel.sources import formats
 
@@ -224,8 +224,8 @@ def cluster_probe_rerank(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.knn("sqrt"))
 def knn_triangle_inequality(spark: SparkSession, sf: str) -> DataFrame:
-    queries, _, centres, clusters = clustered(spark, sf)
-    return search.triangle(queries, centres, clusters, K)
+    queries, base = both(spark, sf)
+    return ti.search(ti.index_vectors(base, np.array(_seeds(base, CENTRES)), _scratch(spark)), queries, K)[0]
 
 
 @query(oracle.PRUNED)
@@ -343,33 +343,34 @@ for _name, _strategy in (("adc_search_heap", "heap"), ("adc_search_ea", "ea"), (
 _adc("adc_search_sort", "sort", True)
 
 
-def decoded_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(queries, decoded rows, centres, clusters) of the index whose centres are the decoded codes of the first rows."""
-    queries, base, codes, _ = coded(spark, sf)
-    decoded = pq.decode(codes, codebook_of(base))
-    centres = settled(centres_of(decoded))
-    return queries, decoded, centres, indexed(search.assigned(decoded, centres))
+def code_index(spark: SparkSession, sf: str) -> tuple[DataFrame, ti.Index]:
+    """(queries, index of the codes whose centres are the codes of the first rows)."""
+    queries, base = both(spark, sf)
+    book = codebook_of(base)
+    dictionaries = pq.dictionaries_of(book)
+    codes = pq.encode(base, book)
+    first = sorted((r.vec_id, r.codes) for r in pq.encode(base.filter(F.col("vec_id") < CENTRES), book).collect())
+    centres = np.array([np.concatenate([c[k] for c, k in zip(dictionaries, own)]) for _, own in first])
+    return queries, ti.index_codes(codes, dictionaries, centres, _scratch(spark))
 
 
 @query(oracle.adc(True))
 def adc_search_ti(spark: SparkSession, sf: str) -> DataFrame:
-    queries, _, centres, clusters = decoded_index(spark, sf)
-    return search.triangle(queries, centres, clusters, K)
+    queries, index = code_index(spark, sf)
+    return ti.search(index, queries, K)[0]
 
 
 @query(oracle.TI_INDEX)
 def ti_index_build(spark: SparkSession, sf: str) -> DataFrame:
-    clusters = decoded_index(spark, sf)[3]
+    rows = code_index(spark, sf)[1].rows(spark)
     far = Window.partitionBy("cluster_id").orderBy(F.col("cc_dist").desc(), "vec_id")
-    rows = clusters.select("vec_id", "cluster_id", F.round(F.sqrt("dist"), 5).alias("cc_dist"))
-    return rows.withColumn("pos_in_cluster", F.row_number().over(far).cast("bigint"))
+    return rows.select("vec_id", "cluster_id", F.round(F.sqrt(F.round(F.col("dist") * F.col("dist"), 6)), 5).alias("cc_dist")).withColumn("pos_in_cluster", F.row_number().over(far).cast("bigint"))
 
 
 @query(oracle.VISIT)
 def adc_search_visit(spark: SparkSession, sf: str) -> DataFrame:
-    queries, _, centres, clusters = decoded_index(spark, sf)
-    chosen = search.probes(queries, centres, clusters, K, int(CENTRES * 0.25))
-    return search.probed(queries, clusters, chosen, lambda: F.round(expr.l2sq(F.col("qe"), F.col("e")), 6), K)
+    queries, index = code_index(spark, sf)
+    return ti.search(index, queries, K, 0.25, root=False)[0]
 
 
 def byte_model(spark: SparkSession, sf: str) -> DataFrame:
@@ -595,7 +596,8 @@ def vaq_search_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def vaq_search_ti(spark: SparkSession, sf: str) -> DataFrame:
     model, queries, base = fitted(spark, sf, "VAQ32m8min2max6var1,EA_TI16")
-    return model.search(queries, indexed(model.encode(base)), K)
+    codes = model.encode(base)
+    return model.search(queries, codes, K, index=model.index(indexed(codes), _scratch(spark)))
 
 
 @query(None)

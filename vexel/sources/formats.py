@@ -1,7 +1,7 @@
 """Vector files: fvecs, bvecs, ivecs and headerless binary, comma-separated text and text bits.
 
-Binary files are read by Spark's binaryFile source and unpacked in tasks; text by its text source. Row numbers are positions
-in a file, which these formats imply; a folder of part files is numbered in the order of their names.
+Binary files are read and written by the source in ``vectors``; text by Spark's text source. Row numbers are positions
+in a file, which these formats imply; a folder of part files is numbered in their order.
 """
 
 from __future__ import annotations
@@ -14,77 +14,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Element type of each format, and whether a record begins with its dimension.
-KINDS = {"fvecs": ("<f4", True), "bvecs": ("u1", True), "ivecs": ("<i4", True), "f32": ("<f4", False), "i32": ("<i4", False)}
+from vexel.functions.matrices import lists
+from vexel.operators import selection
+from vexel.sources import vectors
 
+def read_vectors(spark: SparkSession, path: str, kind: str, dim: int, limit: int | None = None, split_bytes: int = vectors.SPLIT_BYTES) -> DataFrame:
+    """(vec_id, embedding ARRAY<DOUBLE>) of a file or a folder of files, read in ranges; a limit keeps the first rows and reads no others.
 
-def _unpack(content: bytes, kind: str, dim: int) -> np.ndarray:
-    dtype, headed = KINDS[kind]
-    width = dim * np.dtype(dtype).itemsize
-    record = np.dtype([("dim", "<i4"), ("v", dtype, (dim,))] if headed else [("v", dtype, (dim,))])
-    if len(content) % record.itemsize:
-        raise ValueError(f"the file's length is no multiple of a record of {width} bytes")
-    rows = np.frombuffer(content, record)
-    if headed and len(rows) and not (rows["dim"] == dim).all():
-        raise ValueError("a record has another dimension")
-    return rows["v"].reshape(-1, dim)
+    A store that only Spark can open is read by its binaryFile source instead, one file a row.
+    """
+    try:
+        vectors.located(path)
+    except pa.ArrowInvalid:
+        rows = _whole_files(spark, path, kind, dim)
+        return rows if limit is None else rows.filter(F.col("vec_id") < limit)
+    return vectors.read(spark, path, kind, dim, limit, split_bytes)
 
 
-def read_vectors(spark: SparkSession, path: str, kind: str, dim: int, limit: int | None = None) -> DataFrame:
-    """(vec_id, embedding ARRAY<DOUBLE>) of a file or a folder of files; a limit keeps the first rows."""
+def _whole_files(spark: SparkSession, path: str, kind: str, dim: int) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    record = dim * np.dtype(KINDS[kind][0]).itemsize + (4 if KINDS[kind][1] else 0)
+    record = vectors.record_of(kind, dim)
     # One row a file.
-    starts = files.select("path", "length").withColumn("start", F.coalesce(F.sum((F.col("length") / record).cast("bigint")).over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("path").alias("_p"), "start")
+    starts = files.select("path", "length").withColumn("start", F.coalesce(F.sum((F.col("length") / record.itemsize).cast("bigint")).over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("path").alias("_p"), "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content, start in zip(batch.column(0), batch.column(1)):
-                x = _unpack(content.as_py(), kind, dim).astype(np.float64)
+                x = vectors.unpacked(content.as_py(), record, dim)
                 for at in range(0, len(x), 10_000):
                     part = x[at:at + 10_000]
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, dim, dtype=np.int32)), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(part)) + at + start.as_py()), lists], ["vec_id", "embedding"])
-
-    rows = files.join(F.broadcast(starts), F.col("path") == F.col("_p")).select("content", "start").mapInArrow(run, "vec_id bigint, embedding array<double>")
-    return rows if limit is None else rows.filter(F.col("vec_id") < limit)
-
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(part)) + at + start.as_py()), lists(part)], ["vec_id", "embedding"])
 
-def packed(rows: DataFrame, kind: str) -> DataFrame:
-    """(vec_id, record BINARY): each row's record in the format."""
-    dtype, headed = KINDS[kind]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(np.array([len(v)], "<i4").tobytes() if headed else b"") + np.array(v).astype(dtype).tobytes() for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "record"])
-
-    return rows.select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, record binary")
+    return files.join(F.broadcast(starts), F.col("path") == F.col("_p")).select("content", "start").mapInArrow(run, "vec_id bigint, embedding array<double>")
 
 
 def write_vectors(rows: DataFrame, path: str, kind: str) -> int:
-    """Writes a folder of part files, each a run of records in the order of vec_id; returns the number of rows.
+    """Writes a folder of part files, each a run of records in the order of vec_id, in place of what was there; returns the number of rows."""
+    one = rows.filter("embedding is not null").select(F.size("embedding")).first()
+    dim = one[0] if one else 0
+    vectors.write(rows, path, kind, dim)
+    return vectors.row_count(path, kind, dim) if dim else 0
 
-    Each task writes its own file through pyarrow's file systems (a URI, or a path that all executors share); a task that
-    runs again writes the same file anew.
-    """
-    parts = packed(rows, kind).repartitionByRange("vec_id").sortWithinPartitions("vec_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        system, root = fs.FileSystem.from_uri(path)
-        system.create_dir(root, recursive=True)
-        n = 0
-        with system.open_output_stream(f"{root}/part-{TaskContext.get().partitionId():05d}.{kind}") as out:
-            for batch in batches:
-                for record in batch.column(0):
-                    out.write(record.as_py())
-                n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    return parts.select("record").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+def drawn_records(spark: SparkSession, path: str, kind: str, dim: int, size: int, batches: int = 1, seed: int = 17) -> DataFrame:
+    """(draw, vec_id, embedding): ``size`` records with replacement, an equal share from each of ``batches`` runs of the file; only these are read."""
+    return vectors.read_records(selection.draws(spark, vectors.row_count(path, kind, dim), size, batches, seed), path, kind, dim)
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
