@@ -618,14 +618,79 @@ def _scratch(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def components(rows: DataFrame) -> DataFrame:
+    return rows.select("vec_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.round("x", 6))
+
+
+def in_file(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """(base, path of a file of its vectors in the order of vec_id)."""
+    base, path = base_of(spark, sf), _scratch(spark)
+    formats.write_vectors(base.select("vec_id", F.col("e").alias("embedding")), path, "fvecs")
+    return base, path
+
+
+def from_file(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    return formats.read_vectors(spark, path, "fvecs", 64, limit, 1 << 16).withColumnRenamed("embedding", "e")
+
+
+@query(oracle.knn("l2"))
+def knn_exact_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact neighbours in a vector file, which tasks read in ranges."""
+    base, path = in_file(spark, sf)
+    return search.exact(queries_of(base), from_file(spark, path), K)
+
+
+@query(oracle.probe("l2"))
+def cluster_probe_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact neighbours within the nearest clusters of the rows of a vector file."""
+    base, path = in_file(spark, sf)
+    queries, centres = queries_of(base), centres_of(base)
+    clusters = indexed(search.assigned(from_file(spark, path), centres))
+    chosen = search.probes(queries, centres, clusters, K, 3)
+    return search.probed(queries, clusters, chosen, lambda: F.round(expr.l2sq(F.col("qe"), F.col("e")), 6), K)
+
+
+@query(oracle.FIRST_ROWS)
+def first_rows_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The first hundred records of a vector file; no others are read."""
+    return components(from_file(spark, in_file(spark, sf)[1], 100).withColumnRenamed("e", "embedding"))
+
+
+@query(oracle.DRAWN_RECORDS)
+def sample_records_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Records drawn with replacement from seven runs of a vector file, read by their positions."""
+    drawn = formats.drawn_records(spark, in_file(spark, sf)[1], "fvecs", 64, 100, 7)
+    return drawn.select("draw", "vec_id", F.round(F.get("embedding", F.lit(0)), 6).alias("first"), F.round(F.get("embedding", F.lit(63)), 6).alias("last"))
+
+
+@query(oracle.KNN_DIRTY)
+def knn_exact_dirty(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact neighbours where rows lack their vector or hold a null, a NaN or an infinity; these are no neighbours and have none."""
+    base = base_of(spark, sf)
+    kind = F.col("vec_id") % 9
+    spoiled = lambda x: F.concat(F.array(F.lit(x).cast("double")), F.slice("e", 2, 63))
+    dirty = F.when(kind == 1, F.lit(None)).when(kind == 2, spoiled(None)).when(kind == 3, spoiled(float("nan"))).when(kind == 4, spoiled(float("inf"))).otherwise(F.col("e"))
+    base = base.select("vec_id", dirty.alias("e"))
+    return search.exact(queries_of(base), base, K)
+
+
+@query(oracle.PRUNING)
+def ti_rows_spared(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each query of a search by waves was compared with no more rows than there are, and found K."""
+    queries, base = both(spark, sf)
+    found, touched = ti.search(ti.index_vectors(base, np.array(_seeds(base, CENTRES)), _scratch(spark)), queries, K)
+    n = base.count()
+    best = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
+    return touched.join(best, "query_id").select("query_id", "found", (F.col("touched") <= n).alias("spared"))
+
+
 def _round_trip(name: str, kind: str, scale: int, sql: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         rows = base_of(spark, sf).select("vec_id", "e")
         value = F.transform("e", lambda x: F.floor(F.abs(x) * scale).cast("double")) if scale else F.col("e")
         path = _scratch(spark)
         formats.write_vectors(rows.select("vec_id", value.alias("embedding")), path, kind)
-        back = formats.read_vectors(spark, path, kind, 64)
-        return back.select("vec_id", F.round(expr.total(F.col("embedding")), 5).alias("total"))
+        return components(formats.read_vectors(spark, path, kind, 64, split_bytes=1 << 16))
 
     run.__name__ = name
     query(sql)(run)
@@ -665,7 +730,7 @@ def io_roundtrip_cluster_ids(spark: SparkSession, sf: str) -> DataFrame:
 def io_roundtrip_centroids(spark: SparkSession, sf: str) -> DataFrame:
     path = _scratch(spark)
     formats.write_centroids(codebook_of(base_of(spark, sf)), path)
-    return formats.read_centroids(spark, path, [CODES] * SUBSPACES).select("subspace", "code", F.round(expr.total("centroid"), 6).alias("total"))
+    return formats.read_centroids(spark, path, [CODES] * SUBSPACES).select("subspace", "code", F.posexplode("centroid").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
 @query(oracle.PQ_ENCODE)
@@ -686,4 +751,4 @@ def io_roundtrip_text(spark: SparkSession, sf: str) -> DataFrame:
     lines = base_of(spark, sf).select("vec_id", F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.col("e").cast("array<string>"), ",")).alias("value"))
     lines.repartitionByRange("vec_id").sortWithinPartitions("vec_id").select("value").write.text(path)
     back = formats.read_text_vectors(spark, path, 64, label_first=True)
-    return back.select("vec_id", "label", F.round(expr.total("embedding"), 5).alias("total"))
+    return back.select("vec_id", "label", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.round("x", 6))

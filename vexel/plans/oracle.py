@@ -250,9 +250,16 @@ SELECT draw, lo + h % greatest(hi - lo, 1) AS vec_id FROM b"""
 
 def round_trip(scale: int) -> str:
     value = f"floor(abs(x) * {scale})" if scale else "x"
-    return f"WITH {BASE} SELECT vec_id, round(list_sum(list_transform(e, lambda x: {value})), 5) AS total FROM base"
+    return f"WITH {BASE} SELECT vec_id, (i - 1)::INTEGER AS dim, round(list_transform(e, lambda x: {value})[i], 6)::DOUBLE AS x FROM base, range(1, 65) r(i)"
 
 
 CLUSTER_IDS = f"WITH {BASE}, {CLUSTERS} SELECT vec_id, cluster_id FROM clusters"
-CENTROID_LINES = f"WITH {BASE}, {BOOK} SELECT subspace, code, round(list_sum(centroid), 6) AS total FROM book"
-TEXT_VECTORS = f"WITH {BASE} SELECT vec_id, label::INTEGER AS label, round(list_sum(e), 5) AS total FROM base"
+CENTROID_LINES = f"WITH {BASE}, {BOOK} SELECT subspace, code, (i - 1)::INTEGER AS dim, round(centroid[i], 6) AS x FROM book, range(1, 9) r(i)"
+TEXT_VECTORS = f"WITH {BASE} SELECT vec_id, label::INTEGER AS label, (i - 1)::INTEGER AS dim, round(e[i], 6) AS x FROM base, range(1, 65) r(i)"
+FIRST_ROWS = f"WITH {BASE} SELECT vec_id, (i - 1)::INTEGER AS dim, round(e[i], 6) AS x FROM base, range(1, 65) r(i) WHERE vec_id < 100"
+DRAWN_RECORDS = f"""WITH {BASE}, n AS (SELECT count(*) AS n FROM base), d AS (SELECT id AS draw, CASE WHEN id < 30 THEN id // 15 ELSE 2 + (id - 30) // 14 END AS batch FROM range(100) r(id)),
+h AS (SELECT draw, ('0x' || substr(md5('17:' || batch || ':' || draw), 1, 12))::BIGINT AS h, floor(n * batch / 7.0)::BIGINT AS lo, floor(n * (batch + 1) / 7.0)::BIGINT AS hi FROM d, n)
+SELECT draw, vec_id, round(e[1], 6) AS "first", round(e[64], 6) AS "last" FROM h JOIN base ON vec_id = lo + h % greatest(hi - lo, 1)"""
+#: Of every nine rows, four have no vector that is finite.
+KNN_DIRTY = knn("l2").replace(BASE, BASE.replace("FROM embeddings", "FROM embeddings WHERE vec_id % 9 NOT IN (1, 2, 3, 4)"))
+PRUNING = f"SELECT vec_id AS query_id, {K}::BIGINT AS found, true AS spared FROM embeddings WHERE vec_id % 100 = 0"

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from vexel.functions.matrices import lists, matrix
 
@@ -299,4 +299,4 @@ def read_records(positions: DataFrame, path: str, kind: str, dim: int) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.take(pa.array(kept)).columns, lists(x[which[kept]])], [*names, "embedding"])
 
     ranged = positions.filter("vec_id >= 0").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-    return ranged.mapInArrow(run, positions.schema.add("embedding", "array<double>"))
+    return ranged.mapInArrow(run, StructType([*positions.schema.fields, StructField("embedding", ArrayType(DoubleType()))]))
