@@ -165,7 +165,7 @@ def test_hash_collisions_are_told_apart(coder, library, monkeypatch):
     monkeypatch.setattr(bpe, "run_hashes", lambda *a: plain(*a) % np.uint64(3))
     monkeypatch.setattr(bpe.Vocabulary, "find", lambda self, data, starts, ends, h: np.full(len(h), -1))
     whole = {t: r for t, r in coder.ranks.items()}
-    monkeypatch.setattr(coder, "second_tier", lambda piece: [whole[piece]] if piece in whole else bpe.merged(piece, whole))
+    monkeypatch.setattr(coder, "second_tier", lambda piece: np.array([whole[piece]] if piece in whole else bpe.merged(piece, whole), np.int32).tobytes())
     assert vocabulary is coder.vocabulary
     texts = [PROSE, "Wörter wie Straßenbahnhaltestelle, naïve und naïve", "qzxj qzxk qzxj vvvv"]
     assert encode(coder, texts) == [library.encode_ordinary(t) for t in texts]

@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,9 +23,9 @@ from pyspark.sql import types as T
 from vexel.llm.common import fresh, mapped
 
 #: Bytes that are cut and looked up at once; a longer text is cut between words.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 #: Pre-tokens of the second tier that a task remembers, and bytes of one, at most.
-REMEMBERED, LONGEST = 100_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 #: Keys of a bucket of the perfect hash, on average.
 PER_BUCKET = 3
 #: An odd multiplier of the polynomial hash, and multipliers that mix its bits.
@@ -185,33 +186,35 @@ def pre_token_starts(points: np.ndarray, first: np.ndarray, classes: np.ndarray)
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ranks of a pre-token that is no token: neighbours whose joined bytes have the least rank are merged, the leftmost of equals first.
 
-    Symbols are linked; a heap holds the pairs by rank, and what it holds of a pair that has changed is passed over.
+    A symbol is known by the place of its first byte and linked to the one before it; where it ends, the next begins. A heap
+    holds the pairs by rank, place and end as one number, and what it holds of a pair that has changed is passed over.
     """
     n = len(piece)
-    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
-    alive = [True] * n
-    get = ranks.get
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i:i + 2])) is not None]
+    size, get = n + 1, ranks.get
+    # The end of the symbol at each place; places within a symbol end at n, whose own end is 0, so that no pair begins there.
+    end, before = [*range(1, size), 0], list(range(-1, n - 1))
+    heap = [(r * size + i) * size + i + 2 for i in range(n - 1) if (r := get(piece[i:i + 2])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = after[i] if alive[i] else n
-        if j >= n or end[j] != stop:
+        code, stop = divmod(heapq.heappop(heap), size)
+        i = code % size
+        j = end[i]
+        if end[j] != stop:
             continue
-        alive[j] = False
-        end[i], after[i] = stop, after[j]
-        k = after[i]
-        if k < n:
-            before[k] = i
-            if (r := get(piece[i:end[k]])) is not None:
-                heapq.heappush(heap, (r, i, end[k]))
-        p = before[i]
-        if p >= 0 and (r := get(piece[p:stop])) is not None:
-            heapq.heappush(heap, (r, p, stop))
+        end[j], end[i] = n, stop
+        if stop < n:
+            before[stop] = i
+            e = end[stop]
+            if (r := get(piece[i:e])) is not None:
+                heapq.heappush(heap, (r * size + i) * size + e)
+        if i:
+            p = before[i]
+            if (r := get(piece[p:stop])) is not None:
+                heapq.heappush(heap, (r * size + p) * size + stop)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:end[i]]])
-        i = after[i]
+        i = end[i]
     return out
 
 
@@ -221,15 +224,19 @@ class Coder:
     def __init__(self, vocabulary: Vocabulary, classes: np.ndarray):
         self.vocabulary, self.classes = vocabulary, classes
         self.ranks = dict(zip(vocabulary.tokens, vocabulary.ranks.tolist()))
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def second_tier(self, piece: bytes) -> list[int]:
+    def second_tier(self, piece: bytes) -> bytes:
+        """The ids of a pre-token that is no token, as little-endian integers of four bytes. Those not seen for long are forgotten."""
         ids = self.known.get(piece)
         if ids is None:
-            ids = merged(piece, self.ranks)
+            ids = self.older.pop(piece, None)
+            if ids is None:
+                ids = array("i", merged(piece, self.ranks)).tobytes()
             if len(piece) <= LONGEST:
                 if len(self.known) >= REMEMBERED:
-                    self.known.clear()
+                    self.known, self.older = {}, self.known
                 self.known[piece] = ids
         return ids
 
@@ -255,9 +262,10 @@ class Coder:
         same[same] = equal_runs(raw, starts[miss[same]], raw, starts[twin[same]], lengths[same])
         alone = np.flatnonzero(~same)
         which[alone] = len(one) + np.arange(len(alone))
-        found = [self.second_tier(data[starts[i]:ends[i]]) for i in np.r_[miss[one], miss[alone]].tolist()]
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.array([r for x in found for r in x], np.int64)
+        asked = np.r_[miss[one], miss[alone]]
+        found = [self.second_tier(data[a:b]) for a, b in zip(starts[asked].tolist(), ends[asked].tolist())]
+        sizes = np.array([len(x) for x in found], np.int64) // 4
+        flat = np.frombuffer(b"".join(found), np.int32)
         counts[miss] = sizes[which]
         at = np.cumsum(counts) - counts
         ids = np.empty(int(counts.sum()), np.int32)
