@@ -13,7 +13,7 @@ def docs(spark, texts, extra=False):
         from pyspark.sql import functions as F
 
         for name in ("shard", "slot", "size", "score", "predicted", "lang_pred", "fp", "node", "tkey", "n", "copies", "target", "n_hit", "spans", "component", "rank", "held_out", "_t", "_h", "_id", "_terms", "_letters", "_s", "_n", "_k", "doc", "salt", "salts", "text_hash", "kept_id", "kept_hash",
-                     "skey", "times", "one", "taken_id", "tkey_", "terms", "letters", "w", "key", "base", "c"):
+                     "skey", "times", "one", "taken_id", "tkey_", "terms", "letters", "w", "key", "base", "c", "a.b", "part", "kind", "passage", "bytes", "ids", "weight", "rank.x", "c0", "r0"):
             df = df.withColumn(name, F.lit("x"))
     return df
 

@@ -1,5 +1,6 @@
 import pytest
 from fixtures import SF
+from pyspark.sql import functions as F
 
 from vexel.llm import html
 
@@ -71,7 +72,7 @@ def test_region_equals_a_plain_loop():
             share[node] = share.get(node, 0) + len(b.text)
             node = reader.parents[node]
     total = sum(len(b.text) for b, c in zip(reader.blocks, chosen) if c)
-    assert html.region(reader, html.Params()) == max(n for n, v in share.items() if v >= 0.7 * total and reader.tags[n] in html.CONTAINERS)
+    assert html.region(reader, html.Params())[-1] == max(n for n, v in share.items() if v >= 0.7 * total and reader.tags[n] in html.CONTAINERS)
 
 
 def test_names_within_the_text():
@@ -79,13 +80,54 @@ def test_names_within_the_text():
     assert html.main_text(page) == TEXT.replace("Short.", "Social history\n\nShort.")
 
 
+def prose(n, first=0):
+    return [f"Paragraph {i} of the article, with enough words in it to be told apart from what stands around it on the page." for i in range(first, first + n)]
+
+
+def tagged(texts, tag="p"):
+    return "".join(f"<{tag}>{t}</{tag}>" for t in texts)
+
+
+SHELL = "<html><body><nav><a href=1>One</a> <a href=2>Two</a></nav>{}<footer>us</footer></body></html>"
+SOURCES = "<h2>Sources</h2><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li><li><a href=c>Third source</a></li></ul>"
+WHOLE = [
+    *[(f"<{tag}>{tagged(prose(a))}</{tag}><{tag}>{tagged(prose(b, a))}</{tag}>", prose(a + b)) for tag in ("div", "section") for a, b in ((9, 1), (6, 4), (4, 6), (1, 9))],
+    (f"<p>{prose(1)[0]}</p><div>{tagged(prose(8, 1))}</div>", prose(9)),
+    (f"<div>{tagged(prose(8))}</div><div>In short.</div><div>{tagged(prose(1, 8))}</div>", [*prose(8), "In short.", *prose(1, 8)]),
+    (f"<table><tr><td>{' '.join(prose(8))}</td><td>{prose(1, 8)[0]}</td></tr></table>", [" ".join(prose(8)), prose(1, 8)[0]]),
+    (f"<div>{tagged(prose(5))}<p>The account <span class='login'>admin</span> was closed by its owner in the spring.</p></div>", [*prose(5), "The account admin was closed by its owner in the spring."]),
+    *[(f"<{tag}>{tagged(prose(6))}{SOURCES}</{tag}>", [*prose(6), "Sources", "First source", "Second source", "Third source"]) for tag in ("article", "div")],
+    (f"<article>{tagged(prose(5))}<fieldset>{tagged(prose(1, 5))}</fieldset></article>", prose(6)),
+    (f"<div class='entry'><header><h1>The title</h1></header>{tagged(prose(6))}</div>", ["The title", *prose(6)]),
+]
+
+
+@pytest.mark.parametrize("body, texts", WHOLE)
+def test_the_article_stays_whole(body, texts):
+    assert html.main_text(SHELL.format(body)) == "\n\n".join(texts)
+
+
+def test_the_ratios_decide_about_what_no_name_marks():
+    """A part beside the region stays if it clusters; what it is cluttered with decides, not where it stands."""
+    cluttered = "".join(f"<p><b>{i}</b> <i>more</i> <a href={i}>of</a> <b>it</b></p>" for i in range(12))
+    page = SHELL.format(f"<div>{tagged(prose(9))}</div><div>{tagged(prose(1, 9))}</div><div>{cluttered}</div>")
+    assert html.main_text(page) == "\n\n".join(prose(10))
+    assert html.main_text(page, html.Params(threshold=0.0)) != html.main_text(page)
+
+
+def test_deep_and_wide_pages():
+    deep = "<div>" * 3000 + tagged(prose(3)) + "</div>" * 3000
+    assert html.main_text(SHELL.format(deep)) == "\n\n".join(prose(3))
+    assert html.main_text(SHELL.format(f"<div>{tagged(prose(4000))}</div>")) == "\n\n".join(prose(4000))
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("<p>", ""), ("plain", "plain"), ("<nav>menu</nav>", ""), ("<p>a &lt;b&gt; &#233;</p>", "a <b> é"), ("<![x[ a", "<![x[ a"), ("<p>cut off", "cut off"), ("<div>" * 20000 + "deep", "deep")])
 def test_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
 def test_columns_nulls_and_empty_table(spark):
-    rows = spark.createDataFrame([(1, "u", PAGE, 9, "old"), (None, None, None, 8, "old"), (1, "u", PAGE, 9, "old")], "page_id bigint, url string, html string, n_chars int, text string")
+    rows = spark.createDataFrame([(1, "u", PAGE, 9, "old"), (None, None, None, 8, "old"), (1, "u", PAGE, 9, "old")], "page_id bigint, url string, html string, n_chars int, text string").withColumn("a.b", F.lit("x"))
     got = html.extracted(rows).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, TEXT, len(TEXT)), (1, TEXT, len(TEXT))]
     assert html.page_texts(rows.limit(0)).count() == 0

@@ -2,9 +2,10 @@
 
 The standard library's parser streams events; a page becomes a row of blocks with their text and tag counts. The
 text-to-tag ratio of the blocks is smoothed by a Gaussian, and the blocks above a threshold cluster into the content
-region: the element that holds most of their text. All of its blocks are the article, but for parts that markup names
-as something else. Where a name is at odds with the clusters, as that of a wrapper around the page, it counts for nothing.
-Tags named article or main have no say in where the region is.
+region: the element that holds most of their text, with those beside it whose text is clustered for the most part, and
+what lies between. All of its blocks are the article, but for block elements that markup names as something else. Where a
+name is at odds with the clusters, as that of a wrapper around the page, it counts for nothing. Tags named article or main
+have no say in where the region is, but it does not reach out of them.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from vexel.llm.common import mapped
 
 
 @dataclass(frozen=True)
@@ -36,37 +40,38 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINERS = frozenset("html body div article main section center table tbody tr td form fieldset blockquote span".split())
 CLOSES_P = BLOCKS - {"html", "body", "head", "title", "td", "th", "tr", "tbody", "thead", "tfoot"}
-DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe object svg canvas menu dialog label fieldset".split())
+DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe object svg canvas menu dialog label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup menu nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar footer comment comments commentlist disqus replies respond share sharing social related recommended widget toolbar login".split())
 KEPT = frozenset("html body main article".split())
-#: How an element is marked as something besides the article: by a name or as a form, which the clusters can overrule, or for sure.
-NAMED, SURE = 1, 2
-FORMS = frozenset("form fieldset".split())
+#: How an element is marked as something besides the article: by a name or as a form, which the clusters can overrule, for sure, or as a header, of which headings h1 stay within the region.
+NAMED, SURE, HEADER = 1, 2, 3
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements of running text: of their classes and ids only whole ones count, so that share-price isn't taken for share.
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption span".split())
 
 
 def is_other(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
-    """Whether an element is named as something besides the article: 0, NAMED or SURE."""
-    if tag in DROPPED and tag not in FORMS or tag == "header" and not in_article:
+    """Whether an element is named as something besides the article: 0, NAMED, SURE or HEADER. Names and roles count for block elements alone."""
+    if tag in DROPPED and tag != "form":
         return SURE
-    found = NAMED if tag in FORMS else 0
+    found = NAMED if tag == "form" else HEADER if tag == "header" and not in_article else 0
     for name, value in attrs:
         value = value or ""
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return found if tag in KEPT else SURE
+        if tag not in BLOCKS:
+            continue
         if name == "role" and value.strip().lower() in ROLES:
             if tag in KEPT:
                 return found
-            found = NAMED
+            found = found or NAMED
         if name in ("class", "id") and tag not in ("html", "body", "main"):
             words = set(value.lower().split()) if tag in TEXT else {w.lower() for w in WORDS.findall(value)}
             if tag == "article" and not words & {"comment", "comments", "ad", "ads", "promo", "related"}:
                 continue
             if words & NAMES or words & {"header"} and not in_article:
-                found = NAMED
+                found = found or NAMED
     return found
 
 
@@ -225,7 +230,7 @@ def overruled(reader: Blocks, p: Params) -> frozenset[int]:
             out[parents[n]] = out[parents[n]] or out[n]
         return out
 
-    sure = below([m == SURE for m in marks])
+    sure = below([m in (SURE, HEADER) for m in marks])
     chosen = clustered(blocks, [sure[b.top] or sure[b.node] for b in blocks], p)
     if not chosen.any():
         return frozenset()
@@ -252,20 +257,53 @@ def overruled(reader: Blocks, p: Params) -> frozenset[int]:
     return frozenset(freed)
 
 
-def region(reader: Blocks, p: Params) -> int:
-    """The element that holds the content, as the clusters of the smoothed ratios have it; -1 without any text."""
+def in_header(reader: Blocks, node: int) -> bool:
+    """Whether the marks of an element and of those around it are all those of headers."""
+    marks = set()
+    while node:
+        marks.add(reader.marks[node])
+        node = reader.parents[node]
+    return marks <= {0, HEADER}
+
+
+def region(reader: Blocks, p: Params) -> list[int]:
+    """The elements from the page down to the one that holds the content, as the clusters of the smoothed ratios have it; empty without any text."""
     chosen = clustered(reader.blocks, [b.other for b in reader.blocks], p)
     if not chosen.any():
-        return -1
+        return []
     held = text_held(reader, chosen)
     total = held[0]
     heavy = [n for n in range(1, len(held)) if held[n] >= p.mass * total]
-    here = 0
+    path = [0]
     for node in heavy:  # each lies within the one before it
         if reader.tags[node] not in CONTAINERS:
             break
-        here = node
-    return here
+        path.append(node)
+    return path
+
+
+def spread_out(reader: Blocks, path: list[int], p: Params) -> tuple[int, int]:
+    """(first, last + 1): the run of blocks that is the content, going out from the region ``path`` ends with.
+
+    Where the text of an element or block beside the path is clustered for the most part, it belongs to the content, as does what
+    lies between. The content doesn't reach out of the outermost article or main element around the region.
+    """
+    blocks = reader.blocks
+    chosen = clustered(blocks, [b.other for b in blocks], p)
+    held, whole = text_held(reader, chosen), text_held(reader, np.array([not b.other for b in blocks]))
+    depth = {n: i for i, n in enumerate(path)}
+    top = next((i for i, n in enumerate(path) if reader.tags[n] in ("article", "main")), 0)
+    # Of each element: how far down the path it lies, and the child of the path's element that it lies in (0: it is on the path).
+    level, unit = [0] * len(reader.tags), [0] * len(reader.tags)
+    for n in range(1, len(reader.tags)):
+        up = reader.parents[n]
+        level[n] = depth.get(n, level[up])
+        unit[n] = 0 if n in depth else unit[up] or n
+    last = len(path) - 1
+    own = [i for i, b in enumerate(blocks) if level[b.node] == last]
+    first, stop = (own[0], own[-1] + 1) if own else (0, 0)
+    beside = [i for i, b in enumerate(blocks) if chosen[i] and top <= level[b.node] < last and held[unit[b.node]] >= (0.5 * whole[unit[b.node]] if unit[b.node] else 0)]
+    return min([first, *beside]), max([stop, *(i + 1 for i in beside)])
 
 
 def main_text(page: str | None, p: Params = Params()) -> str:
@@ -276,19 +314,24 @@ def main_text(page: str | None, p: Params = Params()) -> str:
     freed = overruled(reader, p)
     if freed:
         reader = parse(page, freed)
-    root = region(reader, p)
-    if root < 0:
+    path = region(reader, p)
+    if not path:
         return ""
-    inside = np.zeros(len(reader.tags), bool)
-    inside[root] = True
-    for node in range(root + 1, len(reader.tags)):
-        inside[node] = inside[reader.parents[node]]
-    kept = [b for b in reader.blocks if inside[b.node] and not b.other]
-    # A list of at least three items that are links and nothing else is a menu.
-    items = Counter(reader.parents[b.node] for b in kept if b.tag == "li" and b.link_chars >= len(b.text))
-    texts = [b.text for b in kept if not (b.tag == "li" and b.link_chars >= len(b.text) and items[reader.parents[b.node]] >= 3)]
-    if reader.tags[root] not in ("article", "main"):
-        first = next((i for i, b in enumerate(reader.blocks) if inside[b.node]), 0)
+    inside = [reader.tags[n] in ("article", "main") for n in path]
+    first, stop = spread_out(reader, path, p)
+    rows = list(enumerate(reader.blocks))[first:stop]
+    kept = [(i, b) for i, b in rows if not b.other or b.tag == "h1" and in_header(reader, b.node)]
+    if not any(inside):
+        # Outside an article, a list of at least three items that are links and nothing else is a menu, unless it stands under a heading.
+        lists: dict[int, list[int]] = {}
+        for i, b in kept:
+            if b.tag == "li" and b.link_chars >= len(b.text):
+                lists.setdefault(reader.parents[b.node], []).append(i)
+        headed = {i + 1 for i, b in kept if re.fullmatch("h[2-6]", b.tag)}
+        menus = {i for items in lists.values() if len(items) >= 3 and items[0] not in headed for i in items}
+        kept = [(i, b) for i, b in kept if i not in menus]
+    texts = [b.text for _, b in kept]
+    if not any(inside):
         heading = [b.text for b in reader.blocks[:first] if b.tag == "h1" and not b.other]
         texts = heading[-1:] + texts
     return "\n\n".join(texts)
@@ -302,10 +345,12 @@ def extracted(pages: DataFrame, p: Params = Params()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py(), p) for x in batch.column(len(names))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
+            columns = [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
-    schema = kept.select(*names).schema.add("text", "string").add("n_chars", "long")
-    return kept.select(*names, F.col("html")).mapInArrow(run, schema)
+    rows = kept.select(*[F.col(f"`{c}`") for c in names], F.col("html"))
+    more = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
+    return mapped(rows, run, T.StructType([*rows.schema.fields[:-1], *more]))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from vexel.llm.common import fresh
+from vexel.llm.common import fresh, mapped
 
 
 @dataclass(frozen=True)
@@ -142,10 +144,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, p: Params) -> Model | None:
-    """Fits on at most p.sample rows of known language and of at most p.sample_chars characters; None without any."""
-    fits = ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") <= p.sample_chars) & F.col("doc_id").isNotNull()
-    chosen = docs.filter(fits).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample)
-    rows = docs.filter(fits).select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
+    """Fits on at most p.sample rows of known language and of at most p.sample_chars characters; None without any.
+
+    Where there are fewer such rows, the shortest of the longer ones are taken as well, as long as the characters of all stay
+    within p.sample times p.sample_chars, and one at least.
+    """
+    fits = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    sized = fits.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+    over = F.greatest("n", F.lit(p.sample_chars))
+    chosen = sized.orderBy(over, F.xxhash64("doc_id"), "doc_id").limit(p.sample)
+    # Of p.sample rows.
+    upto = Window.orderBy(over, F.xxhash64("doc_id"), "doc_id")
+    chosen = chosen.withColumns({"all": F.sum("n").over(upto), "place": F.row_number().over(upto)}).filter((F.col("place") == 1) | (F.col("all") <= p.sample * p.sample_chars)).select("doc_id")
+    rows = fits.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "lang", "text")).alias("s")).select("doc_id", "s.lang", "s.text")
     found = rows.toArrow().combine_chunks().sort_by("doc_id")
     if not found.num_rows:
@@ -168,8 +179,7 @@ def predictions(docs: DataFrame, p: Params = Params()) -> DataFrame:
     if model is None:
         return kept.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "accepted": F.lit(False)})
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))
-    names = kept.columns
-    place = names.index("text")
+    place = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**sent.value)
@@ -181,10 +191,10 @@ def predictions(docs: DataFrame, p: Params = Params()) -> DataFrame:
             best, has = prob.max(axis=1), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             pred = [model.langs[k] if h else "und" for k, h in zip(prob.argmax(axis=1).tolist(), has.tolist())]
             score = np.where(has, best, 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred), pa.array(score), pa.array(has & (score >= model.threshold))], [*names, "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred), pa.array(score), pa.array(has & (score >= model.threshold))], [f"c{i}" for i in range(batch.num_columns + 2)])
 
-    schema = kept.schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
-    return kept.withColumn(fresh(kept, "letters")[0], letters).mapInArrow(run, schema)
+    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
+    return mapped(kept.withColumn(fresh(kept, "letters")[0], letters), run, T.StructType([*kept.schema.fields, *more]))
 
 
 def languages(docs: DataFrame, p: Params = Params()) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vexel.llm.common import ROWS_PER_BUCKET, fresh, removed, running_sum, stored, written
+from vexel.llm.common import BROADCAST_ROWS, ROWS_PER_BUCKET, hot_keys, key_join, removed, running_sum, spread_join, stored, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -120,15 +120,25 @@ def copies(docs: DataFrame) -> DataFrame:
     rates = (sizes.filter("size > 0").withColumn("band", band).withColumn("parts", F.ceil(F.sum("n_units").over(in_band) / ROWS_PER_BUCKET))
              .join(dual, "skey").select("skey", "size", "band", "parts", F.round(_rate(F.col("m"), F.col("size"), F.col("mean")) * UNIT).cast("bigint").alias("rate")))
     part = F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("parts"))
-    placed = rows.join(rates, ["skey", "size"]).withColumn("up", F.col("band") * UNIT + part).withColumn("down", (1000 - F.col("band")) * UNIT + part)
+    # One source, or one size of it, may hold very many rows.
+    by_rate = [F.struct("skey", "size").alias("kind"), "band", "parts", "rate"]
+    kinds = key_join(rows.withColumn("kind", F.struct("skey", "size")), stored(rates.select(*by_rate), "mix-rates"), "kind", [F.col("doc_id"), F.col("text_hash")], "inner").drop("kind")
+    placed = kinds.withColumn("up", F.col("band") * UNIT + part).withColumn("down", (1000 - F.col("band")) * UNIT + part)
     summed = running_sum(placed, "skey", "up", [F.col("size"), F.col("doc_id"), F.col("text_hash")], "rate", "upto")
     whole = lambda c: F.floor((c + UNIT // 2) / UNIT)
     now, last = written(summed.select("doc_id", "skey", "size", "text_hash", "n", "down", (whole(F.col("upto")) - whole(F.col("upto") - F.col("rate"))).alias("copies")), "mix-rounded")
+    few = targets.count() <= BROADCAST_ROWS
+    hot = stored(hot_keys(targets.select("skey", F.col("n_docs").alias("n")), "skey", rows.count()), "mix-hot")
+
+    def by_source(some: DataFrame, results: DataFrame, by: list[Column]) -> DataFrame:
+        """``some`` with the row of ``results`` of its source; the rows of a large source are dealt out where sources aren't few."""
+        return some.join(F.broadcast(results), "skey") if few else spread_join(some, results, "skey", hot, by)
+
     for _ in range(PASSES):
         left = now.groupBy("skey").agg(F.sum(F.col("n") * F.col("size") * F.col("copies")).alias("got")).join(targets.select("skey", "target"), "skey")
         left = left.select("skey", (F.round("target").cast("bigint") - F.col("got")).alias("left"))
         # Sent to the buckets, not to the sources, so that a source's rows needn't meet.
-        left = now.select("skey", "down").distinct().join(left, "skey")
+        left = by_source(now.select("skey", "down").distinct(), left, [F.col("down")])
         open_ = now.join(left, ["skey", "down"]).withColumn("mass", F.col("n") * F.col("size"))
         fits = (F.col("mass") <= F.abs("left")) & (((F.col("left") > 0) & (F.col("copies") < MOST)) | ((F.col("left") < 0) & (F.col("copies") > 0)))
         summed = running_sum(open_.withColumn("fit", F.when(fits, F.col("mass")).otherwise(F.lit(0)).cast("bigint")), "skey", "down", [F.col("size").desc(), F.col("doc_id"), F.col("text_hash")], "fit", "upto")
@@ -137,7 +147,7 @@ def copies(docs: DataFrame) -> DataFrame:
         removed(last)
         last = path
     with_size = rows.filter("size = 0").select("doc_id", "skey", "size", "text_hash", "n", F.lit(0).cast("bigint").alias("copies"))
-    return now.drop("down").unionByName(with_size).join(targets.select("skey", "source_size", "target"), "skey")
+    return by_source(now.drop("down").unionByName(with_size), targets.select("skey", "source_size", "target"), [F.col("doc_id"), F.col("text_hash")])
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
@@ -147,9 +157,14 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as it is taken; its columns are unchanged, whatever their names."""
-    key, text_hash, taken_id, taken_key, taken_hash, times, one = fresh(docs, "skey", "text_hash", "taken_id", "taken_key", "taken_hash", "times", "one")
-    taken = copies(docs).filter("copies > 0").select(F.col("doc_id").alias(taken_id), F.col("skey").alias(taken_key), F.col("text_hash").alias(taken_hash), F.col("copies").alias(times))
-    keyed = docs.withColumns({key: source_key(F.col("source")), text_hash: F.xxhash64("text")})
-    rows = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col(taken_id)) & (F.col(key) == F.col(taken_key)) & (F.col(text_hash) == F.col(taken_hash)))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times))).alias(one)).drop(one)
+    """The rows of ``docs``, each as often as it is taken; its columns are unchanged, whatever their names.
+
+    Rows without words are not taken, and equal rows equally often; a null source or doc_id is a value like any other. An
+    empty table gives an empty result.
+    """
+    taken = copies(docs).filter("copies > 0").select(F.col("doc_id").alias("taken_id"), F.col("skey").alias("taken_key"), F.col("text_hash").alias("taken_hash"), F.col("copies").alias("times"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    keyed = docs.select(F.col("doc_id").alias("doc_id"), source_key(F.col("source")).alias("skey"), F.xxhash64("text").alias("text_hash"), whole)
+    rows = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("skey") == F.col("taken_key")) & (F.col("text_hash") == F.col("taken_hash")))
+    rows = rows.select("doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

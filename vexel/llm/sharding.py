@@ -86,7 +86,11 @@ def number_slots(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def shard_digest(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """One row per document: size (UTF-8 bytes plus 1; null text: 1), text_crc32 (null: that of the empty text), shard, slot, grown_shard."""
+    """One row per document: size (UTF-8 bytes plus 1; null text: 1), text_crc32 (null: that of the empty text), shard, slot, grown_shard.
+
+    Rows of one doc_id share a shard, and repeated rows each get a slot; a null doc_id is the key 'null'. An empty table gives an
+    empty result. Other columns are not read.
+    """
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     placed = number_slots(assign_shards(rows, "doc_id", shards), ["doc_id", "text_crc32", "size"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -3,13 +3,15 @@
 Two fingerprints that differ in at most ``max_bits`` of ``max_bits + EXACT`` blocks of bits agree in EXACT blocks at
 least. For each choice of EXACT blocks, the trie over the fingerprints with these blocks in front is joined with itself:
 node pairs descend together, nothing may differ within the front, and a pair is dropped as soon as its differing bits
-exceed the budget. The front is the key by which Spark deals out the work.
+exceed the budget. The front is the key by which Spark deals out the work. Where a budget is too wide for that, as at a
+similarity of 0.8, fingerprints of two words are joined behind fronts of blocks that such pairs have in common often enough.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +26,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 SEED = 42
 #: Blocks on which a linked pair agrees, at least.
 EXACT = 2
+#: For fingerprints of two words: (bits of a block, blocks of a front), and so 120 or 816 fronts of 16 or 21 bits; the second where the first leaves more than TRIE_ROWS fingerprints to a front.
+WIDE_FRONTS = ((8, 2), (7, 3))
 #: Bits of the front that deal out the work, at most.
 FRONT_BITS = 22
 #: Shingles hashed before their bits are counted, so that memory doesn't follow a text's length.
@@ -97,14 +101,48 @@ def blocks(count: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], np.diff(edges).tolist()))
 
 
-def orders(max_bits: int) -> list[tuple[list[int], int]]:
-    """For each choice of EXACT blocks, the bits in trie order (these blocks first) and the length of the front."""
+@dataclass(frozen=True)
+class Choice:
+    """A front: the first ``front`` bits of the key word in the order ``order``, and blocks (first bit, bits) of the other. ``swap``: the key word is the second."""
+
+    swap: bool
+    order: list[int]
+    front: int
+    others: tuple[tuple[int, int], ...] = ()
+
+    @property
+    def bits(self) -> int:
+        return self.front + sum(n for _, n in self.others)
+
+
+def in_front(first: list[int]) -> list[int]:
+    return first + [b for b in range(64) if b not in set(first)]
+
+
+def orders(max_bits: int) -> list[Choice]:
+    """For each choice of EXACT blocks of a word, these blocks in front."""
     parts = blocks(max_bits + EXACT)
     out = []
     for front in combinations(range(len(parts)), EXACT):
         first = [b for i in front for b in range(parts[i][0], sum(parts[i]))]
-        rest = [b for i in range(len(parts)) if i not in front for b in range(parts[i][0], sum(parts[i]))]
-        out.append((first + rest, min(len(first), FRONT_BITS)))
+        out.append(Choice(False, in_front(first), min(len(first), FRONT_BITS)))
+    return out
+
+
+def wide_orders(size: int, count: int) -> list[Choice]:
+    """For each choice of ``count`` blocks of ``size`` bits of two words, these in front; the key word is the one that most of them are of.
+
+    At a Jaccard similarity of 0.8, 15 % of the bits differ, so 0.27 of the blocks of 8 bits agree, of 16 such blocks at least
+    two in 0.95 of the pairs; of 18 blocks of 7 bits at least three in 0.95.
+    """
+    per = 64 // size
+    out = []
+    for front in combinations(range(2 * per), count):
+        swap = 2 * sum(i >= per for i in front) > count
+        own = [i % per for i in front if (i >= per) == swap]
+        other = [i % per for i in front if (i >= per) != swap]
+        first = [b for i in own for b in range(i * size, i * size + size)]
+        out.append(Choice(swap, in_front(first), len(first), tuple((i * size, size) for i in other)))
     return out
 
 
@@ -207,11 +245,11 @@ def compare(keys: np.ndarray, more: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarr
         at = upto
 
 
-def join_tasks(task: np.ndarray, side: np.ndarray, fps: np.ndarray, more: np.ndarray, plan: list[tuple[list[int], int]], budget: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+def join_tasks(task: np.ndarray, side: np.ndarray, fps: np.ndarray, more: np.ndarray, plan: list[Choice], budget: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """The rows linked within each task, whose rows stand together: between its sides, or among all its rows where only side 0 occurs."""
     keys, choice = np.empty_like(fps), task >> CHOICE_SHIFT
     for c in np.unique(choice):
-        keys[choice == c] = permuted(fps[choice == c], plan[c % len(plan)][0])
+        keys[choice == c] = permuted(fps[choice == c], plan[c].order)
     place = np.lexsort((keys, side, task))
     keys, side, task, more = keys[place], side[place], task[place], more[place]
     lo = np.flatnonzero(np.r_[True, (task[1:] != task[:-1]) | (side[1:] != side[:-1])])
@@ -228,7 +266,7 @@ def join_tasks(task: np.ndarray, side: np.ndarray, fps: np.ndarray, more: np.nda
     compare(keys, more, a_lo[~large], a_hi[~large], b_lo[~large], b_hi[~large], budget, total, links)
     for at, upto, b_at, b_upto in zip(*[x[large].tolist() for x in (a_lo, a_hi, b_lo, b_hi)]):
         # Side 1 is a later subtrie, so the rows of a task are sorted as a whole.
-        depth = plan[(task[at] >> CHOICE_SHIFT) % len(plan)][1]
+        depth = plan[task[at] >> CHOICE_SHIFT].front
         own = Links(b_upto - at)
         trie_pairs(keys[at:b_upto], more[at:b_upto], *[np.array([x - at]) for x in (at, upto, b_at, b_upto)], depth, budget, total, own)
         own.reduce()
@@ -236,7 +274,7 @@ def join_tasks(task: np.ndarray, side: np.ndarray, fps: np.ndarray, more: np.nda
         links.add(own.parent[moved] + at, moved + at)
     links.reduce()
     # All tasks link a group to its least fingerprint, so that links found in several tasks are the same.
-    words = np.where((task >> CHOICE_SHIFT) >= len(plan), more, fps[place])
+    words = np.where(np.array([c.swap for c in plan])[task >> CHOICE_SHIFT], more, fps[place])
     order = np.lexsort((words, links.parent))
     first = np.r_[True, links.parent[order][1:] != links.parent[order][:-1]]
     least = order[first][np.cumsum(first) - 1]
@@ -260,28 +298,36 @@ def node_of(second: bool, fp: str = "fp", fp2: str = "fp2") -> Column:
 def links(nodes: DataFrame, max_bits: int, total: int | None = None) -> DataFrame:
     """(a, b): links between the nodes of the rows (fp, fp2; distinct) that differ in at most ``max_bits`` bits of fp.
 
-    With ``total``, at most ``max_bits`` bits of either word and ``total`` bits of both may differ. Not every linked pair is
-    returned, but within a task a spanning forest of them, so nothing grows with the square of a group. A trie of more
-    than TRIE_ROWS fingerprints is dealt out by pairs of its subtries.
+    With ``total``, at most ``total`` bits of both words may differ, and pairs are found that agree in the blocks of a front; a
+    node is dealt out to 120 fronts of 16 bits, or to 816 of 21 bits where there are more nodes than TRIE_ROWS a front, so that
+    what meets in a front grows with the nodes only beyond some 10**10. Not every linked pair is returned, but within a task a
+    spanning forest of them, so nothing grows with the square of a group. A trie of more than TRIE_ROWS fingerprints is
+    dealt out by pairs of its subtries.
     """
-    plan = orders(max_bits)
-    words = [("fp", "fp2")] if total is None else [("fp", "fp2"), ("fp2", "fp")]
-    limit = 128 if total is None else total
+    count = nodes.count()
+    if total is None:
+        plan, budget, limit = orders(max_bits), max_bits, 128
+    else:
+        narrow, long = WIDE_FRONTS
+        plan = wide_orders(*(narrow if count <= TRIE_ROWS << (narrow[0] * narrow[1]) else long))
+        budget = limit = total
     # Bits of a front on which rows are counted first: so many that a trie too large for a task stands out.
-    few_bits = max(0, math.ceil(math.log2(max(1, 4 * nodes.count() / TRIE_ROWS))))
+    few_bits = max(0, math.ceil(math.log2(max(1, 4 * count / TRIE_ROWS))))
 
     def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each node once for each choice of blocks, with the bits of the front and those that follow it."""
         for batch in batches:
-            both = {n: batch.column(i).to_numpy().view(np.uint64) for i, n in enumerate(("fp", "fp2"))}
-            for w, (key, more) in enumerate(words):
-                for c, (order, front) in enumerate(plan):
-                    turned = permuted(both[key], order)
-                    first = turned >> np.uint64(64 - front)
-                    following = (turned >> np.uint64(64 - front - SUB_BITS)) & np.uint64((1 << SUB_BITS) - 1)
-                    coarse = first >> np.uint64(max(0, front - few_bits))
-                    columns = [np.full(len(turned), w * len(plan) + c, np.int64), coarse.view(np.int64), first.view(np.int64), following.view(np.int64), both[key].view(np.int64), both[more].view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["choice", "coarse", "front", "next", "key", "more"])
+            both = [batch.column(i).to_numpy().view(np.uint64) for i in range(2)]
+            for c, choice in enumerate(plan):
+                key, more = both[::-1] if choice.swap else both
+                turned = permuted(key, choice.order)
+                first = turned >> np.uint64(64 - choice.front)
+                for start, size in choice.others:
+                    first = (first << np.uint64(size)) | ((more >> np.uint64(64 - start - size)) & np.uint64((1 << size) - 1))
+                following = (turned >> np.uint64(64 - choice.front - SUB_BITS)) & np.uint64((1 << SUB_BITS) - 1)
+                coarse = first >> np.uint64(max(0, choice.bits - few_bits))
+                columns = [np.full(len(turned), c, np.int64), coarse.view(np.int64), first.view(np.int64), following.view(np.int64), key.view(np.int64), more.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["choice", "coarse", "front", "next", "key", "more"])
 
     keyed = nodes.select("fp", "fp2").mapInArrow(fronts, "choice bigint, coarse bigint, front bigint, next bigint, key bigint, more bigint")
     number = lambda sub, other, cross: (F.shiftleft("choice", CHOICE_SHIFT).bitwiseOR(F.shiftleft("front", FRONT_SHIFT))
@@ -297,19 +343,20 @@ def links(nodes: DataFrame, max_bits: int, total: int | None = None) -> DataFram
         wide = stored(wide.select("choice", "front", split.alias("split")), "simhash-wide")
         tasks = keyed.join(F.broadcast(wide) if wide.count() <= BROADCAST_ROWS else wide, ["choice", "front"], "left")
         tasks = tasks.withColumn("sub", F.when(F.col("split").isNull(), F.lit(0)).otherwise(F.expr("shiftright(next, %d - split)" % SUB_BITS)).cast("bigint"))
-        near = F.filter(F.expr("sequence(0L, shiftleft(1L, split) - 1L)"), lambda o: F.bit_count(o.bitwiseXOR(F.col("sub"))) <= max_bits)
+        near = F.filter(F.expr("sequence(0L, shiftleft(1L, split) - 1L)"), lambda o: F.bit_count(o.bitwiseXOR(F.col("sub"))) <= budget)
         partners = F.when(F.col("split").isNull(), F.array(zero)).otherwise(near)
         tasks = tasks.select("key", "more", "choice", "front", "sub", F.explode(partners).alias("other"))
         cross = F.when(F.col("sub") != F.col("other"), F.lit(CROSS).cast("bigint")).otherwise(zero)
         tasks = tasks.select("key", "more", number(F.col("sub"), F.col("other"), cross).alias("task"), F.when(F.col("sub") > F.col("other"), 1).otherwise(0).cast("bigint").alias("side"))
+    swaps = np.array([c.swap for c in plan])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def joined(task: np.ndarray, side: np.ndarray, key: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
-            a, b = join_tasks(task, side, key.view(np.uint64), more.view(np.uint64), plan, max_bits, limit)
-            swapped = task[a] >> CHOICE_SHIFT >= len(plan)
+            a, b = join_tasks(task, side, key.view(np.uint64), more.view(np.uint64), plan, budget, limit)
+            swapped = swaps[task[a] >> CHOICE_SHIFT]
             words = [np.where(swapped, second[x], first[x]) for x in (a, b) for first, second in ((key, more), (more, key))]
             return pa.RecordBatch.from_arrays([*map(pa.array, words)], ["a", "a2", "b", "b2"])
 
@@ -327,7 +374,8 @@ def links(nodes: DataFrame, max_bits: int, total: int | None = None) -> DataFram
 
     dealt = tasks.repartition("task").sortWithinPartitions("task")
     found = dealt.mapInArrow(run, "a bigint, a2 bigint, b bigint, b2 bigint")
-    return found.select(node_of(total is not None, "a", "a2").alias("a"), node_of(total is not None, "b", "b2").alias("b")).distinct()
+    named = found.select(node_of(total is not None, "a", "a2").alias("u"), node_of(total is not None, "b", "b2").alias("v"))
+    return forests(named).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
 
 
 def short_links(sets: DataFrame) -> DataFrame:
@@ -386,24 +434,42 @@ def components(edges: DataFrame) -> DataFrame:
         before, size = tuple(state), state[0]
 
 
-def contracted(edges: DataFrame, size: int) -> DataFrame:
-    """Distinct (u, v) with the same components: each task takes some GATHERED of the ``size`` edges and links a node to the least it can reach by them.
-
-    Tasks that found the same group in different ways leave several links a node; most of these go here.
-    """
+def forests(edges: DataFrame) -> DataFrame:
+    """(u, v) with the same components: of some HELD edges (u, v) that follow each other in a task, those that link a node to the least it can reach by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if held:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def linked() -> pa.RecordBatch:
             u, v = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             ids, place = np.unique(np.r_[u, v], return_inverse=True)
             own = Links(len(ids))
             own.add(place[:len(u)], place[len(u):])
             own.reduce()
             moved = np.flatnonzero(own.parent != np.arange(len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[own.parent[moved]])], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[own.parent[moved]])], ["u", "v"])
+
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+                size += batch.num_rows
+            if size >= HELD:
+                yield linked()
+                size = 0
+        if held:
+            yield linked()
+
+    return edges.mapInArrow(run, "u bigint, v bigint")
 
-    return edges.repartition(max(1, -(-size // GATHERED))).mapInArrow(run, "u bigint, v bigint").distinct()
+
+def contracted(edges: DataFrame, size: int) -> DataFrame:
+    """Distinct (u, v) with the same components: tasks of some GATHERED of the ``size`` edges each keep a forest.
+
+    Tasks that found the same group in different ways leave several links a node; most of these go here.
+    """
+    return forests(edges.repartition(max(1, -(-size // GATHERED)))).distinct()
 
 
 def starred(around: DataFrame, moved: DataFrame, size: int) -> DataFrame:
@@ -447,17 +513,17 @@ def groups_digest(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataF
     return grouped(docs, shingle, max_bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, max_bits: int = 9, total: int = 24, least: int = 9) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = 5, total: int = 24, least: int = 9) -> DataFrame:
     """One row of ``docs`` per component, that of the least doc_id, with the columns of ``docs``, whatever their names.
 
     Of rows with the same doc_id, that of the least hash of its text stays; of rows that also share their text, the one
     whose columns, written as JSON, come first. Null and empty texts are one group.
 
     The defaults aim at a similarity of 0.8 between the shingles of two texts, at which 15 % of 128 bits are expected to
-    differ: a link needs at most ``max_bits`` differing bits in one word of 64 and ``total`` in both. The bits of fewer
+    differ: a link needs at most ``total`` differing bits, and two blocks of 8 bits (or three of 7) that agree. The bits of fewer
     than ``least`` shingles say too little; short texts are joined by their shingles, which finds every pair that similar.
     """
-    rows = grouped(docs, shingle, max_bits, total, least)
+    rows = grouped(docs, shingle, total, total, least)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"))
     kept_id, kept_hash, text_hash, doc = fresh(docs, "kept_id", "kept_hash", "text_hash", "doc")
     keep = first.select(F.col("f.doc_id").alias(kept_id), F.col("f.text_hash").alias(kept_hash))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexel.llm.common import fresh
+from vexel.llm.common import fresh, mapped
 from vexel.llm.features import hashed_terms, list_parts
 
 
@@ -200,16 +200,15 @@ def scored(docs: DataFrame, labels: DataFrame, p: Params = Params(), score_name:
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))
     kept = docs.drop(score_name)
-    names = kept.columns
     terms = kept.withColumn(fresh(docs, "terms")[0], hashed_terms(F.col("text"), p.bits, p.prefixes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, offsets = list_parts(batch.column(batch.num_columns - 1))
             score = probabilities(model.value, values, offsets)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*names, score_name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [f"c{i}" for i in range(batch.num_columns)])
 
-    return terms.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(score_name, T.DoubleType())]))
+    return mapped(terms, run, T.StructType([*kept.schema.fields, T.StructField(score_name, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
@@ -219,6 +218,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFr
 
 
 def inoffensive(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold, with the columns of ``docs``."""
+    """The rows of ``docs`` whose score is below the threshold, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts have the score of the bias alone and stay; repeated rows stay or go together.
+    """
     score = fresh(docs, "toxicity_score")[0]
-    return scored(docs, labels, p, score).filter(F.col(score) < p.threshold).select(*docs.columns)
+    return scored(docs, labels, p, score).filter(F.col(score) < p.threshold).drop(score)

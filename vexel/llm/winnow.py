@@ -18,6 +18,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPAN = 10
 #: Benchmark fingerprints are broadcast up to this many rows (of 16 bytes), and joined by a shuffle beyond it.
 PRINT_ROWS = 1_000_000
+#: Tasks to which a benchmark fingerprint is dealt out where fingerprints aren't broadcast.
+SALTS = 64
 
 
 def words(text: Column) -> Column:
@@ -70,8 +72,8 @@ def _windows(df: DataFrame, spans: list[int]) -> DataFrame:
     return out
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item, span, fp, window): the passages of every item that has words; a null item_id counts as the text 'null'."""
+def item_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
+    """((item, span, fp, window), spans): the passages of every item that has words, and their lengths; a null item_id counts as the text 'null'."""
     split = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), _word_hashes(words(F.col("text"))).alias("wh")).filter(F.size("wh") > 0)
     split = stored(split.withColumn("span", F.least(F.size("wh"), F.lit(SPAN))), "winnow-items")
     spans = sorted(r[0] for r in split.select("span").distinct().collect())  # at most SPAN numbers
@@ -87,7 +89,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(tkey, start, span, item_list): the passages in the distinct texts of ``docs`` that equal one of an item, with the items that have it.
 
-    A passage is known by two 64-bit hashes, its fingerprint and that of all its words.
+    A passage is known by two 64-bit hashes, its fingerprint and that of all its words. The words of a text are split and
+    hashed once, however many lengths passages have. A passage that very many texts hold is dealt out to several tasks.
     """
     windows, spans = item_windows(benchmark)
     lists = windows.groupBy("span", "fp", "window").agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -95,15 +98,20 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not spans:
         return docs.select(text_key(F.col("text")).alias("tkey"), F.lit(0).alias("start"), F.lit(0).alias("span"), F.array(F.lit("")).alias("items")).limit(0)
     texts = docs.select(text_key(F.col("text")).alias("tkey"), _word_hashes(words(F.col("text"))).alias("wh"))
+    if len(spans) > 1:
+        texts = stored(texts, "winnow-words")
     found = _windows(texts, spans)
     if prints.count() <= PRINT_ROWS:
         found = found.join(F.broadcast(prints), ["span", "fp"], "left_semi")
     else:
         # Each text sends a fingerprint once; the passages of those that hit are found in a second pass.
-        hit = found.select("tkey", "span", "fp").distinct().join(prints, ["span", "fp"], "left_semi")
+        sent = found.select("tkey", "span", "fp").distinct().withColumn("salt", F.pmod(F.xxhash64("tkey"), F.lit(SALTS)))
+        copies = prints.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        hit = sent.join(copies, ["span", "fp", "salt"], "left_semi").drop("salt")
         found = found.join(hit, ["tkey", "span", "fp"], "left_semi")
-    found = found.select("tkey", "span", "fp", "window", "start").distinct()
-    return found.join(lists, ["span", "fp", "window"]).select("tkey", "start", "span", "items")
+    passage = F.struct("span", "fp", "window").alias("passage")
+    found = stored(found.select("tkey", "start", passage).distinct(), "winnow-hits")
+    return key_join(found, lists.select(passage, "items"), "passage", [F.col("tkey"), F.col("start")], "inner").select("tkey", "start", "passage.span", "items")
 
 
 def text_results(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -140,14 +148,21 @@ def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null and empty texts have no words and no hits; without items, nothing is contaminated. Equal texts get equal results, and
+    repeated rows each their own. An empty table gives an empty result. Other columns are not read.
+    """
     n_words = F.size(words(F.col("text"))).cast("bigint")
     rows = docs.select("doc_id", n_words.alias("n_words"), F.coalesce("text", F.lit("")).alias("text"))
     return marked(rows, benchmark).drop("text")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no passage of the benchmark, with the columns of ``docs``, whatever their names."""
+    """The rows of ``docs`` that hold no passage of the benchmark, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts stay, and repeated rows stay as often as they come.
+    """
     dirty = stored(text_results(docs, benchmark).select("tkey"), "winnow-dirty")
     rows = with_results(packed(docs), dirty, "left_anti")
     return rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
