@@ -1,5 +1,6 @@
 import itertools
 import tempfile
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -176,7 +177,7 @@ def test_trained_quantizer(spark):
     luts = model.tables(queries).cache()
     heap = key(pq.search(luts, codes, 10))
     assert heap == key(pq.search(luts, codes, 10, "ea")) == key(pq.search(luts, codes, 10, "fast2")) == key(pq.search(luts, codes, 10, "sort"))
-    ti = training.Vaq(training.replace(model.params, strategy="TI", clusters=8), model.axes, model.variances, model.bits, model.centroids)
+    ti = training.Vaq(replace(model.params, strategy="TI", clusters=8), model.axes, model.variances, model.bits, model.centroids)
     index = ti.index(codes, catalog._scratch(spark))
     assert heap == key(ti.search(queries, codes, 10, index=index)) and len(key(ti.search(queries, codes, 10, visit=0.25, index=index))) == len(heap)
     truth = search.exact(queries, base, 10).cache()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vexel.functions import expr
 from vexel.functions.matrices import matrix
+from vexel.operators import selection
 from vexel.operators.search import query_blocks, top_k
 
 #: Shares cut off at either end of a look-up table, from which learning chooses.
@@ -129,21 +130,39 @@ def _scan(block: DataFrame, k: int, abandon: bool, digits: int):
 def learned_quantization(luts: DataFrame, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
     """(subspace, alpha, offset, scale): how a subspace's table entries become bytes, with one alpha for all subspaces.
 
-    ``luts`` are the tables of rows taken as queries; percentiles are exact, so a subspace's distinct entries meet in a
-    task: give it those of a sample of bounded size. Per alpha, offset is the alpha-percentile of the entries, and scale
+    ``luts`` are the tables of rows taken as queries, of any number: percentiles are exact order statistics, of which neither
+    all rows nor all entries meet in a task. Per alpha, offset is the alpha-percentile of the entries, and scale
     maps the (1 - alpha)-percentile of what lies above it to 255. The alpha of the least squared loss is taken, of equal
     ones the largest.
     """
-    cells = luts.select(F.posexplode("lut").alias("subspace", "t")).select("subspace", F.explode("t").alias("x"))
-    n = range(len(alphas))
-    above = [F.greatest(F.col("x") - F.col(f"o{i}"), F.lit(0.0)) for i in n]
-    lows = cells.groupBy("subspace").agg(*[F.percentile("x", F.lit(a)).alias(f"o{i}") for i, a in enumerate(alphas)])
-    tops = cells.join(F.broadcast(lows), "subspace").groupBy("subspace").agg(*[(255 / F.percentile(above[i], F.lit(1 - a))).alias(f"s{i}") for i, a in enumerate(alphas)])
-    model = lows.join(tops, "subspace")
-    loss = [F.round(F.sum(F.pow(y * F.col(f"s{i}") - F.least(F.floor(y * F.col(f"s{i}")), F.lit(255)), 2)), 3).alias(f"l{i}") for i, y in enumerate(above)]
-    losses = cells.join(F.broadcast(model), "subspace").agg(*loss).first()
-    best = min(n, key=lambda i: (losses[i] if losses[i] is not None else 0.0, -alphas[i]))
-    return model.select("subspace", F.lit(alphas[best]).alias("alpha"), F.col(f"o{best}").alias("offset"), F.col(f"s{best}").alias("scale"))
+    cells = luts.select(F.posexplode("lut").alias("dim", "t")).select("dim", F.explode("t").alias("x"))
+    sizes = {r.dim: r.n for r in cells.groupBy("dim").agg(F.count("x").alias("n")).collect()}  # a row a subspace
+    place = lambda n, share: (n - 1) * share
+    ranks = {(d, r, n) for d, n in sizes.items() for a in alphas for share in (a, 1 - a) for r in (int(np.floor(place(n, share))), int(np.ceil(place(n, share))))}
+    spark = luts.sparkSession
+    found = selection.order_statistics(cells, spark.createDataFrame(sorted(ranks), "dim int, rank bigint, n bigint")).collect() if ranks else []
+    at = {(r.dim, r["rank"]): r.value for r in found}
+
+    def percentile(d: int, share: float, above: float = -np.inf) -> float:
+        """Of the entries of a subspace, or of what lies above a value: both rise with the entry, so the same ranks serve."""
+        p = place(sizes[d], share)
+        lo, hi = (max(at[d, int(f(p))] - above, 0.0) if above > -np.inf else at[d, int(f(p))] for f in (np.floor, np.ceil))
+        return float(lo + (hi - lo) * (p - np.floor(p)))
+
+    rows = []
+    for d in sorted(sizes):
+        offsets = [percentile(d, a) for a in alphas]
+        tops = [percentile(d, 1 - a, o) for a, o in zip(alphas, offsets)]
+        rows.append((d, *offsets, *[255 / t if t > 0 else None for t in tops]))
+    names = [*[f"o{i}" for i in range(len(alphas))], *[f"s{i}" for i in range(len(alphas))]]
+    model = spark.createDataFrame(rows, "dim int, " + ", ".join(f"{n} double" for n in names))
+    loss = []
+    for i in range(len(alphas)):
+        y = F.greatest(F.col("x") - F.col(f"o{i}"), F.lit(0.0)) * F.col(f"s{i}")
+        loss.append(F.round(F.sum(F.pow(y - F.least(F.floor(y), F.lit(255)), 2)), 3).alias(f"l{i}"))
+    losses = cells.join(F.broadcast(model), "dim").agg(*loss).first()
+    best = min(range(len(alphas)), key=lambda i: (losses[i] if losses[i] is not None else 0.0, -alphas[i]))
+    return model.select(F.col("dim").alias("subspace"), F.lit(alphas[best]).alias("alpha"), F.col(f"o{best}").alias("offset"), F.col(f"s{best}").alias("scale"))
 
 
 def quantized(luts: DataFrame, model: DataFrame) -> DataFrame:

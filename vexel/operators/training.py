@@ -6,19 +6,25 @@ Spark job that returns sums.
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import reduce
 from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vexel.functions import expr
-from vexel.functions.matrices import finite, matrix
+from vexel.functions.matrices import finite, lists, matrix
 from vexel.operators import pq, search, selection, ti
+from vexel.sources import scratch, vectors
 
 MAX_BITS = 15
 
@@ -44,16 +50,8 @@ def gram(base: DataFrame) -> DataFrame:
 
 
 def principal_axes(base: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(variances, axes as columns), descending; each axis has its largest loading positive."""
-    cells = gram(base).collect()  # d * d numbers
-    d = 1 + max((r.i for r in cells), default=-1)
-    g = np.zeros((d, d))
-    for r in cells:
-        g[r.i, r.j] = r.g
-    values, vectors = np.linalg.eigh((g + g.T) / 2)
-    values, vectors = values[::-1], vectors[:, ::-1]
-    signs = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(d)])
-    return values, vectors * np.where(signs == 0, 1, signs)
+    """(variances, axes as columns) of (vec_id, e), descending; each axis has its largest loading positive."""
+    return axes_of(gram_matrix(base))
 
 
 def projected(rows: DataFrame, vector: str, axes: np.ndarray) -> DataFrame:
@@ -146,6 +144,37 @@ def allocate(var: list[float] | np.ndarray, budget: int, least: int, most: int,
     return out
 
 
+def parse_bits(text: str) -> tuple[int, ...]:
+    """Bits of each subspace as a list of numbers with commas between them."""
+    try:
+        bits = tuple(int(x) for x in text.split(","))
+    except ValueError:
+        raise ValueError(f"not a list of bits: {text}") from None
+    if any(not 0 <= b <= MAX_BITS for b in bits):
+        raise ValueError(f"bits must lie between 0 and {MAX_BITS}")
+    return bits
+
+
+def filled_up(bits: list[int], budget: int, most: int) -> list[int]:
+    """An allocation short of the budget: a bit for each subspace of the first run without any, then from left to right up to ``most``.
+
+    ValueError where the budget can't be met.
+    """
+    out = list(bits)
+    if sum(out) < budget and 0 in out:
+        at = out.index(0)
+        while at < len(out) and out[at] == 0 and sum(out) < budget:
+            out[at] += 1
+            at += 1
+    while sum(out) < budget and any(b < most for b in out):
+        for i, b in enumerate(out):
+            if b < most and sum(out) < budget:
+                out[i] += 1
+    if sum(out) < budget:
+        raise ValueError(f"{sum(out)} bits are fewer than the budget of {budget}")
+    return out
+
+
 def sampled(rows: DataFrame, size: int, seed: int = 17) -> DataFrame:
     """At most ``size`` rows, those with the least hash of vec_id: the same on every run."""
     return selection.least_rows(rows, sample_key(seed), size)
@@ -216,17 +245,75 @@ def lloyd(points: DataFrame, seeds: list[list[float]], rounds: int) -> list[list
     return centres.tolist()
 
 
+#: Steps of farthest-first seeding after which the rows' distances are written, and rows that mini-batches bring to the driver at once.
+WRITTEN_EVERY, HELD_ROWS = 16, 200_000
+
+
 def farthest_first(points: DataFrame, k: int) -> list[int]:
-    """vec_ids of seeds: the least vec_id, then always the row farthest from all seeds so far (ties: the least vec_id)."""
-    first = points.agg(F.min_by(F.struct("vec_id", "e"), "vec_id").alias("s")).first().s
-    chosen, near = [first.vec_id], points.select("vec_id", "e", F.lit(float("inf")).alias("d"))
-    seed = first.e
-    for _ in range(k - 1):
-        near = near.withColumn("d", F.least("d", F.round(expr.l2sq(F.col("e"), F.array(*[F.lit(x) for x in seed])), 9)))
-        best = near.agg(F.max(F.struct("d", (-F.col("vec_id")).alias("v"), "e")).alias("b")).first().b
-        chosen.append(-best.v)
-        seed = best.e
-    return chosen
+    """vec_ids of seeds: the least vec_id, then always the row farthest from all seeds so far (ties: the least vec_id).
+
+    A task sends its farthest row. Rows carry their distance from the seeds up to the last time that it was written, so a
+    step compares them with WRITTEN_EVERY seeds at most. Vectors that are null or not finite are no seeds; there may be fewer than
+    ``k`` rows.
+    """
+    found, recent = [], np.zeros((0, 0))
+    near = points.select("vec_id", "e", F.lit(float("inf")).alias("d"))
+    last = None
+
+    def distances(x: np.ndarray, d: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        for s in seeds:
+            d = np.minimum(d, np.round(((x - s) ** 2).sum(axis=1), 9))
+        return d
+
+    for _ in range(k):
+
+        def farthest(batches: Iterator[pa.RecordBatch], seeds=recent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, at = finite(batch.column(1))
+                if len(at):
+                    names = batch.column(0).to_numpy()[at]
+                    d = distances(x, batch.column(2).to_numpy()[at], seeds)
+                    best = np.lexsort((names, -d))[:1]
+                    yield pa.RecordBatch.from_arrays([pa.array(d[best]), pa.array(names[best]), lists(x[best])], ["d", "vec_id", "e"])
+
+        best = near.mapInArrow(farthest, "d double, vec_id bigint, e array<double>").agg(F.max(F.struct("d", (-F.col("vec_id")).alias("v"), "e")).alias("b")).first().b
+        if best is None or -best.v in found:
+            break
+        found.append(-best.v)
+        recent = np.vstack([recent, best.e]) if len(recent) else np.array([best.e])
+        if len(recent) == WRITTEN_EVERY:
+
+            def kept(batches: Iterator[pa.RecordBatch], seeds=recent) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    x, at = finite(batch.column(1))
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), lists(x), pa.array(distances(x, batch.column(2).to_numpy()[at], seeds))], ["vec_id", "e", "d"])
+
+            near, path = scratch.written(near.mapInArrow(kept, "vec_id bigint, e array<double>, d double"))
+            if last:
+                scratch.removed(last)
+            last, recent = path, np.zeros((0, 0))
+    if last:
+        scratch.removed(last)
+    return found
+
+
+def batches_of(points: DataFrame, batch: int, rounds: int) -> Iterator[np.ndarray]:
+    """The rows of each round of mini-batch k-means, in the order of vec_id: the ``batch`` rows of the least hash for that round.
+
+    The rows of many rounds are drawn in one pass; each task keeps ``batch`` rows a round.
+    """
+    step = max(1, HELD_ROWS // max(1, batch))
+    for at in range(0, rounds, step):
+        some = list(range(at, min(at + step, rounds)))
+        keys = F.array(*[sample_key(r) for r in some])
+        by = Window.partitionBy("round").orderBy("key", "vec_id")
+        drawn_rows = points.select("vec_id", "e", F.posexplode(keys).alias("round", "key")).withColumn("r", F.row_number().over(by)).filter(F.col("r") <= batch)
+        table = drawn_rows.select("round", "vec_id", "e").toArrow().combine_chunks().sort_by([("round", "ascending"), ("vec_id", "ascending")])  # HELD_ROWS, or one batch
+        x, fine = finite(table.column("e").combine_chunks()) if table.num_rows else (np.zeros((0, 0)), np.zeros(0, np.int64))
+        owner = table.column("round").to_numpy()[fine] if table.num_rows else np.zeros(0)
+        for i in range(len(some)):
+            yield x[owner == i]
 
 
 def minibatch(points: DataFrame, seeds: list[list[float]], batch: int, rounds: int, tolerance: float = 0.0, norm: int = 2) -> list[list[float]]:
@@ -235,8 +322,7 @@ def minibatch(points: DataFrame, seeds: list[list[float]], batch: int, rounds: i
     It ends after ``rounds``, or when the centres have moved by at most ``tolerance`` in a round, summed up by the norm 1 or 2 of their moves.
     """
     centres, seen = np.array(seeds, float), np.zeros(len(seeds))
-    for r in range(rounds):
-        rows = np.array([x.e for x in sampled(points, batch, r).orderBy("vec_id").collect()])  # at most ``batch``
+    for rows in batches_of(points, batch, rounds):
         before = centres.copy()
         for x, c in zip(rows, nearest(rows, centres, 9) if len(rows) else []):
             seen[c] += 1
@@ -330,18 +416,7 @@ class VaqParams:
 
 def dictionaries(rows: DataFrame, size: int, bits: list[int], kind: str = "flat") -> list[np.ndarray]:
     """The centroids of each subspace of ``size`` dimensions, learned from (vec_id, e), a sample of bounded size. One subspace a task."""
-    parts = rows.select("vec_id", F.posexplode(F.array(*[expr.subspace(F.col("e"), s, size) for s in range(len(bits))])).alias("subspace", "x"))
-
-    def learn(group: pa.Table) -> pa.Table:
-        s = group.column("subspace")[0].as_py()
-        group = group.sort_by("vec_id").combine_chunks()
-        x = group.column("x").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
-        b = bits[s]
-        centres = binary(x, b) if kind == "binary" else hierarchical(x, b) if kind == "hierarchical" and b > 1 or b > FLAT_BITS else _numpy_lloyd(x, 1 << b)
-        return pa.table({"subspace": pa.array([s] * len(centres), pa.int32()), "code": pa.array(range(len(centres)), pa.int32()), "centroid": pa.array(centres.tolist(), pa.list_(pa.float64()))})
-
-    learned = parts.groupBy("subspace").applyInArrow(learn, "subspace int, code int, centroid array<double>").orderBy("subspace", "code").collect()  # the codebook
-    return [np.array([r.centroid for r in learned if r.subspace == s]) for s in range(len(bits))]
+    return learned(rows, [(s * size, size, b) for s, b in enumerate(bits)], kind)
 
 
 def plain_codebook(base: DataFrame, subspaces: int, bits: int = 4, rows_per_centroid: int = 256) -> DataFrame:
@@ -351,10 +426,48 @@ def plain_codebook(base: DataFrame, subspaces: int, bits: int = 4, rows_per_cent
     return base.sparkSession.createDataFrame([(s, c, x.tolist()) for s, cs in enumerate(found) for c, x in enumerate(cs)], "subspace int, code int, centroid array<double>")
 
 
-def principal_bits(base: DataFrame) -> DataFrame:
-    """(vec_id, bits): the signs of the principal components, the one of the largest variance first."""
-    rows = base.select("vec_id", "e")
-    return search.with_bits(projected(rows, "e", principal_axes(rows)[1])).select("vec_id", "bits")
+def bits_of(share: np.ndarray, params: VaqParams) -> list[int]:
+    """The bits of the kept subspaces: those that the parameters name, which must meet the budget, or the best allocation."""
+    if params.bits:
+        named = list(params.bits)[:len(share)]
+        if len(named) < len(share) or sum(named) < params.budget:
+            raise ValueError(f"{len(named)} subspaces with {sum(named)} bits are fewer than {len(share)} with {params.budget}")
+        return named
+    return filled_up(allocate(share, params.budget, params.least, params.most, params.share), params.budget, params.most)
+
+
+def gram_matrix(base: DataFrame) -> np.ndarray:
+    """The Gram matrix on the driver, d by d."""
+    cells = gram(base).collect()
+    d = 1 + max((r.i for r in cells), default=-1)
+    g = np.zeros((d, d))
+    for r in cells:
+        g[r.i, r.j] = r.g
+    return (g + g.T) / 2
+
+
+def axes_of(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(variances, axes as columns) of a Gram matrix, descending; each axis has its largest loading positive."""
+    values, vectors = np.linalg.eigh(g)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    signs = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(g))]) if len(g) else np.zeros(0)
+    return values, vectors * np.where(signs == 0, 1, signs)
+
+
+def rotation(g: np.ndarray, subspaces: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(axes, variances, dimensions of a subspace) of vectors filled up with zeros to a multiple of the subspaces, balanced between these."""
+    size = -(-len(g) // subspaces)
+    wide = np.zeros((size * subspaces,) * 2)
+    wide[:len(g), :len(g)] = g
+    values, axes = axes_of(wide)
+    order = balanced(values, subspaces)
+    return axes[:, order], values[order], size
+
+
+def turned(rows: DataFrame, vector: str, axes: np.ndarray) -> DataFrame:
+    """``rows`` with ``vector``, which comes last, filled up with zeros and rotated."""
+    kept = rows.select(*[c for c in rows.columns if c != vector], expr.padded(F.col(vector), len(axes)).alias(vector))
+    return projected(kept, vector, axes)
 
 
 @dataclass
@@ -369,27 +482,19 @@ class Vaq:
 
     @classmethod
     def fit(cls, base: DataFrame, params: VaqParams) -> Vaq:
-        d = base.select(F.max(F.size("e"))).first()[0]
-        size = -(-d // params.subspaces)
-        wide = base.select("vec_id", expr.padded(F.col("e"), size * params.subspaces).alias("e"))
-        values, axes = principal_axes(wide)
-        order = balanced(values, params.subspaces)
-        values, axes = values[order], axes[:, order]
+        """Trained on (vec_id, e): the rotation on all rows, the dictionaries on a bounded sample of them."""
+        axes, values, size = rotation(gram_matrix(base), params.subspaces)
         share = shares(values, params.subspaces)
-        kept = retained(share, params.share)
-        bits = list(params.bits)[:kept] or allocate(share[:kept], params.budget, params.least, params.most, params.share)
-        most = params.rows_per_centroid * 2 ** max(bits)
-        rows = projected(sampled(wide, most), "e", axes)
-        centroids = dictionaries(rows, size, bits, params.clustering)
-        return cls(params, axes, values, bits, centroids)
+        bits = bits_of(share[:retained(share, params.share)], params)
+        rows = turned(sampled(base.select("vec_id", "e"), params.rows_per_centroid << max(bits)), "e", axes)
+        return cls(params, axes, values, bits, dictionaries(rows, size, bits, params.clustering))
 
     def codebook(self, spark: SparkSession) -> DataFrame:
         rows = [(s, c, x.tolist()) for s, cs in enumerate(self.centroids) for c, x in enumerate(cs)]
         return spark.createDataFrame(rows, "subspace int, code int, centroid array<double>")
 
     def rotate(self, rows: DataFrame, vector: str) -> DataFrame:
-        kept = rows.select(*[c for c in rows.columns if c != vector], expr.padded(F.col(vector), len(self.axes)).alias(vector))
-        return projected(kept, vector, self.axes)
+        return turned(rows, vector, self.axes)
 
     def encode(self, base: DataFrame) -> DataFrame:
         return pq.encode(self.rotate(base.select("vec_id", "e"), "e"), self.codebook(base.sparkSession))
@@ -431,31 +536,136 @@ class Vaq:
             return pq.search_quantized(luts, model, codes, k) if name == "FAST" else pq.search_hybrid(luts, model, codes, k, split)
         return pq.search(luts, codes, k, {"EA": "ea", "FAST2": "fast2", "SORT": "sort"}.get(name, "heap"))
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """A Parquet model: parameters with rotation and bits, and the codebook."""
+    def save(self, spark: SparkSession, path: str, codes: DataFrame | None = None, indexed: bool = False) -> None:
+        """Writes the model to ``path``, with the ``codes`` it is given and, if asked for, their TI index.
+
+        All goes to a folder of its own; then the file that names the model's folder is exchanged, so a reader finds the old model
+        or the new one, whole. The old one's folder is removed.
+        """
+        folder = f"{path}/model-{uuid.uuid4().hex}"
+        index = None
+        if codes is not None:
+            codes.select("vec_id", "codes").write.parquet(f"{folder}/codes")
+            if indexed:
+                index = self.index(spark.read.parquet(f"{folder}/codes"), f"{folder}/index")
         p = self.params
-        row = (p.budget, p.subspaces, p.least, p.most, p.share, p.strategy, p.clusters, p.segments, p.segment_share, p.clustering, list(p.bits), p.rows_per_centroid, self.axes.tolist(), self.variances.tolist(), self.bits)
-        names = "budget int, subspaces int, least int, most int, share double, strategy string, clusters int, segments int, segment_share double, clustering string, asked array<int>, rows_per_centroid int, axes array<array<double>>, variances array<double>, bits array<int>"
-        spark.createDataFrame([row], names).write.mode("overwrite").parquet(f"{path}/model")
-        self.codebook(spark).write.mode("overwrite").parquet(f"{path}/codebook")
+        row = (p.budget, p.subspaces, p.least, p.most, p.share, p.strategy, p.clusters, p.segments, p.segment_share, p.clustering, list(p.bits), p.rows_per_centroid, self.axes.tolist(), self.variances.tolist(), self.bits, None if index is None else index.centres.tolist())
+        names = "budget int, subspaces int, least int, most int, share double, strategy string, clusters int, segments int, segment_share double, clustering string, asked array<int>, rows_per_centroid int, axes array<array<double>>, variances array<double>, bits array<int>, centres array<array<double>>"
+        spark.createDataFrame([row], names).write.parquet(f"{folder}/model")
+        self.codebook(spark).write.parquet(f"{folder}/codebook")
+        system, place = vectors.located(path)
+        before = current_model(path)
+        with system.open_output_stream(f"{place}/_next.json") as out:
+            out.write(json.dumps({"folder": folder.rpartition("/")[2]}).encode())
+        system.move(f"{place}/_next.json", f"{place}/{CURRENT}")
+        if before:
+            system.delete_dir(f"{place}/{before}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Vaq:
-        r = spark.read.parquet(f"{path}/model").first()
-        book = spark.read.parquet(f"{path}/codebook").orderBy("subspace", "code").collect()
+        folder = f"{path}/{current_model(path)}"
+        r = spark.read.parquet(f"{folder}/model").first()
         params = VaqParams(r.budget, r.subspaces, r.least, r.most, r.share, r.strategy, r.clusters, r.segments, r.segment_share, r.clustering, tuple(r.asked), r.rows_per_centroid)
-        return cls(params, np.array(r.axes), np.array(r.variances), list(r.bits), [np.array([x.centroid for x in book if x.subspace == s]) for s in range(len(r.bits))])
+        return cls(params, np.array(r.axes), np.array(r.variances), list(r.bits), pq.dictionaries_of(spark.read.parquet(f"{folder}/codebook")))
+
+    def stored(self, spark: SparkSession, path: str) -> tuple[DataFrame, ti.Index | None]:
+        """The codes that were saved with the model at ``path``, and their index if there is one."""
+        folder = f"{path}/{current_model(path)}"
+        centres = spark.read.parquet(f"{folder}/model").first().centres
+        codes = spark.read.schema("vec_id bigint, codes array<int>").parquet(f"{folder}/codes")
+        if centres is None:
+            return codes, None
+        part = None if self.ti_segments() == len(self.centroids) else len(centres[0])
+        return codes, ti.Index.open(spark, f"{folder}/index", np.array(centres), part, self.centroids)
+
+
+#: Names the folder of the model that counts.
+CURRENT = "_current.json"
+
+
+def current_model(path: str) -> str | None:
+    system, place = vectors.located(path)
+    if system.get_file_info(f"{place}/{CURRENT}").type != fs.FileType.File:
+        return None
+    with system.open_input_stream(f"{place}/{CURRENT}") as f:
+        return json.loads(f.read())["folder"]
+
+
+def learned(rows: DataFrame, pieces: list[tuple[int, int, int]], clustering: str) -> list[np.ndarray]:
+    """The dictionary of each piece (first dimension, dimensions, bits) of ``rows`` (vec_id, e), a sample of bounded size. One piece a task."""
+    parts = rows.select("vec_id", F.posexplode(F.array(*[F.slice("e", a + 1, n) for a, n, _ in pieces])).alias("piece", "x"))
+
+    def learn(group: pa.Table) -> pa.Table:
+        i = group.column("piece")[0].as_py()
+        group = group.sort_by("vec_id").combine_chunks()
+        x, b = matrix(group.column("x").combine_chunks())[0], pieces[i][2]
+        centres = binary(x, b) if clustering == "binary" else hierarchical(x, b) if clustering == "hierarchical" and b > 1 or b > FLAT_BITS else _numpy_lloyd(x, 1 << b)
+        return pa.table({"piece": pa.array([i] * len(centres), pa.int32()), "code": pa.array(range(len(centres)), pa.int32()), "centroid": pa.array(centres.tolist(), pa.list_(pa.float64()))})
+
+    found = parts.groupBy("piece").applyInArrow(learn, "piece int, code int, centroid array<double>").orderBy("piece", "code").collect()  # the dictionaries
+    by: dict[int, list[list[float]]] = {}
+    for r in found:
+        by.setdefault(r.piece, []).append(r.centroid)
+    return [np.array(by[i]) for i in range(len(pieces))]
 
 
 def grid(base: DataFrame, queries: DataFrame, truth: DataFrame, k: int, choices: list[VaqParams]) -> list[tuple[VaqParams, float]]:
-    """The recall of each choice of parameters, best first; choices that can't be met are left out."""
-    out = []
-    for params in choices:
-        try:
-            model = Vaq.fit(base, replace(params, strategy="EA"))
-        except ValueError:
+    """The recall of each choice of parameters, best first; choices that can't be met are left out.
+
+    Choices share what they can: the Gram matrix is computed once, rows are rotated once for each number of subspaces, a
+    dictionary of a subspace and a number of bits is learned once, and one pass over the base encodes rows in all of these
+    and scores every choice. The sample is as large as the most bits of any choice ask for.
+    """
+    g = gram_matrix(base)
+    asked = truth.count()
+    found: dict[int, int] = {}
+    fits: list[tuple[int, VaqParams]] = []
+    for count in sorted({p.subspaces for p in choices}):
+        axes, values, size = rotation(g, count)
+        share = shares(values, count)
+        own: list[tuple[int, list[int]]] = []
+        for i, p in enumerate(choices):
+            try:
+                if p.subspaces == count:
+                    own.append((i, bits_of(share[:retained(share, p.share)], p)))
+            except ValueError:
+                continue
+        if not own:
             continue
-        found = model.search(queries, model.encode(base), k)
-        hits = found.join(truth, ["query_id", "vec_id"], "left_semi").count()
-        out.append((params, hits / max(1, truth.count())))
-    return sorted(out, key=lambda x: -x[1])
+        for kind in sorted({choices[i].clustering for i, _ in own}):
+            some = [(i, bits) for i, bits in own if choices[i].clustering == kind]
+            pairs = sorted({(s, b) for _, bits in some for s, b in enumerate(bits)})
+            rows = max(choices[i].rows_per_centroid for i, _ in some) << max(b for _, b in pairs)
+            books = dict(zip(pairs, learned(turned(sampled(base.select("vec_id", "e"), rows), "e", axes), [(s * size, size, b) for s, b in pairs], kind)))
+            for block in search.query_blocks(queries):
+                scored = _scored(turned(base.select("vec_id", "e"), "e", axes), turned(block.select("query_id", "qe"), "qe", axes), books, size, [bits for _, bits in some], k)
+                for r in scored.join(truth.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").groupBy("choice").count().collect():
+                    i = some[r.choice][0]
+                    found[i] = found.get(i, 0) + r["count"]
+        fits += [(i, choices[i]) for i, _ in own]
+    return sorted(((p, found.get(i, 0) / max(1, asked)) for i, p in sorted(fits)), key=lambda x: -x[1])
+
+
+def _scored(rows: DataFrame, queries: DataFrame, books: dict[tuple[int, int], np.ndarray], size: int, allocations: list[list[int]], k: int) -> DataFrame:
+    """(choice, query_id, vec_id): the k nearest rows of each query by the codes of each allocation, from one pass over the rows."""
+    asked = queries.toArrow()  # a block
+    q, at = finite(asked.column("qe").combine_chunks())
+    ids = asked.column("query_id").to_numpy()[at]
+    tables = {(s, b): ((q[:, None, s * size:(s + 1) * size] - c[None]) ** 2).sum(axis=2) for (s, b), c in books.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, at = finite(batch.column(1))
+            if not len(at) or not len(q):
+                continue
+            names = batch.column(0).to_numpy()[at]
+            codes = {(s, b): nearest(x[:, s * size:(s + 1) * size], c, 9) for (s, b), c in books.items()}
+            for choice, bits in enumerate(allocations):
+                step = max(1, (1 << 22) // len(x))
+                for lo in range(0, len(q), step):
+                    d = np.round(reduce(np.add, [tables[s, b][lo:lo + step][:, codes[s, b]] for s, b in enumerate(bits)]), 6)
+                    i, j = np.nonzero(d <= np.partition(d, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1:min(k, len(x))])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), choice, np.int32)), pa.array(ids[lo + i]), pa.array(names[j]), pa.array(d[i, j])], ["choice", "query_id", "vec_id", "dist"])
+
+    best = Window.partitionBy("choice", "query_id").orderBy("dist", "vec_id")
+    return rows.mapInArrow(run, "choice int, query_id bigint, vec_id bigint, dist double").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("choice", "query_id", "vec_id")

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vexel.functions import expr
-from vexel.operators import evaluation, pq, scalar, search, ti, training
+from vexel.operators import budget, evaluation, pq, scalar, search, ti, training, trees
 from vexel.plans import oracle
-from vexel.sources import formats
+from vexel.sources import formats, scratch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -59,9 +56,7 @@ def codebook_of(base: DataFrame) -> DataFrame:
 
 def indexed(clusters: DataFrame) -> DataFrame:
     """An index of clusters, written once and read by every step of a search."""
-    path = _scratch(clusters.sparkSession)
-    clusters.write.parquet(path)
-    return clusters.sparkSession.read.parquet(path)
+    return scratch.written(clusters)[0]
 
 
 def clustered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -155,7 +150,7 @@ def knn_progressive_filter_wide(spark: SparkSession, sf: str) -> DataFrame:
 @query(oracle.wide(oracle.RERANK))
 def rerank_hamming_l2_wide(spark: SparkSession, sf: str) -> DataFrame:
     queries, base = wide(spark, sf)
-    return search.reranked(search.hamming(queries, base, 5 * K), queries, base, K)
+    return search.reranked(search.hamming(queries, base, 5 * K), queries, base, K, 5 * K)
 
 
 @query(oracle.wide(oracle.probe("rerank")))
@@ -165,7 +160,7 @@ def cluster_probe_rerank_wide(spark: SparkSession, sf: str) -> DataFrame:
     clusters = search.assigned(base, centres)
     chosen = search.probes(queries, centres, clusters, 3 * K, 3)
     first = search.probed(queries, clusters, chosen, lambda: expr.hamming(expr.sign_bits(F.col("qe")), expr.sign_bits(F.col("e"))), 3 * K)
-    return search.reranked(first, queries, base, K)
+    return search.reranked(first, queries, base, K, 5 * K)
 
 
 @query(oracle.knn("hamming"))
@@ -192,7 +187,7 @@ def knn_progressive_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query(oracle.RERANK)
 def rerank_hamming_l2(spark: SparkSession, sf: str) -> DataFrame:
     queries, base = both(spark, sf)
-    return search.reranked(search.hamming(queries, base, 5 * K), queries, base, K)
+    return search.reranked(search.hamming(queries, base, 5 * K), queries, base, K, 5 * K)
 
 
 @query(oracle.ASSIGN)
@@ -219,7 +214,7 @@ def cluster_probe_rerank(spark: SparkSession, sf: str) -> DataFrame:
     queries, base, centres, clusters = clustered(spark, sf)
     chosen = search.probes(queries, centres, clusters, 3 * K, 3)
     first = search.probed(queries, clusters, chosen, lambda: expr.hamming(expr.sign_bits(F.col("qe")), expr.sign_bits(F.col("e"))), 3 * K)
-    return search.reranked(first, queries, base, K)
+    return search.reranked(first, queries, base, K, 5 * K)
 
 
 @query(oracle.knn("sqrt"))
@@ -400,7 +395,7 @@ def adc_search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
 @query(oracle.REFINE)
 def adc_refine(spark: SparkSession, sf: str) -> DataFrame:
     queries, base, codes, luts = coded(spark, sf)
-    return search.reranked(pq.search(luts, codes, 5 * K), queries, base, K)
+    return search.reranked(pq.search(luts, codes, 5 * K), queries, base, K, 5 * K)
 
 
 def _seeds(base: DataFrame, k: int) -> list[list[float]]:
@@ -438,23 +433,21 @@ def kmeans_minibatch(spark: SparkSession, sf: str) -> DataFrame:
     return search.assigned(base, table).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
 
 
-def _tree(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    """Sizes of the clusters of whole vectors in a dictionary of 5 bits."""
+def _tree(spark: SparkSession, sf: str, train) -> DataFrame:
+    """Sizes of the clusters of whole vectors in a dictionary of 5 bits, trained on all rows."""
     base = base_of(spark, sf).select("vec_id", "e")
-    x = np.array([r.e for r in training.sampled(base, 256 * 32).collect()])  # a bounded sample
-    centres = training.hierarchical(x, 5, 3) if kind == "hierarchical" else training.binary(x, 5)
-    table = spark.createDataFrame(list(enumerate(centres.tolist())), "cluster_id int, ce array<double>")
+    table = spark.createDataFrame(list(enumerate(train(base).tolist())), "cluster_id int, ce array<double>")
     return search.assigned(base, table).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
 
 
 @query(None)
 def hierarchical_kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    return _tree(spark, sf, "hierarchical")
+    return _tree(spark, sf, lambda base: trees.hierarchical(base, 5, 3))
 
 
 @query(None)
 def binary_kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    return _tree(spark, sf, "binary")
+    return _tree(spark, sf, lambda base: trees.binary(base, 5))
 
 
 @query(oracle.PATTERNS)
@@ -565,7 +558,72 @@ def fitted(spark: SparkSession, sf: str, text: str) -> tuple[training.Vaq, DataF
 
 @query(None)
 def pca_sign_bits(spark: SparkSession, sf: str) -> DataFrame:
-    return training.principal_bits(base_of(spark, sf)).select("vec_id", worded("bits").alias("bits"))
+    base = base_of(spark, sf).select("vec_id", "e")
+    return budget.Signs.fit(base).encode(base).select("vec_id", worded("bits").alias("bits"))
+
+
+@query(None)
+def knn_pca_hamming(spark: SparkSession, sf: str) -> DataFrame:
+    """Hamming neighbours over sign bits after a rotation that base and queries share."""
+    queries, base = both(spark, sf)
+    signs = budget.Signs.fit(base)
+    return search.distance_join(signs.encode(queries, "qe", "qbits"), signs.encode(base), expr.hamming(F.col("bits"), F.col("qbits")), K)
+
+
+#: Bits of each dimension of the encoders whose results SQL checks; codes straddle words.
+WIDTHS = [3, 2, 1, 0] * 16
+LEADING = [3, 2, 1, 2, 4, 1, 2, 3] * 3 + [0] * 40
+
+
+@query(oracle.BUDGET_WORDS)
+def budget_threshold_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Every dimension's bucket between its quantiles, each in its own number of bits, packed across words."""
+    base = base_of(spark, sf).select("vec_id", "e")
+    return budget.Thresholds.fit(base, bits=WIDTHS, rotate=False).encode(base).select("vec_id", worded("words").alias("words"))
+
+
+@query(oracle.BUDGET_THRESHOLDS)
+def budget_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    found = budget.hazen(base_of(spark, sf).select("vec_id", "e"), WIDTHS)
+    return spark.createDataFrame([(d, q, round(float(x), 6)) for d, t in enumerate(found) for q, x in enumerate(t, 1)], "dim int, q int, value double")
+
+
+@query(oracle.BUDGET_CODES)
+def budget_bucket_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest of a bucket's mean and its neighbours', for the dimensions before the first without bits."""
+    base = base_of(spark, sf).select("vec_id", "e")
+    return budget.BucketMeans.fit(base, bits=LEADING, rotate=False).encode(base).select("vec_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
+
+
+@query(oracle.BUDGET_SEARCH)
+def budget_lut_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours by tables of ragged length over those codes."""
+    queries, base = both(spark, sf)
+    model = budget.BucketMeans.fit(base, bits=LEADING, rotate=False)
+    return model.search(queries, indexed(model.encode(base)), K)
+
+
+@query(None)
+def budget_allocation(spark: SparkSession, sf: str) -> DataFrame:
+    """128 bits over the principal components."""
+    values, _ = training.principal_axes(base_of(spark, sf))
+    return spark.createDataFrame(list(enumerate(budget.allocate_dimensions(values, 128))), "dim bigint, bits bigint")
+
+
+@query(None)
+def budget_knn_hamming(spark: SparkSession, sf: str) -> DataFrame:
+    """Hamming neighbours over words of 128 bits, allotted by variance."""
+    queries, base = both(spark, sf)
+    model = budget.Thresholds.fit(base, 128)
+    return search.distance_join(model.encode(queries, "qe", "qbits"), model.encode(base, "e", "bits"), expr.hamming(F.col("bits"), F.col("qbits")), K)
+
+
+@query(None)
+def budget_lut_refine(spark: SparkSession, sf: str) -> DataFrame:
+    """128 bits of bucket means after a rotation, the candidates ordered anew by exact distance."""
+    queries, base = both(spark, sf)
+    model = budget.BucketMeans.fit(base, 128)
+    return search.reranked(model.search(queries, indexed(model.encode(base)), 5 * K), queries, base, K, 5 * K)
 
 
 @query(None)
@@ -590,7 +648,7 @@ def subspace_dictionaries(spark: SparkSession, sf: str) -> DataFrame:
 def vaq_search_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     model, queries, base = fitted(spark, sf, "VAQ32m8min2max6var1,EA")
     first = model.search(queries, indexed(model.encode(base)), 5 * K)
-    return search.reranked(first, queries, base, K)
+    return search.reranked(first, queries, base, K, 5 * K)
 
 
 @query(None)
@@ -609,13 +667,7 @@ def vaq_param_grid(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "budget int, least int, most int, precision double")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share; a temporary one only where driver and executors are one process."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = folder or "file://" + tempfile.mkdtemp(prefix="vexel-")
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+_scratch = scratch.new_folder
 
 
 def components(rows: DataFrame) -> DataFrame:

@@ -263,3 +263,27 @@ SELECT draw, vec_id, round(e[1], 6) AS "first", round(e[64], 6) AS "last" FROM h
 #: Of every nine rows, four have no vector that is finite.
 KNN_DIRTY = knn("l2").replace(BASE, BASE.replace("FROM embeddings", "FROM embeddings WHERE vec_id % 9 NOT IN (1, 2, 3, 4)"))
 PRUNING = f"SELECT vec_id AS query_id, {K}::BIGINT AS found, true AS spared FROM embeddings WHERE vec_id % 100 = 0"
+
+
+def widths(bits: list[int]) -> str:
+    """Cells with each dimension's quantiles by Hazen's rule, 2**bits - 1 of them."""
+    return f"""{CELLS}, widths AS (SELECT unnest(range(64))::INTEGER AS dim, unnest({bits}) AS bits),
+sorted AS (SELECT dim, bits, list(x ORDER BY x) AS xs, count(*) AS n FROM cells JOIN widths USING (dim) WHERE bits > 0 GROUP BY dim, bits),
+pos AS (SELECT dim, xs, n, q::INTEGER AS q, least(greatest((1 - q / (1 << bits)::DOUBLE) * -0.5 + q / (1 << bits)::DOUBLE * (n - 0.5), 0.0), n - 1.0)::DOUBLE AS pos FROM sorted, range(1, 256) r(q) WHERE q < (1 << bits)),
+thresholds AS (SELECT dim, q, xs[floor(pos)::INTEGER + 1] + (pos - floor(pos)) * (xs[least(floor(pos)::INTEGER + 2, n)] - xs[floor(pos)::INTEGER + 1]) AS value FROM pos),
+bucketed AS (SELECT vec_id, c.dim, x, count(*) FILTER (value < x)::INTEGER AS code FROM cells c JOIN thresholds t ON c.dim = t.dim GROUP BY ALL)"""
+
+
+WIDTHS = [3, 2, 1, 0] * 16
+LEADING = [3, 2, 1, 2, 4, 1, 2, 3] * 3 + [0] * 40
+BUDGET_THRESHOLDS = f"WITH {BASE}, {widths(WIDTHS)} SELECT dim, q, round(value, 6) AS value FROM thresholds"
+#: A row's codes as one text of bits, cut into words of 64.
+BUDGET_WORDS = f"""WITH {BASE}, {widths(WIDTHS)},
+rows_ AS (SELECT vec_id, rpad(string_agg(right(to_binary(8 + code), bits::INTEGER), '' ORDER BY dim), 128, '0') AS s FROM bucketed JOIN widths USING (dim) GROUP BY vec_id),
+w AS (SELECT vec_id, i, list_reduce(list_concat([0::HUGEINT], list_transform(range(64 * i + 1, 64 * i + 65), lambda j: (s[j])::HUGEINT)), lambda a, x: a * 2 + x) AS u FROM rows_, range(2) r(i))
+SELECT vec_id, string_agg((u - CASE WHEN u >= 9223372036854775808 THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT::VARCHAR, ',' ORDER BY i) AS words FROM w GROUP BY vec_id"""
+BUDGET_NEAR = f"""{widths(LEADING)}, means AS (SELECT dim, code, avg(x) AS m FROM bucketed GROUP BY dim, code),
+near AS (SELECT b.vec_id, b.dim, m.code, m.m, row_number() OVER (PARTITION BY b.vec_id, b.dim ORDER BY abs(x - m.m), abs(m.code - b.code), m.code) AS r FROM bucketed b JOIN means m ON b.dim = m.dim AND abs(m.code - b.code) <= 1),
+coded AS (SELECT vec_id, dim, code, m FROM near WHERE r = 1)"""
+BUDGET_CODES = f"WITH {BASE}, {BUDGET_NEAR} SELECT vec_id, string_agg(code::VARCHAR, ',' ORDER BY dim) AS codes FROM coded GROUP BY vec_id"
+BUDGET_SEARCH = f"WITH {BASE}, {Q}, {BUDGET_NEAR}, d AS (SELECT query_id, vec_id, round(sum((qe[dim + 1] - m) * (qe[dim + 1] - m)), 6) AS dist FROM coded, q GROUP BY ALL) {ranked('d')}"
