@@ -1,4 +1,6 @@
+import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -11,10 +13,11 @@ from vexel.llm import maxscore, repair
 TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@pytest.mark.parametrize("shard, step", [(65_536, 4_096), (70, 16)])
-def test_top_k_equals_brute_force(spark, monkeypatch, shard, step):
-    monkeypatch.setattr(maxscore, "SHARD_ROWS", shard)
-    monkeypatch.setattr(maxscore, "QUERY_ROWS", 3)
+@pytest.mark.parametrize("shard, step, sample", [(32 << 20, 4_096, 4_096), (1_000, 16, 7)])
+def test_top_k_equals_brute_force(spark, monkeypatch, shard, step, sample):
+    monkeypatch.setattr(maxscore, "SHARD_BYTES", shard)
+    monkeypatch.setattr(maxscore, "QUERY_BYTES", shard)
+    monkeypatch.setattr(maxscore, "SAMPLED", sample)
     monkeypatch.setattr(maxscore, "STEP", step)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8)], "x") for i in range(300)]
@@ -32,6 +35,36 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard, step):
     assert got == want
 
 
+@pytest.mark.parametrize("scale", [1e6, 1e8, 1e12, 1e17, 1e200, 1e307])
+def test_large_components_have_exact_scores(spark, monkeypatch, scale):
+    monkeypatch.setattr(maxscore, "STEP", 16)
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=6) * scale).tolist()) for i in range(120)] + [(200 + i, [scale] * 6) for i in range(4)]
+    fine = {i: [math.floor(256 * Fraction(c)) for c in v] for i, v in rows}
+    want = []
+    for q in (0, 50, 100, 200):
+        best = sorted((-sum(a * b for a, b in zip(fine[q], v)), i) for i, v in fine.items() if i != q)[:5]
+        want += [(q, n + 1, i, max(-2**63, min(2**63 - 1, -s))) for n, (s, i) in enumerate(best)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in maxscore.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    if max(s for *_, s in want) < 2**63 - 1:
+        assert got == want
+    else:  # cut off at the largest long, scores tie in the merge
+        assert [(q, s) for q, _, _, s in got] == [(q, s) for q, _, _, s in want]
+
+
+def test_first_thresholds_spare_multiplications():
+    rng = np.random.default_rng(3)
+    import pyarrow as pa
+
+    x = rng.normal(size=(2000, 64))
+    column = pa.array(x.tolist(), pa.list_(pa.float64()))
+    s = np.floor(256 * x) @ np.floor(256 * x[:40]).T
+    table = lambda floor: pa.table({"vec_id": list(range(40)), "embedding": x[:40].tolist(), "floor": floor})
+    known, few = maxscore.best_of(column, np.arange(2000), table(np.sort(s, axis=0)[-6].tolist()), 5)
+    plain, many = maxscore.best_of(column, np.arange(2000), table([-math.inf] * 40), 5)
+    assert all(np.array_equal(a, b) for a, b in zip(known, plain)) and few < 0.75 * 2000 * 40 * 64 and few < many
+
+
 def test_top_k_of_few_rows(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0]), (7, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
     assert [tuple(r) for r in maxscore.top_k(rows).collect()] == [(0, 1, 7, 196608)]
