@@ -322,3 +322,15 @@ def test_prefixes_of_words(spark):
     for (first, n), got in zip(expr.parts_of(130, 4), one):
         s = text[:first + n].ljust(-(-(first + n) // 64) * 64, "0")
         assert [w % (1 << 64) for w in got] == [int(s[i:i + 64], 2) for i in range(0, len(s), 64)]
+
+
+def test_clusters_of_projected_rows(spark):
+    base = catalog.base_of(spark, SF).select("vec_id", "e")
+    x = np.array([r.e for r in base.orderBy("vec_id").collect()])
+    values, axes = training.principal_axes(base)
+    y = x @ axes[:, :8]
+    c = loop_lloyd(y, 6, 3)
+    assert np.allclose(training.cluster(base, 6, 3, axes=axes[:, :8]), c)
+    near = ((y[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert {r.cluster_id: r["size"] for r in catalog.QUERIES["kmeans_projected"](spark, SF).collect()} == {i: int((near == i).sum()) for i in range(6) if (near == i).any()}
+    assert np.allclose(training.cluster(base, 4, 2, dims=(16, 8)), loop_lloyd(x[:, 16:24], 4, 2))

@@ -101,6 +101,37 @@ def code_distances(codes: np.ndarray, centres: np.ndarray, book: list[np.ndarray
     return out
 
 
+def lloyd_codes(codes: DataFrame, book: list[np.ndarray], centres: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, rows of each in the last round) after ``rounds`` of Lloyd's steps over (vec_id, codes), no row being decoded.
+
+    Tasks count how often each cluster has each code of a subspace; a centre is then the mean of the centroids by these counts. An
+    empty cluster keeps its centre. Null codes count for nothing.
+    """
+    k, starts = len(centres), np.cumsum([0, *[len(c) for c in book]])
+    n = np.zeros(k, np.int64)
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], centres=centres) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros((k, starts[-1]), np.int64)
+            for batch in batches:
+                x, known = matrix(batch.column(0))
+                x = x[known].astype(np.int64)
+                width = max(len(x), sum(c.size for c in book))
+                which, _ = _nearest(lambda a, b: code_distances(x, centres, book, len(book), a, b), len(x), k, width)
+                for s in range(len(book)):
+                    np.add.at(counts, (which, starts[s] + x[:, s]), 1)
+            c, i = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(i), pa.array(counts[c, i])], ["c", "i", "n"])
+
+        counts = np.zeros((k, starts[-1]), np.int64)
+        for r in codes.select("codes").mapInArrow(run, "c bigint, i bigint, n bigint").groupBy("c", "i").agg(F.sum("n").alias("n")).collect():  # clusters by codes
+            counts[r.c, r.i] = r.n
+        n = counts[:, :len(book[0])].sum(axis=1)
+        parts = [counts[:, a:a + len(c)] @ c for a, c in zip(starts, book)]
+        centres = np.where(n[:, None] > 0, np.concatenate(parts, axis=1) / np.maximum(n, 1)[:, None], centres)
+    return centres, n
+
+
 def _stored(placed: DataFrame, path: str) -> None:
     """Writes rows (cluster_id, dist, vec_id, payload) in blocks: clusters in order, each far to near; a large cluster is dealt out by distance."""
 

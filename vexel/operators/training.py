@@ -245,6 +245,19 @@ def lloyd(points: DataFrame, seeds: list[list[float]], rounds: int) -> list[list
     return centres.tolist()
 
 
+def cluster(points: DataFrame, k: int, rounds: int, sample: int | None = None, axes: np.ndarray | None = None, dims: tuple[int, int] | None = None) -> np.ndarray:
+    """``k`` centres of (vec_id, e) by Lloyd's steps from the first rows by vec_id: of all rows or of a ``sample`` of so many.
+
+    With ``axes`` (as columns), rows are projected first; with ``dims`` (first, count), only these dimensions of them count.
+    """
+    rows = points.select("vec_id", "e") if sample is None else sampled(points.select("vec_id", "e"), sample)
+    rows = rows if axes is None else projected(rows, "e", axes)
+    rows = rows if dims is None else rows.withColumn("e", F.slice("e", dims[0] + 1, dims[1]))
+    fine = F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x))
+    seeds = [r.e for r in rows.filter(fine).orderBy("vec_id").limit(k).collect()]
+    return np.array(lloyd(rows, seeds, rounds))
+
+
 #: Steps of farthest-first seeding after which the rows' distances are written, and rows that mini-batches bring to the driver at once.
 WRITTEN_EVERY, HELD_ROWS = 16, 200_000
 

@@ -450,6 +450,38 @@ def binary_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     return _tree(spark, sf, lambda base: trees.binary(base, 5))
 
 
+@query(oracle.KMEANS_SAMPLED)
+def kmeans_sampled(spark: SparkSession, sf: str) -> DataFrame:
+    """Lloyd's steps on a sample of 120 rows, and the sizes of the clusters among all rows."""
+    base = base_of(spark, sf).select("vec_id", "e")
+    centres = training.cluster(base, 6, 2, sample=120)
+    table = spark.createDataFrame(list(enumerate(centres.tolist())), "cluster_id int, ce array<double>")
+    return search.assigned(base, table, 9).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query(oracle.KMEANS_CODES)
+def kmeans_on_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Two of Lloyd's steps on the centroids that codes stand for, by the tables of centres to dictionaries; the sizes of the second."""
+    _, base = both(spark, sf)
+    book = codebook_of(base)
+    dictionaries = pq.dictionaries_of(book)
+    codes = indexed(pq.encode(base, book))
+    first = [r.codes for r in codes.filter(F.col("vec_id") < 8).orderBy("vec_id").collect()]
+    centres = np.array([np.concatenate([c[k] for c, k in zip(dictionaries, own)]) for own in first])
+    table = spark.createDataFrame(list(enumerate(ti.lloyd_codes(codes, dictionaries, centres, 2)[1].tolist())), "cluster_id int, size bigint")
+    return table.filter("size > 0")
+
+
+@query(None)
+def kmeans_projected(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters by the first 8 principal components."""
+    base = base_of(spark, sf).select("vec_id", "e")
+    axes = training.principal_axes(base)[1][:, :8]
+    centres = training.cluster(base, 6, 3, axes=axes)
+    table = spark.createDataFrame(list(enumerate(centres.tolist())), "cluster_id int, ce array<double>")
+    return search.assigned(training.projected(base, "e", axes), table).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+
+
 @query(oracle.PATTERNS)
 def code_patterns_1_2(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.frequent_patterns(coded(spark, sf)[2], 20, 2)
@@ -634,6 +666,20 @@ def adc_search_plain_pq(spark: SparkSession, sf: str) -> DataFrame:
     return pq.search(pq.tables(queries, book), indexed(pq.encode(base, book)), K)
 
 
+@query(oracle.adc(True))
+def model_roundtrip_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A model written whole, with its codes and their index, read back and searched. Its dictionaries are the catalogue's, without a rotation."""
+    queries, base = both(spark, sf)
+    book = pq.dictionaries_of(codebook_of(base))
+    params = training.VaqParams(4 * SUBSPACES, SUBSPACES, 4, 4, strategy="TI", clusters=CENTRES, rows_per_centroid=20)
+    path = _scratch(spark)
+    made = training.Vaq(params, np.eye(64), np.ones(64), [4] * SUBSPACES, book)
+    made.save(spark, path, pq.encode(base, codebook_of(base)), indexed=True)
+    model = training.Vaq.load(spark, path)
+    codes, index = model.stored(spark, path)
+    return model.search(queries, codes, K, index=index)
+
+
 @query(None)
 def subspace_dictionaries(spark: SparkSession, sf: str) -> DataFrame:
     model, _, base = fitted(spark, sf, "VAQ32m8min2max6var1,HEAP")
@@ -792,6 +838,23 @@ def io_roundtrip_codes(spark: SparkSession, sf: str) -> DataFrame:
     return formats.read_codes(spark, path).select("vec_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
 
 
+@query(oracle.GRID_LINES)
+def io_roundtrip_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of parameters and shares as CSV, here of the labels."""
+    path = _scratch(spark)
+    labels = base_of(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    shares = labels.select(F.col("label").cast("int").alias("m"), F.lit(1).alias("minbits"), F.lit(9).alias("maxbits"), (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("precision"))
+    formats.write_grid(shares, path)
+    return formats.read_grid(spark, path).withColumn("precision", F.round("precision", 9))
+
+
+@query(oracle.POWERS)
+def powers_of_two(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest power of two up to each component times a hundred."""
+    cells = base_of(spark, sf).select("vec_id", F.posexplode("e").alias("dim", "x"))
+    return cells.select("vec_id", "dim", expr.prev_pow2(F.col("x") * 100).alias("power"))
+
+
 for _name, _kind, _scale in (("io_roundtrip_i32", "i32", 1000),):
     _round_trip(_name, _kind, _scale, oracle.round_trip(_scale))
 

@@ -287,3 +287,10 @@ near AS (SELECT b.vec_id, b.dim, m.code, m.m, row_number() OVER (PARTITION BY b.
 coded AS (SELECT vec_id, dim, code, m FROM near WHERE r = 1)"""
 BUDGET_CODES = f"WITH {BASE}, {BUDGET_NEAR} SELECT vec_id, string_agg(code::VARCHAR, ',' ORDER BY dim) AS codes FROM coded GROUP BY vec_id"
 BUDGET_SEARCH = f"WITH {BASE}, {Q}, {BUDGET_NEAR}, d AS (SELECT query_id, vec_id, round(sum((qe[dim + 1] - m) * (qe[dim + 1] - m)), 6) AS dist FROM coded, q GROUP BY ALL) {ranked('d')}"
+KMEANS_SAMPLED = lloyd("SELECT vec_id, e FROM base ORDER BY ('0x' || substr(md5('17:' || vec_id), 1, 12))::BIGINT LIMIT 120",
+                       "SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INTEGER AS cluster_id, e AS ce FROM pts ORDER BY vec_id LIMIT 6", 64, 2,
+                       f"SELECT cluster_id, count(*) AS size FROM (SELECT vec_id, cluster_id, row_number() OVER (PARTITION BY vec_id ORDER BY round({l2('e', 'ce')}, 9), cluster_id) AS r FROM base, c2) WHERE r = 1 GROUP BY cluster_id")
+KMEANS_CODES = lloyd("SELECT vec_id, dec AS e FROM codes", "SELECT vec_id::INTEGER AS cluster_id, dec AS ce FROM codes WHERE vec_id < 8", 64, 2,
+                     "SELECT cluster_id, count(*) AS size FROM a1 GROUP BY cluster_id").replace("pts AS (", f"{CODES}, pts AS (", 1)
+GRID_LINES = "SELECT label::INTEGER AS m, 1::INTEGER AS minbits, 9::INTEGER AS maxbits, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 9) AS precision FROM embeddings GROUP BY label"
+POWERS = f"WITH {BASE}, {CELLS} SELECT vec_id, dim, CASE WHEN abs(x * 100) >= 1 THEN pow(2, floor(log2(abs(x * 100))))::INTEGER ELSE 0 END AS power FROM cells"
