@@ -6,10 +6,10 @@ import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
-from fixtures import EDGE, SF, docs
+from fixtures import DOC, EDGE, SF, docs
 from pyspark.sql import functions as F
 
-from vexel.llm import mixing, sharding, toxicity, winnow
+from vexel.llm import common, mixing, sharding, toxicity, winnow
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -90,6 +90,19 @@ def test_run(spark):
     assert want and want == Counter((r.doc_id, r.shard) for r in corpus_pipeline.run(spark, SF).collect())
 
 
+def test_run_leaves_the_last_table_alone(spark):
+    before = set(common.PATHS)
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len(set(common.PATHS) - before) == 1
+
+
+def test_null_ids(spark):
+    df = docs(spark, EDGE).unionByName(spark.createDataFrame([(None, "some words of a text without a number", None, None, 1), (None, None, None, None, None)], DOC))
+    for _, stage in corpus_pipeline.STAGES:
+        df = stage(spark, df, SF)
+    assert df.count() > 0
+
+
 def test_empty_documents(spark):
     df = docs(spark, EDGE).limit(0)
     for _, stage in corpus_pipeline.STAGES:

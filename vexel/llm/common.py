@@ -41,11 +41,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: What this process has written and not removed.
+PATHS: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """``df`` written as Parquet to the shared folder and read back, and the path it lies at."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    PATHS.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -59,10 +64,21 @@ def removed(path: str) -> None:
     try:
         system, place = fs.FileSystem.from_uri(path)
         system.delete_dir(place)
+        if path in PATHS:
+            PATHS.remove(path)
     except (pa.ArrowInvalid, OSError):
         pass
 
 
+def settled(make: Callable[[], DataFrame], label: str, last: str | None = None) -> tuple[DataFrame, str]:
+    """What ``make`` gives, written and read back, and its path; the tables that it wrote on the way are removed, and so is ``last``, which it read."""
+    before = len(PATHS)
+    done, path = written(make(), label)
+    for p in [p for p in PATHS[before:] if p != path] + ([last] if last else []):
+        removed(p)
+    return done, path
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for further columns of ``df``: those given, lengthened until they differ from all that it has."""
     taken, out = {c.lower() for c in df.columns}, []
