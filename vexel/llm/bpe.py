@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from vexel.llm.common import fresh, mapped
 
-#: Bytes that are cut and looked up at once; a longer text is cut between words.
-BLOCK = 1 << 21
+#: Bytes that are cut and looked up at once (a longer text is cut between words), and rows.
+BLOCK, ROWS = 1 << 20, 500
 #: Pre-tokens of the second tier that a task remembers, and bytes of one, at most.
 REMEMBERED, LONGEST = 150_000, 64
 #: Keys of a bucket of the perfect hash, on average.
@@ -324,6 +324,13 @@ def pieces(text: bytes) -> Iterator[bytes]:
         yield text[at:]
 
 
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, ROWS at a time, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def vocabulary_of(df: DataFrame, path: str):
     """The vocabulary of a rank file, read on the driver and broadcast: executors need no copy of the file, and its size is that of the file."""
     return df.sparkSession.sparkContext.broadcast(vars(Vocabulary.build(read_ranks(path))))
@@ -341,7 +348,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(Vocabulary(**sent.value), classes.value)
-        for batch in batches:
+        for batch in few_rows(batches):
             found = coder.encode(batch.column(len(names)).to_pylist())
             offsets = np.cumsum([0, *map(len, found)])
             values = np.concatenate(found) if found else np.zeros(0, np.int32)
@@ -359,7 +366,7 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(**sent.value)
-        for batch in batches:
+        for batch in few_rows(batches):
             lists = batch.column(len(names))
             data = [decoded_bytes(vocabulary, x.values.to_numpy()) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(data, pa.binary())], [*names, out])
