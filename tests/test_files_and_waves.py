@@ -170,6 +170,15 @@ def test_waves_equal_brute_force(spark, monkeypatch, k, part):
         assert all(0 < r.touched <= n for r in touched.collect())
 
 
+def test_results_of_many_queries_leave_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(ti, "STATE", 20)
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(60, 3)), rng.normal(size=(23, 3))
+    index = ti.index_vectors(frame(spark, x), x[:4], folder() + "/i")
+    found, touched = ti.search(index, frame(spark, q, "query_id", "qe"), 5)
+    assert rows_of(found) == brute(x.tolist(), q.tolist(), 5, True) and touched.count() == 23
+
+
 def test_waves_spare_rows_of_separate_clusters(spark, monkeypatch):
     monkeypatch.setattr(ti, "BLOCK_ROWS", 16)
     rng = np.random.default_rng(0)

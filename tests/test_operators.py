@@ -242,6 +242,10 @@ def test_streams(spark):
     codes = spark.read.parquet(f"{folder}/codes")
     streams.answer(spark.readStream.schema(queries.schema).parquet(f"{folder}/queries"), model, codes, 5, f"{folder}/out", f"{folder}/c2", base, 50).awaitTermination()
     assert spark.read.parquet(f"{folder}/out").count() == 5 * queries.count()
+    by_ti = training.Vaq(replace(model.params, strategy="TI", clusters=4), model.axes, model.variances, model.bits, model.centroids)
+    streams.answer(spark.readStream.schema(queries.schema).parquet(f"{folder}/queries"), by_ti, codes, 5, f"{folder}/out2", f"{folder}/c3", index=by_ti.index(codes, f"{folder}/index")).awaitTermination()
+    key = lambda df: sorted((r.query_id, r.rank, r.vec_id) for r in df.collect())
+    assert key(spark.read.parquet(f"{folder}/out2")) == key(pq.search(model.tables(queries), codes, 5))
 
 
 def test_empty_base(spark):

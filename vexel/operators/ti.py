@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from vexel.functions.matrices import finite, matrix
 from vexel.operators.search import BLOCK, query_blocks
+from vexel.sources.scratch import new_folder
 
 #: Rows of a stored block, and how many times longer each wave is than the one before.
 BLOCK_ROWS, GROWTH = 2048, 4
@@ -244,18 +245,36 @@ def search(index: Index, queries: DataFrame, k: int, visit: float = 1.0, root: b
     that are null or not finite have no result. Between waves, k results a query of a bounded block are on the driver.
     """
     spark = queries.sparkSession
-    out, counts = [], []
+    held: list[tuple[pa.Table, pa.Table]] = []
+    folder = None
+
+    def frames() -> tuple[DataFrame, DataFrame]:
+        tables = [pa.concat_tables(t) for t in zip(*held)]
+        held.clear()
+        return spark.createDataFrame(tables[0], "query_id bigint, rank bigint, vec_id bigint, dist double"), spark.createDataFrame(tables[1], "query_id bigint, touched bigint")
+
     step = max(1, min(BLOCK, STATE // k))
     for block in query_blocks(queries.select("query_id", "qe")):
         asked = block.toArrow()  # at most BLOCK
         q, at = finite(asked.column("qe").combine_chunks())
         ids = asked.column("query_id").to_numpy()[at]
-        for lo in range(0, len(ids), step):
+        for lo in range(0, max(1, len(ids)), step):
             found, touched = _waves(spark, index, q[lo:lo + step], k, visit, root, digits)
-            for i, (best, names) in enumerate(found):
-                out += [(int(ids[lo + i]), r + 1, int(v), float(d)) for r, (v, d) in enumerate(zip(names, best))]
-            counts += list(zip(ids[lo:lo + step].tolist(), touched.tolist()))
-    return spark.createDataFrame(out, "query_id bigint, rank bigint, vec_id bigint, dist double"), spark.createDataFrame(counts, "query_id bigint, touched bigint")
+            own = ids[lo:lo + step]
+            sizes = np.array([len(x) for x, _ in found], np.int64)
+            ranks = np.arange(1, sizes.sum() + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            best, names = (np.concatenate([x[i] for x in found]) if found else np.zeros(0) for i in range(2))
+            held.append((pa.table({"query_id": np.repeat(own, sizes), "rank": ranks, "vec_id": names.astype(np.int64), "dist": best}), pa.table({"query_id": own, "touched": touched})))
+            if sum(t.num_rows for t, _ in held) > STATE:  # many queries: what is found leaves the driver
+                folder = folder or new_folder(spark)
+                for name, df in zip(("found", "touched"), frames()):
+                    df.write.mode("append").parquet(f"{folder}/{name}")
+    if folder is None:
+        return frames()
+    if held:
+        for name, df in zip(("found", "touched"), frames()):
+            df.write.mode("append").parquet(f"{folder}/{name}")
+    return spark.read.parquet(f"{folder}/found"), spark.read.parquet(f"{folder}/touched")
 
 
 def _waves(spark: SparkSession, index: Index, q: np.ndarray, k: int, visit: float, root: bool, digits: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:

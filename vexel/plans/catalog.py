@@ -546,7 +546,7 @@ def dataset_append_delete(spark: SparkSession, sf: str) -> DataFrame:
     run = more.withColumn("run", (F.col("vec_id") / 65536).cast("bigint"))
     before = run.groupBy("run").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("run").orderBy("vec_id"))
-    return run.withColumn("i", inside).join(F.broadcast(before), "run").select("vec_id", (F.col("start") + F.col("i") - 1).alias("pos"))
+    return run.withColumn("i", inside).join(search.sized(before, search.BROADCAST_ROWS, before), "run").select("vec_id", (F.col("start") + F.col("i") - 1).alias("pos"))
 
 
 @query(oracle.RESULT_LINES)
