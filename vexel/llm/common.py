@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -79,6 +81,15 @@ def settled(make: Callable[[], DataFrame], label: str, last: str | None = None)
     return done, path
 
 
+def released() -> None:
+    """Gives freed memory of this process back to the system, where its allocator can: a worker or driver keeps it otherwise, whatever runs next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for further columns of ``df``: those given, lengthened until they differ from all that it has."""
     taken, out = {c.lower() for c in df.columns}, []

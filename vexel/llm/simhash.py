@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.common import BROADCAST_ROWS, fresh, hot_keys, removed, spread_join, stored, written
+from vexel.llm.common import BROADCAST_ROWS, fresh, hot_keys, released, removed, spread_join, stored, written
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
@@ -352,13 +352,30 @@ def links(nodes: DataFrame, max_bits: int, total: int | None = None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def joined(task: np.ndarray, side: np.ndarray, key: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+        def joined(task: np.ndarray, side: np.ndarray, key: np.ndarray, more: np.ndarray) -> None:
             a, b = join_tasks(task, side, key.view(np.uint64), more.view(np.uint64), plan, budget, limit)
             swapped = swaps[task[a] >> CHOICE_SHIFT]
-            words = [np.where(swapped, second[x], first[x]) for x in (a, b) for first, second in ((key, more), (more, key))]
-            return pa.RecordBatch.from_arrays([*map(pa.array, words)], ["a", "a2", "b", "b2"])
+            found.append(tuple(np.where(swapped, second[x], first[x]) for x in (a, b) for first, second in ((key, more), (more, key))))
+
+        def forest() -> pa.RecordBatch:
+            """Of the links found so far, those that link a node to the first that it can reach by them."""
+            a, a2, b, b2 = (np.concatenate(x) for x in zip(*found))
+            found.clear()
+            first, second = np.r_[a, b], np.r_[a2, b2]
+            order = np.lexsort((second, first))
+            new = np.r_[True, (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)][:len(order)]
+            place = np.empty(len(order), np.int64)
+            place[order] = np.cumsum(new) - 1
+            own = Links(int(new.sum()))
+            own.add(place[:len(a)], place[len(a):])
+            own.reduce()
+            rows = order[new]
+            moved = np.flatnonzero(own.parent != np.arange(len(rows)))
+            columns = [x[rows[i]] for i in (moved, own.parent[moved]) for x in (first, second)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["a", "a2", "b", "b2"])
 
         for batch in batches:
             held.append(tuple(batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("task", "side", "key", "more")))
@@ -367,15 +384,20 @@ def links(nodes: DataFrame, max_bits: int, total: int | None = None) -> DataFram
                 rows = tuple(np.concatenate(x) for x in zip(*held))
                 cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on
                 if cut:
-                    yield joined(*(x[:cut] for x in rows))
+                    joined(*(x[:cut] for x in rows))
                 held, size = [tuple(x[cut:] for x in rows)], len(rows[0]) - cut
+                if sum(len(x[0]) for x in found) >= HELD:
+                    yield forest()
         if size:
-            yield joined(*(np.concatenate(x) for x in zip(*held)))
+            joined(*(np.concatenate(x) for x in zip(*held)))
+        if found:
+            yield forest()
+        held.clear()
+        released()
 
     dealt = tasks.repartition("task").sortWithinPartitions("task")
-    found = dealt.mapInArrow(run, "a bigint, a2 bigint, b bigint, b2 bigint")
-    named = found.select(node_of(total is not None, "a", "a2").alias("u"), node_of(total is not None, "b", "b2").alias("v"))
-    return forests(named).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+    rows = dealt.mapInArrow(run, "a bigint, a2 bigint, b bigint, b2 bigint")
+    return rows.select(node_of(total is not None, "a", "a2").alias("a"), node_of(total is not None, "b", "b2").alias("b")).distinct()
 
 
 def short_links(sets: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexel.llm.common import fresh, mapped
+from vexel.llm.common import fresh, mapped, released
 from vexel.llm.features import hashed_terms, list_parts
 
 
@@ -187,8 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
         return 0.0, np.zeros(1 << p.bits, np.float32), np.zeros((1 << p.bits, p.rank), np.float32)
     values, offsets = list_parts(found.column("t").combine_chunks())
     model = fit(values, offsets, found.column("y").to_numpy(), p)
-    del found, values
-    pa.default_memory_pool().release_unused()
+    del found, values, offsets
+    released()
     return model
 
 
