@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from vexel.functions import expr
 from vexel.operators import budget, evaluation, pq, scalar, search, ti, training, trees
 from vexel.plans import oracle
-from vexel.sources import formats, scratch
+from vexel.sources import formats, scratch, vectors
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -94,12 +94,6 @@ def knn_l1(spark: SparkSession, sf: str) -> DataFrame:
     return search.distance_join(queries, base, F.round(expr.l1(F.col("qe"), F.col("e")), 6), K)
 
 
-@query(oracle.knn("l2"))
-def knn_exact_partitioned_merge(spark: SparkSession, sf: str) -> DataFrame:
-    queries, base = both(spark, sf)
-    return search.merged([search.exact(queries, base.filter(F.pmod("vec_id", F.lit(4)) == i), K) for i in range(4)], K)
-
-
 @query(oracle.NEAREST)
 def nearest_one(spark: SparkSession, sf: str) -> DataFrame:
     return search.nearest_one(*both(spark, sf))
@@ -738,6 +732,15 @@ def knn_exact_from_file(spark: SparkSession, sf: str) -> DataFrame:
     return search.exact(queries_of(base), from_file(spark, path), K)
 
 
+@query(oracle.knn("l2"))
+def knn_exact_partitioned_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact neighbours in four runs of a vector file, of which each reads its own records alone, and their lists merged."""
+    base, path = in_file(spark, sf)
+    n, queries = vectors.row_count(path, "fvecs", 64), queries_of(base)
+    runs = [from_file(spark, path).filter((F.col("vec_id") >= n * i // 4) & (F.col("vec_id") < n * (i + 1) // 4)) for i in range(4)]
+    return search.merged([search.exact(queries, part, K) for part in runs], K)
+
+
 @query(oracle.probe("l2"))
 def cluster_probe_from_file(spark: SparkSession, sf: str) -> DataFrame:
     """Exact neighbours within the nearest clusters of the rows of a vector file."""
