@@ -5,7 +5,8 @@ text-to-tag ratio of the blocks is smoothed by a Gaussian, and the blocks above
 region: the element that holds most of their text, with those beside it whose text is clustered for the most part, and
 what lies between. All of its blocks are the article, but for block elements that markup names as something else. Where a
 name is at odds with the clusters, as that of a wrapper around the page, it counts for nothing. Tags named article or main
-have no say in where the region is, but it does not reach out of them.
+have no say in where the region is, but it does not reach out of them. Where one element holds nearly all text that nothing
+marks as something else, as on common pages, every width and threshold leads to it: then they change nothing.
 """
 
 from __future__ import annotations
