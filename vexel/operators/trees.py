@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vexel.functions.matrices import finite
+from vexel.functions.matrices import finite, lists
 
 MAX_BITS = 15
-#: Differences that are worked out at once.
-CELLS = 1 << 21
+#: Differences that are worked out at once, and centres of a node up to which nodes are worked out together.
+CELLS, FEW = 1 << 21, 4
 
 
 @dataclass
@@ -51,35 +51,71 @@ def by_node(nodes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     yield from zip(found.tolist(), np.split(order, first[1:]))
 
 
-def descended(x: np.ndarray, splits: dict[int, tuple[np.ndarray, int]]) -> np.ndarray:
+class Choices:
+    """The nearest of a node's own centres for rows of many nodes at once. Nodes of few centres are worked out together, others one by one."""
+
+    def __init__(self, centres: dict[int, np.ndarray]):
+        self.large = {n: c for n, c in centres.items() if len(c) > FEW}
+        few = {n: c for n, c in centres.items() if len(c) <= FEW}
+        self.size = max(centres, default=-1) + 1
+        self.kind = np.full(self.size + 1, -1)  # the last stands for all other nodes
+        self.stack = np.full((len(few), FEW, next(iter(centres.values())).shape[1] if centres else 0), np.inf)
+        for i, (n, c) in enumerate(few.items()):
+            self.kind[n], self.stack[i, :len(c)] = i, c
+        self.kind[list(self.large)] = -2
+
+    def of(self, x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """The number of the nearest centre; -1 for rows whose node has none."""
+        out = np.full(len(x), -1)
+        kind = self.kind[np.minimum(nodes, self.size)]
+        some = np.flatnonzero(kind >= 0)
+        step = max(1, CELLS // max(1, FEW * x.shape[1]))
+        for at in range(0, len(some), step):
+            rows = some[at:at + step]
+            out[rows] = np.round(((x[rows, None] - self.stack[kind[rows]]) ** 2).sum(axis=2), 9).argmin(axis=1)
+        rest = np.flatnonzero(kind == -2)
+        for n, rows in by_node(nodes[rest]) if len(rest) else ():
+            out[rest[rows]] = closest(x[rest[rows]], self.large[n])
+        return out
+
+
+class Descent:
     """The node that each row comes to: from the root on, the child of the nearest centre while a node is split."""
-    nodes, open_ = np.zeros(len(x), np.int64), np.arange(len(x))
-    while len(open_):
-        on = []
-        for node, rows in by_node(nodes[open_]):
-            if node in splits:
-                centres, first = splits[node]
-                rows = open_[rows]
-                nodes[rows] = first + closest(x[rows], centres)
-                on.append(rows)
-        open_ = np.concatenate(on) if on else np.zeros(0, np.int64)
-    return nodes
+
+    def __init__(self, splits: dict[int, tuple[np.ndarray, int]]):
+        self.choices = Choices({n: c for n, (c, _) in splits.items()})
+        self.first = np.zeros(self.choices.size + 1, np.int64)
+        for n, (_, first) in splits.items():
+            self.first[n] = first
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        nodes, open_ = np.zeros(len(x), np.int64), np.arange(len(x))
+        while len(open_):
+            which = self.choices.of(x[open_], nodes[open_])
+            on = which >= 0
+            open_ = open_[on]
+            nodes[open_] = self.first[nodes[open_]] + which[on]
+        return nodes
 
 
 def _seeds(points: DataFrame, splits: dict, wants: dict[int, int]) -> dict[int, np.ndarray]:
     """The first rows by vec_id of each node, as many as it wants."""
     most = max(wants.values())
+    wanted = np.zeros(max(wants) + 2, np.int64)
+    for n, k in wants.items():
+        wanted[n] = k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        descent = Descent(splits)
         for batch in batches:
             x, at = finite(batch.column(1))
-            names = batch.column(0).to_numpy()[at]
-            node = descended(x, splits)
-            for n, rows in by_node(node):
-                if n in wants:
-                    rows = rows[np.argsort(names[rows], kind="stable")[:wants[n]]]
-                    e = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * x.shape[1]), pa.array(x[rows].ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), n)), pa.array(names[rows]), e], ["node", "vec_id", "e"])
+            if len(at):
+                names, node = batch.column(0).to_numpy()[at], descent.of(x)
+                order = np.lexsort((names, node))
+                first = np.flatnonzero(np.r_[True, np.diff(node[order]) != 0])
+                place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+                rows = order[place < wanted[np.minimum(node[order], len(wanted) - 1)]]
+                yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(names[rows]), lists(x[rows])], ["node", "vec_id", "e"])
 
     found = points.select("vec_id", "e").mapInArrow(run, "node bigint, vec_id bigint, e array<double>")
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).filter(F.col("r") <= most)
@@ -97,14 +133,20 @@ def _sums(points: DataFrame, splits: dict, fits: dict[int, np.ndarray]) -> dict[
     size, dims = at, next(iter(fits.values())).shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        descent, choices = Descent(splits), Choices(fits)
+        start = np.zeros(choices.size + 1, np.int64)
+        for n, a in starts.items():
+            start[n] = a
         sums, counts = np.zeros((size, dims)), np.zeros(size, np.int64)
         for batch in batches:
-            x, _ = finite(batch.column(0))
-            for n, rows in by_node(descended(x, splits)) if len(x) else ():
-                if n in fits:
-                    which = starts[n] + closest(x[rows], fits[n])
-                    np.add.at(sums, which, x[rows])
-                    counts += np.bincount(which, minlength=size)
+            x, at = finite(batch.column(0))
+            if len(at):
+                node = descent.of(x)
+                which = choices.of(x, node)
+                rows = np.flatnonzero(which >= 0)
+                place = start[node[rows]] + which[rows]
+                np.add.at(sums, place, x[rows])
+                counts += np.bincount(place, minlength=size)
         some = np.flatnonzero(counts)
         k, i = np.repeat(some, dims), np.tile(np.arange(dims), len(some))
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(i), pa.array(sums[some].ravel()), pa.array(counts[k])], ["k", "i", "s", "n"])
