@@ -238,6 +238,23 @@ def test_exact_leaves_out_what_is_not_finite(spark, rows):
     assert one == {qi: i for qi, r, i, _ in brute(x, q, 1, False)}
 
 
+@pytest.mark.parametrize("dims", [3, 64, 150])
+def test_scans_equal_joins(spark, dims):
+    """Over numpy and over Spark's columns, on finite vectors with ties; halves of the seventh digit are rounded up in both."""
+    from vexel.functions import expr
+
+    rng = np.random.default_rng(dims)
+    x = np.round(rng.normal(size=(90, dims)), 1)
+    x[40:60] = x[:20]
+    x[89] = -1
+    base, queries = frame(spark, x).repartition(3), frame(spark, [*x[::10], x[89]], "query_id", "qe")
+    a, b = search.with_bits(queries, "qe", "qbits"), search.with_bits(base)
+    l2 = expr.l2sq(F.col("qe"), F.col("e"))
+    for scan, left, right, dist in ((search.euclidean, queries, base, F.round(F.sqrt(l2), 6)), (search.manhattan, queries, base, F.round(expr.l1(F.col("qe"), F.col("e")), 6)),
+                                    (search.hamming, a, b, expr.hamming(F.col("bits"), F.col("qbits"))), (search.jaccard, a, b, F.round(expr.jaccard(F.col("bits"), F.col("qbits")), 6))):
+        assert rows_of(scan(queries, base, 7)) == rows_of(search.distance_join(left, right, dist, 7)), scan.__name__
+
+
 def test_training_leaves_out_what_is_not_finite(spark):
     x = dirty(np.random.default_rng(2), 150, 4)
     fine = np.array([v for v in x if v is not None and all(c is not None and np.isfinite(c) for c in v)])

@@ -84,14 +84,12 @@ def knn_exact_l2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.knn("sqrt"))
 def knn_exact_sqrt(spark: SparkSession, sf: str) -> DataFrame:
-    queries, base = both(spark, sf)
-    return search.distance_join(queries, base, F.round(F.sqrt(expr.l2sq(F.col("qe"), F.col("e"))), 6), K)
+    return search.euclidean(*both(spark, sf), K)
 
 
 @query(oracle.knn("l1"))
 def knn_l1(spark: SparkSession, sf: str) -> DataFrame:
-    queries, base = both(spark, sf)
-    return search.distance_join(queries, base, F.round(expr.l1(F.col("qe"), F.col("e")), 6), K)
+    return search.manhattan(*both(spark, sf), K)
 
 
 @query(oracle.NEAREST)
@@ -127,8 +125,7 @@ def knn_hamming_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.wide(oracle.knn("jaccard")))
 def knn_jaccard_wide(spark: SparkSession, sf: str) -> DataFrame:
-    queries, base = wide(spark, sf)
-    return search.distance_join(search.with_bits(queries, "qe", "qbits"), search.with_bits(base), F.round(expr.jaccard(F.col("bits"), F.col("qbits")), 6), K)
+    return search.jaccard(*wide(spark, sf), K)
 
 
 @query(oracle.wide(oracle.lexicographic(160)))
@@ -164,8 +161,7 @@ def knn_hamming(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.knn("jaccard"))
 def knn_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    queries, base = both(spark, sf)
-    return search.distance_join(search.with_bits(queries, "qe", "qbits"), search.with_bits(base), F.round(expr.jaccard(F.col("bits"), F.col("qbits")), 6), K)
+    return search.jaccard(*both(spark, sf), K)
 
 
 @query(oracle.lexicographic())
