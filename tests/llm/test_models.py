@@ -105,3 +105,20 @@ def test_toxicity_of_edge_cases(spark):
     assert toxicity.inoffensive(df, labels).columns == df.columns
     assert toxicity.toxicity(df.limit(0), labels).count() == 0
     assert {r.score for r in toxicity.toxicity(df, labels.limit(0)).collect()} == {0.5}
+
+
+def test_models_of_long_texts_alone(spark):
+    """Where all texts are longer than the sample asks for, the shortest of them are learned from."""
+    rng = np.random.default_rng(1)
+    words = {"en": ["the", "river", "stone", "quiet", "evening", "with"], "de": ["der", "Fluss", "Stein", "ruhig", "Abend", "mit"]}
+    rows = [(i, " ".join(rng.choice(words[lang], 40 + i % 5)) + (" vile" * 3 if i % 3 == 0 else ""), lang) for i in range(120) for lang in [("en", "de")[i % 2]]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = langid.languages(df, langid.Params(sample_chars=50)).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert accuracy(found, truth, True, "lang_pred") == 1.0
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id bigint, toxic int")
+    p = toxicity.Params(sample_chars=50)
+    scored = toxicity.toxicity(df, labels, p).collect()
+    assert min(r.score for r in scored if r.doc_id % 3 == 0) > max(r.score for r in scored if r.doc_id % 3) + 0.2
+    values = {r.score for r in toxicity.toxicity(df, labels.limit(0), p).collect()}
+    assert values == {0.5}

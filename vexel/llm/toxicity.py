@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from vexel.llm.common import fresh, mapped, released
 from vexel.llm.features import hashed_terms, list_parts
@@ -176,13 +177,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
-    """Fits on at most p.sample labelled rows that are not held out; without any, every score is one half."""
+    """Fits on at most p.sample labelled rows that are not held out; without any, every score is one half.
+
+    Where all of these are longer than p.sample_chars, the shortest are taken, as long as their characters stay within p.sample
+    times p.sample_chars, and one at least.
+    """
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample)
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= p.sample_chars).join(F.broadcast(marks), "doc_id")
-    rows = rows.select("doc_id", F.col("_toxic").cast("double").alias("y"), F.xxhash64("text").alias("h"), hashed_terms(F.col("text"), p.bits, p.prefixes).alias("t"))
-    rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("t", "h").alias("t"))
-    found = rows.toArrow().combine_chunks().sort_by("doc_id")
+    found = labelled_terms(docs.filter(F.length("text") <= p.sample_chars), marks, p)
+    if not found.num_rows:
+        # Of p.sample rows at most.
+        upto = Window.orderBy("n", "doc_id")
+        sized = docs.filter("text is not null").select("doc_id", F.length("text").alias("n")).join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.max("n").alias("n"))
+        few = sized.withColumns({"all": F.sum("n").over(upto), "place": F.row_number().over(upto)}).filter((F.col("place") == 1) | (F.col("all") <= p.sample * p.sample_chars))
+        found = labelled_terms(docs, marks.join(F.broadcast(few.select("doc_id")), "doc_id"), p)
     if not found.num_rows:
         return 0.0, np.zeros(1 << p.bits, np.float32), np.zeros((1 << p.bits, p.rank), np.float32)
     values, offsets = list_parts(found.column("t").combine_chunks())
@@ -192,6 +200,14 @@ def train(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
     return model
 
 
+def labelled_terms(docs: DataFrame, marks: DataFrame, p: Params) -> pa.Table:
+    """(doc_id, y, t): the label and terms of the documents of ``marks``, of a bounded number; of rows of one doc_id, those of the text of the least hash."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+    rows = rows.select("doc_id", F.col("_toxic").cast("double").alias("y"), F.xxhash64("text").alias("h"), hashed_terms(F.col("text"), p.bits, p.prefixes).alias("t"))
+    rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("t", "h").alias("t"))
+    return rows.toArrow().combine_chunks().sort_by("doc_id")
+
+
 def scored(docs: DataFrame, labels: DataFrame, p: Params = Params(), score_name: str = "score") -> DataFrame:
     """``docs`` with a score (0 to 1, double) in a column of that name, which is replaced if there is one.
 
