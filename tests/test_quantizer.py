@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from checks import SF
 
-from vexel.operators import pq, search, training
+from vexel.operators import pq, search, ti, training
 from vexel.plans import catalog
 
 
@@ -204,3 +204,10 @@ def test_tables_of_bytes_are_learned_from_rows(spark):
     model = training.Vaq.fit(base, training.VaqParams.parse("VAQ24m8min1max4var1,FAST"))
     codes = model.encode(base)
     assert model.search(queries, codes, 5).count() == 5 * queries.count() and pq.decode(codes, model.codebook(spark)).count() == base.count()
+
+
+def test_codes_go_to_the_nearer_of_close_centres(spark):
+    """Centres whose distances differ in the seventh digit are told apart."""
+    rows = spark.createDataFrame([(0, [0]), (1, [0]), (2, [1])], "vec_id bigint, codes array<int>")
+    sizes = ti.lloyd_codes(rows, [np.array([[0.0], [9.0]])], np.array([[0.5], [-0.4999998], [9.0]]), 1)[1]
+    assert sizes.tolist() == [0, 2, 1]

@@ -78,15 +78,15 @@ class Index:
         return cls(path, centres, part, book, members, reach, inner)
 
 
-def _nearest(distances, n: int, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(centre, squared distance) of each of ``n`` rows; ``distances(a, b)`` gives those from centres a to b - 1, of which ``width`` numbers are made a centre."""
+def _nearest(distances, n: int, k: int, width: int, digits: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, squared distance) of each of ``n`` rows; ``distances(a, b)`` gives those from centres a to b - 1, of which ``width`` numbers are made a centre. What is equal to ``digits`` goes to the first centre."""
     best, which = np.full(n, np.inf), np.zeros(n, np.int32)
     step = max(1, TABLE // max(1, width))
     for at in range(0, k, step):
         d = distances(at, min(at + step, k))
-        near = np.round(d, 6).argmin(axis=1)
+        near = np.round(d, digits).argmin(axis=1)
         own = d[np.arange(n), near]
-        closer = np.round(own, 6) < np.round(best, 6)
+        closer = np.round(own, digits) < np.round(best, digits)
         best[closer], which[closer] = own[closer], near[closer] + at
     return which, best
 
@@ -102,11 +102,11 @@ def code_distances(codes: np.ndarray, centres: np.ndarray, book: list[np.ndarray
     return out
 
 
-def lloyd_codes(codes: DataFrame, book: list[np.ndarray], centres: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def lloyd_codes(codes: DataFrame, book: list[np.ndarray], centres: np.ndarray, rounds: int, digits: int = 9) -> tuple[np.ndarray, np.ndarray]:
     """(centres, rows of each in the last round) after ``rounds`` of Lloyd's steps over (vec_id, codes), no row being decoded.
 
     Tasks count how often each cluster has each code of a subspace; a centre is then the mean of the centroids by these counts. An
-    empty cluster keeps its centre. Null codes count for nothing.
+    empty cluster keeps its centre. Null codes count for nothing. Distances are rounded to ``digits``, as in training.
     """
     k, starts = len(centres), np.cumsum([0, *[len(c) for c in book]])
     n = np.zeros(k, np.int64)
@@ -118,7 +118,7 @@ def lloyd_codes(codes: DataFrame, book: list[np.ndarray], centres: np.ndarray, r
                 x, known = matrix(batch.column(0))
                 x = x[known].astype(np.int64)
                 width = max(len(x), sum(c.size for c in book))
-                which, _ = _nearest(lambda a, b: code_distances(x, centres, book, len(book), a, b), len(x), k, width)
+                which, _ = _nearest(lambda a, b: code_distances(x, centres, book, len(book), a, b), len(x), k, width, digits)
                 for s in range(len(book)):
                     np.add.at(counts, (which, starts[s] + x[:, s]), 1)
             c, i = np.nonzero(counts)
