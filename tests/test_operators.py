@@ -252,3 +252,19 @@ def test_empty_base(spark):
     queries, base = catalog.both(spark, SF)
     assert search.exact(queries, base.limit(0), 5).count() == 0
     assert search.exact(queries.limit(0), base, 5).count() == 0
+
+
+def test_tasks_keep_the_best_of_all_their_batches(spark):
+    """Many queries over many batches: a task returns k rows a query, not k a batch, and the rows are those of brute force, ties included."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (5000, 6)) / 4
+    base = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, e array<double>").coalesce(1).sortWithinPartitions("vec_id")
+    queries = base.filter("vec_id % 16 = 0").selectExpr("vec_id as query_id", "e as qe")
+    d = ((x[::16, None] - x[None]) ** 2).sum(axis=2)
+    want = {(16 * q, int(i)) for q in range(len(d)) for i in np.lexsort((np.arange(5000), d[q]))[:7]}
+    assert {(r.query_id, r.vec_id) for r in search.exact(queries, base, 7).collect()} == want
+    best = search.Best(2, 3)
+    for at in range(0, 90, 3):
+        best.add(np.arange(2), np.array([[at + 1.0, at, at + 2], [-at, -at - 1.0, -at - 2]]), np.arange(at, at + 3))
+    (out,) = best.batch(np.array([10, 20]))
+    assert out.to_pydict() == {"query_id": [10] * 3 + [20] * 3, "vec_id": [1, 0, 2, 89, 88, 87], "dist": [0.0, 1.0, 2.0, -89.0, -88.0, -87.0]}

@@ -26,7 +26,7 @@ def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         raise ValueError("vectors differ in length")
     if known.all():
         return values.reshape(len(column), width), known
-    out = np.zeros((len(column), width))
+    out = np.zeros((len(column), width), values.dtype)
     out[known] = values.reshape(int(known.sum()), width)
     return out, known
 

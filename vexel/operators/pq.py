@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from vexel.functions import expr
 from vexel.functions.matrices import matrix
 from vexel.operators import selection
-from vexel.operators.search import query_blocks, top_k
+from vexel.operators.search import Best, blocks_of, query_blocks, searched, spread
 
 #: Shares cut off at either end of a look-up table, from which learning chooses.
 ALPHAS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1)
@@ -82,47 +82,74 @@ def adc(lut: Column, codes: Column) -> Column:
     return F.aggregate(F.zip_with(lut, codes, lambda t, c: F.get(t, c)), F.lit(0.0), lambda s, x: s + x)
 
 
-def search(luts: DataFrame, codes: DataFrame, k: int, strategy: str = "heap", digits: int = 6) -> DataFrame:
-    """ADC neighbours. All strategies return the same rows:
+def search(luts: DataFrame, codes: DataFrame, k: int, strategy: str = "heap", digits: int | None = 6, most: float = np.inf) -> DataFrame:
+    """ADC neighbours; sums beyond ``most`` count as that. Rows or queries without codes or tables have none. All strategies return the same rows:
 
-    heap: table look-ups in the JVM; sort: the same with square roots; fast2: numpy gathers over Arrow batches; ea: numpy
-    gathers that drop rows as soon as their partial distance exceeds the batch's k-th best.
+    heap, fast2: a task gathers table entries for some rows and queries at once and keeps the best k of each query; sort: the
+    same with square roots; ea: pairs are dropped as soon as their partial distance exceeds the query's k-th best so far.
     """
-    found = None
-    for block in query_blocks(luts):
-        if strategy in ("heap", "sort"):
-            rows = codes.crossJoin(block).select("query_id", "vec_id", adc(F.col("lut"), F.col("codes")).alias("dist"))
-        else:
-            rows = codes.select("vec_id", "codes").mapInArrow(_scan(block, k, strategy == "ea", digits), "query_id bigint, vec_id bigint, dist double")
-        found = rows if found is None else found.unionByName(rows)
-    dist = F.sqrt("dist") if strategy == "sort" else F.col("dist")
-    return top_k(found.withColumn("dist", F.round(dist, digits)), k).select("query_id", "rank", "vec_id", "dist")
-
-
-def _scan(block: DataFrame, k: int, abandon: bool, digits: int):
-    rows = sorted((r.query_id, r.lut) for r in block.collect())  # a block of at most search.BLOCK queries
-    luts = [(q, [np.array(t) for t in lut]) for q, lut in rows]
+    found = []
+    blocks = query_blocks(luts)
+    for block in blocks:
+        ids, stacked = _stacked(block)
+        if len(ids):
+            found.append(spread(codes.select("vec_id", "codes"), len(ids)).mapInArrow(_scan(ids, stacked, k, strategy, digits, most), "query_id bigint, vec_id bigint, dist double"))
+    if not found:
+        return luts.sparkSession.createDataFrame([], "query_id bigint, rank bigint, vec_id bigint, dist double")
+    return searched(found, k)
+
+
+def _stacked(block: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(ids, a matrix of queries by codes for each subspace) of a block of at most search.BLOCK queries; those whose tables hold nulls or what isn't finite are left out."""
+    got = block.select("query_id", "lut").toArrow()
+    ids, lut = got.column("query_id").to_numpy(), got.column("lut").combine_chunks()
+    lut = lut.chunk(0) if isinstance(lut, pa.ChunkedArray) else lut
+    fine = lut.is_valid().to_numpy(zero_copy_only=False)
+    lut, ids = lut.filter(pa.array(fine)), ids[fine]
+    if not len(ids):
+        return ids, []
+    inner = lut.flatten()
+    sizes = np.diff(inner.offsets.to_numpy()).reshape(len(ids), -1)
+    if (sizes != sizes[0]).any():
+        raise ValueError("tables differ in length")
+    values = inner.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    fine = np.isfinite(values).all(axis=1)
+    edges = np.cumsum([0, *sizes[0]])
+    return ids[fine], [np.ascontiguousarray(values[fine, a:b]) for a, b in zip(edges, edges[1:])]
+
+
+def _scan(ids: np.ndarray, luts: list[np.ndarray], k: int, strategy: str, digits: int | None, most: float):
+    def finished(d: np.ndarray) -> np.ndarray:
+        d = np.minimum(d, most) if most < np.inf else d
+        d = np.sqrt(d) if strategy == "sort" else d
+        return d if digits is None else np.round(d, digits)
+
+    def whole(some: slice, x: np.ndarray, bound: np.ndarray | None) -> np.ndarray:
+        d = np.zeros((len(luts[0][some]), len(x)))
+        upto = STEP if bound is not None and np.isfinite(bound[some]).all() else len(luts)
+        for s, t in enumerate(luts[:upto]):
+            d += np.take(t[some], x[:, s], axis=1)
+        if upto >= len(luts):
+            return finished(d)
+        limit = bound[some] + 10.0 ** -(digits or 9)
+        i, j = np.nonzero(d <= limit[:, None])
+        part, out = d[i, j], np.full(d.shape, np.inf)
+        for s in range(upto, len(luts)):
+            part = part + luts[s][some][i, x[j, s]]
+            if s % STEP == STEP - 1:
+                stay = part <= limit[i]
+                i, j, part = i[stay], j[stay], part[stay]
+        out[i, j] = finished(part)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(ids), k)
         for batch in batches:
             codes, known = matrix(batch.column(1))
-            codes, names = codes[known].astype(np.int64), batch.column(0).to_numpy()[known]
-            n = len(codes)
-            if not n:
-                continue
-            for query, lut in luts:
-                alive, d = np.arange(n), np.zeros(n)
-                # The k-th distance of the first rows bounds the k-th best from above.
-                head = sum(t[codes[:4 * k, s]] for s, t in enumerate(lut))
-                bound = np.partition(head, k - 1)[k - 1] if abandon and n >= k else np.inf
-                for s, t in enumerate(lut):
-                    d = d + t[codes[alive, s]]
-                    if abandon and s % STEP == STEP - 1:
-                        stay = d <= bound + 10.0 ** -digits
-                        alive, d = alive[stay], d[stay]
-                d = np.round(d, digits)
-                keep = d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), query)), pa.array(names[alive[keep]]), pa.array(d[keep])], ["query_id", "vec_id", "dist"])
+            codes, names = codes[known].astype(np.intp), batch.column(0).to_numpy()[known]
+            if len(codes):
+                blocks_of(codes, names, best, len(ids), lambda: 1, lambda some, x: whole(some, x, best.bound if strategy == "ea" else None))
+        yield from best.batch(ids)
 
     return run
 
@@ -174,11 +201,7 @@ def quantized(luts: DataFrame, model: DataFrame) -> DataFrame:
 
 def search_quantized(luts: DataFrame, model: DataFrame, codes: DataFrame, k: int) -> DataFrame:
     """Neighbours by the sum of table bytes, which saturates at 32767."""
-    rows = None
-    for block in query_blocks(quantized(luts, model)):
-        part = codes.crossJoin(block).select("query_id", "vec_id", F.least(adc(F.col("lut"), F.col("codes")), F.lit(32767.0)).alias("dist"))
-        rows = part if rows is None else rows.unionByName(part)
-    return top_k(rows, k).select("query_id", "rank", "vec_id", "dist")
+    return search(quantized(luts, model), codes, k, digits=None, most=32767.0)
 
 
 def search_hybrid(luts: DataFrame, model: DataFrame, codes: DataFrame, k: int, split: int) -> DataFrame:
