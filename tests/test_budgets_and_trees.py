@@ -334,3 +334,24 @@ def test_clusters_of_projected_rows(spark):
     near = ((y[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
     assert {r.cluster_id: r["size"] for r in catalog.QUERIES["kmeans_projected"](spark, SF).collect()} == {i: int((near == i).sum()) for i in range(6) if (near == i).any()}
     assert np.allclose(training.cluster(base, 4, 2, dims=(16, 8)), loop_lloyd(x[:, 16:24], 4, 2))
+
+
+def test_grid_keeps_the_best_of_a_task(spark):
+    """Each task returns k rows a query and choice, however many batches it reads."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 4))
+    base = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, e array<double>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        books = {(s, 2): rng.normal(size=(4, 2)) for s in range(2)}
+        found = training._scored(base, base.limit(20).selectExpr("vec_id as query_id", "e as qe"), books, 2, [[2, 2]], 5)
+        plan = found._jdf.queryExecution().executedPlan()
+        assert found.count() == 100
+        scans = [n for n in str(plan).splitlines() if "MapInArrow" in n]
+        assert len(scans) == 1
+        held = search.Best(1, 5)
+        for at in range(0, 3000, 500):
+            held.add(np.arange(1), rng.random((1, 500)), np.arange(at, at + 500))
+        assert sum(b.num_rows for b in held.batch(np.zeros(1, np.int64))) == 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -665,20 +665,26 @@ def _scored(rows: DataFrame, queries: DataFrame, books: dict[tuple[int, int], np
     q, at = finite(asked.column("qe").combine_chunks())
     ids = asked.column("query_id").to_numpy()[at]
     tables = {(s, b): ((q[:, None, s * size:(s + 1) * size] - c[None]) ** 2).sum(axis=2) for (s, b), c in books.items()}
+    column = {pair: c for c, pair in enumerate(books)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [search.Best(len(q), k) for _ in allocations]
         for batch in batches:
             x, at = finite(batch.column(1))
             if not len(at) or not len(q):
                 continue
             names = batch.column(0).to_numpy()[at]
-            codes = {(s, b): nearest(x[:, s * size:(s + 1) * size], c, 9) for (s, b), c in books.items()}
-            for choice, bits in enumerate(allocations):
-                step = max(1, (1 << 22) // len(x))
-                for lo in range(0, len(q), step):
-                    d = np.round(reduce(np.add, [tables[s, b][lo:lo + step][:, codes[s, b]] for s, b in enumerate(bits)]), 6)
-                    i, j = np.nonzero(d <= np.partition(d, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1:min(k, len(x))])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), choice, np.int32)), pa.array(ids[lo + i]), pa.array(names[j]), pa.array(d[i, j])], ["choice", "query_id", "vec_id", "dist"])
+            codes = np.stack([nearest(x[:, s * size:(s + 1) * size], c, 9) for (s, _), c in books.items()], axis=1)
+            for own, bits in zip(best, allocations):
+                places = [(tables[s, b], column[s, b]) for s, b in enumerate(bits)]
+
+                def distances(some: slice, x: np.ndarray, places=places) -> np.ndarray:
+                    return np.round(reduce(np.add, (np.take(t[some], x[:, c], axis=1) for t, c in places)), 6)
+
+                search.blocks_of(codes, names, own, len(q), lambda: 1, distances)
+        for choice, own in enumerate(best):
+            for rows in own.batch(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, choice, np.int32)), *rows.columns], ["choice", "query_id", "vec_id", "dist"])
 
     best = Window.partitionBy("choice", "query_id").orderBy("dist", "vec_id")
-    return rows.mapInArrow(run, "choice int, query_id bigint, vec_id bigint, dist double").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("choice", "query_id", "vec_id")
+    return search.spread(rows, len(q)).mapInArrow(run, "choice int, query_id bigint, vec_id bigint, dist double").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("choice", "query_id", "vec_id")
