@@ -268,3 +268,18 @@ def test_tasks_keep_the_best_of_all_their_batches(spark):
         best.add(np.arange(2), np.array([[at + 1.0, at, at + 2], [-at, -at - 1.0, -at - 2]]), np.arange(at, at + 3))
     (out,) = best.batch(np.array([10, 20]))
     assert out.to_pydict() == {"query_id": [10] * 3 + [20] * 3, "vec_id": [1, 0, 2, 89, 88, 87], "dist": [0.0, 1.0, 2.0, -89.0, -88.0, -87.0]}
+
+
+def test_probed_scans_equal_the_join(spark):
+    """Scans of each query's clusters give the rows of the join by clusters; thresholds of vectors are those of their components."""
+    base = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).filter("vec_id < 300")
+    queries = base.filter("vec_id < 40").selectExpr("vec_id as query_id", "e as qe").unionByName(spark.createDataFrame([(1000, None)], "query_id bigint, qe array<double>"))
+    centres = base.filter("vec_id < 9").selectExpr("cast(vec_id as int) as cluster_id", "e as ce")
+    clusters = search.assigned(base, centres)
+    chosen = search.probes(queries.filter("qe is not null"), centres, clusters, 5, 2)
+    want = search.probed(queries, clusters, chosen, lambda: expr.hamming(expr.sign_bits(F.col("qe")), expr.sign_bits(F.col("e"))), 5)
+    assert sorted(map(tuple, search.probed_hamming(queries, clusters, chosen, 5).collect())) == sorted(map(tuple, want.collect()))
+    want = search.probed(queries, clusters, chosen, lambda: F.round(expr.l2sq(F.col("qe"), F.col("e")), 6), 5)
+    assert sorted(map(tuple, search.probed_exact(queries, clusters, chosen, 5).collect())) == sorted(map(tuple, want.collect()))
+    cut = lambda df: sorted((r.dim, r.q, round(r.value, 12)) for r in df.collect())
+    assert cut(scalar.vector_thresholds(base, 64, 3)) == cut(scalar.hazen_thresholds(scalar.cells(base), 3))

@@ -29,6 +29,12 @@ def hazen_thresholds(values: DataFrame, count: int) -> DataFrame:
     return both.select("dim", "q", (F.col("a") + (F.col("pos") - F.col("low")) * (F.col("b") - F.col("a"))).alias("value"))
 
 
+def vector_thresholds(base: DataFrame, dims: int, count: int) -> DataFrame:
+    """(dim, q, value) as of ``hazen_thresholds``, of the first ``dims`` dimensions of the vectors ``e``, of which no rows of components are made."""
+    found = selection.quantiles(base.select("e"), [[q / (count + 1) for q in range(1, count + 1)]] * dims)
+    return base.sparkSession.createDataFrame([(d, q, float(x)) for d, own in enumerate(found) for q, x in enumerate(own, 1)], "dim int, q int, value double")
+
+
 def bucket_codes(values: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(vec_id, dim, x, code): the first threshold that x doesn't exceed, else their count."""
     book = thresholds.groupBy("dim").agg(F.sort_array(F.collect_list("value")).alias("t"))
