@@ -96,3 +96,44 @@ def test_longer_fronts_for_many_texts(spark, monkeypatch):
         a, b = node[tuple(a)], node[tuple(b)]
         assert root.get(a, a) == root.get(b, b)
     assert len(set(root.values())) == 300
+
+
+@pytest.mark.parametrize("meeting", [4_000, 7])
+def test_every_similar_pair_is_linked(spark, monkeypatch, meeting):
+    """Groups are those of all pairs of a similarity of 0.8 or more: pairs just above and below it, many copies of one text, a paragraph of many texts, short texts, few words."""
+    monkeypatch.setattr(simhash, "MEETING", meeting, raising=False)
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(3000)]
+
+    def changed(text, times):
+        w = text.split()
+        for at in rng.choice(len(w), times, replace=False):
+            w[at] = "".join(rng.choice(list("ijklmnop"), 7))
+        return " ".join(w)
+
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(150)]
+    texts += [changed(t, int(rng.integers(5, 8))) for t in texts]
+    hub = " ".join(rng.choice(words, 200))
+    texts += [changed(hub, int(rng.integers(1, 6))) for _ in range(60)]
+    shared = " ".join(rng.choice(words, 40))
+    texts += [f"{shared} {' '.join(rng.choice(words, int(rng.integers(1, 12))))}" for _ in range(60)]
+    texts += [" ".join(rng.choice(words[:3], int(rng.integers(1, 14)))) for _ in range(60)]
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    close = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            n = len(np.intersect1d(a, b, assume_unique=True))
+            if 9 * n >= 4 * (len(a) + len(b)):
+                close += 1
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash.deduplicated(table).collect()} == {find(i) for i in range(len(texts))}
+    assert close > 200 and len({find(i) for i in range(len(texts))}) < len(texts) - 150

@@ -38,6 +38,12 @@ TRIE_ROWS = 20_000
 LEAF = 1 << 13
 #: Links kept in memory before they are reduced to one per fingerprint.
 HELD = 1 << 20
+#: Bits of the sketch of a set of shingles.
+SKETCH = 1024
+#: Texts whose shingles are counted to find the frequent ones, about, and frequent ones, at most.
+SAMPLED_TEXTS, FREQUENT = 20_000, 200_000
+#: Texts whose sets are in memory at once, nodes that each node of a shingle is held against first, nodes of a shingle that one task compares, and pairs it does so at once.
+TEXTS, HUBS, MEETING, BLOCK = 200, 3, 4_000, 1 << 17
 #: Distinct shingles of a short text, at most; such texts are joined by their shingles as well. With 14, no more than two are left out of a key.
 SHORT = 14
 
@@ -535,17 +541,296 @@ def groups_digest(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataF
     return grouped(docs, shingle, max_bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, total: int = 24, least: int = 9) -> DataFrame:
-    """One row of ``docs`` per component, that of the least doc_id, with the columns of ``docs``, whatever their names.
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct XXH64 hashes of the text's shingles, sorted; none where it has no words."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    size = min(shingle, len(words))
+    digest, stops = xxhash.xxh64_intdigest, (ends[size - 1:] - 1).tolist()
+    found = {digest(joined[a:b], SEED) for a, b in zip([0, *ends[:-1].tolist()], stops)}
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
+    edges = np.cumsum([0, *map(len, arrays)])
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values.view(np.int64)))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """At least SKETCH bits, and one or two a hash, each the parity of the hashes that fall on it: sets differ in no fewer elements than their sketches differ in bits."""
+    bits = max(SKETCH, 1 << (2 * len(hashes) + 1).bit_length() - 1)
+    parity = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch in words of 64 bits, of ``size`` bytes: that of the same set for fewer bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sorted; their places from the least to the most frequent) of shingles that several of about SAMPLED_TEXTS texts hold.
+
+    They come last in a text's order. Which these are decides how much meets at a shingle, and nothing of the result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                found = [shingle_set(t.as_py(), shingle) for t in batch.column(0).slice(at, TEXTS)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+    share = max(1, -(-docs.count() // SAMPLED_TEXTS))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text")
+    counts = some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    most = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    hashes = most.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(hashes) - 1 - order)
+
+
+def set_rows(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, node, n, sketch, short, front) of every row: a hash of the set of its shingles, their number, the sketch, its fold to SKETCH bits, and the shingles it may be met by.
+
+    Two sets of a similarity of 0.8 or more share 0.8 of the elements of either, so, whatever the order of all elements,
+    they share one of the first n - ceil(0.8 n) + 1 of either: the front.
+    """
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, places = frequent.value
+
+        def front(s: np.ndarray) -> np.ndarray:
+            size = len(s) - -(-4 * len(s) // 5) + 1 if len(s) else 0
+            if not len(hashes):
+                return s[:size]
+            at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+            often = hashes[at] == s
+            rare = s[~often]
+            return rare[:size] if len(rare) >= size else np.concatenate([rare, s[often][np.argsort(places[at[often]])]])[:size]
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                sets = [shingle_set(t.as_py(), shingle) for t in some.column(2)]
+                sketches = [*map(sketch, sets)]
+                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary()), pa.array([folded(x, SKETCH // 8).tobytes() for x in sketches], pa.binary()), lists_of([*map(front, sets)])],
+                    ["doc_id", "text_hash", "node", "n", "sketch", "short", "front"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, node bigint, n bigint, sketch binary, short binary, front array<bigint>")
+
+
+def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sketches differ in no more bits than sets of a similarity of 0.8 differ in elements: a ninth of both sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                apart = []
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
+                    size = min(len(x), len(y))
+                    apart.append(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64)))
+                near = 9 * np.array(apart) <= batch.column(3).to_numpy() + batch.column(5).to_numpy()
+                yield batch.select([0, 1]).filter(pa.array(near))
+
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n").alias(f"n_{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "n_a", "sketch_b", "n_b")
+    return met.mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) of nodes whose sets have a similarity of 0.8 or more, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                yield pa.RecordBatch.from_arrays([some.column(0), lists_of([shingle_set(t.as_py(), shingle) for t in some.column(1)])], ["node", "hashes"])
+
+    pairs = stored(pairs, "similar-candidates")
+    size = pairs.count()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
+    wanted = wanted.select("node", F.col("text_hash").alias("_hash"))
+    texts = docs.select(F.xxhash64("text").alias("_h"), "text")
+    texts = texts.join(F.broadcast(wanted) if 2 * size <= BROADCAST_ROWS else wanted, F.col("_h") == F.col("_hash")).select("node", "text").dropDuplicates(["node"])
+    sets = stored(texts.mapInArrow(run, "node bigint, hashes array<bigint>"), "similar-sets")
+    for c in ("a", "b"):
+        hot = hot_keys(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c, size)
+        pairs = spread_join(pairs, sets.select(F.col("node").alias(c), F.col("hashes").alias(f"set_{c}")), c, hot, [F.col("a"), F.col("b")])
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return stored(pairs.filter(9 * both >= 4 * (F.size("set_a") + F.size("set_b"))).select("a", "b"), "similar-links")
+
+
+def met_pairs(n: np.ndarray, pos: np.ndarray, words: np.ndarray, comp: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the rows of one shingle, sorted by n, that lie in different components and may be similar; with ``side``, of different sides.
+
+    Where the shingle is the first that two sets share, they differ in all before it, so two sets that are similar have no more than a ninth of both sizes there.
+    """
+    last, at = np.searchsorted(4 * n, 5 * n, side="right"), 0
+    while at < len(n):
+        upto = min(len(n), at + max(1, BLOCK // max(1, int(last[at]) - at)))
+        stop = int(last[upto - 1])
+        some = np.arange(at, upto)
+        near = (comp[some, None] != comp[None, at:stop]) & (some[:, None] < np.arange(at, stop)[None, :])
+        if side is not None:
+            near &= side[some, None] != side[None, at:stop]
+        i, j = np.nonzero(near)
+        i, j = i + at, j + at
+        near = (4 * n[j] <= 5 * n[i]) & (9 * (pos[i] + pos[j]) <= n[i] + n[j])
+        i, j = i[near], j[near]
+        near = 9 * np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
+        yield i[near], j[near]
+        at = upto
+
+
+def crossing_pairs(met: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """(a, b), distinct: the nodes that share a key of ``met`` (key, node, pos), lie in different components and may be similar by size and sketch.
+
+    A key of more than MEETING nodes is dealt out by pairs of its parts.
+    """
+    rows = nodes.join(comp, "node", "left").select("node", "n", "short", F.coalesce("root", "node").alias("comp"))
+    parts = met.join(rows.select("node", "comp"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    parts = parts.filter("low < high").select(F.col("key").alias("_key"), F.ceil(F.col("c") / MEETING).alias("parts"))
+    dealt = met.join(parts, F.col("key") == F.col("_key")).withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), (F.col("own") > F.col("other")).cast("bigint").alias("side"), "node", "pos")
+    dealt = dealt.join(rows, "node").repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("key", "first", "second", "side", "node", "n", "pos", "comp")
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            sketches = b"".join(batch.column(batch.schema.get_field_index("short")).to_pylist())
+            return (*[batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names], np.frombuffer(sketches, np.uint64).reshape(-1, SKETCH // 64))
+
+        def joined(key, first, second, side, node, n, pos, comp, words) -> Iterator[pa.RecordBatch]:
+            lo = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+            found, count = [], 0
+            for a, b in zip(lo.tolist(), [*lo[1:].tolist(), len(key)]):
+                if b - a < 2 or (comp[a:b] == comp[a]).all():
+                    continue
+                for i, j in met_pairs(n[a:b], pos[a:b], words[a:b], comp[a:b], side[a:b] if first[a] != second[a] else None):
+                    x, y = node[a:b][i], node[a:b][j]
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                    count += len(x)
+                    if count >= HELD:
+                        yield pairs_of(found)
+                        count = 0
+            if count:
+                yield pairs_of(found)
+
+        def pairs_of(found: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(rows_of(batch))
+            size += batch.num_rows
+            if size >= GATHERED // 4:
+                rows = tuple(np.concatenate(x) for x in zip(*held))
+                ends = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1]))
+                cut = int(ends[-1]) + 1 if len(ends) else 0  # the last group may go on
+                if cut:
+                    yield from joined(*(x[:cut] for x in rows))
+                held, size = [tuple(x[cut:] for x in rows)], len(rows[0]) - cut
+        if held:
+            yield from joined(*(np.concatenate(x) for x in zip(*held)))
+        held.clear()
+        released()
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
 
-    Of rows with the same doc_id, that of the least hash of its text stays; of rows that also share their text, the one
-    whose columns, written as JSON, come first. Null and empty texts are one group.
+def crowds(keyed: DataFrame) -> DataFrame:
+    """(key, node, pos, c, hubs) of the rows of ``keyed`` (key, node, n, pos) whose key has other rows: c of them, and HUBS of their nodes that the node may be similar to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def met(key: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+            lo = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            c = np.diff(np.r_[lo, len(key)])
+            some = np.repeat(c, c) > 1
+            key, node, n, pos, c = key[some], node[some], n[some], pos[some], c[c > 1]
+            lo = np.cumsum(c) - c
+            hubs = []
+            for r in range(HUBS if len(c) else 0):
+                mixed = node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * r * 0x51ED270B7A3F9D17 & 0xFFFFFFFFFFFFFFFF | 1)
+                at = np.repeat(np.flatnonzero(mixed == np.repeat(np.minimum.reduceat(mixed, lo), c)), c)
+                near = (4 * n <= 5 * n[at]) & (4 * n[at] <= 5 * n) & (9 * (pos + pos[at]) <= n + n[at])
+                hubs.append(np.where(near, node[at], node))
+            found = list(np.stack(hubs, axis=1).view(np.uint64)) if hubs else []
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(pos), pa.array(np.repeat(c, c)), lists_of(found)], ["key", "node", "pos", "c", "hubs"])
+
+        for batch in batches:
+            held.append(tuple(batch.column(i).to_numpy() for i in range(4)))
+            size += batch.num_rows
+            if size >= GATHERED:
+                rows = tuple(np.concatenate(x) for x in zip(*held))
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on
+                if cut:
+                    yield met(*(x[:cut] for x in rows))
+                held, size = [tuple(x[cut:] for x in rows)], len(rows[0]) - cut
+        if size:
+            yield met(*(np.concatenate(x) for x in zip(*held)))
+        held.clear()
+        released()
+
+    dealt = keyed.select("key", "node", "n", "pos").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "key bigint, node bigint, pos bigint, c bigint, hubs array<bigint>")
+
+
+def similar_groups(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, component) of every row: texts whose sets of shingles have a similarity of 0.8 or more are linked, exactly these.
+
+    Sets meet at the shingles of their fronts. First each is held against HUBS of those that it meets at a shingle, which
+    connects most groups; then all pairs that meet and aren't connected yet are held against each other, so that no link
+    between different components is left out and nothing grows with the square of a group that is connected. Sizes and sketches
+    pass over pairs that can't be similar; those that remain are compared by their sets.
+    """
+    rows = stored(set_rows(docs, shingle), "similar-rows")
+    nodes = stored(rows.dropDuplicates(["node"]).select("node", "text_hash", "n", "sketch", "short", "front"), "similar-nodes")
+    keyed = nodes.select("node", "n", F.posexplode("front").alias("pos", "key")).withColumn("pos", F.col("pos").cast("bigint"))
+    crowd = stored(crowds(keyed), "similar-crowd")
+    pairs = crowd.select("node", F.explode("hubs").alias("hub")).filter("node <> hub")
+    pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    first = similar_pairs(docs, nodes, sketched(pairs, nodes), shingle)
+    comp = stored(with_roots(components(first)), "similar-components")
+    # At a shingle of two nodes, the hub met the other.
+    rest = crossing_pairs(crowd.filter("c > 2").select("key", "node", "pos"), nodes, comp)
+    second = similar_pairs(docs, nodes, sketched(rest, nodes), shingle)
+    comp = stored(with_roots(components(first.unionByName(second))), "similar-components")
+    hot = hot_keys(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node", rows.count())
+    known = nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    return spread_join(rows.select("doc_id", "text_hash", "node"), known, "node", hot, [F.col("doc_id"), F.col("text_hash")]).select("doc_id", "text_hash", "component")
+
+
+def with_roots(comp: DataFrame) -> DataFrame:
+    """``comp`` (node, root) and a row for each root."""
+    return comp.unionByName(comp.select(F.col("root").alias("node"), "root")).distinct()
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """One row of ``docs`` per component, that of the least doc_id, with the columns of ``docs``, whatever their names.
 
-    The defaults aim at a similarity of 0.8 between the shingles of two texts, at which 15 % of 128 bits are expected to
-    differ: a link needs at most ``total`` differing bits, and two blocks of 8 bits (or three of 7) that agree. The bits of fewer
-    than ``least`` shingles say too little; short texts are joined by their shingles, which finds every pair that similar.
+    Texts are linked if their sets of shingles have a Jaccard similarity of 0.8 or more, and no others. Of rows with the same
+    doc_id, that of the least hash of its text stays; of rows that also share their text, the one whose columns, written
+    as JSON, come first. Null and empty texts are one group.
     """
-    rows = grouped(docs, shingle, total, total, least)
+    rows = similar_groups(docs, shingle)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"))
     kept_id, kept_hash, text_hash, doc = fresh(docs, "kept_id", "kept_hash", "text_hash", "doc")
     keep = first.select(F.col("f.doc_id").alias(kept_id), F.col("f.text_hash").alias(kept_hash))
