@@ -4,7 +4,8 @@ Two fingerprints that differ in at most ``max_bits`` of ``max_bits + EXACT`` blo
 least. For each choice of EXACT blocks, the trie over the fingerprints with these blocks in front is joined with itself:
 node pairs descend together, nothing may differ within the front, and a pair is dropped as soon as its differing bits
 exceed the budget. The front is the key by which Spark deals out the work. Where a budget is too wide for that, as at a
-similarity of 0.8, fingerprints of two words are joined behind fronts of blocks that such pairs have in common often enough.
+similarity of 0.8, fingerprints of two words are joined behind fronts of blocks that such pairs have in common often enough, which leaves some out;
+``deduplicated`` joins the sets of shingles themselves, exactly.
 """
 
 from __future__ import annotations
