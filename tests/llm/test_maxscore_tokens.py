@@ -104,6 +104,49 @@ def test_tokens_of_equal_keys(spark):
     assert order == sorted(order)
 
 
+@pytest.mark.parametrize("piece", [32 << 20, 50])
+def test_texts_cut_into_parts_have_the_ids_of_whole_texts(monkeypatch, piece):
+    """Every neighbourhood of letters, digits, signs, apostrophes, white space and other characters, also across texts that are encoded together."""
+    monkeypatch.setattr(repair, "PIECE", piece)
+    rng = np.random.default_rng(5)
+    alphabet = ["a", "B", "s", "'re", "e\u0301", "\xe9", "\xd7", "\xf7", "\u0120", "\u010a", "\u017f", "\u0131", "\u0416", "\u0482", "\u03b1", "\u4e2d", "\U0001f600", "\u0663", "\xb2", "7", "42", ".", ",", "$", "_", "|", "'", "\u2019", "\u2014",
+                "\n", "\n", "\t", "\r", "\x1c", "\x00", "\x85", "\xa0", "\u2028", "\u3000", " ", " ", " ", "<|endoftext|>", "the", "ing"]
+    weights = np.array([0.1 if a == "<|endoftext|>" else 1.0 for a in alphabet])
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 9), p=weights / weights.sum())) for _ in range(6_000)] + ["a\n\n", "B", "x", "\n\nb", "", "\xc3", "\x97"]
+    encoder, t = repair.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    for _ in range(2):  # anew, and remembered
+        got = [np.frombuffer(x, encoder.unit).tolist() for x in encoder.encode(texts)]
+        assert [(x, t.encode(x, add_special_tokens=False).ids, g) for x, g in zip(texts, got) if t.encode(x, add_special_tokens=False).ids != g] == []
+
+
+def test_the_library_gets_a_part_once(monkeypatch):
+    """However words, signs and ends of lines stand together: 800 words in 20,000 pairs."""
+    rng, seen = np.random.default_rng(6), []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode(self, text, **options):
+            seen.append(len(text))
+            return self.tokenizer.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(map(len, texts))
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    encoder = repair.Encoder(TOKENIZER)
+    for name in ("tokenizer", "bpe"):
+        if hasattr(encoder, name):
+            setattr(encoder, name, Counted(getattr(encoder, name)))
+    words = ["".join(rng.choice(list("abcdefgh\xe9"), 9)) for _ in range(800)]
+    signs = [".", ",", "$$$", "!!", ".\n", ",\n"]
+    texts = [" ".join(f"{words[a]}{signs[c]}{words[b]}{signs[c // 3]}" for a, b, c in zip(rng.integers(800, size=20), rng.integers(800, size=20), rng.integers(6, size=20))) for _ in range(1_000)]
+    t = Tokenizer.from_file(TOKENIZER)
+    assert [np.frombuffer(x, encoder.unit).tolist() for x in encoder.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert sum(seen) < 5 * sum(map(len, words))
+
+
 def sample_ids(kind):
     rng = np.random.default_rng(3)
     ids = {"words": np.r_[rng.zipf(1.3, 60_000) % 5000, rng.integers(0, 40_000, 60_000)], "nested": np.tile(np.arange(10, 1034), 40), "one": np.full(10_001, 7),

@@ -8,8 +8,10 @@ decoded alone.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
+import string
 import struct
 import sys
 import types
@@ -18,15 +20,15 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vexel.llm.common import scratch_dir
+from vexel.llm.common import released, scratch_dir
 
 #: The id that ends each document.
 END = 2
@@ -35,103 +37,173 @@ BLOCK_TOKENS = 1 << 17
 #: The least count of a pair: a rule takes the place of some three symbols.
 LEAST = 8
 MAGIC = b"RPB2"
-#: Documents encoded together, chunks of text whose ids a worker remembers, and the length up to which it does.
-DOCS = 1000
-REMEMBERED, LONGEST = 600_000, 40
+#: Bytes of text encoded together (one text at least), and parts of it that the library gets at once.
+PIECE, TOGETHER = 8 << 20, 100
+#: Parts of texts whose ids a worker remembers, and the bytes up to which it does.
+REMEMBERED, LONGEST = 1_000_000, 40
 #: Sampled keys a partition by which the order of doc_id is cut into partitions.
 SAMPLED = 60
 
 
+#: Kinds of bytes: letters, digits, signs, white space, the space; all others are 0.
+LETTER, DIGIT, SIGN, WHITE, SPACE = 1, 2, 3, 4, 5
+
+
 class Encoder:
-    """Encodes whole texts. Byte-level BPE never joins a space with what precedes it, so a text is encoded chunk by chunk.
+    """Encodes whole texts, cut into parts of which each different one goes to the library once, and is remembered.
 
-    Only a space that is followed by another kind of character than white space starts a chunk; a text with other
-    runs of white space is encoded in one piece. Letters and the punctuation after them are never joined either, so a
-    chunk of both is put together from its parts. Texts that hold the string of an added token are encoded in one piece.
+    Byte-level BPE joins nothing across its pre-tokens, so texts are cut where one begins whatever stands around: before a
+    space, and where letters, digits and signs follow each other. A text is encoded in one piece where a space stands at an
+    end or before other white space, or if it holds the string of an added token. Nothing is cut beside an apostrophe or a
+    character of unknown kind. A part of one kind is one pre-token, and needs the library's BPE alone.
     """
 
-    #: A space and then another white-space character.
-    RUNS = re.compile(" [\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-    MARKS = ".,!?;:"
+    #: A space at either end, or before another white-space character.
+    RUNS = "^ | $| [\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    #: Letters whose two bytes in UTF-8 begin with one of LEADS: U+00C0 to U+017F without two signs, U+0400 to U+047F.
+    LETTERS, LEADS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f\u0400-\u047f", [0xC3, 0xC4, 0xC5, 0xD0, 0xD1]
+    #: Without the apostrophe, which joins with letters.
+    SIGNS = "".join(c for c in string.punctuation if c != "'")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}  # of chunks that a space precedes
-        self.heads: dict[str, bytes] = {}  # of what begins a text or follows letters
+        if self.tokenizer.normalizer is not None or not isinstance(self.tokenizer.pre_tokenizer, ByteLevel):
+            raise ValueError("not the file of a byte-level BPE tokenizer")
+        self.bpe = Tokenizer(self.tokenizer.model)
+        self.bpe.pre_tokenizer = CharDelimiterSplit(" ")
+        self.whole = "|".join([self.RUNS, *[re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]])
+        self.one_kind = f"^ ?(?:[{self.LETTERS}]+|[0-9]+|[{re.escape(self.SIGNS)}]+)$"
         vocabulary = self.tokenizer.get_vocab()
         self.unit = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.end = np.array([END], self.unit).tobytes()
+        # Byte-level BPE has a printable sign for each byte; a zero byte here parts what the BPE gets.
+        shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
+        signs = dict.fromkeys(shown) | dict(zip([b for b in range(256) if b not in shown], range(256, 512)))
+        self.signs = " " + "".join(chr(signs[b] or b) for b in range(1, 256))
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the sign that byte-level BPE has for a space
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(self.signs[32])]] = True
+        self.line = vocabulary[self.signs[10]]
+        self.kinds = np.zeros(256, np.uint8)
+        for kind, chars in ((LETTER, string.ascii_letters), (DIGIT, string.digits), (SIGN, self.SIGNS), (WHITE, "\t\n\v\f\r"), (SPACE, " ")):
+            self.kinds[list(chars.encode())] = kind
+        self.lead = np.zeros(256, bool)
+        self.lead[self.LEADS] = True
+        self.parted = np.zeros((8, 8), bool)
+        self.parted[[LETTER, DIGIT], 1:SPACE] = self.parted[SIGN, [LETTER, DIGIT]] = self.parted[:, SPACE] = True
+        self.parted[[LETTER, DIGIT], [LETTER, DIGIT]] = False
+        self.known, self.known_ids = pa.array([], pa.string()), pa.array([], pa.binary())
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.unit).tobytes()
 
-    def learn(self, chunks: set[str]) -> None:
-        """Adds chunks, encoding many at once."""
-        plain, parts, stems = [], [], set()
-        for c in chunks:
-            stem = c.rstrip(self.MARKS)
-            if len(stem) < len(c) and stem.isalpha():
-                parts.append((c, stem, c[len(stem):]))
-                if stem not in self.known and stem not in chunks:
-                    stems.add(stem)
+    def starts(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Where parts begin in the bytes of several texts; edges: where these begin and end."""
+        kind = self.kinds[data]
+        lead = np.flatnonzero(self.lead[data])
+        sign = (data[lead] == 0xC3) & ((data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7))
+        lead = lead[~sign]
+        kind[lead] = kind[lead + 1] = LETTER
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = self.parted.ravel()[kind[:-1] * np.uint8(8) + kind[1:]]
+        # Of white space before what is none, the last character is a pre-token of its own.
+        line = np.flatnonzero(data[1:-1] == 10) + 1
+        before, after = kind[line - 1], kind[line + 1]
+        alone = (before > 0) & (before < SPACE) & (after > 0) & (after < WHITE)
+        last = np.zeros(len(data) + 1, bool)
+        last[edges] = True
+        alone &= ~last[line + 1]
+        cut[line[alone] + 1] = True
+        cut[line[alone & (before == WHITE)]] = True
+        cut[edges] = True
+        return np.flatnonzero(cut[:-1])
+
+    def many(self, parts: list[str], kind: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(ids, how many of each part) of parts of one kind that begin with a space ("word") or without ("bare"), or of others with a space."""
+        ids, counts = [], []
+        for at in range(0, len(parts), TOGETHER):
+            some = parts[at:at + TOGETHER]
+            if kind == "other":
+                tokenizer, text = self.tokenizer, "".join(some)
             else:
-                plain.append(c)
-        plain.extend(stems)
-        for at in range(0, len(plain), DOCS):
-            some = plain[at:at + DOCS]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.unit)
-            # Chunks hold no space, so each begins at a token that does.
-            cuts = np.flatnonzero(self.spaced[ids])
-            if len(cuts) != len(some):
-                raise ValueError("the tokenizer joins a space with what precedes it")
-            raw, edges = ids.tobytes(), (ids.itemsize * np.append(cuts, len(ids))).tolist()
-            self.known.update(zip(some, [raw[a:b] for a, b in zip(edges, edges[1:])]))
-        for c, stem, marks in parts:
-            self.known[c] = self.known[stem] + self.head(marks)
-
-    def head(self, text: str) -> bytes:
-        ids = self.heads.get(text)
-        if ids is None:
-            ids = self.ids(text)
-            if len(self.heads) < REMEMBERED // 8 and len(text) <= LONGEST:
-                self.heads[text] = ids
-        return ids
+                tokenizer, text = self.bpe, codecs.charmap_decode(("\0" if kind == "word" else "\0\n\0").join(some).encode(), "strict", self.signs)[0]
+            found = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.unit)
+            if kind == "bare":  # a line's end stands between two parts, and in none
+                between = found == self.line
+                stops = np.append(np.flatnonzero(between) - np.arange(int(between.sum())), len(found) - int(between.sum()))
+                counts.append(np.diff(stops, prepend=0))
+                found = found[~between]
+            else:  # each part begins at a token with a space, and has no other
+                counts.append(np.diff(np.append(np.flatnonzero(self.spaced[found]), len(found))))
+            if len(counts[-1]) != len(some) or counts[-1].min() < 1 or counts[-1].sum() != len(found):
+                raise ValueError("the tokenizer joins what byte-level BPE does not")
+            ids.append(found)
+        return ids, counts
+
+    def learn(self, parts: pa.Array) -> pa.Array:
+        """The ids of different parts."""
+        single, led = (x.to_numpy(zero_copy_only=False) for x in (pc.match_substring_regex(parts, self.one_kind), pc.starts_with(parts, " ")))
+        groups = [np.flatnonzero(single & led), np.flatnonzero(single & ~led), np.flatnonzero(~single & led), np.flatnonzero(~single & ~led)]
+        ids, counts = [], []
+        for group, kind in zip(groups, ("word", "bare", "other")):
+            for all_, some in zip((ids, counts), self.many(parts.take(pa.array(group)).to_pylist(), kind)):
+                all_.extend(some)
+        alone = [np.frombuffer(self.ids(p), self.unit) for p in parts.take(pa.array(groups[-1])).to_pylist()]
+        ids, counts = [np.zeros(0, self.unit), *ids, *alone], [np.zeros(0, np.int64), *counts, np.array([len(x) for x in alone], np.int64)]
+        place = np.empty(len(parts), np.int64)
+        place[np.concatenate(groups)] = np.arange(len(parts))
+        return binary(np.concatenate(ids), np.r_[0, np.cumsum(np.concatenate(counts))]).take(pa.array(place))
+
+    def column(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text (null: none) with END after them, as little-endian integers of the type ``unit``."""
+        texts = texts.cast(pa.string()).fill_null("")
+        whole = pc.match_substring_regex(texts, self.whole)
+        cut, whole = pc.if_else(whole, "", texts), whole.to_numpy(zero_copy_only=False)
+        edges = np.frombuffer(cut.buffers()[1], np.int32)[cut.offset:cut.offset + len(cut) + 1]
+        data = np.frombuffer(cut.buffers()[2] or b"", np.uint8)[edges[0]:edges[-1]]
+        edges = edges - edges[0]
+        starts = self.starts(data, edges) if len(data) else np.zeros(0, np.int64)
+        parts = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)])
+        # What is known stands first in the dictionary; empty chunks are left out of it.
+        coded = pa.chunked_array([self.known, parts], pa.string()).dictionary_encode().chunks
+        new = coded[-1].dictionary.slice(len(self.known)) if len(parts) else parts
+        new_ids = self.learn(new)
+        table = [self.known_ids, new_ids, pa.array([self.end] + [self.ids(texts[i].as_py()) for i in np.flatnonzero(whole).tolist()], pa.binary())]
+        # After its parts a text has END; one that isn't cut has its ids alone before it.
+        end, stops = len(self.known) + len(new), np.searchsorted(starts, edges[1:])
+        ends = np.cumsum(1 + whole)
+        added = np.full(int(ends[-1]), end)
+        added[ends[whole] - 2] = end + 1 + np.arange(int(whole.sum()))
+        which = np.insert(coded[-1].indices.to_numpy() if len(parts) else starts, np.repeat(stops, 1 + whole), added)
+        joined = pa.concat_arrays(table).take(pa.array(which))
+        offsets = np.frombuffer(joined.buffers()[1], np.int32)[np.r_[0, stops + ends]]
+        if len(self.known) < REMEMBERED:
+            short = pc.less_equal(pc.binary_length(new), LONGEST)
+            self.known = pa.concat_arrays([self.known, new.filter(short)])[:REMEMBERED]
+            self.known_ids = pa.concat_arrays([self.known_ids, new_ids.filter(short)])[:REMEMBERED]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), joined.buffers()[2]])
+
+    def columns(self, texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+        """(first row, ids as ``column`` gives them) of some texts at a time."""
+        ends = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)]
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, side="right")) - 1)
+            yield at, self.column(texts.slice(at, stop - at))
+            at = stop
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian integers of the type ``unit``."""
-        before, get = len(self.known), self.known.get
-        found, missing, open_ = [], set(), []
-        for text in texts:
-            if not text or text[0] == " " or text[-1] == " " or self.RUNS.search(text) or any(a in text for a in self.added):
-                found.append([self.ids(text) if text else b""])
-                continue
-            chunks = text.split(" ")
-            ids = list(map(get, chunks))
-            ids[0] = self.head(chunks[0])
-            if None in ids:
-                places = [i for i, x in enumerate(ids) if x is None]
-                names = [chunks[i] for i in places]
-                missing.update(names)
-                open_.append((ids, places, names))
-            found.append(ids)
-        self.learn(missing)
-        for ids, places, names in open_:
-            for i, c in zip(places, names):
-                ids[i] = self.known[c]
-        for ids in found:
-            yield b"".join(ids)
-        for c in missing:
-            if len(c) > LONGEST:
-                self.known.pop(c, None)
-        if len(self.known) > REMEMBERED:
-            for c in list(islice(reversed(self.known), len(self.known) - max(before, REMEMBERED // 2))):
-                del self.known[c]
+        """The ids of each text, without END."""
+        for _, ids in self.columns(pa.array(texts, pa.string())):
+            yield from (x.as_py()[:-len(self.end)] for x in ids)
+
+
+def binary(ids: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """The bytes of runs of ids."""
+    return pa.Array.from_buffers(pa.binary(), len(stops) - 1, [None, pa.py_buffer((ids.itemsize * stops).astype(np.int32)), pa.py_buffer(ids)])
 
 
 def kept() -> types.ModuleType:
@@ -151,6 +223,7 @@ def forget_encoder() -> None:
     """Frees the memory of a worker whose later tasks encode nothing."""
     vars(kept()).pop("encoder", None)
     vars(kept()).pop("path", None)
+    released()
 
 
 def by_code(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -352,9 +425,8 @@ def write_blocks(docs: DataFrame, tokenizer: str, path: str) -> None:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, limits, turn = worker_encoder(tokenizer), bounds.value, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS):
-                some = batch.slice(at, DOCS)
-                ids = [x + encoder.end for x in encoder.encode(some.column(2).to_pylist())]
+            for at, ids in encoder.columns(batch.column(2)):
+                some = batch.slice(at, len(ids))
                 dealt = []
                 for doc_id, text_hash in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
                     key = (doc_id is not None, doc_id or 0, text_hash)
@@ -362,7 +434,8 @@ def write_blocks(docs: DataFrame, tokenizer: str, path: str) -> None:
                     dealt.append(low + turn % (high - low + 1))
                     turn += high > low
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.array(dealt, pa.int32()), pa.array([len(encoder.end)] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "text_hash", "part", "width", "ids"])
+                    [some.column(0), some.column(1), pa.array(dealt, pa.int32()), pa.array([len(encoder.end)] * len(ids), pa.int32()), ids], ["doc_id", "text_hash", "part", "width", "ids"])
+        released()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_encoder()
